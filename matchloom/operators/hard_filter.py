@@ -7,7 +7,7 @@ skill terms. Rules with skills meet candidates on equal terms, rules without ski
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions import rules
@@ -34,9 +34,9 @@ def distinct_rules(jobs_with_rules: DataFrame) -> DataFrame:
     ).dropDuplicates(["tenant_id", "rule_id"])
 
 
-def candidate_facts(candidates: DataFrame, as_of_year: Column | None = None) -> DataFrame:
+def candidate_facts(candidates: DataFrame, as_of_year: int | None = None) -> DataFrame:
     """Degree level, years of experience, lower-case skills and text of each candidate."""
-    year = F.year(F.current_date()) if as_of_year is None else as_of_year
+    year = F.year(F.current_date()) if as_of_year is None else F.lit(as_of_year)
     return candidates.select(
         "tenant_id",
         "candidate_id",
@@ -86,14 +86,14 @@ def hard_filter_pool(rule_table: DataFrame, facts: DataFrame) -> DataFrame:
     return by_term.unionByName(by_cell)
 
 
-def hard_filter(jobs: DataFrame, candidates: DataFrame, as_of_year: Column | None = None) -> DataFrame:
+def hard_filter(jobs: DataFrame, candidates: DataFrame, as_of_year: int | None = None) -> DataFrame:
     """(tenant_id, job_id, candidate_id) of every passing pair; jobs without requirements pass all."""
     ruled = job_rules(jobs)
     pool = hard_filter_pool(distinct_rules(ruled), candidate_facts(candidates, as_of_year))
     return ruled.select("tenant_id", "job_id", "rule_id").join(pool, ["tenant_id", "rule_id"]).drop("rule_id")
 
 
-def filter_funnel(jobs: DataFrame, candidates: DataFrame, as_of_year: Column | None = None) -> DataFrame:
+def filter_funnel(jobs: DataFrame, candidates: DataFrame, as_of_year: int | None = None) -> DataFrame:
     """Candidates per job before and after the filter; jobs that nobody passes are kept with 0."""
     pool_sizes = candidates.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_candidates"))
     ruled = job_rules(jobs)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators import fusion, rerank
@@ -55,7 +55,7 @@ def search_queries(jobs: DataFrame) -> DataFrame:
 def coarse_screen(
     inputs: ScreenInputs,
     settings: ScreenSettings = DEFAULTS,
-    as_of_year: Column | None = None,
+    as_of_year: int | None = None,
     staged: bool = True,
 ) -> DataFrame:
     """(tenant, job, candidate, rank, score, score_mode, rrf_score, evidence, reasons), top N per job."""

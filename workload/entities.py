@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import tokenize
+from matchloom import fixed
+from matchloom.functions.text import chunk, tokenize
 
 AS_OF_YEAR = 2003
 # Jobs are spread over the tenants; `en` holds most documents and gets most jobs.
@@ -95,21 +96,27 @@ class Entities:
         vectors = self.t.embeddings.select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("vector"))
         return self.jobs().select("tenant_id", "job_id").join(vectors, "job_id")
 
-    def chunks(self) -> DataFrame:
-        """tenant_id, candidate_id, chunk_index, chunk, embedding: two documents' vectors per candidate.
-
-        Vector v belongs to the candidate with id v - v % 2, as its chunk v % 2; the text is document v.
-        """
-        v = F.col("vec_id")
-        texts = self.t.documents.select(
-            F.col("doc_id").alias("vec_id"), F.substring("text", 1, 500).alias("chunk")
+    def chunk_texts(self) -> DataFrame:
+        """tenant_id, candidate_id, chunk_index, chunk: all chunks of all documents."""
+        return self.documents().select(
+            "tenant_id",
+            "candidate_id",
+            F.posexplode(chunk(F.col("text"), 500, 50)).alias("chunk_index", "chunk"),
         )
-        owners = self.documents().select("tenant_id", "candidate_id")
+
+    def chunks(self) -> DataFrame:
+        """Chunks with a vector: the given vectors stand in for the embedder, by (candidate, chunk)."""
+        vec_id = (F.col("candidate_id") + 97 * F.col("chunk_index")) % F.lit(self.t.embeddings.count())
         return (
-            self.t.embeddings.select("vec_id", "embedding")
-            .join(texts, "vec_id")
-            .select(
-                (v - v % 2).alias("candidate_id"), (v % 2).cast("int").alias("chunk_index"), "chunk", "embedding"
-            )
-            .join(owners, "candidate_id")
+            self.chunk_texts()
+            .withColumn("vec_id", vec_id)
+            .join(self.t.embeddings.select("vec_id", "embedding"), "vec_id")
+            .drop("vec_id")
         )
+
+    def raw_skills(self) -> DataFrame:
+        """candidate_id, skills: the first six distinct tokens and one alias, chosen by id."""
+        aliases = [alias for alias, _ in fixed.SKILL_ALIASES]
+        alias = F.upper(pick(aliases, F.col("candidate_id") % len(aliases)))
+        tokens = F.slice(F.array_distinct(tokenize(F.col("text"))), 1, 6)
+        return self.documents().select("candidate_id", F.array_append(tokens, alias).alias("skills"))

@@ -1,25 +1,740 @@
-"""Queries: tokens, BM25, dense search, fusion, rerank."""
+"""Queries: text preparation, rules, BM25, dense search, fusion, rerank, the coarse screen."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matchloom import fixed
+from matchloom.functions import rules, text, vectors
+from matchloom.operators import fusion, rerank, skills, sparse
+from matchloom.operators.dense import dense_search
+from matchloom.operators.hard_filter import (
+    candidate_facts,
+    distinct_rules,
+    filter_funnel,
+    hard_filter,
+    hard_filter_pool,
+    job_rules,
+)
 from matchloom.operators.sparse import bm25_search
+from matchloom.plans.screening import ScreenInputs, coarse_screen, search_queries
 from workload import sql as S
+from workload.entities import AS_OF_YEAR
 from workload.registry import query
 
+WITH_DENSE = f"WITH {S.CANDIDATES}, {S.JOBS}, {S.CHUNK_TEXTS}, {S.DENSE}"
+WITH_FUSED = f"{WITH_DENSE}, {S.BM25}, {S.SPARSE}, {S.FUSED}"
+WITH_POOL = f"WITH {S.CANDIDATES}, {S.JOBS}, {S.SPANS}, {S.FACTS}, {S.NEEDS}, {S.POOL}"
+
+
+def sparse_hits(v):
+    return bm25_search(v.documents(), v.jobs().select("tenant_id", "job_id", "query"))
+
+
+def dense_hits(v, k=30):
+    return dense_search(v.job_vectors(), v.chunks(), k)
+
+
+def fused_hits(v):
+    return fusion.reciprocal_rank_fusion([dense_hits(v), sparse_hits(v)])
+
+
+# --- text preparation ---
+
+
+@query(
+    "r1_tokenize",
+    f"""
+WITH {S.CANDIDATES}
+SELECT token, count(*) AS n, count(DISTINCT candidate_id) AS n_docs
+FROM (SELECT candidate_id, unnest(toks) AS token FROM docs) GROUP BY token
+""",
+)
+def _(t):
+    tokens = t.views.documents().select("candidate_id", F.explode(text.tokenize(F.col("text"))).alias("token"))
+    per_doc = tokens.groupBy("token", "candidate_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@query(
+    "r2_chunks",
+    f"""
+WITH {S.CANDIDATES}, {S.CHUNK_TEXTS}
+SELECT candidate_id, chunk_index, length(chunk) AS n_chars, md5(chunk) AS digest FROM chunk_texts
+""",
+)
+def _(t):
+    return t.views.chunk_texts().select(
+        "candidate_id",
+        "chunk_index",
+        F.length("chunk").cast("bigint").alias("n_chars"),
+        F.md5(F.col("chunk").cast("binary")).alias("digest"),
+    )
+
+
+@query(
+    "r5_clip_head_tail",
+    """
+SELECT doc_id, length(clipped) AS n_chars, md5(clipped) AS digest FROM (
+  SELECT doc_id, CASE WHEN length(text) <= 3400 THEN text
+    ELSE substr(text, 1, 2200) || chr(10) || '...（中间省略）...' || chr(10) || right(text, 1200) END AS clipped
+  FROM documents)
+""",
+)
+def _(t):
+    clipped = text.clip_head_tail(F.col("text"))
+    return t.documents.select(
+        "doc_id",
+        F.length(clipped).cast("bigint").alias("n_chars"),
+        F.md5(clipped.cast("binary")).alias("digest"),
+    )
+
+
+_ALIAS_ROWS = ", ".join(f"{{'alias': '{a}', 'tag': '{t}'}}" for a, t in fixed.SKILL_ALIASES)
+_TAG_LIST = ", ".join(f"'{t}'" for t in fixed.STANDARD_TAGS)
+_RAW_SKILLS = f"""
+raw AS (
+  SELECT candidate_id, list_append(list_filter(toks, lambda x, i: list_position(toks, x) = i)[1:6],
+           upper([{", ".join(f"'{a}'" for a, _ in fixed.SKILL_ALIASES)}][(candidate_id % {len(fixed.SKILL_ALIASES)}) + 1])) AS skills
+  FROM docs
+),
+one AS (SELECT candidate_id, unnest(range(len(skills))) AS pos, unnest(skills) AS skill FROM raw),
+keyed AS (SELECT *, replace(lower(trim(skill)), ' ', '') AS key FROM one),
+ruled AS (
+  SELECT *, CASE WHEN skill IN ({_TAG_LIST}) THEN skill
+                 ELSE list_filter([{_ALIAS_ROWS}], lambda a: a.alias = key)[1].tag END AS exact,
+         list_filter([{_ALIAS_ROWS}], lambda a: length(a.alias) >= 3
+                     AND (contains(key, a.alias) OR contains(a.alias, key)))[1].tag AS near
+  FROM keyed
+)"""
+
+
+def _skills_sql(tag: str, extra: str = "", join: str = "") -> str:
+    return f"""
+WITH {S.CANDIDATES}, {_RAW_SKILLS}{extra},
+named AS (SELECT candidate_id, pos, {tag} AS tag FROM ruled {join}),
+firsts AS (SELECT candidate_id, tag, min(pos) AS pos FROM named GROUP BY ALL)
+SELECT candidate_id, string_agg(tag, ',' ORDER BY pos) AS skills FROM firsts GROUP BY ALL
+"""
+
+
+@query("r6_skill_rules_exact", _skills_sql("coalesce(exact, skill)"))
+def _(t):
+    mapped = skills.match_skills(t.views.raw_skills(), ["candidate_id"])
+    return mapped.select("candidate_id", F.array_join("skills", ",").alias("skills"))
+
+
+@query("r9_skill_rules_substring", _skills_sql("coalesce(exact, near, skill)"))
+def _(t):
+    mapped = skills.match_skills(t.views.raw_skills(), ["candidate_id"], substring=True)
+    return mapped.select("candidate_id", F.array_join("skills", ",").alias("skills"))
+
+
+_NEAREST = f"""
+tags AS (SELECT [{_TAG_LIST}][vec_id + 1] AS tag, embedding::DOUBLE[] AS tv FROM embeddings WHERE vec_id < {len(fixed.STANDARD_TAGS)}),
+pairs AS (
+  SELECT vec_id, tag, round(list_dot_product(e.embedding::DOUBLE[], tv) /
+           (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(tv, tv))), 6) AS similarity
+  FROM embeddings e, tags
+),
+nearest AS (
+  SELECT vec_id, CASE WHEN similarity > 0.7 THEN tag END AS tag, similarity FROM pairs
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, tag) = 1
+)"""
+
+
+def tag_vectors(t):
+    """The vectors 0..17 stand for the 18 standard tags."""
+    tags = F.array(*[F.lit(tag) for tag in fixed.STANDARD_TAGS])
+    tag = F.get(tags, F.col("vec_id").cast("int"))
+    return t.embeddings.select(tag.alias("tag"), F.col("embedding").alias("vector")).where(
+        F.col("tag").isNotNull()
+    )
+
+
+@query("r7_nearest_tags", f"WITH {_NEAREST} SELECT vec_id AS skill, tag, similarity FROM nearest")
+def _(t):
+    skill_vectors = t.embeddings.select(F.col("vec_id").alias("skill"), F.col("embedding").alias("vector"))
+    return skills.nearest_tags(skill_vectors, tag_vectors(t))
+
+
+@query(
+    "r8_match_skills",
+    _skills_sql(
+        "coalesce(exact, n.tag, skill)",
+        f"""{", " + _NEAREST},
+vocab AS (SELECT DISTINCT skill FROM one),
+placed AS (
+  SELECT v.skill, n.tag FROM vocab v
+  JOIN nearest n ON n.vec_id = ascii(v.skill) + 3 * length(v.skill)
+)""",
+        "LEFT JOIN placed n USING (skill)",
+    ),
+)
+def _(t):
+    profiles = t.views.raw_skills()
+    # A skill's vector is chosen by its first character and length; the embedder would give it.
+    vocab = profiles.select(F.explode("skills").alias("skill")).distinct()
+    vec_id = F.ascii("skill") + 3 * F.length("skill")
+    skill_vectors = vocab.withColumn("vec_id", vec_id).join(t.embeddings, "vec_id")
+    nearest = skills.nearest_tags(
+        skill_vectors.select("skill", F.col("embedding").alias("vector")), tag_vectors(t)
+    )
+    mapped = skills.match_skills(profiles, ["candidate_id"], nearest)
+    return mapped.select("candidate_id", F.array_join("skills", ",").alias("skills"))
+
+
+# --- rules ---
+
+
+@query(
+    "h1_h3_h5_h6_job_needs",
+    f"""
+WITH {S.JOBS}, {S.NEEDS}
+SELECT job_id, need_degree, need_years, array_to_string(list_sort(need_skills), ',') AS need_skills FROM needs
+""",
+)
+def _(t):
+    return job_rules(t.views.jobs()).select(
+        "job_id", "need_degree", "need_years", F.array_join("need_skills", ",").alias("need_skills")
+    )
+
+
+@query(
+    "h2_h4_candidate_facts",
+    f"WITH {S.CANDIDATES}, {S.SPANS}, {S.FACTS} SELECT candidate_id, degree, years, len(skills) AS n_skills FROM facts",
+)
+def _(t):
+    return candidate_facts(t.views.candidates(), AS_OF_YEAR).select(
+        "candidate_id", "degree", "years", F.size("skills").cast("bigint").alias("n_skills")
+    )
+
+
+@query(
+    "h7_skill_hits",
+    f"""
+WITH {S.CANDIDATES}, {S.JOBS}, {S.SPANS}, {S.FACTS}, {S.NEEDS},
+tags AS (SELECT DISTINCT tenant_id, unnest(need_skills) AS tag FROM needs)
+SELECT tenant_id, tag, count(*) AS n_candidates, sum(candidate_id)::BIGINT AS id_sum
+FROM tags JOIN facts f USING (tenant_id) WHERE {S.hit('tag', 'f.skills', 'f.low')} GROUP BY ALL
+""",
+)
+def _(t):
+    from matchloom.operators.hard_filter import candidate_terms
+
+    rules_ = distinct_rules(job_rules(t.views.jobs()))
+    vocabulary = rules_.select("tenant_id", F.explode("need_skills").alias("term")).distinct()
+    hits = candidate_terms(candidate_facts(t.views.candidates(), AS_OF_YEAR), vocabulary)
+    return hits.groupBy("tenant_id", F.col("term").alias("tag")).agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.sum("candidate_id").alias("id_sum")
+    )
+
+
+@query("h8_hard_filter", f"{WITH_POOL} SELECT tenant_id, job_id, candidate_id FROM pool")
+def _(t):
+    return hard_filter(t.views.jobs(), t.views.candidates(), AS_OF_YEAR)
+
+
+@query(
+    "h8_filter_funnel",
+    f"""
+{WITH_POOL},
+sizes AS (SELECT tenant_id, count(*) AS n_candidates FROM docs GROUP BY ALL),
+passed AS (SELECT job_id, count(*) AS n_passed FROM pool GROUP BY ALL)
+SELECT tenant_id, job_id, coalesce(n_candidates, 0) AS n_candidates, coalesce(n_passed, 0) AS n_passed
+FROM jobs LEFT JOIN sizes USING (tenant_id) LEFT JOIN passed USING (job_id)
+""",
+)
+def _(t):
+    return filter_funnel(t.views.jobs(), t.views.candidates(), AS_OF_YEAR)
+
+
+# --- settings and queries of a job ---
+
+
+@query(
+    "p2_default_query",
+    f"""
+WITH {S.JOBS},
+parts AS (
+  SELECT job_id, list_concat(list_concat([title], skill_graph),
+    list_concat([degree_req, (job_id % 6) || ' 年'], skill_reqs)[1:5]) AS parts FROM jobs
+)
+SELECT job_id, array_to_string(list_filter(parts, lambda p: p <> ''), ' ') AS query FROM parts
+""",
+)
+def _(t):
+    query_ = rerank.default_query(F.col("title"), F.col("skill_graph"), F.col("hard_requirements"))
+    return t.views.jobs().select("job_id", query_.alias("query"))
+
+
+def jobs_with_overrides(v):
+    """Jobs whose overrides depend on the id: good, badly typed and unknown ones."""
+    item = F.col("job_id")
+    overrides = F.create_map(
+        F.lit("rag_top_k"), F.when(item % 5 == 0, F.lit("abc")).otherwise((item % 9 + 1).cast("string")),
+        F.lit("rerank_mode"), F.when(item % 2 == 0, F.lit("cross_encoder")).otherwise(F.lit("COSINE")),
+        F.lit("rerank_threshold"), F.when(item % 3 == 0, F.lit("0.7")).otherwise(F.lit("x")),
+        F.lit("evil_param"), F.lit("1"),
+    )
+    return v.jobs().withColumn("screen_overrides", F.when(item % 7 != 6, overrides))
+
+
+@query(
+    "p5_p6_r21_job_settings",
+    """
+SELECT item_id AS job_id,
+       CASE WHEN item_id % 7 = 6 OR item_id % 5 = 0 THEN 30 ELSE (item_id % 9 + 1)::INT END AS rag_top_k,
+       CASE WHEN item_id % 7 <> 6 AND item_id % 2 = 0 THEN 'cross_encoder' ELSE 'cosine' END AS rerank_mode,
+       2 AS pairs_factor, 400 AS doc_chars,
+       CASE WHEN item_id % 7 <> 6 AND item_id % 3 = 0 THEN 0.7 ELSE 0.4 END::DOUBLE AS threshold_cross,
+       0.55::DOUBLE AS threshold_cosine
+FROM benchmark
+""",
+)
+def _(t):
+    return rerank.job_settings(jobs_with_overrides(t.views)).drop("tenant_id")
+
+
+@query(
+    "p6_allowed_overrides",
+    """
+SELECT item_id AS job_id, CASE WHEN item_id % 7 = 6 THEN 0
+       ELSE 1 + (item_id % 5 <> 0)::INT + (item_id % 3 = 0)::INT END AS n_kept FROM benchmark
+""",
+)
+def _(t):
+    kept = rerank.allowed_overrides(F.col("screen_overrides"))
+    return jobs_with_overrides(t.views).select("job_id", F.size(F.map_keys(kept)).alias("n_kept"))
+
+
+@query(
+    "p10_candidate_limit",
+    """
+SELECT o_orderkey, least(coalesce(nullif(o_orderkey % 90, 0), 10), 50) AS max_candidates FROM orders
+""",
+)
+def _(t):
+    from matchloom.operators.quality import candidate_limit
+
+    wanted = F.nullif(F.col("o_orderkey") % 90, F.lit(0))
+    return t.orders.select("o_orderkey", candidate_limit(wanted).alias("max_candidates"))
+
+
+# --- recall ---
+
+
+@query(
+    "r10_bm25_index",
+    f"""
+WITH {S.CANDIDATES}, {S.JOBS}, {S.BM25}
+SELECT tenant_id, token, df, round(ln((n + 1) / df), 6) AS idf, round(avgdl, 6) AS avgdl
+FROM dfreq JOIN stats USING (tenant_id) JOIN (SELECT DISTINCT tenant_id, token FROM qt) USING (tenant_id, token)
+""",
+)
+def _(t):
+    v = t.views
+    index = sparse.build_index(v.documents(), sparse.query_terms(v.jobs()))
+    scope = ["tenant_id"]
+    frequency = sparse.document_frequency(index, scope)
+    return frequency.join(sparse.corpus_stats(index, scope), scope).select(
+        "tenant_id", "token", "df",
+        F.round(F.log((F.col("n_docs") + 1) / F.col("df")), 6).alias("idf"),
+        F.round("avgdl", 6).alias("avgdl"),
+    )
+
 
 @query(
     "r11_bm25_search",
+    f"WITH {S.CANDIDATES}, {S.JOBS}, {S.BM25}, {S.SPARSE} SELECT * FROM sparse",
+)
+def _(t):
+    return sparse_hits(t.views)
+
+
+@query(
+    "r11_bm25_with_nonmatching",
     f"""
 WITH {S.CANDIDATES}, {S.JOBS}, {S.BM25},
-ranked AS (
-  SELECT tenant_id, job_id, candidate_id, round(score, 6) AS score,
-         row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY round(score, 6) DESC, candidate_id) AS rank
-  FROM bm WHERE round(score, 6) > 0
+floors AS (
+  SELECT qt.tenant_id, job_id, sum(qtf * ln((n + 1) / df)) AS floor
+  FROM qt JOIN dfreq USING (tenant_id, token) JOIN stats USING (tenant_id) GROUP BY ALL
+),
+part AS (
+  SELECT qt.tenant_id, qt.job_id, tf.candidate_id,
+         sum(qtf * ln((n + 1) / df) * tf.tf * 2.5 / (1.5 * (1 - 0.75 + 0.75 * tf.dl / avgdl) + tf.tf)) AS score
+  FROM qt JOIN tf USING (tenant_id, token) JOIN dfreq USING (tenant_id, token) JOIN stats USING (tenant_id)
+  GROUP BY ALL
+),
+every AS (
+  SELECT f.tenant_id, f.job_id, d.candidate_id, round(coalesce(p.score, 0) + floor, 6) AS score
+  FROM floors f JOIN docs d USING (tenant_id)
+  LEFT JOIN part p ON p.job_id = f.job_id AND p.candidate_id = d.candidate_id
+)
+SELECT *, row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY score DESC, candidate_id) AS rank
+FROM every WHERE score > 0 QUALIFY rank <= 30
+""",
+)
+def _(t):
+    v = t.views
+    queries = v.jobs().select("tenant_id", "job_id", "query")
+    return bm25_search(v.documents(), queries, include_nonmatching=True)
+
+
+@query(
+    "r12_dense_search",
+    f"{WITH_DENSE} SELECT tenant_id, job_id, candidate_id, chunk_index, score, rank FROM dense",
+)
+def _(t):
+    return dense_hits(t.views)
+
+
+@query(
+    "r13_evidence",
+    f"""
+{WITH_DENSE}
+SELECT job_id, candidate_id, count(*) AS n_chunks, md5(string_agg(chunk, '|' ORDER BY rank)) AS digest
+FROM dense GROUP BY ALL
+""",
+)
+def _(t):
+    v = t.views
+    found = fusion.evidence(dense_hits(v), v.chunk_texts())
+    return found.select(
+        "job_id", "candidate_id", F.size("evidence").cast("bigint").alias("n_chunks"),
+        F.md5(F.array_join("evidence", "|").cast("binary")).alias("digest"),
+    )
+
+
+@query("r14_rrf_fusion", f"{WITH_FUSED} SELECT * FROM fused")
+def _(t):
+    return fused_hits(t.views)
+
+
+@query(
+    "r14_rrf_best_chunk",
+    f"""
+{WITH_FUSED}
+SELECT tenant_id, job_id, candidate_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf_score
+FROM (SELECT tenant_id, job_id, candidate_id, min(rank) AS rank FROM dense GROUP BY ALL
+      UNION ALL SELECT tenant_id, job_id, candidate_id, rank FROM sparse) GROUP BY ALL
+""",
+)
+def _(t):
+    v = t.views
+    return fusion.reciprocal_rank_fusion([dense_hits(v), sparse_hits(v)], per_chunk=False)
+
+
+@query(
+    "r15_recall_fallback",
+    f"""
+{WITH_POOL}, {S.BM25}, {S.SPARSE},
+weak AS (SELECT tenant_id, job_id, candidate_id, rank FROM sparse WHERE score > 25),
+hits AS (SELECT tenant_id, job_id, candidate_id, round(1.0::DOUBLE / (60 + rank), 6) AS rrf_score FROM weak),
+filled AS (
+  SELECT tenant_id, job_id, candidate_id, 0.0::DOUBLE AS rrf_score FROM pool
+  WHERE job_id NOT IN (SELECT job_id FROM hits)
+  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY candidate_id) <= 20
+)
+SELECT * FROM hits UNION ALL SELECT * FROM filled
+""",
+)
+def _(t):
+    # Only strong sparse hits count as recall here, so that some jobs need the fallback.
+    v = t.views
+    jobs = job_rules(v.jobs())
+    pool = hard_filter_pool(distinct_rules(jobs), candidate_facts(v.candidates(), AS_OF_YEAR))
+    strong = sparse_hits(v).where(F.col("score") > 25)
+    fused = fusion.reciprocal_rank_fusion([strong])
+    return fusion.with_fallback(fused, pool, jobs.select("tenant_id", "job_id", "rule_id"), 20)
+
+
+@query(
+    "r16_merge_batches",
+    f"""
+{WITH_FUSED}
+SELECT job_id, candidate_id, max(score) AS score FROM (
+  SELECT job_id, candidate_id, round(1.0::DOUBLE / (60 + rank), 6) AS score FROM dense
+  UNION ALL SELECT job_id, candidate_id, round(1.0::DOUBLE / (60 + rank), 6) FROM sparse) GROUP BY ALL
+""",
+)
+def _(t):
+    v = t.views
+    scored = [
+        hits.select(
+            "tenant_id", "job_id", "candidate_id", F.round(1.0 / (60 + F.col("rank")), 6).alias("score")
+        )
+        for hits in (dense_hits(v), sparse_hits(v))
+    ]
+    return fusion.merge_batches(scored[0].unionByName(scored[1])).drop("tenant_id")
+
+
+# --- rerank ---
+
+
+@query(
+    "r17_rerank_cut",
+    f"""
+{WITH_FUSED}
+SELECT job_id, candidate_id, rrf_score,
+       row_number() OVER (PARTITION BY job_id ORDER BY rrf_score DESC, candidate_id) AS fused_rank
+FROM fused QUALIFY fused_rank <= CASE WHEN job_id % 7 <> 6 AND job_id % 2 = 0 THEN 20 ELSE 40 END
+""",
+)
+def _(t):
+    conf = rerank.job_settings(jobs_with_overrides(t.views))
+    return rerank.rerank_cut(fused_hits(t.views), conf).select("job_id", "candidate_id", "rrf_score", "fused_rank")
+
+
+@query(
+    "r18_rerank_document",
+    f"""
+{WITH_FUSED},
+first AS (SELECT job_id, candidate_id, chunk FROM dense
+          QUALIFY row_number() OVER (PARTITION BY job_id, candidate_id ORDER BY rank) = 1)
+SELECT f.job_id, candidate_id, md5(substr(coalesce(chunk, text), 1, 400)) AS digest
+FROM fused f JOIN docs USING (tenant_id, candidate_id) LEFT JOIN first USING (job_id, candidate_id)
+""",
+)
+def _(t):
+    v = t.views
+    dense = dense_hits(v)
+    fused = fusion.reciprocal_rank_fusion([dense, sparse_hits(v)])
+    keys = ["tenant_id", "job_id", "candidate_id"]
+    docs = (
+        fused.join(fusion.evidence(dense, v.chunk_texts()), keys, "left")
+        .join(v.documents(), ["tenant_id", "candidate_id"])
+        .withColumn("doc", rerank.rerank_document(F.col("evidence"), F.col("text"), F.lit(400)))
+    )
+    return docs.select("job_id", "candidate_id", F.md5(F.col("doc").cast("binary")).alias("digest"))
+
+
+@query(
+    "r19_f6_cosine_rerank",
+    """
+SELECT vec_id, round((list_dot_product(e.embedding::DOUBLE[], c.cv) /
+    (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(c.cv, c.cv))) + 1) / 2, 6) AS score
+FROM embeddings e JOIN (SELECT label, embedding::DOUBLE[] AS cv FROM embeddings
+                        QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) c USING (label)
+""",
+)
+def _(t):
+    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query_vector"))
+    score = vectors.cosine_score(F.col("embedding"), F.col("query_vector"))
+    return t.embeddings.join(first, "label").select("vec_id", score.alias("score"))
+
+
+_SCORED = f"""
+{WITH_FUSED},
+first AS (SELECT job_id, candidate_id, chunk_index FROM dense
+          QUALIFY row_number() OVER (PARTITION BY job_id, candidate_id ORDER BY rank) = 1),
+conf AS (
+  SELECT job_id, CASE WHEN job_id % 7 <> 6 AND job_id % 2 = 0 THEN 'cross_encoder' ELSE 'cosine' END AS mode,
+         CASE WHEN job_id % 7 <> 6 AND job_id % 3 = 0 THEN 0.7 ELSE 0.4 END AS t_cross FROM jobs
+),
+cut AS (
+  SELECT tenant_id, job_id, candidate_id, rrf_score, mode, t_cross,
+         row_number() OVER (PARTITION BY job_id ORDER BY rrf_score DESC, candidate_id) AS fused_rank
+  FROM fused JOIN conf USING (job_id) QUALIFY fused_rank <= CASE mode WHEN 'cosine' THEN 40 ELSE 20 END
+),
+paired AS (
+  SELECT c.*, CASE WHEN (job_id + candidate_id) % 3 <> 0 THEN (candidate_id % 100) / 100.0::DOUBLE END AS cross_score,
+         round((list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) + 1) / 2, 6) AS cos_score
+  FROM cut c LEFT JOIN first USING (job_id, candidate_id)
+  LEFT JOIN chunks k ON k.candidate_id = c.candidate_id AND k.chunk_index = first.chunk_index
+  JOIN jv ON jv.job_id = c.job_id
+),
+moded AS (
+  SELECT *, CASE WHEN mode = 'cross_encoder' AND cross_score IS NOT NULL THEN 'cross_encoder'
+                 WHEN cos_score IS NOT NULL THEN 'cosine' ELSE 'rrf' END AS score_mode FROM paired
+),
+scored AS (
+  SELECT *, CASE score_mode WHEN 'cross_encoder' THEN cross_score WHEN 'cosine' THEN cos_score ELSE rrf_score END AS score
+  FROM moded
+),
+kept AS (
+  SELECT * FROM scored WHERE score_mode = 'rrf' OR (score_mode = 'cosine' AND score >= 0.55)
+     OR (score_mode = 'cross_encoder' AND score >= t_cross)
+)"""
+
+
+def scored_pairs(t):
+    """Fused pairs with the vector of the best chunk and a cross-encoder score for two pairs in three."""
+    v = t.views
+    keys = ["tenant_id", "job_id", "candidate_id"]
+    dense = dense_hits(v)
+    fused = fusion.reciprocal_rank_fusion([dense, sparse_hits(v)])
+    cut = rerank.rerank_cut(fused, rerank.job_settings(jobs_with_overrides(v)))
+    best = dense.groupBy(*keys).agg(F.min_by("chunk_index", "rank").alias("chunk_index"))
+    chunk_vectors = v.chunks().select(
+        "tenant_id", "candidate_id", "chunk_index", F.col("embedding").alias("doc_vector")
+    )
+    cross = F.when(
+        (F.col("job_id") + F.col("candidate_id")) % 3 != 0, (F.col("candidate_id") % 100) / F.lit(100.0)
+    )
+    pairs = (
+        cut.join(best, keys, "left")
+        .join(chunk_vectors, ["tenant_id", "candidate_id", "chunk_index"], "left")
+        .join(v.job_vectors().withColumnRenamed("vector", "query_vector"), ["tenant_id", "job_id"])
+        .withColumn("cross_score", cross)
+    )
+    return rerank.score_pairs(pairs)
+
+
+@query(
+    "r20_r22_scored_pairs",
+    f"{_SCORED} SELECT job_id, candidate_id, score_mode, round(score, 6) AS score FROM kept",
+)
+def _(t):
+    return scored_pairs(t).select("job_id", "candidate_id", "score_mode", F.round("score", 6).alias("score"))
+
+
+@query(
+    "r23_final_list",
+    f"""
+{_SCORED}
+SELECT job_id, candidate_id, round(score, 4) AS score, rrf_score,
+       row_number() OVER (PARTITION BY job_id ORDER BY round(score, 4) DESC, fused_rank) AS rank
+FROM kept QUALIFY rank <= 10
+""",
+)
+def _(t):
+    return rerank.final_list(scored_pairs(t)).select("job_id", "candidate_id", "score", "rrf_score", "rank")
+
+
+@query(
+    "r25_reasons",
+    f"""
+{WITH_DENSE}, {S.SPANS}, {S.FACTS},
+first AS (
+  SELECT tenant_id, job_id, candidate_id, substr(chunk, 1, 200) AS excerpt FROM dense
+  QUALIFY row_number() OVER (PARTITION BY job_id, candidate_id ORDER BY rank) = 1
+),
+matched AS (
+  SELECT f.job_id, f.candidate_id, excerpt,
+         list_filter(j.skill_graph, lambda tag: {S.hit('tag', 'c.skills', 'lower(excerpt)')}) AS tags
+  FROM first f JOIN jobs j USING (job_id) JOIN facts c ON c.candidate_id = f.candidate_id
+)
+SELECT job_id, candidate_id,
+       CASE WHEN len(tags) > 0 THEN '技能匹配：' || array_to_string(tags[1:5], ', ') || '|' ELSE '' END ||
+       '原文证据：' || substr(excerpt, 1, 80) AS reasons FROM matched
+""",
+)
+def _(t):
+    v = t.views
+    found = fusion.evidence(dense_hits(v), v.chunk_texts())
+    profile = v.candidates().select("tenant_id", "candidate_id", F.col("structured.skills").alias("skills"))
+    graph = v.jobs().select("tenant_id", "job_id", "skill_graph")
+    excerpts = rerank.evidence_excerpts(F.col("evidence"))
+    why = rerank.reasons(F.col("skill_graph"), F.col("skills"), excerpts)
+    return (
+        found.join(graph, ["tenant_id", "job_id"])
+        .join(profile, ["tenant_id", "candidate_id"])
+        .select("job_id", "candidate_id", F.array_join(why, "|").alias("reasons"))
+    )
+
+
+@query(
+    "r26_expanded_query",
+    f"""
+WITH {S.JOBS}
+SELECT job_id, query, CASE WHEN job_id % 3 = 0 THEN 'profile of ' || title ELSE query END AS dense_query FROM jobs
+""",
+)
+def _(t):
+    item = F.col("job_id")
+    expanded = F.when(item % 3 == 0, F.concat(F.lit("profile of "), "title")).when(item % 3 == 1, F.lit(""))
+    jobs = t.views.jobs().withColumn("expanded_query", expanded)
+    return search_queries(jobs).select("job_id", "query", "dense_query")
+
+
+# --- the whole coarse screen ---
+
+_SCREEN = f"""
+{WITH_POOL}, {S.CHUNK_TEXTS}, {S.DENSE.replace('FROM jv JOIN chunks USING (tenant_id)', 'FROM jv JOIN chunks USING (tenant_id) WHERE job_id IN (SELECT job_id FROM pool)')},
+qt AS (
+  SELECT tenant_id, job_id, token, count(*) AS qtf
+  FROM (SELECT tenant_id, job_id, unnest(toks) AS token FROM jobs) GROUP BY ALL
+),
+tf AS (
+  SELECT tenant_id, candidate_id, token, dl, count(*) AS tf
+  FROM (SELECT tenant_id, candidate_id, len(toks) AS dl, unnest(toks) AS token FROM docs) GROUP BY ALL
+),
+stats AS (SELECT job_id, count(*) AS n, avg(len(toks)) AS avgdl FROM pool JOIN docs USING (candidate_id) GROUP BY ALL),
+ptf AS (SELECT p.job_id, tf.* FROM pool p JOIN tf USING (candidate_id)),
+dfreq AS (SELECT job_id, token, count(*) AS df FROM ptf GROUP BY ALL),
+bm AS (
+  SELECT qt.tenant_id, qt.job_id, p.candidate_id,
+         sum(qt.qtf * ln((s.n + 1) / d.df) *
+             (1 + p.tf * 2.5 / (1.5 * (1 - 0.75 + 0.75 * p.dl / s.avgdl) + p.tf))) AS score
+  FROM qt JOIN ptf p ON p.job_id = qt.job_id AND p.token = qt.token
+  JOIN dfreq d ON d.job_id = qt.job_id AND d.token = qt.token JOIN stats s ON s.job_id = qt.job_id
+  GROUP BY ALL
+), {S.SPARSE}, {S.FUSED},
+filled AS (
+  SELECT * FROM fused UNION ALL
+  SELECT tenant_id, job_id, candidate_id, 0.0::DOUBLE FROM pool WHERE job_id NOT IN (SELECT job_id FROM fused)
+  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY candidate_id) <= 20
+),
+cut AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY rrf_score DESC, candidate_id) AS fused_rank
+  FROM filled QUALIFY fused_rank <= 40
+),
+inpool AS (SELECT c.* FROM cut c JOIN pool USING (job_id, candidate_id)),
+first AS (SELECT job_id, candidate_id, chunk_index FROM dense
+          QUALIFY row_number() OVER (PARTITION BY job_id, candidate_id ORDER BY rank) = 1),
+paired AS (
+  SELECT c.*, round((list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) + 1) / 2, 6) AS cos_score
+  FROM inpool c LEFT JOIN first USING (job_id, candidate_id)
+  LEFT JOIN chunks k ON k.candidate_id = c.candidate_id AND k.chunk_index = coalesce(first.chunk_index, 0)
+  LEFT JOIN jv ON jv.job_id = c.job_id
+),
+scored AS (SELECT *, round(coalesce(cos_score, rrf_score), 4) AS s4 FROM paired WHERE cos_score IS NULL OR cos_score >= 0.55),
+listed AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY s4 DESC, fused_rank) AS rank FROM scored QUALIFY rank <= 10
+)"""
+
+
+def screened(t):
+    v = t.views
+    return coarse_screen(
+        ScreenInputs(v.jobs(), v.candidates(), v.chunks(), v.job_vectors()), as_of_year=AS_OF_YEAR
+    )
+
+
+@query(
+    "r27_coarse_screen",
+    f"""
+{_SCREEN},
+ev AS (
+  SELECT job_id, candidate_id, string_agg(substr(chunk, 1, 200), '|' ORDER BY rank) AS evidence
+  FROM (SELECT * FROM dense QUALIFY row_number() OVER (PARTITION BY job_id, candidate_id ORDER BY rank) <= 3)
+  GROUP BY ALL
 )
-SELECT * FROM ranked WHERE rank <= 30
+SELECT l.tenant_id, l.job_id, l.candidate_id, l.rank, s4 AS score, rrf_score,
+       CASE WHEN cos_score IS NULL THEN 'rrf' ELSE 'cosine' END AS score_mode, coalesce(evidence, '') AS evidence
+FROM listed l LEFT JOIN ev USING (job_id, candidate_id)
 """,
 )
 def _(t):
-    return bm25_search(t.views.documents(), t.views.jobs().select("tenant_id", "job_id", "query"))
+    return screened(t).withColumn("evidence", F.array_join("evidence", "|")).drop("reasons")
+
+
+@query(
+    "r28_screen_summary",
+    f"""
+{_SCREEN},
+sizes AS (SELECT tenant_id, count(*) AS pool_size FROM docs GROUP BY ALL),
+counts AS (SELECT job_id, count(*) AS accepted, count(CASE WHEN candidate_id % 3 = 0 THEN 1 END) AS cache_hits
+           FROM listed GROUP BY ALL)
+SELECT tenant_id, job_id, coalesce(pool_size, 0) AS pool_size, coalesce(accepted, 0) AS accepted,
+       coalesce(cache_hits, 0) AS cache_hits
+FROM jobs LEFT JOIN sizes USING (tenant_id) LEFT JOIN counts USING (job_id)
+""",
+)
+def _(t):
+    from matchloom.plans.screening import screen_summary
+
+    listed = screened(t)
+    cached = listed.where(F.col("candidate_id") % 3 == 0)
+    return screen_summary(t.views.jobs(), t.views.candidates(), listed, cached)

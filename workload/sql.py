@@ -51,3 +51,105 @@ bm AS (
   FROM qt JOIN tf USING (tenant_id, token) JOIN dfreq d USING (tenant_id, token) JOIN stats s USING (tenant_id)
   GROUP BY ALL
 )"""
+
+
+def strip(text: str) -> str:
+    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+
+
+CHUNK_TEXTS = f"""
+ch0 AS (SELECT tenant_id, candidate_id, {strip('text')} AS body FROM docs),
+ch1 AS (
+  SELECT tenant_id, candidate_id,
+         list_filter(list_transform(
+           range(CASE WHEN length(body) <= 500 THEN 1 ELSE ceil((length(body) - 500) / 450.0)::BIGINT + 1 END),
+           lambda i: {strip('substr(body, i * 450 + 1, 500)')}), lambda p: p <> '') AS pieces
+  FROM ch0
+),
+chunk_texts AS (
+  SELECT tenant_id, candidate_id, unnest(range(len(pieces)))::INT AS chunk_index, unnest(pieces) AS chunk FROM ch1
+)"""
+
+DENSE = """
+chunks AS (
+  SELECT c.*, e.embedding::DOUBLE[] AS v FROM chunk_texts c
+  JOIN embeddings e ON e.vec_id = (candidate_id + 97 * chunk_index) % (SELECT count(*) FROM embeddings)
+),
+jv AS (SELECT tenant_id, job_id, embedding::DOUBLE[] AS qv FROM jobs JOIN embeddings ON vec_id = job_id),
+sim AS (
+  SELECT tenant_id, job_id, candidate_id, chunk_index, chunk,
+         round(list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))), 6) AS score
+  FROM jv JOIN chunks USING (tenant_id)
+),
+dense AS (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY score DESC, candidate_id, chunk_index) AS rank
+  FROM sim QUALIFY rank <= 30
+)"""
+
+SPARSE = """
+sparse AS (
+  SELECT tenant_id, job_id, candidate_id, round(score, 6) AS score,
+         row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY round(score, 6) DESC, candidate_id) AS rank
+  FROM bm WHERE round(score, 6) > 0 QUALIFY rank <= 30
+)"""
+
+FUSED = """
+fused AS (
+  SELECT tenant_id, job_id, candidate_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf_score
+  FROM (SELECT tenant_id, job_id, candidate_id, rank FROM dense
+        UNION ALL SELECT tenant_id, job_id, candidate_id, rank FROM sparse)
+  GROUP BY ALL
+)"""
+
+SPANS = """
+spans AS (
+  SELECT o_custkey AS candidate_id, year(o_orderdate)::INT AS s,
+         (year(o_orderdate) + o_orderkey % 4)::INT AS e FROM orders
+),
+merged AS (
+  SELECT *, max(e) OVER (PARTITION BY candidate_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM spans
+),
+islands AS (
+  SELECT *, sum(CASE WHEN seen IS NULL OR s > seen THEN 1 ELSE 0 END)
+              OVER (PARTITION BY candidate_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island
+  FROM merged
+),
+years AS (
+  SELECT candidate_id, sum(e - s)::INT AS years
+  FROM (SELECT candidate_id, island, min(s) AS s, max(e) AS e FROM islands GROUP BY ALL) GROUP BY ALL
+)"""
+
+FACTS = """
+facts AS (
+  SELECT tenant_id, candidate_id, [1, 2, 3, 4][(candidate_id % 4) + 1] AS degree,
+         coalesce(years, 0) AS years, lower(text) AS low,
+         list_filter(toks, lambda x, i: list_position(toks, x) = i)[1:8] AS skills
+  FROM docs LEFT JOIN years USING (candidate_id)
+)"""
+
+NEEDS = """
+needs AS (
+  SELECT *, list_distinct(list_filter(
+              flatten(list_transform(skill_reqs, lambda r: regexp_extract_all(r, '[A-Za-z][A-Za-z0-9+#./]{1,30}'))),
+              lambda s: list_contains(skill_graph, lower(s)))) AS need_skills
+  FROM jobs
+)"""
+
+
+def hit(tag: str, skills: str, text: str) -> str:
+    pattern = f"'(^|[^a-z0-9+#.])' || regexp_escape({tag}) || '($|[^a-z0-9+#])'"
+    return (
+        f"(list_contains({skills}, {tag}) OR regexp_matches(array_to_string({skills}, ' '), {pattern}) "
+        f"OR regexp_matches({text}, {pattern}))"
+    )
+
+
+POOL = f"""
+pool AS (
+  SELECT n.tenant_id, n.job_id, f.candidate_id
+  FROM needs n JOIN facts f USING (tenant_id)
+  WHERE f.degree >= n.need_degree AND f.years >= n.need_years
+    AND (len(n.need_skills) = 0
+         OR len(list_filter(n.need_skills, lambda tag: {hit('tag', 'f.skills', 'f.low')})) > 0)
+)"""
