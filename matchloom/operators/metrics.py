@@ -186,16 +186,16 @@ def export_histograms(rows: DataFrame) -> DataFrame:
 def requests_in_window(
     requests: DataFrame, keys: list[str], ts: str, tie: str, span: int, bucket_spans: int = 60
 ) -> DataFrame:
-    """Requests of the same caller in the last `span` units of `ts` up to each request (itself included).
+    """Requests of the same caller in (ts - span, ts], `ts` being a whole number.
 
     Windows run per (caller, time bucket); rows of the last `span` before a bucket are copied into it, so a
     caller with very many requests is counted by many tasks.
     """
     width = span * bucket_spans
     bucket = F.floor(F.col(ts) / width)
-    after = F.floor((F.col(ts) + span) / width)
+    after = F.floor((F.col(ts) + (span - 1)) / width)
     copies = F.when(after > bucket, F.array(bucket, after)).otherwise(F.array(bucket))
     spread = requests.withColumn("_own", bucket).withColumn("_bucket", F.explode(copies))
-    frame = Window.partitionBy(*keys, "_bucket").orderBy(ts).rangeBetween(-span, 0)
+    frame = Window.partitionBy(*keys, "_bucket").orderBy(ts).rangeBetween(-(span - 1), 0)
     counted = spread.withColumn("in_window", F.count(F.lit(1)).over(frame))
     return counted.where(F.col("_own") == F.col("_bucket")).drop("_own", "_bucket")

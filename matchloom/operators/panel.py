@@ -179,9 +179,14 @@ def merged_evidence(panel: DataFrame, limit: int = 5) -> DataFrame:
     return top_k(flat, PAIR, [F.desc("confidence"), F.asc("pos"), F.asc("idx")], limit)
 
 
-def reports(panel: DataFrame, weights: DataFrame) -> DataFrame:
+def _by_pos(a: Column, b: Column) -> Column:
+    # Structs with a map have no natural order, so compare the position only.
+    return F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
+
+
+def reports(panel: DataFrame, weights: DataFrame, digits: int = 1) -> DataFrame:
     """One report per pair: overall score, dimension map, merged evidence, expert details."""
-    dims = dimension_means(panel, weights).groupBy(*PAIR).agg(
+    dims = dimension_means(panel, weights, digits).groupBy(*PAIR).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "value")))).alias("dimension_scores")
     )
     texts = merged_evidence(panel).groupBy(*PAIR).agg(
@@ -190,10 +195,10 @@ def reports(panel: DataFrame, weights: DataFrame) -> DataFrame:
     fields = ["agent", "score", "confidence", "dimension_scores", "evidence"]
     # A panel has a handful of experts, so the list stays small.
     details = panel.groupBy(*PAIR).agg(
-        F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("agent_details")
+        F.array_sort(F.collect_list(F.struct("pos", *fields)), _by_pos).alias("agent_details")
     )
     return (
-        arbitrate(panel, weights)
+        arbitrate(panel, weights, digits)
         .join(dims, PAIR, "left")
         .join(texts, PAIR, "left")
         .join(details, PAIR, "left")

@@ -5,6 +5,8 @@ import importlib
 # Modules that register queries.
 _MODULES = [
     "workload.retrieval",
+    "workload.panels",
+    "workload.reuse",
 ]
 
 

@@ -120,3 +120,172 @@ class Entities:
         alias = F.upper(pick(aliases, F.col("candidate_id") % len(aliases)))
         tokens = F.slice(F.array_distinct(tokenize(F.col("text"))), 1, 6)
         return self.documents().select("candidate_id", F.array_append(tokens, alias).alias("skills"))
+
+    # --- panel rows ---
+
+    def panel(self) -> DataFrame:
+        """Line items as panel rows: the order is the candidate, its priority the job, its status the tenant."""
+        orders = self.t.orders.select(
+            F.col("o_orderkey").alias("l_orderkey"),
+            F.col("o_orderstatus").alias("tenant_id"),
+            F.col("o_orderpriority").alias("job_id"),
+        )
+        agent = pick(list(EXPERT_BY_LINE.values()), F.col("l_linenumber") - 1)
+        return (
+            self.t.lineitem.join(orders, "l_orderkey")
+            .select(
+                "tenant_id",
+                "job_id",
+                F.col("l_orderkey").alias("candidate_id"),
+                agent.alias("agent"),
+                F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("pos"),
+                (F.col("l_quantity") * 2).alias("score"),
+                (1.0 - F.col("l_discount")).alias("confidence"),
+                F.create_map(
+                    F.lit("depth"), F.col("l_quantity") * 2, F.lit("fit"), F.col("l_tax") * 1000
+                ).alias("dimension_scores"),
+                F.array(
+                    F.concat(F.lit("part "), (F.col("l_partkey") % 20).cast("string")),
+                    F.concat("l_returnflag", "l_linestatus"),
+                ).alias("evidence"),
+            )
+        )
+
+    def panel_seats(self) -> DataFrame:
+        """One row per (candidate, expert): the first by `pos`."""
+        from matchloom.operators.panel import PAIR
+
+        rows = self.panel()
+        rest = [c for c in rows.columns if c not in (*PAIR, "agent")]
+        first = rows.groupBy(*PAIR, "agent").agg(F.min_by(F.struct(*rest), "pos").alias("_r"))
+        return first.select(*PAIR, "agent", "_r.*")
+
+    def panel_jobs(self) -> DataFrame:
+        """tenant_id, job_id, job_category of the panel rows."""
+        categories = F.create_map(*[F.lit(x) for kv in CATEGORY_BY_PRIORITY.items() for x in kv])
+        return (
+            self.t.orders.select(F.col("o_orderstatus").alias("tenant_id"), F.col("o_orderpriority").alias("job_id"))
+            .distinct()
+            .withColumn("job_category", F.try_element_at(categories, F.substring("job_id", 1, 1)))
+        )
+
+    def panel_weights(self) -> DataFrame:
+        from matchloom.operators.panel import category_weights
+
+        return self.panel_jobs().select(
+            "tenant_id", "job_id", category_weights(F.col("job_category")).alias("weights")
+        )
+
+    def turns(self) -> DataFrame:
+        """Conversations as discussions: two seats, two turns a round, the score from the text length."""
+        return self.t.conversations.select(
+            F.lit("t").alias("tenant_id"),
+            (F.col("conv_id") % 10).alias("job_id"),
+            F.col("conv_id").alias("candidate_id"),
+            (F.floor(F.col("turn") / 2) + 1).cast("int").alias("round"),
+            F.concat(F.lit("seat"), (F.col("turn") % 2).cast("string")).alias("agent"),
+            (F.length("text") % 101).cast("double").alias("score"),
+            "text",
+        )
+
+    # --- stored candidates and verdicts ---
+
+    def stored_candidates(self) -> DataFrame:
+        """Customers as stored candidates: the segment is the tenant; the hash covers name and profile."""
+        from matchloom.operators.incremental import profile_fingerprint
+
+        rows = self.t.customer.select(
+            F.col("c_mktsegment").alias("tenant_id"),
+            F.col("c_custkey").alias("candidate_id"),
+            F.col("c_name").alias("resume_text"),
+            F.struct(
+                F.array(F.col("c_mktsegment"), F.col("c_name"), F.lit("a")).alias("skills"),
+                F.col("c_nationkey").alias("nation"),
+            ).alias("structured"),
+        )
+        hashed = rows.withColumn("profile_hash", profile_fingerprint(rows, "resume_text", "structured"))
+        no_hash = F.col("candidate_id") % 11 == 0
+        return hashed.withColumn("profile_hash", F.when(no_hash, "").otherwise(F.col("profile_hash")))
+
+    def config_jobs(self) -> DataFrame:
+        """One job per (segment, priority), with a configuration fingerprint."""
+        from matchloom.operators.incremental import job_fingerprint
+
+        jobs = (
+            self.t.orders.join(self.t.customer, F.col("o_custkey") == F.col("c_custkey"))
+            .select(F.col("c_mktsegment").alias("tenant_id"), F.col("o_orderpriority").alias("job_id"))
+            .distinct()
+            .withColumn("jd", F.struct(F.col("job_id").alias("title"), F.array(F.lit("b"), F.lit("a")).alias("skills")))
+            .withColumn("weights", F.create_map(F.lit("x"), F.lit(1), F.lit("b"), F.lit(2)))
+            .withColumn("overrides", F.lit(None).cast("map<string,string>"))
+        )
+        return jobs.withColumn("config_hash", job_fingerprint(jobs, "jd", "weights", "overrides"))
+
+    def verdict_log(self) -> DataFrame:
+        """Orders as verdicts of (segment, priority, customer), several per pair, some stale."""
+        key = F.col("o_orderkey")
+        people = self.stored_candidates().select(
+            "tenant_id", F.col("candidate_id").alias("o_custkey"), F.col("profile_hash").alias("_now")
+        )
+        rows = self.t.orders.join(people, "o_custkey").withColumn("job_id", F.col("o_orderpriority"))
+        rows = rows.join(self.config_jobs().select("tenant_id", "job_id", F.col("config_hash").alias("_conf")), ["tenant_id", "job_id"])
+        return rows.select(
+            key.alias("id"),
+            "tenant_id",
+            "job_id",
+            F.col("o_custkey").alias("candidate_id"),
+            F.concat(F.lit("task-"), (key % 50).cast("string")).alias("task_id"),
+            F.round(F.col("o_totalprice") / 10000, 2).alias("overall_score"),
+            F.when(key % 7 == 0, "").when(key % 5 == 0, "stale").otherwise(F.col("_now")).alias("profile_hash"),
+            F.when(key % 6 == 0, "old").otherwise(F.col("_conf")).alias("config_hash"),
+            F.col("o_orderdate").alias("created_at"),
+        )
+
+    def verdicts(self) -> DataFrame:
+        """The newest verdict of each pair."""
+        from matchloom.operators.incremental import PAIR
+        from matchloom.operators.ranking import newest_per_key
+
+        return newest_per_key(self.verdict_log(), PAIR, ["created_at", "id"])
+
+    # --- feedback and requests ---
+
+    def feedback(self) -> DataFrame:
+        """Events as feedback: purchase is suitable, error is not suitable, all else pending."""
+        kind = F.col("event_type")
+        return self.t.events.select(
+            F.lit("t").alias("tenant_id"),
+            "event_id",
+            F.col("user_id"),
+            (F.col("event_id") % 40).alias("job_id"),
+            (F.col("event_id") % 97).alias("target_id"),
+            F.when(kind == "purchase", "suitable").when(kind == "error", "not_suitable").otherwise("pending").alias("feedback"),
+            F.floor(micros(F.col("ts")) / 1_000_000).alias("seconds"),
+            "ts",
+        )
+
+    def observations(self) -> DataFrame:
+        """Events as timed calls: the value in seconds, labelled by event type and user group."""
+        return self.t.events.select(
+            F.lit("call_seconds").alias("name"),
+            F.create_map(
+                F.lit("type"), F.col("event_type"), F.lit("group"), (F.col("user_id") % 3).cast("string")
+            ).alias("labels"),
+            "value",
+            "ts",
+        )
+
+    def costs(self) -> DataFrame:
+        """Line items as model calls: the return flag is the model, quantity and price give tokens."""
+        from matchloom.operators.metrics import call_cost
+
+        prompt = (F.col("l_quantity") * 10).cast("int")
+        completion = F.floor(F.col("l_extendedprice") / 100).cast("int")
+        return self.t.lineitem.select(
+            F.col("l_linestatus").alias("tenant_id"),
+            (F.col("l_orderkey")).alias("trace_id"),
+            F.col("l_returnflag").alias("model_name"),
+            prompt.alias("tokens_prompt"),
+            completion.alias("tokens_completion"),
+            F.round(call_cost(prompt, completion), 6).alias("cost"),
+        )

@@ -153,3 +153,50 @@ pool AS (
     AND (len(n.need_skills) = 0
          OR len(list_filter(n.need_skills, lambda tag: {hit('tag', 'f.skills', 'f.low')})) > 0)
 )"""
+
+
+PANEL = """
+panel0 AS (
+  SELECT o_orderstatus AS tenant_id, o_orderpriority AS job_id, l_orderkey AS candidate_id,
+         ['interviewer','skill_evaluator','culture_fit','stability_analyzer','leadership','visual_evaluator','devils_advocate'][l_linenumber] AS agent,
+         l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+         l_quantity * 2 AS score, 1.0::DOUBLE - l_discount AS confidence,
+         l_quantity * 2 AS depth, l_tax * 1000 AS fit,
+         ['part ' || (l_partkey % 20), l_returnflag || l_linestatus] AS evidence
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+),
+panel AS (
+  SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos
+  FROM panel0
+),
+weights AS (
+  SELECT * FROM (VALUES
+    ('1', 'interviewer', 0.35), ('1', 'skill_evaluator', 0.35), ('1', 'culture_fit', 0.15), ('1', 'stability_analyzer', 0.15),
+    ('2', 'interviewer', 0.35), ('2', 'leadership', 0.35), ('2', 'culture_fit', 0.15), ('2', 'stability_analyzer', 0.15),
+    ('3', 'interviewer', 0.30), ('3', 'skill_evaluator', 0.25), ('3', 'visual_evaluator', 0.15), ('3', 'culture_fit', 0.15), ('3', 'stability_analyzer', 0.15),
+    ('4', 'interviewer', 0.50), ('4', 'culture_fit', 0.30), ('4', 'stability_analyzer', 0.20),
+    ('5', 'interviewer', 0.50), ('5', 'culture_fit', 0.30), ('5', 'stability_analyzer', 0.20)) w(prio, agent, weight)
+),
+weighted AS (
+  SELECT p.*, w.weight::DOUBLE AS weight FROM panel p JOIN weights w ON w.prio = p.job_id[1] AND w.agent = p.agent
+)"""
+
+TURNS = """
+turns AS (
+  SELECT (conv_id % 10) AS job_id, conv_id AS candidate_id, (turn // 2 + 1)::INT AS round, 'seat' || (turn % 2) AS agent,
+         (length(text) % 101)::DOUBLE AS score, text FROM conversations
+),
+deltas AS (
+  SELECT *, round(score - lag(score) OVER (PARTITION BY candidate_id, agent ORDER BY round), 2) AS score_delta FROM turns
+),
+rounds AS (
+  SELECT job_id, candidate_id, round, avg(score) AS mean, stddev_pop(score) AS std, max(abs(score_delta)) AS max_delta
+  FROM deltas GROUP BY ALL
+),
+judged AS (
+  SELECT *, (std <= 12 OR (round > 1 AND coalesce(max_delta <= 3, false))) AS converged FROM rounds WHERE round <= 2
+),
+ending AS (
+  SELECT job_id, candidate_id, coalesce(min(CASE WHEN converged THEN round END), max(round)) AS rounds,
+         CASE WHEN bool_or(converged) THEN 'converged' ELSE 'max_rounds' END AS convergence FROM judged GROUP BY ALL
+)"""
