@@ -31,4 +31,19 @@ def counter_name(name: Column) -> Column:
 def edge_text(edge: Column) -> Column:
     """An edge without needless decimals; NULL is the overflow bucket."""
     plain = F.regexp_replace(F.format_string("%.3f", edge), r"\.?0+$", "")
-    return F.coalesce(plain, F.lit("+Inf"))
+    return F.when(edge.isNull(), F.lit("+Inf")).otherwise(plain)
+
+
+def by_score(details: Column) -> Column:
+    """Expert details, best score first, ties by name."""
+
+    def compare(a: Column, b: Column) -> Column:
+        return (
+            F.when(a["score"] > b["score"], -1)
+            .when(a["score"] < b["score"], 1)
+            .when(a["agent"] < b["agent"], -1)
+            .when(a["agent"] > b["agent"], 1)
+            .otherwise(0)
+        )
+
+    return F.array_sort(details, compare)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,12 @@ def tasks_by_status(tasks: DataFrame) -> DataFrame:
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def stored_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(what, n): rows per stored table."""
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # --- counters, gauges, histograms ---
 
 

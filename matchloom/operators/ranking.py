@@ -19,6 +19,18 @@ def top_k(
     return ranked(df, keys, order, name).where(F.col(name) <= k)
 
 
+def score_ranks(df: DataFrame, keys: Sequence[str], score: str, name: str = "rank") -> DataFrame:
+    """Competition rank per key, best score first; equal scores share a rank.
+
+    Counts per distinct score first, so the running sum sees each score once and a key with very many rows
+    is not sorted in one task.
+    """
+    counts = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
+    better = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.select(*keys, score, (F.coalesce(F.sum("_n").over(better), F.lit(0)) + 1).alias(name))
+    return df.join(ranks, [*keys, score])
+
+
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the greatest by `order`. An aggregate, so rows of a hot key combine map-side."""
     rest = [c for c in df.columns if c not in keys and c not in order]

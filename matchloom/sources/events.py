@@ -14,8 +14,12 @@ def parse_event_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     Lines that are no JSON object or have no text `type` are skipped, so a bad line never stops a stream.
     Works on batch and streaming DataFrames.
     """
-    event = F.try_parse_json(F.col(line))
-    lifted = lines.withColumn("payload", event)
+    # The parser stops after the first value; inside an array, anything that follows it is an error.
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(line), F.lit("]")))
+    lone = F.col(line).rlike(r"\}\s*$") & F.try_variant_get("_w", "$[1]", "variant").isNull()
+    lifted = lines.withColumn("_w", wrapped).withColumn(
+        "payload", F.when(lone, F.try_variant_get("_w", "$[0]", "variant"))
+    )
     return lifted.select(
         *[c for c in lines.columns if c != line],
         F.try_variant_get("payload", "$.type", "string").alias("type"),

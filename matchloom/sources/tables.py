@@ -50,9 +50,12 @@ def encode_string_list(values: Column) -> Column:
 
 
 def with_ids(df: DataFrame, name: str = "id") -> DataFrame:
-    """Fill missing ids."""
-    given = F.nullif(F.col(name), F.lit("")) if name in df.columns else F.lit(None).cast("string")
-    return df.withColumn(name, F.coalesce(given, F.uuid()))
+    """Give rows without an id a random one; ids that are not text are complete already."""
+    if name not in df.columns:
+        return df.withColumn(name, F.uuid())
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return df
+    return df.withColumn(name, F.coalesce(F.nullif(F.col(name), F.lit("")), F.uuid()))
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -7,6 +7,9 @@ _MODULES = [
     "workload.retrieval",
     "workload.panels",
     "workload.reuse",
+    "workload.analytics",
+    "workload.ingest",
+    "workload.streams",
 ]
 
 

@@ -287,5 +287,5 @@ class Entities:
             F.col("l_returnflag").alias("model_name"),
             prompt.alias("tokens_prompt"),
             completion.alias("tokens_completion"),
-            F.round(call_cost(prompt, completion), 6).alias("cost"),
+            F.round(call_cost(prompt, completion), 9).alias("cost"),
         )
