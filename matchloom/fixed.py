@@ -11,6 +11,11 @@ REQUIREMENT_SKILL_PATTERN = r"[A-Za-z][A-Za-z0-9+#./]{1,30}"
 YEAR_PATTERN = r"(20[0-9]{2}|19[0-9]{2})"
 ID_NUMBER_PATTERN = r"([0-9]{6})[0-9]{8}([0-9]{3}[0-9Xx])"
 PHONE_PATTERN = r"(1[3-9][0-9])[0-9]{4}([0-9]{4})"
+# --- fixed values: characters that count as white space at the ends of a text ---
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 EMAIL_LOCAL = r"[A-Za-z0-9._%+-]"
 EMAIL_DOMAIN = r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 

@@ -12,13 +12,17 @@ from matchloom import fixed
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(fixed.WHITE_SPACE))
+
+
+def raw_tokens(text: Column) -> Column:
+    """The tokens of `tokenize` before lower-casing; exploded rows are cheaper to lower-case one by one."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(fixed.TOKEN_PATTERN), F.lit(0))
 
 
 def tokenize(text: Column) -> Column:
     """Words of letters, digits and `_+#./-`, or single CJK characters, in lower case."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(fixed.TOKEN_PATTERN), F.lit(0))
-    return F.transform(found, F.lower)
+    return F.transform(raw_tokens(text), F.lower)
 
 
 def chunk(text: Column, size: int, overlap: int) -> Column:
@@ -27,13 +31,16 @@ def chunk(text: Column, size: int, overlap: int) -> Column:
     One piece when the text fits; no window starts after one that reached the end.
     """
     step = max(size - overlap, 1)
-    body = strip(F.coalesce(text, F.lit("")))
-    length = F.length(body)
-    extra = F.ceil(F.greatest(length - size, F.lit(0)) / F.lit(step)).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(0), extra),
-        lambda i: strip(F.substring(body, i * step + 1, F.lit(size))),
-    )
+
+    def windows(body: Column) -> Column:
+        extra = F.ceil(F.greatest(F.length(body) - size, F.lit(0)) / F.lit(step)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), extra),
+            lambda i: strip(F.substring(body, i * step + 1, F.lit(size))),
+        )
+
+    # As a lambda variable the stripped text is computed once, not per window.
+    pieces = F.flatten(F.transform(F.array(strip(F.coalesce(text, F.lit("")))), windows))
     return F.filter(pieces, lambda p: p != "")
 
 
@@ -99,29 +106,44 @@ def longer_extraction(direct: Column, ocr: Column, min_chars: int = 50) -> Colum
     return F.when((F.length(a) < min_chars) & (F.length(b) > F.length(a)), b).otherwise(a)
 
 
-def skill_terms(text: Column) -> Column:
-    """Every skill tag that the text can hit, as lower-case terms.
+_TERM_CHARS = r"[a-z0-9+#./]+"
 
-    A tag hits where it is not preceded by `[a-z0-9+#.]` and not followed by `[a-z0-9+#]`. Tags named in
-    requirements hold only `[a-z0-9+#./]`, so the hits are prefixes of the run that begins at such a place,
-    cut before a `.` or `/` or at the run's end. With terms, the test becomes an equi-join.
-    """
+
+def term_runs(text: Column) -> Column:
+    """Runs of characters that skill tags are made of, in lower case."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    # One character more than the longest tag, to see what follows it.
-    runs = F.array_distinct(
-        F.regexp_extract_all(low, F.lit(r"(?<![a-z0-9+#.])(?=([a-z][a-z0-9+#./]{1,31}))"), F.lit(1))
+    return F.regexp_extract_all(low, F.lit(_TERM_CHARS), F.lit(0))
+
+
+def is_plain_run(run: Column) -> Column:
+    """A run without `.` and `/` holds at most one term: itself."""
+    return ~run.contains(".") & ~run.contains("/")
+
+
+def is_term(value: Column) -> Column:
+    """Tags named in requirements: a letter, then up to 30 characters."""
+    return value.rlike("^[a-z]") & F.length(value).between(2, 31)
+
+
+def run_terms(run: Column) -> Column:
+    """Every term in a run.
+
+    A tag hits where it is not preceded by `[a-z0-9+#.]` and not followed by `[a-z0-9+#]`: inside a run it
+    starts at the beginning or after a `/` and ends before a `.` or `/` or at the end.
+    """
+    starts = F.filter(
+        F.sequence(F.lit(1), F.length(run)),
+        lambda i: (i == 1) | (F.substring(run, i - 1, F.lit(1)) == "/"),
     )
 
-    def cuts(run: Column) -> Column:
-        prefixes = F.transform(
-            F.sequence(F.lit(2), F.least(F.length(run), F.lit(31))),
-            lambda n: F.when(
-                (n == F.length(run)) | F.substring(run, n + 1, F.lit(1)).isin(".", "/"),
-                F.substring(run, F.lit(1), n),
-            ),
+    def from_start(i: Column) -> Column:
+        rest = F.substring(run, i, F.length(run))
+        # An end of 1 gives no term, but keeps the sequence valid for the last character.
+        ends = F.filter(
+            F.sequence(F.lit(1), F.least(F.length(rest), F.lit(31))),
+            lambda n: (n == F.length(rest)) | F.substring(rest, n + 1, F.lit(1)).isin(".", "/"),
         )
-        plain = ~run.contains(".") & ~run.contains("/")
-        whole = F.when(F.length(run) <= 31, F.array(run)).otherwise(F.array().cast("array<string>"))
-        return F.when(plain, whole).otherwise(F.filter(prefixes, lambda p: p.isNotNull()))
+        return F.transform(ends, lambda n: F.substring(rest, F.lit(1), n))
 
-    return F.array_distinct(F.flatten(F.transform(runs, cuts)))
+    terms = F.flatten(F.transform(starts, from_start))
+    return F.filter(F.array_distinct(terms), is_term)

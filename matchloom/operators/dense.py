@@ -21,6 +21,7 @@ from matchloom.operators.ranking import top_k
 _MAX_BROADCAST_BYTES = 64 << 20
 _BLOCK_BYTES = 16 << 20
 _GROUP_ROWS = 50_000
+_TILE_CELLS = 8_000_000
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -29,24 +30,39 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / norms
 
 
-def _best(jobs, sims: np.ndarray, candidates, chunk_index, k: int) -> pd.DataFrame:
-    """Best k rows of each similarity row, ties by candidate then chunk."""
-    sims = np.round(sims, 6)
-    n = sims.shape[1]
-    if n > k:
-        kth = np.partition(sims, n - k, axis=1)[:, n - k]
-        rows, cols = np.nonzero(sims >= kth[:, None])
-    else:
-        rows, cols = np.indices(sims.shape).reshape(2, -1)
-    found = pd.DataFrame(
-        {
-            "job_id": jobs[rows],
-            "candidate_id": candidates[cols],
-            "chunk_index": chunk_index[cols],
-            "score": sims[rows, cols],
-        }
-    )
-    return _cut(found, ["job_id"], k)
+def _values(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_pandas().to_numpy()
+
+
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    """The vectors of a column as unit rows."""
+    column = table[name].combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    return _unit(flat.reshape(len(column), -1)) if len(column) else np.empty((0, 0))
+
+
+def _best(jobs, q: np.ndarray, c: np.ndarray, candidates, chunk_index, k: int) -> pd.DataFrame:
+    """Best k chunks of each query, ties by candidate then chunk; similarities in tiles of bounded size."""
+    n = len(c)
+    tile = max(1, _TILE_CELLS // n)
+    parts = []
+    for start in range(0, len(q), tile):
+        sims = np.round(q[start : start + tile] @ c.T, 6)
+        if n > k:
+            kth = np.partition(sims, n - k, axis=1)[:, n - k]
+            rows, cols = np.nonzero(sims >= kth[:, None])
+        else:
+            rows, cols = np.indices(sims.shape).reshape(2, -1)
+        found = pd.DataFrame(
+            {
+                "job_id": jobs[start + rows],
+                "candidate_id": candidates[cols],
+                "chunk_index": chunk_index[cols],
+                "score": sims[rows, cols],
+            }
+        )
+        parts.append(_cut(found, ["job_id"], k))
+    return pd.concat(parts)
 
 
 def _cut(found: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
@@ -80,18 +96,16 @@ def _by_broadcast(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
         for batch in batches:
-            tenants = batch.column(0).to_pandas().to_numpy()
-            candidates = batch.column(1).to_pandas().to_numpy()
-            chunk_index = batch.column(2).to_pandas().to_numpy()
-            vectors = batch.column(3)
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
-            matrix = _unit(flat.reshape(len(vectors), -1)) if len(vectors) else None
+            table = pa.Table.from_batches([batch])
+            tenants = _values(table, "tenant_id")
+            candidates, chunk_index = _values(table, "candidate_id"), _values(table, "chunk_index")
+            matrix = _matrix(table, "embedding")
             for tenant in pd.unique(tenants):
                 if tenant not in shared.value:
                     continue
                 jobs, q = shared.value[tenant]
                 mine = tenants == tenant
-                found = _best(jobs, q @ matrix[mine].T, candidates[mine], chunk_index[mine], k)
+                found = _best(jobs, q, matrix[mine], candidates[mine], chunk_index[mine], k)
                 if tenant in best:
                     found = _cut(pd.concat([best[tenant], found]), ["job_id"], k)
                 best[tenant] = found
@@ -112,29 +126,33 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 def _by_blocks(queries: DataFrame, chunks: DataFrame, k: int, n_blocks: int, n_salts: int) -> DataFrame:
     blocked = queries.withColumn("block", F.pmod(F.xxhash64("job_id"), F.lit(n_blocks)).cast("int"))
+    # Aliases, because both sides of the cogroup come from `blocked`.
+    tenant_blocks = blocked.select(
+        F.col("tenant_id").alias("tenant_id"), F.col("block").alias("block")
+    ).distinct()
     spread = chunks.withColumn(
         "salt", F.pmod(F.xxhash64("candidate_id", "chunk_index"), F.lit(n_salts)).cast("int")
-    ).join(blocked.select("tenant_id", "block").distinct(), "tenant_id")
+    ).join(tenant_blocks, "tenant_id")
     copies = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    columns = ["tenant_id", "job_id", "candidate_id", "chunk_index", "score"]
+    schema = _output_schema(queries, chunks)
+    arrow_schema = _arrow(schema)
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        q = _unit(np.stack(right["vector"].to_numpy()).astype("float64"))
-        c = _unit(np.stack(left["embedding"].to_numpy()).astype("float64"))
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return arrow_schema.empty_table()
         found = _best(
-            right["job_id"].to_numpy(), q @ c.T, left["candidate_id"].to_numpy(), left["chunk_index"].to_numpy(), k
+            _values(right, "job_id"),
+            _matrix(right, "vector"),
+            _matrix(left, "embedding"),
+            _values(left, "candidate_id"),
+            _values(left, "chunk_index"),
+            k,
         )
-        found.insert(0, "tenant_id", left["tenant_id"].iloc[0])
-        return found[columns]
+        found.insert(0, "tenant_id", left["tenant_id"][0].as_py())
+        return pa.Table.from_pandas(found, schema=arrow_schema, preserve_index=False)
 
     keys = ["tenant_id", "block", "salt"]
-    return (
-        spread.groupBy(*keys)
-        .cogroup(copies.groupBy(*keys))
-        .applyInPandas(search, _output_schema(queries, chunks))
-    )
+    return spread.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(search, schema)
 
 
 def dense_search(

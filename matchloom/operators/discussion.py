@@ -14,6 +14,7 @@ from matchloom.functions.rules import strings
 from matchloom.functions.text import clamp, one_of
 from matchloom.operators.panel import PAIR
 from matchloom.settings import DEFAULTS, ScreenSettings
+from matchloom.sources.staging import stage
 
 _SEAT = [*PAIR, "agent"]
 _TURN = T.StructType(
@@ -164,11 +165,12 @@ def transcript_meta(panel: DataFrame, turns: DataFrame, initial: DataFrame) -> D
 
 
 def run_discussion(
-    panel: DataFrame, turns: DataFrame, settings: ScreenSettings = DEFAULTS
+    panel: DataFrame, turns: DataFrame, settings: ScreenSettings = DEFAULTS, staged: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(final panel state, transcript) of pairs that discuss; the rule-based expert stays as it is.
 
     `panel` holds only pairs that need a discussion; `turns`: pair, agent, round, turn (raw JSON text).
+    `staged` writes the state between rounds, which several later steps read.
     """
     parsed = turns.withColumn("turn", parse_turn(F.col("turn")))
     carried = ["score", "confidence", "dimension_scores", "evidence"]
@@ -178,6 +180,8 @@ def run_discussion(
     closed, transcript = None, None
     for round_no in range(1, settings.debate_max_rounds + 1):
         after = apply_turns(open_state, parsed, round_no)
+        if staged:
+            after = stage(after, f"round-{round_no}")
         said = after.select(*_SEAT, "round", "stance", F.col("reasoning").alias("content"), "score", "score_delta")
         transcript = said if transcript is None else transcript.unionByName(said)
         if round_no == settings.debate_max_rounds:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions import rules
-from matchloom.functions.text import skill_terms
+from matchloom.functions.text import is_plain_run, run_terms, term_runs
+from matchloom.operators.sizes import broadcast_if_small
 
 
 def job_rules(jobs: DataFrame, requirements: str = "hard_requirements", graph: str = "skill_graph") -> DataFrame:
@@ -48,12 +49,20 @@ def candidate_facts(candidates: DataFrame, as_of_year: int | None = None) -> Dat
 
 
 def candidate_terms(facts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(tenant, candidate, term, degree, years) for the terms of the vocabulary, each once."""
-    from_skills = F.flatten(F.transform("skills", skill_terms))
-    terms = F.explode(F.array_union(from_skills, skill_terms(F.col("text")))).alias("term")
-    return facts.select("tenant_id", "candidate_id", "degree", "years", terms).join(
-        vocabulary, ["tenant_id", "term"], "left_semi"
+    """(tenant, candidate, term, degree, years) for the terms of the vocabulary, each once.
+
+    Terms come from the skills and the text. Those outside the vocabulary are dropped before anything is
+    deduplicated or shuffled; the vocabulary is broadcast if it is small enough.
+    """
+    keys = ["tenant_id", "candidate_id", "degree", "years"]
+    skill_runs = F.flatten(F.transform("skills", term_runs))
+    runs = facts.select(*keys, F.explode(F.concat(skill_runs, term_runs(F.col("text")))).alias("run"))
+    run = F.col("run")
+    terms = F.when(is_plain_run(run), F.array(run)).otherwise(run_terms(run))
+    known = runs.select(*keys, F.explode(terms).alias("term")).join(
+        broadcast_if_small(vocabulary), ["tenant_id", "term"], "left_semi"
     )
+    return known.dropDuplicates(["tenant_id", "candidate_id", "term"])
 
 
 def hard_filter_pool(rule_table: DataFrame, facts: DataFrame) -> DataFrame:
@@ -66,7 +75,7 @@ def hard_filter_pool(rule_table: DataFrame, facts: DataFrame) -> DataFrame:
     vocabulary = with_skills.select("tenant_id", "term").distinct()
     by_term = (
         candidate_terms(facts, vocabulary)
-        .join(with_skills, ["tenant_id", "term"])
+        .join(broadcast_if_small(with_skills), ["tenant_id", "term"])
         .where(enough)
         .select("tenant_id", "rule_id", "candidate_id")
         .distinct()
@@ -80,6 +89,7 @@ def hard_filter_pool(rule_table: DataFrame, facts: DataFrame) -> DataFrame:
         .where(enough)
         .select("tenant_id", "rule_id", "degree", "years")
     )
+    # At most one row per (rule, degree, years): a few hundred per rule.
     by_cell = facts.join(open_cells, ["tenant_id", "degree", "years"]).select(
         "tenant_id", "rule_id", "candidate_id"
     )

@@ -1,7 +1,7 @@
 """Panel of experts: weights, raw scores, divergence, arbitration, evidence, reports.
 
 Panel rows are long: tenant_id, job_id, candidate_id, agent, score, confidence, dimension_scores (map),
-evidence (array) and `pos`, the order of the results inside a panel.
+evidence (array, three texts at most) and `pos`, a whole number that orders the results of a panel.
 """
 
 from __future__ import annotations
@@ -174,9 +174,12 @@ def merged_evidence(panel: DataFrame, limit: int = 5) -> DataFrame:
     texts = panel.select(*PAIR, "pos", "confidence", F.posexplode("evidence").alias("idx", "text")).where(
         F.coalesce("text", F.lit("")) != ""
     )
-    first = texts.groupBy(*PAIR, "text").agg(F.min(F.struct("pos", "idx", "confidence")).alias("f"))
-    flat = first.select(*PAIR, "text", "f.*")
-    return top_k(flat, PAIR, [F.desc("confidence"), F.asc("pos"), F.asc("idx")], limit)
+    # At most three texts per result: position and index make one number, which keeps the aggregate hashed.
+    at = F.col("pos").cast("bigint") * 4 + F.col("idx")
+    first = texts.groupBy(*PAIR, "text").agg(
+        F.min(at).alias("at"), F.min_by("confidence", at).alias("confidence")
+    )
+    return top_k(first, PAIR, [F.desc("confidence"), F.asc("at")], limit).drop("at")
 
 
 def _by_pos(a: Column, b: Column) -> Column:

@@ -1,17 +1,21 @@
 """BM25+ over candidate texts, for all jobs at once.
 
-The index keeps only the tokens some query asks for. Rows are spread by document, so term counts, the
-join with query weights and the per-document sums stay in place; what moves afterwards is the best k
-of each partition.
+The index keeps only the tokens some query asks for, and is spread by document once. Term counts, the
+join with the broadcast query weights and the per-document sums then stay in place; what moves afterwards
+is the best k of each partition. Where the query weights are too many to broadcast, jobs are scored in
+blocks over the stored index.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import tokenize
+from matchloom.functions.text import raw_tokens, tokenize
 from matchloom.operators.ranking import top_k
+from matchloom.operators.sizes import MAX_BROADCAST_ROWS, broadcast_if_small
 from matchloom.settings import DEFAULTS, ScreenSettings
 from matchloom.sources.staging import stage
 
@@ -33,55 +37,78 @@ def build_index(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
         .unionByName(terms.select("tenant_id", F.lit(_HEADER).alias("token")))
         .distinct()
     )
-    tokens = docs.select(*_DOC, tokenize(F.col(text)).alias("_tokens"))
+    # The length is taken before the explode, else every exploded row would carry the whole token array.
+    tokens = docs.select(*_DOC, raw_tokens(F.col(text)).alias("_tokens")).withColumn("dl", F.size("_tokens"))
     rows = tokens.select(
-        *_DOC,
-        F.size("_tokens").alias("dl"),
-        F.explode(F.array_append("_tokens", F.lit(_HEADER))).alias("token"),
-    )
-    counted = rows.join(wanted, ["tenant_id", "token"], "left_semi")
-    return counted.groupBy(*_DOC, "token", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        *_DOC, "dl", F.explode(F.array_append("_tokens", F.lit(_HEADER))).alias("token")
+    ).withColumn("token", F.lower("token"))
+    counted = rows.join(broadcast_if_small(wanted), ["tenant_id", "token"], "left_semi")
+    # Counts combine map-side before the shuffle; spreading by document then serves all later steps.
+    counts = counted.groupBy(*_DOC, "token", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return counts.repartition(*_DOC)
 
 
-def corpus_stats(index: DataFrame, scope: list[str]) -> DataFrame:
-    """Documents and mean length per scope (tenant, or tenant and rule)."""
-    headers = index.where(F.col("token") == _HEADER)
-    return headers.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl")
-    )
-
+def token_stats(index: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, token, df, n_docs, avgdl) from one pass; `scope` is the tenant, or tenant and rule.
 
-def document_frequency(index: DataFrame, scope: list[str]) -> DataFrame:
+    The header rows count the documents and sum their lengths, which every token of the scope then sees. They
+    stay in the result under the token '': a filter here would be pushed into the index, and Spark could no
+    longer share one scan of it between the statistics and the scoring.
+    """
+    counts = index.groupBy(*scope, "token").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_n"), F.sum("dl").alias("_len")
+    )
+    header = F.col("token") == _HEADER
+    whole = Window.partitionBy(*scope)
+    n_docs = F.max(F.when(header, F.col("_n"))).over(whole)
+    length = F.max(F.when(header, F.col("_len"))).over(whole)
     return (
-        index.where(F.col("token") != _HEADER).groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("df"))
+        counts.withColumns({"n_docs": n_docs, "avgdl": length / n_docs})
+        .select(*scope, "token", "df", "n_docs", "avgdl")
     )
 
 
 def term_weights(terms: DataFrame, index: DataFrame, scope: list[str]) -> DataFrame:
     """Per job and token: qtf * idf and the scope's mean length; idf = ln((N + 1) / df)."""
     idf = F.log((F.col("n_docs") + 1) / F.col("df"))
-    return (
-        terms.join(document_frequency(index, scope), [*scope, "token"])
-        .join(corpus_stats(index, scope), scope)
-        .select("job_id", *scope, "token", (F.col("qtf") * idf).alias("weight"), "avgdl")
+    return terms.join(token_stats(index, scope), [*scope, "token"]).select(
+        "job_id", *scope, "token", (F.col("qtf") * idf).alias("weight"), "avgdl"
     )
 
 
+def _scoped_index(terms: DataFrame, index: DataFrame, pool: DataFrame | None) -> DataFrame:
+    """The index, or with a pool its rows per rule that a document passes and a query of the rule asks for."""
+    if pool is None:
+        return index
+    keys = ["tenant_id", "rule_id", "token"]
+    wanted = terms.select(keys).unionByName(
+        terms.select("tenant_id", "rule_id", F.lit(_HEADER).alias("token"))
+    )
+    return index.join(pool, _DOC).join(broadcast_if_small(wanted.distinct()), keys, "left_semi")
+
+
 def bm25_scores(
-    terms: DataFrame, index: DataFrame, pool: DataFrame | None = None, settings: ScreenSettings = DEFAULTS
+    terms: DataFrame,
+    index: DataFrame,
+    pool: DataFrame | None = None,
+    settings: ScreenSettings = DEFAULTS,
+    broadcast_weights: bool = False,
 ) -> DataFrame:
     """(tenant, job, candidate, score) of every pair that shares a token.
 
     With a pool (tenant, rule, candidate) the statistics and the matches are those of each rule's pool.
+    `broadcast_weights` is for callers that counted `terms`; there is at most one weight per term.
     """
     k1, b, delta = settings.bm25_k1, settings.bm25_b, settings.bm25_delta
     scope = ["tenant_id"] if pool is None else ["tenant_id", "rule_id"]
-    scoped = index if pool is None else index.join(pool, _DOC)
+    scoped = _scoped_index(terms, index, pool)
     weights = term_weights(terms, scoped, scope)
+    weights = F.broadcast(weights) if broadcast_weights else weights
     part = F.col("weight") * (
         delta + F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + F.col("tf"))
     )
-    matches = scoped.where(F.col("token") != _HEADER).repartition(*_DOC).join(weights, [*scope, "token"])
+    # Header rows find no weight.
+    matches = scoped.join(weights, [*scope, "token"])
     return matches.groupBy("tenant_id", "job_id", "candidate_id").agg(F.sum(part).alias("score"))
 
 
@@ -94,6 +121,7 @@ def bm25_search(
     settings: ScreenSettings = DEFAULTS,
     staged: bool = False,
     text: str = "text",
+    max_broadcast_terms: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Best k candidates per job with score > 0, ranked by score, then candidate id.
 
@@ -103,28 +131,35 @@ def bm25_search(
     """
     k = settings.rag_top_k if k is None else k
     terms = query_terms(queries)
+    blocks = -(-terms.count() // max_broadcast_terms) or 1
     index = build_index(docs, terms, text)
-    if staged:
-        index = stage(index, "bm25-index")
-    scope = ["tenant_id"] if pool is None else ["tenant_id", "rule_id"]
-    scores = bm25_scores(terms, index, pool, settings)
-    if include_nonmatching:
-        scores = _with_nonmatching(scores, terms, index, pool, scope, queries, k, settings)
+    if staged or blocks > 1:
+        index = stage(index, "bm25-index").repartition(*_DOC)
+    parts = []
+    for block in range(blocks):
+        mine = F.pmod(F.xxhash64("job_id"), F.lit(blocks)) == block
+        some_terms, some_queries = (terms, queries) if blocks == 1 else (terms.where(mine), queries.where(mine))
+        scores = bm25_scores(some_terms, index, pool, settings, broadcast_weights=True)
+        if include_nonmatching:
+            scores = _with_nonmatching(some_terms, some_queries, index, pool, k, settings)
+        parts.append(scores)
+    scores = reduce(DataFrame.unionByName, parts)
     order = [F.desc("score"), F.asc("candidate_id")]
     rounded = scores.withColumn("score", F.round("score", 6)).where(F.col("score") > 0)
     return top_k(rounded, ["tenant_id", "job_id"], order, k)
 
 
-def _with_nonmatching(scores, terms, index, pool, scope, queries, k, settings) -> DataFrame:
+def _with_nonmatching(terms, queries, index, pool, k, settings) -> DataFrame:
     # A delta for documents that hold some but not all query tokens is missing from the matched sum.
-    scoped = index if pool is None else index.join(pool, _DOC)
+    scope = ["tenant_id"] if pool is None else ["tenant_id", "rule_id"]
+    scoped = _scoped_index(terms, index, pool)
     weights = term_weights(terms, scoped, scope)
     floor = weights.groupBy("tenant_id", "job_id").agg(
         (F.sum("weight") * settings.bm25_delta).alias("floor")
     )
     no_delta = ScreenSettings(bm25_k1=settings.bm25_k1, bm25_b=settings.bm25_b, bm25_delta=0.0)
     matched = (
-        bm25_scores(terms, index, pool, no_delta)
+        bm25_scores(terms, index, pool, no_delta, broadcast_weights=True)
         .join(floor, ["tenant_id", "job_id"])
         .select("tenant_id", "job_id", "candidate_id", (F.col("score") + F.col("floor")).alias("score"))
     )

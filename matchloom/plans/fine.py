@@ -9,6 +9,7 @@ from matchloom.operators import panel as P
 from matchloom.operators.discussion import run_discussion
 from matchloom.operators.incremental import upsert
 from matchloom.settings import DEFAULTS, ScreenSettings
+from matchloom.sources.staging import stage
 
 PAIR = P.PAIR
 _RESULT_KEY = PAIR
@@ -35,17 +36,21 @@ def fine_screen(
     cached: DataFrame | None = None,
     settings: ScreenSettings = DEFAULTS,
     digits: int = 1,
+    staged: bool = True,
 ) -> DataFrame:
     """Reports of all pairs: fresh ones from the panel, cached ones passed through unchanged.
 
     Panel rows with an `error` are left out; a pair without any good row gives a row with `failed`.
+    `staged` writes the tables that several steps read, instead of deriving them again for each.
     """
+    keep = stage if staged else lambda df, _: df
     good = panel.where(F.col("error").isNull()) if "error" in panel.columns else panel
-    split = P.divergence(good, settings)
-    debated = split.where("needs_discussion").select(*PAIR)
-    final, _ = run_discussion(good.join(debated, PAIR, "left_semi"), turns, settings)
+    debated = P.divergence(good, settings).where("needs_discussion").select(*PAIR)
+    debated = keep(debated, "debated")
+    final, _ = run_discussion(good.join(debated, PAIR, "left_semi"), turns, settings, staged)
     columns = [*PAIR, "agent", "pos", "score", "confidence", "dimension_scores", "evidence"]
     settled = good.join(debated, PAIR, "left_anti").select(*columns).unionByName(final.select(*columns))
+    settled = keep(settled, "settled-panel")
     fresh = P.reports(settled, weights, digits).withColumns({"cached": F.lit(False), "failed": F.lit(False)})
     if "error" in panel.columns:
         failed = panel.select(*PAIR).distinct().join(good.select(*PAIR), PAIR, "left_anti")

@@ -74,7 +74,7 @@ def coarse_screen(
     k = conf.agg(F.max("rag_top_k")).first()[0] or settings.rag_top_k
     docs = inputs.candidates.select("tenant_id", "candidate_id", F.col("resume_text").alias("text"))
     queries = jobs.select("tenant_id", "job_id", "rule_id", "query")
-    sparse = bm25_search(docs, queries, k, pool=pool, settings=settings, staged=staged)
+    sparse = bm25_search(docs, queries, k, pool=pool, settings=settings)
     # A job whose pool is empty stops before recall.
     open_rules = pool.select("tenant_id", "rule_id").distinct()
     open_jobs = job_rule.join(open_rules, ["tenant_id", "rule_id"], "left_semi")

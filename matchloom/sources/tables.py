@@ -14,6 +14,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table stored in fewer files than there are cores; larger tables stay as they are.
+
+    For text columns whose rows cost much to process. Looks at file names only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def write_by_tenant(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Stored by tenant, so a tenant's scan reads only its folder."""
     df.write.mode(mode).partitionBy("tenant_id").parquet(path)

@@ -138,7 +138,12 @@ class Entities:
                 "job_id",
                 F.col("l_orderkey").alias("candidate_id"),
                 agent.alias("agent"),
-                F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("pos"),
+                # Line, part, supplier and quantity packed into one number: the order of the results.
+                (
+                    ((F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 100
+                    + F.col("l_quantity").cast("bigint")
+                ).alias("pos"),
+                "l_quantity",
                 (F.col("l_quantity") * 2).alias("score"),
                 (1.0 - F.col("l_discount")).alias("confidence"),
                 F.create_map(

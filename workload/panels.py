@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import discussion as D
 from matchloom.operators import panel as P
+from matchloom.sources.staging import stage
 from matchloom.plans.fine import fine_screen, result_rows, split_cached
 from workload import sql as S
 from workload.entities import AS_OF_YEAR, CATEGORY_BY_PRIORITY
@@ -467,8 +468,9 @@ def _fine_inputs(t):
     cached = cached_reports(t)
     panel = v.panel_seats()
     _, fresh = split_cached(panel.select(*P.PAIR).distinct(), cached)
-    panel = panel.join(fresh, P.PAIR, "left_semi")
-    quantity = F.col("pos.l_quantity")
+    # The panel is an input table of the fine screen, so it is stored first.
+    panel = stage(panel.join(fresh, P.PAIR, "left_semi"), "panel")
+    quantity = F.col("l_quantity")
     said = lambda score: F.concat(
         F.lit('{"stance": "revise", "score": '), score.cast("string"), F.lit("}")
     )

@@ -7,11 +7,15 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom.sources.tables import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
 ).split()
 
+SPREAD_TABLES = ("documents", "lineitem")  # costly rows, stored in few files
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -25,7 +29,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in SPREAD_TABLES else table
 
     @cached_property
     def views(self):

@@ -335,9 +335,7 @@ FROM dfreq JOIN stats USING (tenant_id) JOIN (SELECT DISTINCT tenant_id, token F
 def _(t):
     v = t.views
     index = sparse.build_index(v.documents(), sparse.query_terms(v.jobs()))
-    scope = ["tenant_id"]
-    frequency = sparse.document_frequency(index, scope)
-    return frequency.join(sparse.corpus_stats(index, scope), scope).select(
+    return sparse.token_stats(index, ["tenant_id"]).where("token <> ''").select(
         "tenant_id", "token", "df",
         F.round(F.log((F.col("n_docs") + 1) / F.col("df")), 6).alias("idf"),
         F.round("avgdl", 6).alias("avgdl"),
