@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchloom.session import send_by_value
+
+send_by_value(__name__)
+
 Encoder = Callable[[list[str]], list[list[float] | None]]
 PairScorer = Callable[[list[str], list[str]], list[float]]
 

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.operators.ranking import top_k
+from matchloom.session import send_by_value
+
+send_by_value(__name__)
 
 _MAX_BROADCAST_BYTES = 64 << 20
 _BLOCK_BYTES = 16 << 20

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.text import clamp
 from matchloom.operators.ranking import top_k
+from matchloom.operators.sequences import slots, stretches
 from matchloom.settings import DEFAULTS
 
 
@@ -26,28 +27,27 @@ def preference_boosts(log: DataFrame, keys: list[str]) -> DataFrame:
     return log.groupBy(*keys).agg(clamp_boost(total).alias("boost"))
 
 
-def expiring_boosts(
-    log: DataFrame, keys: list[str], ts: str, ttl_seconds: int, as_of: Column | None = None
+def preference_slots(log: DataFrame, keys: list[str], ts: str, ttl_seconds: int) -> DataFrame:
+    """(keys, _slot, _first, _last, _sum): steps per slot no longer than the time to live.
+
+    A plain aggregate, so it also runs on a stream; hot users are summed map-side.
+    """
+    return slots(log, keys, ts, ttl_seconds, F.sum(preference_step(F.col("feedback"))).alias("_sum"))
+
+
+def boosts_from_slots(
+    slot_rows: DataFrame, keys: list[str], ttl_seconds: int, as_of: Column | None = None
 ) -> DataFrame:
-    """Boost with a time to live that every feedback renews: the sum over the last unbroken stretch.
+    """(keys, last_feedback, boost): the sum over the last stretch without a pause of the time to live.
 
-    `ts` is in seconds. Feedback is first summed per slot no longer than the time to live (map-side), as
-    two entries of a slot can never be separated by a pause; the search for pauses then runs over slots.
     With `as_of`, users whose last feedback is older than the time to live drop out.
     """
-    slot = F.floor(F.col(ts) / F.lit(ttl_seconds))
-    slots = log.groupBy(*keys, slot.alias("_slot")).agg(
-        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum(preference_step(F.col("feedback"))).alias("_sum")
-    )
-    in_order = Window.partitionBy(*keys).orderBy("_slot")
-    pause = F.col("_first") - F.lag("_last").over(in_order) >= ttl_seconds
-    stretch = F.sum(F.when(pause, 1).otherwise(0)).over(in_order)
-    stretches = (
-        slots.withColumn("_stretch", stretch)
+    sums = (
+        stretches(slot_rows, keys, ttl_seconds)
         .groupBy(*keys, "_stretch")
         .agg(F.sum("_sum").alias("_sum"), F.max("_last").alias("_last"))
     )
-    latest = stretches.groupBy(*keys).agg(F.max(F.struct("_stretch", "_sum", "_last")).alias("_l"))
+    latest = sums.groupBy(*keys).agg(F.max(F.struct("_stretch", "_sum", "_last")).alias("_l"))
     if as_of is not None:
         latest = latest.where(as_of - F.col("_l._last") < ttl_seconds)
     return latest.select(
@@ -55,6 +55,13 @@ def expiring_boosts(
     )
 
 
+def expiring_boosts(
+    log: DataFrame, keys: list[str], ts: str, ttl_seconds: int, as_of: Column | None = None
+) -> DataFrame:
+    """Boost with a time to live that every feedback renews. `ts` is in seconds."""
+    return boosts_from_slots(preference_slots(log, keys, ts, ttl_seconds), keys, ttl_seconds, as_of)
+
+
 def adjusted_score(score: Column, boost: Column, digits: int = 2) -> Column:
     """score * (1 + boost), within 0..100."""
     return F.round(clamp(score * (1.0 + F.coalesce(boost, F.lit(0.0))), 0, 100), digits)

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def merged_years_long(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Total years per key, overlaps counted once: spans are cut into islands first."""
-    order = Window.partitionBy(*keys).orderBy("s", "e")
+    """Total years per key, overlaps counted once: spans are cut into islands first.
+
+    Of spans with the same start only the longest matters, so a key has at most one row per year.
+    """
+    spans = spans.groupBy(*keys, "s").agg(F.max("e").alias("e"))
+    order = Window.partitionBy(*keys).orderBy("s")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     opens = F.coalesce(F.col("s") > F.max("e").over(before), F.lit(True))
     islands = spans.withColumn("_opens", opens).withColumn(

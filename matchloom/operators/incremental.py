@@ -121,6 +121,25 @@ def live_checkpoints(checkpoints: DataFrame, now: Column, hours: int = 2) -> Dat
     return checkpoints.where(F.col("updated_at") >= now - F.make_dt_interval(hours=F.lit(hours)))
 
 
+def checkpoint_reports(events: DataFrame, now_ms: Column, ttl_ms: int = 7_200_000) -> DataFrame:
+    """(task_id, ms, report) a retry may reuse: finished reports since the task's last `done`.
+
+    Dropped once the newest of them is older than the time to live. `events`: task_id, ms, type, report.
+    """
+    relevant = events.where(F.col("type").isin("candidate_done", "done"))
+    ends = relevant.groupBy("task_id").agg(
+        F.max(F.when(F.col("type") == "done", F.col("ms"))).alias("_done"),
+        F.max(F.when(F.col("type") == "candidate_done", F.col("ms"))).alias("_last"),
+    )
+    open_tasks = ends.where((now_ms - F.col("_last") <= ttl_ms) & (F.col("_last") > F.coalesce("_done", F.lit(-1))))
+    return (
+        relevant.where("type = 'candidate_done'")
+        .join(open_tasks, "task_id")
+        .where(F.col("ms") > F.coalesce("_done", F.lit(-1)))
+        .select("task_id", "ms", "report")
+    )
+
+
 def merge_checkpoint(cached: DataFrame, checkpoint: DataFrame) -> DataFrame:
     """Cached verdicts plus the finished reports of a failed run for pairs without one."""
     added = checkpoint.join(cached.select(*PAIR), PAIR, "left_anti")

@@ -20,3 +20,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     Meant for the job side of a join, which is cheap to count.
     """
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def only_keys_of(big: DataFrame, small: DataFrame, keys: list[str], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Rows of a large table whose keys occur in a small one, found without shuffling the large table.
+
+    `small` should be stored or cheap, as it is counted.
+    """
+    wanted = small.select(*keys).distinct()
+    return big.join(broadcast_if_small(wanted, max_rows), keys, "left_semi")

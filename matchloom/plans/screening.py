@@ -15,6 +15,7 @@ from matchloom.operators.hard_filter import (
     hard_filter_pool,
     job_rules,
 )
+from matchloom.operators.sizes import only_keys_of
 from matchloom.operators.sparse import bm25_search
 from matchloom.settings import DEFAULTS, ScreenSettings
 from matchloom.sources.staging import stage
@@ -94,21 +95,25 @@ def coarse_screen(
     # The cut counts every fused candidate; those outside the job's pool drop out after it.
     cut = rerank.rerank_cut(fused, conf, settings)
     cut = cut.join(job_rule, _JOB).join(pool, ["tenant_id", "rule_id", "candidate_id"], "left_semi")
+    if staged:
+        cut = stage(cut, "rerank-pairs")
 
-    # Document vector: that of the candidate's best chunk hit, else of its first chunk.
+    # Document vector: that of the candidate's best chunk hit, else of its first chunk. From here on the
+    # large tables are reduced to the candidates of the cut before anything else happens to them.
+    owner = ["tenant_id", "candidate_id"]
     best_chunk = dense.groupBy(*_PAIR).agg(F.min_by("chunk_index", "rank").alias("hit_chunk"))
-    first_chunk = inputs.chunks.groupBy("tenant_id", "candidate_id").agg(
-        F.min("chunk_index").alias("first_chunk")
-    )
-    doc_vectors = inputs.chunks.select(
-        "tenant_id", "candidate_id", "chunk_index", F.col("embedding").alias("doc_vector")
+    vectors = only_keys_of(
+        inputs.chunks.select(*owner, "chunk_index", F.col("embedding").alias("doc_vector")), cut, owner
     )
+    if staged:
+        vectors = stage(vectors, "candidate-vectors")
+    first_chunk = vectors.groupBy(*owner).agg(F.min("chunk_index").alias("first_chunk"))
     pairs = (
         cut.join(evidence, _PAIR, "left")
         .join(best_chunk, _PAIR, "left")
-        .join(first_chunk, ["tenant_id", "candidate_id"], "left")
+        .join(first_chunk, owner, "left")
         .withColumn("chunk_index", F.coalesce("hit_chunk", "first_chunk"))
-        .join(doc_vectors, ["tenant_id", "candidate_id", "chunk_index"], "left")
+        .join(vectors, [*owner, "chunk_index"], "left")
         .join(inputs.job_vectors.select(*_JOB, F.col("vector").alias("query_vector")), _JOB, "left")
     )
     if inputs.cross_scores is None:
@@ -118,12 +123,12 @@ def coarse_screen(
     listed = rerank.final_list(rerank.score_pairs(pairs), settings)
 
     excerpts = rerank.evidence_excerpts(F.col("evidence"))
-    profile = inputs.candidates.select(
-        "tenant_id", "candidate_id", F.col("structured.skills").alias("_skills")
+    profile = only_keys_of(
+        inputs.candidates.select(*owner, F.col("structured.skills").alias("_skills")), cut, owner
     )
     return (
         listed.join(jobs.select(*_JOB, "skill_graph"), _JOB)
-        .join(profile, ["tenant_id", "candidate_id"])
+        .join(profile, owner)
         .select(
             *_PAIR, "rank", "score", "score_mode", "rrf_score",
             excerpts.alias("evidence"),

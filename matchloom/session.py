@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import shutil
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # Correctness-neutral defaults for local runs; on a cluster the submitter's settings win.
@@ -35,6 +37,11 @@ def local_session(app: str = "matchloom", cpus: str = "8", **conf: str) -> Spark
     return spark
 
 
+def send_by_value(module: str) -> None:
+    """Send a module's functions to the Python workers themselves, so that they need not import it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 _shipped: set[str] = set()
 
 

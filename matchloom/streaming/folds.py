@@ -75,3 +75,56 @@ def idle_tasks(events: DataFrame, now_ms: Column, idle_ms: int = 15_000) -> Data
         F.max("occurred_at").alias("last_event"), F.bool_or(F.col("type").isin("done", "error")).alias("ended")
     )
     return last.where(~F.col("ended") & (now_ms - F.col("last_event") >= idle_ms)).select("task_id", "last_event")
+
+
+def task_history(events: DataFrame) -> DataFrame:
+    """First submission, first work and first end per task; `events`: task_id, id, ms, type.
+
+    Minimums do not depend on the order of arrival, so late and repeated events do no harm.
+    """
+    kind = F.col("type")
+    at = F.struct("ms", "id")
+    ends = kind.isin("done", "error")
+    return events.groupBy("task_id").agg(
+        F.min(F.when(kind == "submitted", at)).alias("submitted"),
+        F.min(F.when(~ends & (kind != "submitted"), at)).alias("worked"),
+        F.min(F.when(ends, F.struct("ms", "id", "type"))).alias("ended"),
+    )
+
+
+def status_changes(history: DataFrame) -> DataFrame:
+    """(task_id, ms, id, status): pending, running, then succeeded or failed; nothing follows an end."""
+
+    def before(a: Column, b: Column) -> Column:
+        later = (a["ms"] < b["ms"]) | ((a["ms"] == b["ms"]) & (a["id"] < b["id"]))
+        return a.isNotNull() & (b.isNull() | later)
+
+    submitted, worked, ended = F.col("submitted"), F.col("worked"), F.col("ended")
+
+    def change(at: Column, when: Column, status: Column) -> Column:
+        return F.when(when, F.struct(at["ms"].alias("ms"), at["id"].alias("id"), status.alias("status")))
+
+    changes = F.array(
+        change(submitted, before(submitted, worked) & before(submitted, ended), F.lit("pending")),
+        change(worked, before(worked, ended), F.lit("running")),
+        change(ended, ended.isNotNull(), F.when(ended["type"] == "done", "succeeded").otherwise("failed")),
+    )
+    known = F.filter(changes, lambda c: c.isNotNull())
+    return history.select("task_id", F.explode(known).alias("c")).select("task_id", "c.*")
+
+
+def last_saved(saves: DataFrame) -> DataFrame:
+    """Last saved state per session; `saves`: session_id, id, ms, value."""
+    return saves.groupBy("session_id").agg(
+        F.max_by("value", F.struct("ms", "id")).alias("value"), F.max("ms").alias("saved")
+    )
+
+
+def readable_sessions(saved: DataFrame, now_ms: Column, ttl_ms: int = 86_400_000) -> DataFrame:
+    """Sessions whose state is still within its time to live."""
+    return saved.where(now_ms - F.col("saved") < ttl_ms)
+
+
+def checkpoint_rows(events: DataFrame) -> DataFrame:
+    """The events a retry needs later: finished reports and ends. A row-wise filter to append."""
+    return events.where(F.col("type").isin("candidate_done", "done"))

@@ -1,7 +1,8 @@
-"""Keyed state: rate limit, send once, preferences, task status, checkpoints, session memory, idle tasks.
+"""Keyed state for rules that depend on the order of events: rate limit, send once, idle tasks.
 
-Times are event times in milliseconds. Rows of one key and batch are ordered by time first; a batch is
-bounded by the source's trigger limits, the state by the rules below.
+Everything else about the event log is an aggregate (see `folds`). Times are event times in milliseconds.
+Rows of one key and batch are ordered by time first, so give the source a trigger limit (files, bytes or
+offsets per trigger): it bounds a batch, and the rules below bound the state.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from matchloom.session import send_by_value
 from matchloom.streaming.runner import use_rocksdb
 
+send_by_value(__name__)
+
 _HOUR = 3_600_000
 
 
@@ -100,102 +104,6 @@ def send_once(attempts: DataFrame, hold_ms: int = 24 * _HOUR) -> DataFrame:
     return _run(attempts, ["candidate", "job"], _SendOnce(hold_ms, ["ms", "id"]), schema)
 
 
-class _Preference(_Keyed):
-    """Running sum of feedback steps; every feedback renews the time to live."""
-
-    state_schema = "total double, last bigint"
-
-    def __init__(self, ttl_ms: int, order: list[str]):
-        self.ttl, self.order = ttl_ms, order
-
-    def step(self, state, row):
-        alive = state is not None and row["ms"] - state[1] < self.ttl
-        total = (state[0] if alive else 0.0) + row["step"]
-        return (total, row["ms"]), (row["id"], row["ms"], total)
-
-
-def preference_state(feedback: DataFrame, ttl_ms: int = 30 * 24 * _HOUR) -> DataFrame:
-    """(user_id, id, ms, total) after every feedback; `feedback`: user_id, id, ms, step. Clamp when reading."""
-    schema = "user_id bigint, id bigint, ms bigint, total double"
-    return _run(feedback, ["user_id"], _Preference(ttl_ms, ["ms", "id"]), schema)
-
-
-class _TaskStatus(_Keyed):
-    """pending -> running -> succeeded or failed; nothing follows an end."""
-
-    state_schema = "status string"
-
-    def __init__(self, order: list[str]):
-        self.order = order
-
-    def step(self, state, row):
-        before = state[0] if state else None
-        if before in ("succeeded", "failed"):
-            return state, None
-        after = {"submitted": "pending", "done": "succeeded", "error": "failed"}.get(row["type"], "running")
-        if after == "pending" and before == "running":
-            after = "running"
-        if after == before:
-            return state, None
-        return (after,), (row["id"], row["ms"], after)
-
-
-def task_status(events: DataFrame) -> DataFrame:
-    """(task_id, id, ms, status) for every change of status; `events`: task_id, id, ms, type."""
-    schema = "task_id bigint, id bigint, ms bigint, status string"
-    return _run(events, ["task_id"], _TaskStatus(["ms", "id"]), schema)
-
-
-class _Checkpoint(_Keyed):
-    """Finished reports of a running task; an error hands over those still alive, an end drops them."""
-
-    state_schema = "reports array<string>, last bigint"
-
-    def __init__(self, ttl_ms: int, order: list[str]):
-        self.ttl, self.order = ttl_ms, order
-
-    def step(self, state, row):
-        reports, last = state if state else ([], None)
-        reports = list(reports)
-        if last is not None and row["ms"] - last > self.ttl:
-            reports = []
-        if row["type"] == "candidate_done":
-            return (reports + [row["report"]], row["ms"]), None
-        if row["type"] == "done":
-            return None, None
-        if row["type"] == "error":
-            kept = (reports, last) if reports else None
-            return kept, (row["id"], len(reports), "|".join(reports))
-        return state, None
-
-
-def task_checkpoints(events: DataFrame, ttl_ms: int = 2 * _HOUR) -> DataFrame:
-    """(task_id, id, n_reports, reports) at every error; `events`: task_id, id, ms, type, report."""
-    schema = "task_id bigint, id bigint, n_reports bigint, reports string"
-    return _run(events, ["task_id"], _Checkpoint(ttl_ms, ["ms", "id"]), schema)
-
-
-class _SessionMemory(_Keyed):
-    """Last saved state of a session, readable for a day after the save."""
-
-    state_schema = "value string, saved bigint"
-
-    def __init__(self, ttl_ms: int, order: list[str]):
-        self.ttl, self.order = ttl_ms, order
-
-    def step(self, state, row):
-        if row["op"] == "save":
-            return (row["value"], row["ms"]), None
-        alive = state is not None and row["ms"] - state[1] < self.ttl
-        return (state if alive else None), (row["id"], state[0] if alive else None)
-
-
-def session_memory(ops: DataFrame, ttl_ms: int = 24 * _HOUR) -> DataFrame:
-    """(session_id, id, value) for every load; `ops`: session_id, id, ms, op (save, load), value."""
-    schema = "session_id bigint, id bigint, value string"
-    return _run(ops, ["session_id"], _SessionMemory(ttl_ms, ["ms", "id"]), schema)
-
-
 class _Idle(StatefulProcessor):
     """A timer per open task; it fires when the watermark passes the idle time after the last event."""
 

@@ -18,6 +18,7 @@ from matchloom.operators.hard_filter import (
 )
 from matchloom.operators.sparse import bm25_search
 from matchloom.plans.screening import ScreenInputs, coarse_screen, search_queries
+from matchloom.sources.staging import stage
 from workload import sql as S
 from workload.entities import AS_OF_YEAR
 from workload.registry import query
@@ -397,7 +398,7 @@ FROM dense GROUP BY ALL
 )
 def _(t):
     v = t.views
-    found = fusion.evidence(dense_hits(v), v.chunk_texts())
+    found = fusion.evidence(stage(dense_hits(v), "dense-hits"), v.chunk_texts())
     return found.select(
         "job_id", "candidate_id", F.size("evidence").cast("bigint").alias("n_chunks"),
         F.md5(F.array_join("evidence", "|").cast("binary")).alias("digest"),
@@ -496,7 +497,7 @@ FROM fused f JOIN docs USING (tenant_id, candidate_id) LEFT JOIN first USING (jo
 )
 def _(t):
     v = t.views
-    dense = dense_hits(v)
+    dense = stage(dense_hits(v), "dense-hits")
     fused = fusion.reciprocal_rank_fusion([dense, sparse_hits(v)])
     keys = ["tenant_id", "job_id", "candidate_id"]
     docs = (
@@ -560,7 +561,7 @@ def scored_pairs(t):
     """Fused pairs with the vector of the best chunk and a cross-encoder score for two pairs in three."""
     v = t.views
     keys = ["tenant_id", "job_id", "candidate_id"]
-    dense = dense_hits(v)
+    dense = stage(dense_hits(v), "dense-hits")
     fused = fusion.reciprocal_rank_fusion([dense, sparse_hits(v)])
     cut = rerank.rerank_cut(fused, rerank.job_settings(jobs_with_overrides(v)))
     best = dense.groupBy(*keys).agg(F.min_by("chunk_index", "rank").alias("chunk_index"))
@@ -620,7 +621,7 @@ SELECT job_id, candidate_id,
 )
 def _(t):
     v = t.views
-    found = fusion.evidence(dense_hits(v), v.chunk_texts())
+    found = fusion.evidence(stage(dense_hits(v), "dense-hits"), v.chunk_texts())
     profile = v.candidates().select("tenant_id", "candidate_id", F.col("structured.skills").alias("skills"))
     graph = v.jobs().select("tenant_id", "job_id", "skill_graph")
     excerpts = rerank.evidence_excerpts(F.col("evidence"))

@@ -107,12 +107,12 @@ spans AS (
          (year(o_orderdate) + o_orderkey % 4)::INT AS e FROM orders
 ),
 merged AS (
-  SELECT *, max(e) OVER (PARTITION BY candidate_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
-  FROM spans
+  SELECT *, max(e) OVER (PARTITION BY candidate_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM (SELECT candidate_id, s, max(e) AS e FROM spans GROUP BY ALL)
 ),
 islands AS (
   SELECT *, sum(CASE WHEN seen IS NULL OR s > seen THEN 1 ELSE 0 END)
-              OVER (PARTITION BY candidate_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island
+              OVER (PARTITION BY candidate_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island
   FROM merged
 ),
 years AS (

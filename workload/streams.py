@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchloom import fixed
+from matchloom.operators import feedback, incremental, sequences
 from matchloom.sources import events as E
 from matchloom.streaming import folds, state, windows
 from matchloom.streaming.runner import drain, drain_updates
+from workload.analytics import FEEDBACK
 from workload.entities import micros
 from workload.ingest import LOG, event_log
 from workload.registry import Tables, query
@@ -21,13 +23,18 @@ class StreamedTables(Tables):
 
     def __getattr__(self, name: str):
         batch = super().__getattr__(name)
-        return self.spark.readStream.schema(batch.schema).parquet(f"{self.sf_dir}/{name}*.parquet")
+        # The byte limit bounds a batch when the table has many files.
+        reader = self.spark.readStream.schema(batch.schema).option("maxBytesPerTrigger", str(4 << 30))
+        return reader.parquet(f"{self.sf_dir}/{name}*.parquet")
 
 
 def stream(t) -> StreamedTables:
     return StreamedTables(t.spark, t.sf_dir)
 
 
+MONTH_END_MS = 1704067200000 + 30 * 86_400_000
+
+
 def _ms():
     return F.floor(micros(F.col("ts")) / 1000).alias("ms")
 
@@ -107,13 +114,13 @@ def _(t):
     f"""
 WITH {LOG}
 SELECT task_id, max(occurred_at) AS last_event FROM log GROUP BY ALL
-HAVING NOT bool_or(type = 'signup' AND occurred_at > 1704067200000 + 25 * 86400000::BIGINT)
+HAVING NOT bool_or(type = 'signup' AND event_id % 7 = 0 AND occurred_at > 1704067200000 + 25 * 86400000::BIGINT)
    AND 1704067200000 + 30 * 86400000::BIGINT - max(occurred_at) >= 15000
 """,
 )
 def _(t):
-    # A signup in the last days ends a task.
-    late = (F.col("type") == "signup") & (F.col("occurred_at") > 1704067200000 + 25 * 86400000)
+    # Some signups in the last days end their task.
+    late = (F.col("type") == "signup") & (F.col("event_id") % 7 == 0) & (F.col("occurred_at") > 1704067200000 + 25 * 86400000)
     named = E.parse_event_lines(event_log(t)).withColumn("type", F.when(late, "done").otherwise("stage"))
     return folds.idle_tasks(named, F.lit(1704067200000 + 30 * 86400000))
 
@@ -145,12 +152,11 @@ def _(t):
         F.when(kind == "signup", "submitted").when(kind == "purchase", "done").when(kind == "error", "error")
         .otherwise("stage").alias("type"),
     )
-    return drain(state.task_status(events), "task-status")
+    history = drain_updates(folds.task_history(events), "task-history", ["task_id"])
+    return folds.status_changes(history).select("task_id", "id", "ms", "status")
 
 
-@query(
-    "t6_rate_limit",
-    """
+_RATE_LIMIT = """
 WITH RECURSIVE calls AS (
   SELECT user_id AS caller, event_id AS id, epoch_us(ts) // 1000 AS ms,
          row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events
@@ -165,16 +171,22 @@ walk AS (
   FROM walk w JOIN calls c ON c.caller = w.caller AND c.rn = w.rn + 1
 )
 SELECT caller, id, ms, accepted FROM walk
-""",
-)
+"""
+
+
+@query("t6_rate_limit_log", _RATE_LIMIT)
+def _(t):
+    calls = t.events.select(F.col("user_id").alias("caller"), F.col("event_id").alias("id"), _ms())
+    return sequences.rate_limit_log(calls, ["caller"], limit=3, span=86_400_000)
+
+
+@query("t6_rate_limit", _RATE_LIMIT)
 def _(t):
     calls = stream(t).events.select(F.col("user_id").alias("caller"), F.col("event_id").alias("id"), _ms())
     return drain(state.rate_limit(calls, limit=3, span_ms=86_400_000), "rate-limit")
 
 
-@query(
-    "t7_send_once",
-    """
+_SEND_ONCE = """
 WITH RECURSIVE tries AS (
   SELECT user_id % 60 AS candidate, event_id % 2 AS job, event_id AS id, epoch_us(ts) // 1000 AS ms, event_type <> 'error' AS ok,
          row_number() OVER (PARTITION BY user_id % 60, event_id % 2 ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events
@@ -188,92 +200,88 @@ walk AS (
   FROM walk w JOIN tries n ON n.candidate = w.candidate AND n.job = w.job AND n.rn = w.rn + 1
 )
 SELECT candidate, job, id, outcome FROM walk
-""",
-)
-def _(t):
-    attempts = stream(t).events.select(
+"""
+
+
+def _attempts(events):
+    return events.select(
         (F.col("user_id") % 60).alias("candidate"), (F.col("event_id") % 2).alias("job"),
         F.col("event_id").alias("id"), _ms(), (F.col("event_type") != "error").alias("ok"),
     )
+
+
+@query("t7_send_once_log", _SEND_ONCE)
+def _(t):
+    sent = sequences.send_once_log(_attempts(t.events), ["candidate", "job"])
+    return sent.select("candidate", "job", "id", "outcome")
+
+
+@query("t7_send_once", _SEND_ONCE)
+def _(t):
+    attempts = _attempts(stream(t).events)
     return drain(state.send_once(attempts), "send-once")
 
 
 @query(
-    "t8_preference_state",
-    """
-WITH fb AS (
-  SELECT user_id, event_id AS id, epoch_us(ts) // 1000 AS ms,
-         CASE event_type WHEN 'purchase' THEN 0.05 WHEN 'error' THEN -0.05 ELSE 0 END::DOUBLE AS step FROM events
-),
+    "t8_preference_stream",
+    f"""
+WITH {FEEDBACK},
 marked AS (
-  SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, id) >= 86400000 THEN 1 ELSE 0 END AS pause FROM fb
+  SELECT *, CASE WHEN seconds - lag(seconds) OVER (PARTITION BY user_id ORDER BY seconds, event_id) >= 43200 THEN 1 ELSE 0 END AS pause FROM fb
 ),
-stretched AS (SELECT *, sum(pause) OVER (PARTITION BY user_id ORDER BY ms, id ROWS UNBOUNDED PRECEDING) AS stretch FROM marked)
-SELECT user_id, id, ms, round(sum(step) OVER (PARTITION BY user_id, stretch ORDER BY ms, id ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS total FROM stretched
+stretched AS (
+  SELECT *, sum(pause) OVER (PARTITION BY user_id ORDER BY seconds, event_id ROWS UNBOUNDED PRECEDING) AS stretch FROM marked
+),
+sums AS (SELECT user_id, stretch, sum(step) AS s, max(seconds) AS last_feedback FROM stretched GROUP BY ALL)
+SELECT user_id, last_feedback, greatest(-0.15, least(0.15, round(s, 6))) AS boost FROM sums
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY stretch DESC) = 1
 """,
 )
 def _(t):
-    kind = F.col("event_type")
-    step = F.when(kind == "purchase", 0.05).when(kind == "error", -0.05).otherwise(0.0)
-    feedback = stream(t).events.select("user_id", F.col("event_id").alias("id"), _ms(), step.alias("step"))
-    totals = drain(state.preference_state(feedback, ttl_ms=86_400_000), "preferences")
-    return totals.withColumn("total", F.round("total", 6) + 0.0)
+    log = StreamedTables(t.spark, t.sf_dir).views.feedback()
+    slot_rows = feedback.preference_slots(log, ["user_id"], "seconds", 43_200)
+    stored = drain_updates(slot_rows, "preference-slots", ["user_id", "_slot"])
+    return feedback.boosts_from_slots(stored, ["user_id"], 43_200)
 
 
 @query(
     "t5_task_checkpoints",
     """
-WITH RECURSIVE ev AS (
-  SELECT user_id AS task_id, event_id AS id, epoch_us(ts) // 1000 AS ms, event_type AS type,
-         row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events
+WITH ev AS (
+  SELECT user_id AS task_id, event_id AS id, epoch_us(ts) // 1000 AS ms, event_type AS type FROM events WHERE event_type IN ('view', 'purchase')
 ),
-walk AS (
-  SELECT task_id, id, rn, type, CASE WHEN type = 'view' THEN ['r' || id] ELSE []::VARCHAR[] END AS reports,
-         CASE WHEN type = 'view' THEN ms END AS last FROM ev WHERE rn = 1
-  UNION ALL
-  SELECT n.task_id, n.id, n.rn, n.type,
-         CASE n.type WHEN 'view' THEN list_append(CASE WHEN n.ms - w.last > 86400000 THEN []::VARCHAR[] ELSE w.reports END, 'r' || n.id)
-                     WHEN 'purchase' THEN []::VARCHAR[]
-                     WHEN 'error' THEN CASE WHEN n.ms - w.last > 86400000 THEN []::VARCHAR[] ELSE w.reports END
-                     ELSE w.reports END,
-         CASE n.type WHEN 'view' THEN n.ms WHEN 'purchase' THEN NULL
-                     WHEN 'error' THEN CASE WHEN n.ms - w.last > 86400000 THEN NULL ELSE w.last END ELSE w.last END
-  FROM walk w JOIN ev n ON n.task_id = w.task_id AND n.rn = w.rn + 1
+ends AS (
+  SELECT task_id, coalesce(max(CASE WHEN type = 'purchase' THEN ms END), -1) AS done, max(CASE WHEN type = 'view' THEN ms END) AS last FROM ev GROUP BY ALL
 )
-SELECT task_id, id, len(reports)::BIGINT AS n_reports, array_to_string(reports, '|') AS reports FROM walk WHERE type = 'error'
+SELECT ev.task_id, ev.ms, 'r' || id AS report FROM ev JOIN ends USING (task_id)
+WHERE type = 'view' AND ms > done AND 1704067200000 + 30 * 86400000::BIGINT - last <= 86400000
 """,
 )
 def _(t):
     names = F.when(F.col("event_type") == "view", "candidate_done").when(F.col("event_type") == "purchase", "done")
     events = stream(t).events.select(
-        F.col("user_id").alias("task_id"), F.col("event_id").alias("id"), _ms(),
-        F.coalesce(names, F.col("event_type")).alias("type"),
+        F.col("user_id").alias("task_id"), _ms(), F.coalesce(names, F.col("event_type")).alias("type"),
         F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("report"),
     )
-    return drain(state.task_checkpoints(events, ttl_ms=86_400_000), "checkpoints")
+    stored = drain(folds.checkpoint_rows(events), "checkpoint-rows")
+    return incremental.checkpoint_reports(stored, F.lit(MONTH_END_MS), ttl_ms=86_400_000)
 
 
 @query(
     "t9_session_memory",
     """
-WITH ops AS (
-  SELECT user_id AS session_id, event_id AS id, epoch_us(ts) // 1000 AS ms, event_type IN ('view', 'click') AS is_load FROM events
-),
-seen AS (
-  SELECT *, last_value(CASE WHEN NOT is_load THEN id END IGNORE NULLS) OVER w AS save_id,
-            last_value(CASE WHEN NOT is_load THEN ms END IGNORE NULLS) OVER w AS save_ms
-  FROM ops WINDOW w AS (PARTITION BY session_id ORDER BY ms, id ROWS UNBOUNDED PRECEDING)
-)
-SELECT session_id, id, CASE WHEN ms - save_ms < 86400000 THEN 's' || save_id END AS value FROM seen WHERE is_load
+SELECT user_id AS session_id, 's' || arg_max(event_id, epoch_us(ts)) AS value, max(epoch_us(ts) // 1000) AS saved
+FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY ALL
+HAVING 1704067200000 + 30 * 86400000::BIGINT - max(epoch_us(ts) // 1000) < 86400000
 """,
 )
 def _(t):
-    ops = stream(t).events.select(
+    saves = stream(t).events.where(~F.col("event_type").isin("view", "click")).select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("id"), _ms(),
-        F.when(F.col("event_type").isin("view", "click"), "load").otherwise("save").alias("op"),
         F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("value"),
     )
-    return drain(state.session_memory(ops), "session-memory")
+    saved = drain_updates(folds.last_saved(saves), "sessions", ["session_id"])
+    return folds.readable_sessions(saved, F.lit(MONTH_END_MS))
 
 
 # --- event-time windows ---
