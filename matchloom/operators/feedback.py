@@ -73,6 +73,12 @@ def with_boost(results: DataFrame, boosts: DataFrame, keys: list[str], digits: i
     return joined.withColumn("adjusted_score", adjusted_score(F.col("overall_score"), F.col("boost"), digits))
 
 
+def display_order(results: DataFrame, raw: bool = False) -> DataFrame:
+    """A result list for display: by adjusted score where there is one, or by the raw score."""
+    shown = F.col("overall_score") if raw else F.coalesce("adjusted_score", "overall_score")
+    return results.orderBy(shown.desc(), F.asc("candidate_id"))
+
+
 def high_potential(log: DataFrame, jobs: DataFrame, limit: int = 5) -> DataFrame:
     """(tenant, job, rank, target): first `limit` targets ever found suitable and not refused for the job.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import rules
 from matchloom.functions.text import is_plain_run, run_terms, term_runs
-from matchloom.operators.sizes import broadcast_if_small
+from matchloom.operators.sizes import broadcast_if_small, is_small
 
 
 def job_rules(jobs: DataFrame, requirements: str = "hard_requirements", graph: str = "skill_graph") -> DataFrame:
@@ -58,9 +58,16 @@ def candidate_terms(facts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     skill_runs = F.flatten(F.transform("skills", term_runs))
     runs = facts.select(*keys, F.explode(F.concat(skill_runs, term_runs(F.col("text")))).alias("run"))
     run = F.col("run")
-    terms = F.when(is_plain_run(run), F.array(run)).otherwise(run_terms(run))
-    known = runs.select(*keys, F.explode(terms).alias("term")).join(
-        broadcast_if_small(vocabulary), ["tenant_id", "term"], "left_semi"
+    hint = F.broadcast if is_small(vocabulary) else (lambda df: df)
+
+    # Most runs are plain words outside the vocabulary; only the others are taken apart.
+    known_words = vocabulary.select("tenant_id", F.col("term").alias("run"), F.lit(True).alias("_known"))
+    kept = runs.join(hint(known_words), ["tenant_id", "run"], "left").where(
+        F.col("_known").isNotNull() | ~is_plain_run(run)
+    )
+    terms = F.when(F.col("_known").isNotNull() & is_plain_run(run), F.array(run)).otherwise(run_terms(run))
+    known = kept.select(*keys, F.explode(terms).alias("term")).join(
+        hint(vocabulary), ["tenant_id", "term"], "left_semi"
     )
     return known.dropDuplicates(["tenant_id", "candidate_id", "term"])
 

@@ -70,7 +70,7 @@ def drain_updates(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
 
 
 def results_then_status(
-    events: DataFrame, write_results: Callable[[DataFrame], None], write_status: Callable[[DataFrame], None]
+    write_results: Callable[[DataFrame], None], write_status: Callable[[DataFrame], None]
 ) -> Callable[[DataFrame, int], None]:
     """Batch function that stores results before it reports tasks as done."""
 
