@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import raw_tokens, tokenize
@@ -20,6 +20,7 @@ from matchloom.settings import DEFAULTS, ScreenSettings
 from matchloom.sources.staging import stage
 
 _DOC = ["tenant_id", "candidate_id"]
+_PAIR = ["tenant_id", "job_id", "candidate_id"]
 _HEADER = ""  # a token no text has; its row carries the document's length
 
 
@@ -69,13 +70,20 @@ def token_stats(index: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def term_weights(terms: DataFrame, index: DataFrame, scope: list[str]) -> DataFrame:
-    """Per job and token: qtf * idf and the scope's mean length; idf = ln((N + 1) / df)."""
+    """Per job and token: qtf * idf, df and the scope's mean length; idf = ln((N + 1) / df)."""
     idf = F.log((F.col("n_docs") + 1) / F.col("df"))
     return terms.join(token_stats(index, scope), [*scope, "token"]).select(
-        "job_id", *scope, "token", (F.col("qtf") * idf).alias("weight"), "avgdl"
+        "job_id", *scope, "token", (F.col("qtf") * idf).alias("weight"), "avgdl", "df"
     )
 
 
+def _part(settings: ScreenSettings) -> Column:
+    """What one token adds to one document's score."""
+    k1, b, delta = settings.bm25_k1, settings.bm25_b, settings.bm25_delta
+    length = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    return F.col("weight") * (delta + F.col("tf") * (k1 + 1) / (length + F.col("tf")))
+
+
 def _scoped_index(terms: DataFrame, index: DataFrame, pool: DataFrame | None) -> DataFrame:
     """The index, or with a pool its rows per rule that a document passes and a query of the rule asks for."""
     if pool is None:
@@ -99,17 +107,80 @@ def bm25_scores(
     With a pool (tenant, rule, candidate) the statistics and the matches are those of each rule's pool.
     `broadcast_weights` is for callers that counted `terms`; there is at most one weight per term.
     """
-    k1, b, delta = settings.bm25_k1, settings.bm25_b, settings.bm25_delta
     scope = ["tenant_id"] if pool is None else ["tenant_id", "rule_id"]
     scoped = _scoped_index(terms, index, pool)
     weights = term_weights(terms, scoped, scope)
     weights = F.broadcast(weights) if broadcast_weights else weights
-    part = F.col("weight") * (
-        delta + F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    )
     # Header rows find no weight.
     matches = scoped.join(weights, [*scope, "token"])
-    return matches.groupBy("tenant_id", "job_id", "candidate_id").agg(F.sum(part).alias("score"))
+    return matches.groupBy(*_PAIR).agg(F.sum(_part(settings)).alias("score"))
+
+
+def pruned_scores(
+    terms: DataFrame,
+    index: DataFrame,
+    k: int,
+    pool: DataFrame | None = None,
+    settings: ScreenSettings = DEFAULTS,
+    seed_docs: int = 20,
+) -> DataFrame:
+    """Scores of a superset of each job's top k, without the pairs that only frequent tokens make.
+
+    1. The rarest tokens of a job, up to about `seed_docs` * k documents, give a lower bound of its k-th score.
+    2. Its weakest tokens, as long as their greatest possible sum stays below that bound, are optional: a
+       document that holds nothing else cannot reach the top k.
+    3. The other tokens make the pairs; a pair that cannot reach the bound even with all optional tokens drops out.
+    4. The few pairs left get their optional tokens added.
+
+    `index` is a stored table and `terms` are few enough to broadcast.
+    """
+    scope = ["tenant_id"] if pool is None else ["tenant_id", "rule_id"]
+    margin = 1e-5  # above the rounding of scores
+    most = settings.bm25_delta + settings.bm25_k1 + 1
+    weights = term_weights(terms, _scoped_index(terms, index, pool), scope)
+    weights = stage(weights.withColumn("most", F.col("weight") * most), "bm25-weights")
+    scoped = _scoped_index(terms, index.repartition(*_DOC), pool)
+    keys = [*scope, "job_id", "candidate_id"]
+
+    per_job = Window.partitionBy(*scope, "job_id")
+    rarer = per_job.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = weights.withColumn("_before", F.coalesce(F.sum("df").over(rarer), F.lit(0))).where(
+        F.col("_before") < seed_docs * k
+    )
+    seeded = scoped.join(F.broadcast(seeds), [*scope, "token"]).groupBy(*keys).agg(
+        F.sum(_part(settings)).alias("score")
+    )
+    best = top_k(seeded, [*scope, "job_id"], [F.desc("score")], k)
+    bounds = best.groupBy(*scope, "job_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(0.0)).alias("bound")
+    )
+    bounds = stage(bounds, "bm25-bounds")
+
+    weaker = per_job.orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
+    marked = (
+        weights.join(bounds, [*scope, "job_id"], "left")
+        .withColumn("_sum", F.sum("most").over(weaker))
+        .withColumn("optional", F.coalesce(F.col("_sum") < F.col("bound") - margin, F.lit(False)))
+        .withColumn("_slack", F.coalesce(F.sum(F.when(F.col("optional"), F.col("most"))).over(per_job), F.lit(0.0)))
+        .withColumn("need", F.coalesce(F.col("bound"), F.lit(0.0)) - F.col("_slack") - margin)
+    )
+    marked = stage(marked, "bm25-marked")
+    pairs = (
+        scoped.join(F.broadcast(marked.where(~F.col("optional"))), [*scope, "token"])
+        .groupBy(*keys)
+        .agg(F.sum(_part(settings)).alias("score"), F.min("need").alias("need"))
+        .where(F.col("score") >= F.col("need"))
+        .drop("need")
+    )
+    pairs = stage(pairs, "bm25-pairs")
+    rows = index if pool is None else index.join(pool, _DOC)
+    optional = marked.where("optional").drop("need")
+    extra = (
+        rows.join(broadcast_if_small(pairs.drop("score")), [*scope, "candidate_id"])
+        .join(F.broadcast(optional), [*scope, "job_id", "token"])
+        .select(*keys, _part(settings).alias("score"))
+    )
+    return pairs.unionByName(extra).groupBy(*_PAIR).agg(F.sum("score").alias("score"))
 
 
 def bm25_search(
@@ -122,26 +193,33 @@ def bm25_search(
     staged: bool = False,
     text: str = "text",
     max_broadcast_terms: int = MAX_BROADCAST_ROWS,
+    prune: bool = False,
 ) -> DataFrame:
     """Best k candidates per job with score > 0, ranked by score, then candidate id.
 
     `include_nonmatching` lists candidates without any query token too: the score gives them the constant
     delta part of every known token, so they follow the matching ones in id order. `staged` writes the
-    index once instead of tokenizing per use.
+    index once instead of tokenizing per use. `prune` avoids pairs that only frequent tokens make, for large
+    corpora; it gives the same list, and has no effect together with `include_nonmatching`.
     """
+    prune = prune and not include_nonmatching
     k = settings.rag_top_k if k is None else k
     terms = query_terms(queries)
     blocks = -(-terms.count() // max_broadcast_terms) or 1
     index = build_index(docs, terms, text)
-    if staged or blocks > 1:
-        index = stage(index, "bm25-index").repartition(*_DOC)
+    if staged or prune or blocks > 1:
+        index = stage(index, "bm25-index")
+        index = index if prune else index.repartition(*_DOC)
     parts = []
     for block in range(blocks):
         mine = F.pmod(F.xxhash64("job_id"), F.lit(blocks)) == block
         some_terms, some_queries = (terms, queries) if blocks == 1 else (terms.where(mine), queries.where(mine))
-        scores = bm25_scores(some_terms, index, pool, settings, broadcast_weights=True)
-        if include_nonmatching:
+        if prune:
+            scores = pruned_scores(some_terms, index, k, pool, settings)
+        elif include_nonmatching:
             scores = _with_nonmatching(some_terms, some_queries, index, pool, k, settings)
+        else:
+            scores = bm25_scores(some_terms, index, pool, settings, broadcast_weights=True)
         parts.append(scores)
     scores = reduce(DataFrame.unionByName, parts)
     order = [F.desc("score"), F.asc("candidate_id")]

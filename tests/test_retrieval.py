@@ -58,6 +58,26 @@ def test_bm25_equals_brute_force(spark, nonmatching, max_terms):
     assert got == brute_bm25(docs, queries, 7, nonmatching)
 
 
+@pytest.mark.parametrize("k", [1, 3, 8])
+@pytest.mark.parametrize("pooled", [False, True])
+def test_pruning_changes_nothing(spark, k, pooled):
+    rng = random.Random(8)
+    # Two words in nearly every document, the others ever rarer.
+    words = ["the", "a"] + [f"w{i}" for i in range(40)]
+    weights = [40, 30] + [30 / (i + 1) for i in range(40)]
+    docs = [("t", i, " ".join(rng.choices(words, weights, k=rng.randint(3, 25)))) for i in range(300)]
+    members = [d for d in docs if not pooled or d[1] % 3]
+    queries = [("t", j, " ".join(rng.choices(words, weights, k=8) + ["the", "a"])) for j in range(6)]
+    table = spark.createDataFrame([(*q, "r") for q in queries], "tenant_id string, job_id long, query string, rule_id string")
+    pool = spark.createDataFrame([(t, "r", c) for t, c, _ in members], "tenant_id string, rule_id string, candidate_id long")
+    found = bm25_search(
+        spark.createDataFrame(docs, "tenant_id string, candidate_id long, text string"),
+        table if pooled else table.drop("rule_id"), k=k, pool=pool if pooled else None, prune=True,
+    )
+    got = {(r["job_id"], r["rank"], r["candidate_id"]) for r in found.collect()}
+    assert got == brute_bm25(members, queries, k)
+
+
 def test_bm25_first_hit(spark):
     docs = [("t", 0, "Python 机器学习 深度学习"), ("t", 1, "Java Spring 微服务"), ("t", 2, "Python Go 后端")]
     found = bm25_search(

@@ -351,6 +351,15 @@ def _(t):
     return sparse_hits(t.views)
 
 
+@query(
+    "r11_bm25_pruned",
+    f"WITH {S.CANDIDATES}, {S.JOBS}, {S.BM25}, {S.SPARSE} SELECT * FROM sparse",
+)
+def _(t):
+    v = t.views
+    return bm25_search(v.documents(), v.jobs().select("tenant_id", "job_id", "query"), prune=True)
+
+
 @query(
     "r11_bm25_with_nonmatching",
     f"""
