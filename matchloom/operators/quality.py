@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +106,3 @@ def histogram_violations(buckets: DataFrame, keys: list[str]) -> DataFrame:
     reasons = violations((falls, "not_monotone"), (F.col("_inf") != F.col("count"), "inf_not_count"))
     return listed.select(*keys, F.explode(reasons).alias("violation"))
 
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -129,7 +129,8 @@ def pruned_scores(
     1. The rarest tokens of a job, up to about `seed_docs` * k documents, give a lower bound of its k-th score.
     2. Its weakest tokens, as long as their greatest possible sum stays below that bound, are optional: a
        document that holds nothing else cannot reach the top k.
-    3. The other tokens make the pairs; a pair that cannot reach the bound even with all optional tokens drops out.
+    3. The other tokens make the pairs, and their scores sharpen the bound; a pair that cannot reach it even with
+       all optional tokens drops out.
     4. The few pairs left get their optional tokens added.
 
     `index` is a stored table and `terms` are few enough to broadcast.
@@ -150,31 +151,43 @@ def pruned_scores(
     seeded = scoped.join(F.broadcast(seeds), [*scope, "token"]).groupBy(*keys).agg(
         F.sum(_part(settings)).alias("score")
     )
-    best = top_k(seeded, [*scope, "job_id"], [F.desc("score")], k)
-    bounds = best.groupBy(*scope, "job_id").agg(
-        F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(0.0)).alias("bound")
-    )
-    bounds = stage(bounds, "bm25-bounds")
+    job = [*scope, "job_id"]
+
+    def kth_score(scores: DataFrame) -> DataFrame:
+        best = top_k(scores, job, [F.desc("score")], k)
+        full = F.count(F.lit(1)) == k
+        return best.groupBy(*job).agg(F.when(full, F.min("score")).otherwise(F.lit(0.0)).alias("bound"))
+
+    bounds = stage(kth_score(seeded), "bm25-bounds")
 
     weaker = per_job.orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
     marked = (
-        weights.join(bounds, [*scope, "job_id"], "left")
+        weights.join(bounds, job, "left")
         .withColumn("_sum", F.sum("most").over(weaker))
         .withColumn("optional", F.coalesce(F.col("_sum") < F.col("bound") - margin, F.lit(False)))
-        .withColumn("_slack", F.coalesce(F.sum(F.when(F.col("optional"), F.col("most"))).over(per_job), F.lit(0.0)))
-        .withColumn("need", F.coalesce(F.col("bound"), F.lit(0.0)) - F.col("_slack") - margin)
+        .withColumn("slack", F.coalesce(F.sum(F.when(F.col("optional"), F.col("most"))).over(per_job), F.lit(0.0)))
+        .withColumn("bound", F.coalesce("bound", F.lit(0.0)))
     )
     marked = stage(marked, "bm25-marked")
     pairs = (
         scoped.join(F.broadcast(marked.where(~F.col("optional"))), [*scope, "token"])
         .groupBy(*keys)
-        .agg(F.sum(_part(settings)).alias("score"), F.min("need").alias("need"))
-        .where(F.col("score") >= F.col("need"))
-        .drop("need")
+        .agg(
+            F.sum(_part(settings)).alias("score"), F.min("bound").alias("_bound"), F.min("slack").alias("slack")
+        )
+        .where(F.col("score") >= F.col("_bound") - F.col("slack") - margin)
+        .drop("_bound")
     )
     pairs = stage(pairs, "bm25-pairs")
+    # These scores know more tokens than the seeds did, so their k-th is a sharper bound.
+    pairs = (
+        pairs.join(kth_score(pairs), job)
+        .where(F.col("score") >= F.col("bound") - F.col("slack") - margin)
+        .drop("bound", "slack")
+    )
+    pairs = stage(pairs, "bm25-close-pairs")
     rows = index if pool is None else index.join(pool, _DOC)
-    optional = marked.where("optional").drop("need")
+    optional = marked.where("optional").drop("bound", "slack")
     extra = (
         rows.join(broadcast_if_small(pairs.drop("score")), [*scope, "candidate_id"])
         .join(F.broadcast(optional), [*scope, "job_id", "token"])

@@ -14,13 +14,13 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table stored in fewer files than there are cores; larger tables stay as they are.
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores for a stored table with fewer splits than there are cores; larger tables stay as they are.
 
-    For text columns whose rows cost much to process. Looks at file names only.
+    For text columns whose rows cost much to process. `table` is a plain scan: counting its splits runs no job.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def write_by_tenant(df: DataFrame, path: str, mode: str = "overwrite") -> None:
