@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchloom import fixed
-from matchloom.functions import rules, text, vectors
+from matchloom.functions import text, vectors
 from matchloom.operators import fusion, rerank, skills, sparse
 from matchloom.operators.dense import dense_search
 from matchloom.operators.hard_filter import (
