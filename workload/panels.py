@@ -211,7 +211,7 @@ def _(t):
     f"""
 {WITH_PANEL}
 SELECT candidate_id, count(*) AS n_experts,
-       round(sum(score * greatest(confidence, 0.1)) / sum(greatest(confidence, 0.1)), 6) AS mean,
+       round(sum(score * greatest(confidence, 0.1)) / sum(greatest(confidence, 0.1)), 9) AS mean,
        round(CASE WHEN count(*) > 1 THEN stddev_pop(score) ELSE 0 END, 6) AS std,
        count(*) > 1 AND stddev_pop(score) > 12 AS needs_discussion, min(score) >= 80 AS needs_advocate
 FROM panel WHERE agent <> 'stability_analyzer' GROUP BY ALL
@@ -220,7 +220,7 @@ FROM panel WHERE agent <> 'stability_analyzer' GROUP BY ALL
 def _(t):
     split = P.divergence(t.views.panel())
     return split.select(
-        "candidate_id", "n_experts", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+        "candidate_id", "n_experts", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"),
         "needs_discussion", "needs_advocate",
     )
 

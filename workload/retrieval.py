@@ -329,7 +329,7 @@ def _(t):
     "r10_bm25_index",
     f"""
 WITH {S.CANDIDATES}, {S.JOBS}, {S.BM25}
-SELECT tenant_id, token, df, round(ln((n + 1) / df), 6) AS idf, round(avgdl, 6) AS avgdl
+SELECT tenant_id, token, df, round(ln((n + 1) / df), 6) AS idf, round(avgdl, 9) AS avgdl
 FROM dfreq JOIN stats USING (tenant_id) JOIN (SELECT DISTINCT tenant_id, token FROM qt) USING (tenant_id, token)
 """,
 )
@@ -339,7 +339,7 @@ def _(t):
     return sparse.token_stats(index, ["tenant_id"]).where("token <> ''").select(
         "tenant_id", "token", "df",
         F.round(F.log((F.col("n_docs") + 1) / F.col("df")), 6).alias("idf"),
-        F.round("avgdl", 6).alias("avgdl"),
+        F.round("avgdl", 9).alias("avgdl"),
     )
 
 
