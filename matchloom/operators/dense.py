@@ -27,7 +27,7 @@ _GROUP_ROWS = 50_000
 _TILE_CELLS = 8_000_000
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     norms[norms == 0] = 1e-9
     return matrix / norms
@@ -41,7 +41,7 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
     """The vectors of a column as unit rows."""
     column = table[name].combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    return _unit(flat.reshape(len(column), -1)) if len(column) else np.empty((0, 0))
+    return unit_rows(flat.reshape(len(column), -1)) if len(column) else np.empty((0, 0))
 
 
 def _best(jobs, q: np.ndarray, c: np.ndarray, candidates, chunk_index, k: int) -> pd.DataFrame:
@@ -91,7 +91,7 @@ def _by_broadcast(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     # Bounded by _MAX_BROADCAST_BYTES, checked by the caller.
     local = queries.toPandas()
     per_tenant = {
-        tenant: (part["job_id"].to_numpy(), _unit(np.stack(part["vector"].to_numpy()).astype("float64")))
+        tenant: (part["job_id"].to_numpy(), unit_rows(np.stack(part["vector"].to_numpy()).astype("float64")))
         for tenant, part in local.groupby("tenant_id")
     }
     shared = chunks.sparkSession.sparkContext.broadcast(per_tenant)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom import fixed
 from matchloom.functions.text import clean_strings
-from matchloom.functions.vectors import cosine
+from matchloom.operators.dense import unit_rows
 
 
 def _lookup(pairs: list[tuple[str, str]], key: Column) -> Column:
@@ -47,24 +49,25 @@ def standardise(skills: Column, substring: bool = False) -> Column:
 def nearest_tags(skill_vectors: DataFrame, tag_vectors: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(skill, tag, similarity): nearest standard tag above the threshold, else tag is NULL.
 
-    `tag_vectors` is the fixed list of standard tags, one row each, so it travels as one small array.
+    `tag_vectors` holds the fixed list of standard tags, so it is collected and sent along; every Arrow batch
+    of skills is one matrix product. Equal similarities take the first tag name.
     """
-    tags = tag_vectors.groupBy(F.lit(1).alias("_one")).agg(
-        F.collect_list(F.struct("tag", "vector")).alias("_tags")
-    )
-    found = skill_vectors.withColumn("_one", F.lit(1)).join(F.broadcast(tags), "_one")
-    scored = F.transform(
-        "_tags",
-        lambda t: F.struct(
-            F.round(cosine(F.col("vector"), t["vector"]), 6).alias("similarity"), t["tag"].alias("tag")
-        ),
-    )
-    # Greatest similarity; equal similarities take the first tag name.
-    best = F.array_min(F.transform(scored, lambda s: F.struct((-s["similarity"]).alias("d"), s["tag"].alias("tag"))))
-    return found.withColumn("_best", best).select(
-        "skill",
-        F.when(-F.col("_best.d") > threshold, F.col("_best.tag")).alias("tag"),
-        (-F.col("_best.d")).alias("similarity"),
+    tags = sorted(tag_vectors.select("tag", "vector").collect(), key=lambda row: row["tag"])
+    names = np.array([row["tag"] for row in tags], dtype=object)
+    matrix = unit_rows(np.array([row["vector"] for row in tags], dtype="float64"))
+
+    @F.pandas_udf("tag string, similarity double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        if vectors.empty:
+            return pd.DataFrame({"tag": [], "similarity": []})
+        sims = np.round(unit_rows(np.stack(vectors.to_numpy()).astype("float64")) @ matrix.T, 6)
+        best = sims.argmax(axis=1)
+        return pd.DataFrame({"tag": names[best], "similarity": sims[np.arange(len(sims)), best]})
+
+    found = skill_vectors.where(F.col("vector").isNotNull()).select("skill", nearest("vector").alias("_n"))
+    similarity = F.col("_n.similarity")
+    return found.select(
+        "skill", F.when(similarity > threshold, F.col("_n.tag")).alias("tag"), similarity.alias("similarity")
     )
 
 

@@ -743,6 +743,6 @@ FROM jobs LEFT JOIN sizes USING (tenant_id) LEFT JOIN counts USING (job_id)
 def _(t):
     from matchloom.plans.screening import screen_summary
 
-    listed = screened(t)
+    listed = stage(screened(t), "listed")
     cached = listed.where(F.col("candidate_id") % 3 == 0)
     return screen_summary(t.views.jobs(), t.views.candidates(), listed, cached)
