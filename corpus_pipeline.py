@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchloom.llm import quality_rules
+from matchloom.llm import bag_minhash, lang_id, mixing, packing, quality_rules
 from matchloom.session import ship_package
 from matchloom.sources.staging import stage
 
@@ -16,10 +17,35 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a clear language, by a model learned from the labelled ones among them."""
+    return lang_id.reject_unclear(docs, lang_id.fit(docs))
+
+
+def by_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return bag_minhash.keep_one(docs)
+
+
+def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them; the one at a source's budget is cut there."""
+    words = quality_rules.words_of(F.col("text"))
+    return mixing.mixed(docs, F.size(words).cast("long"), words)
+
+
+def by_length(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches of documents of like length."""
+    return packing.pack(docs, quality_rules.count_words(F.col("text")))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", by_quality),
+    ("language_id", by_language),
+    ("near_copies", by_near_copies),
+    ("mixture", by_mixture),
+    ("packing", by_length),
 ]
 
 # Near copies are found by random signatures and lengths are cut by dynamic programming: SQL does not express them.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchloom.llm import quality_rules
+from matchloom.llm import bag_minhash, lang_id, mixing, packing, quality_rules
 from matchloom.llm.registry import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -50,3 +50,35 @@ def op8_quality_rules(spark, sf_dir):
     judged = documents(spark, sf_dir).select("doc_id", quality_rules.judge(F.col("text")).alias("q"))
     columns = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
     return judged.select("doc_id", *[f"q.{c}" for c in columns])
+
+
+def crc_remainder(column: str, modulus: int):
+    """crc32(doc_id as text) mod n; 0 for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(0)) % modulus
+
+
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = (crc_remainder("doc_id", 3) == 1).alias("held_out")
+    model = lang_id.fit(docs.select("doc_id", "text", "lang", held_out).where("NOT held_out"))
+    return lang_id.predict(docs.select("doc_id", held_out, "text"), model, keep=("doc_id", "held_out"))
+
+
+@query("op5_bag_minhash")
+def op5_bag_minhash(spark, sf_dir):
+    return bag_minhash.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_key")
+
+
+@query("op6_mixing")
+def op6_mixing(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "source", quality_rules.count_words(F.col("text")).alias("size"))
+    chosen = mixing.taken(*mixing.mix_plan(docs))
+    words = F.col("whole") * F.col("size") + F.col("part")
+    return chosen.select("doc_id", "size", "source_size", "target", words.alias("taken"))
+
+
+@query("op9_length_buckets")
+def op9_length_buckets(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return packing.pack(docs, quality_rules.count_words(F.col("text")))
