@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchloom.llm import bag_minhash, lang_id, mixing, packing, quality_rules
+from matchloom.llm import bag_minhash, lang_id, mixing, packing, quality_rules, sharding
 from matchloom.llm.registry import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -82,3 +82,21 @@ def op6_mixing(spark, sf_dir):
 def op9_length_buckets(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return packing.pack(docs, quality_rules.count_words(F.col("text")))
+
+
+@query("op3_ring_shards")
+def op3_ring_shards(spark, sf_dir):
+    docs = documents(spark, sf_dir).select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+    )
+    return sharding.shard_rows(docs, "doc_id").select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
