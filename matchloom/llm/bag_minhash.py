@@ -7,10 +7,11 @@ point of a component is its signature value: two bags agree there with the proba
 similarity. Only points up to a time by which all components are likely filled are made (later for the few bags that
 need it), so the work is about one draw per shingle and m log m per document, not m per shingle.
 
-Pairs. Equal texts are one node. Nodes that agree on all rows of a band meet in its bucket. Large buckets are not
-paired off: each member is first compared with one centre, buckets whose members are then connected are done, and
-only members of different components are compared further, at last every pair of them. Compared pairs are verified
-by the exact overlap of their bags. Classes are the connected components of links of at least the similarity.
+Pairs. Equal texts are one node. Nodes that agree on all rows of a band meet in its bucket. Buckets are not paired
+off: each member is compared with its bucket's centre, and buckets whose members are then connected are done. The
+members of the others are joined on their rarest shingles, by a bound that loses no pair of the similarity. Compared
+pairs are verified by the exact overlap of their bags. Classes are the connected components of links of at least the
+similarity.
 
 Null texts and texts without words have no shingles: a null text is in a class of its own with its `doc_id`, blank
 texts are equal only to themselves. Repeated rows are equal texts. `class_id` is the least `doc_id` of the class (null
@@ -24,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.components import connected_components
+from matchloom.llm.components import connected_components, merged_components
 from matchloom.llm.shingles import bag, bags, mix, normalise, overlap
 from matchloom.operators.sizes import only_keys_of
 from matchloom.sources.staging import stage
@@ -171,17 +172,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Nea
 
     pairs: (a, b) nodes, a the one that more pairs share. nodes: (node, key). texts: (key, text), some row per key.
     """
-    wanted = stage(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "near-wanted"
-    )
-    held = stage(
-        only_keys_of(texts, wanted, ["key"])
-        .groupBy("key")
-        .agg(F.first("text").alias("text"))
-        .join(wanted, "key")
-        .select("node", "text"),
-        "near-texts",
-    )
+    held = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), texts)
     both = (
         pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -212,6 +203,57 @@ def _fits(left: str, right: str, similarity: float):
     return F.least(left, right) >= F.lit(similarity) * F.greatest(left, right)
 
 
+def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of (node, key), from some row with that key each."""
+    wanted = stage(nodes, "near-wanted")
+    found = only_keys_of(texts, wanted, ["key"]).groupBy("key").agg(F.first("text").alias("text"))
+    return stage(found.join(wanted, "key").select("node", "text"), "near-texts")
+
+
+def _tokens(texts: DataFrame, settings: NearSettings) -> DataFrame:
+    """(node, token, n): a shingle of count w as w tokens of its own; n tokens in all."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for slice_ in slices(batch.column(1)):
+                text, shingle, count = bags(slice_, settings.shingle)
+                owner, token = np.repeat(text, count), np.repeat(shingle, count)
+                turn = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                token = mix(token + turn.astype(np.uint64) * _GOLD).view(np.int64)
+                n = np.bincount(owner, minlength=len(slice_))[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner + at)), pa.array(token), pa.array(n)], ["node", "token", "n"]
+                )
+                at += len(slice_)
+
+    return texts.select("node", "text").mapInArrow(cut, "node bigint, token bigint, n bigint")
+
+
+def _possible_pairs(parts: DataFrame, texts: DataFrame, settings: NearSettings) -> DataFrame:
+    """(a, b): a superset of the pairs of different parts that reach the similarity, without pairing groups off.
+
+    Tokens are ordered from rare to frequent. Bags that reach the similarity t have t / (1 + t) of their tokens, both
+    counted, in common; so at the first common token neither may have fewer tokens left. This leaves the first fifth
+    of a bag's tokens, at most, and near copies whose own rare tokens fill it meet nobody.
+    parts: (node, part).
+    """
+    t = settings.similarity
+    tokens = stage(_tokens(texts, settings), "near-tokens")
+    held = tokens.groupBy("token").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("node").orderBy("times", "token")
+    placed = tokens.join(held.where("times > 1"), "token", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    placed = placed.withColumn("left", F.col("n") - F.row_number().over(order) + 1)  # tokens from this one on
+    first = placed.where((F.col("times") > 1) & (F.col("left") >= t * F.col("n"))).join(parts, "node")
+    first = stage(first.select("node", "part", "token", "n", "left"), "near-first")
+    several = first.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    first = first.join(several.select("token"), "token")
+    right = first.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "part", "n", "left")])
+    enough = (1 + t) * F.least("left", "left_b") >= t * (F.col("n") + F.col("n_b")) - 1e-6
+    met = first.join(right, "token").where((F.col("node") < F.col("node_b")) & (F.col("part") != F.col("part_b")) & enough)
+    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFrame:
     """(doc_id, class_id, class_key, key, weight), one row per row of (doc_id, text)."""
     texts = docs.select("doc_id", "text").withColumn("key", F.md5("text"))
@@ -224,75 +266,39 @@ def near_classes(docs: DataFrame, settings: NearSettings = NearSettings()) -> Da
         "near-nodes",
     )
     met = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("weight", "node")).alias("c"))
-    members = stage(
-        met.join(shared.where("n > 1").select("bucket", "n", F.col("c.node").alias("centre")), "bucket"), "near-members"
-    )
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = stage(met.join(sizes, "bucket"), "near-members")
     named, bodies = nodes.select("node", "key"), texts.where("key IS NOT NULL").select("key", "text")
 
-    def tested(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = stage(pairs, "near-pairs")
-        return pairs, stage(verified(pairs, named, bodies, settings), "near-links")
-
-    weights = nodes.select(F.col("node").alias("a"), F.col("weight").alias("weight_a"))
-    first = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "weight")
-    first = first.distinct().join(weights, "a").where(_fits("weight_a", "weight", settings.similarity))
-    pairs, links = tested(first.select("a", "b"))
-    labels = connected_components(links.select("a", "b"))
-
-    # A second centre for buckets of several components: the member of least hash outside the first one's component.
-    split = _split_members(members, labels)
-    second = split.where("part <> centre_part").groupBy("bucket").agg(
-        F.min(F.struct(F.xxhash64("node"), "node", "part", "weight")).alias("c")
-    )
-    again = (
-        split.join(second.select("bucket", "c.*").withColumnsRenamed({"node": "a", "part": "part_a", "weight": "weight_a"}), "bucket")
-        .where((F.col("part") != F.col("part_a")) & _fits("weight_a", "weight", settings.similarity))
-        .select("a", F.col("node").alias("b"))
-        .distinct()
+    # The centre of a bucket: the member that meets most others, as the text that copies were made from does.
+    meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
+    ranked = members.join(meets, "node").select("bucket", "node", "weight", "meets")
+    centre = F.max(F.struct("meets", (-F.col("node")).alias("first"), "weight")).alias("c")
+    centres = ranked.groupBy("bucket").agg(centre).select(
+        "bucket", (-F.col("c.first")).alias("a"), F.col("c.weight").alias("weight_a")
     )
-    pairs2, links2 = tested(_untested(again, pairs))
-    links = links.unionByName(links2)
+    stars = members.join(centres, "bucket").where("node <> a").where(_fits("weight_a", "weight", settings.similarity))
+    pairs = stage(stars.select("a", F.col("node").alias("b")).distinct(), "near-pairs")
+    links = stage(verified(pairs, named, bodies, settings), "near-links")
     labels = connected_components(links.select("a", "b"))
 
-    # The exact rest: every pair of different components in a bucket.
-    split = stage(_split_members(members, labels), "near-rest")
-    right = split.select(
-        "bucket", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("weight").alias("weight_b")
-    )
-    rest = (
-        split.withColumnsRenamed({"node": "a"})
-        .join(right, "bucket")
-        .where((F.col("a") < F.col("b")) & (F.col("part") != F.col("part_b")))
-        .where(_fits("weight", "weight_b", settings.similarity))
-        .select("a", "b")
-        .distinct()
-    )
-    _, links3 = tested(_untested(rest, pairs.unionByName(pairs2)))
-    labels = connected_components(links.unionByName(links3).select("a", "b"))
+    # The rest: members of buckets that hold more than one component.
+    parts = members.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    several = parts.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    open_nodes = stage(parts.join(several.select("bucket"), "bucket").select("node", "part").distinct(), "near-open")
+    open_texts = _texts_of(open_nodes.select("node").join(named, "node"), bodies)
+    rest = stage(_untested(_possible_pairs(open_nodes, open_texts, settings), pairs), "near-pairs")
+    labels = merged_components(labels, stage(verified(rest, named, bodies, settings), "near-links"))
 
     parts = nodes.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
     heads = parts.groupBy("part").agg(F.min("least").alias("class_id"), F.min("key").alias("class_key"))
     classes = parts.join(heads, "part").select("key", "class_id", "class_key")
+    lonely = F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     alone = signs.where("key IS NULL").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("class_key"), "key", "weight"
-    )
-    return (
-        signs.where("key IS NOT NULL").join(classes, "key").select("doc_id", "class_id", "class_key", "key", "weight").unionByName(alone)
-    )
-
-
-def _split_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component: (bucket, node, weight, part, centre_part)."""
-    parts = members.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    several = parts.groupBy("bucket").agg(
-        F.min("part").alias("least"),
-        F.max("part").alias("most"),
-        F.max(F.when(F.col("node") == F.col("centre"), F.col("part"))).alias("centre_part"),
-    )
-    return parts.join(several.where("least <> most").select("bucket", "centre_part"), "bucket").select(
-        "bucket", "node", "weight", "part", "centre_part"
+        "doc_id", F.col("doc_id").alias("class_id"), lonely.alias("class_key"), "key", "weight"
     )
+    several = signs.where("key IS NOT NULL").join(classes, "key")
+    return several.select("doc_id", "class_id", "class_key", "key", "weight").unionByName(alone)
 
 
 def _untested(pairs: DataFrame, done: DataFrame) -> DataFrame:

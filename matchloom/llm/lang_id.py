@@ -33,7 +33,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class LanguageSettings:
     """`rows_per_language` bounds the labelled rows that are learned from (those of lowest hash, about so many);
-    `max_words` and `max_grams` bound the model, which every task holds: the most frequent ones stay."""
+    `max_words` and `max_grams` bound the model, which every task holds: the most frequent ones stay. `shared` is the
+    part of a frequency that comes from all languages alike, so that no word is impossible in any."""
 
     rows_per_language: int = 5_000
     max_words: int = 100_000
@@ -41,7 +42,7 @@ class LanguageSettings:
     min_count: int = 2
     max_gram: int = 4
     evidence_words: int = 32
-    smoothing: float = 0.5
+    shared: float = 0.01
 
 
 @dataclass
@@ -145,7 +146,7 @@ def _model(words: list, grams: list, settings: LanguageSettings) -> LanguageMode
     place = {name: i for i, name in enumerate(languages)}
 
     def table(rows: list, group) -> np.ndarray:
-        """Smoothed log frequencies, within each group of rows."""
+        """Log frequencies within each group of rows, a share of them that of all languages."""
         counts = np.zeros((len(rows), len(languages)))
         for i, row in enumerate(rows):
             for name, n in row["by"].items():
@@ -153,8 +154,8 @@ def _model(words: list, grams: list, settings: LanguageSettings) -> LanguageMode
                     counts[i, place[name]] = n
         groups = np.array([group(row) for row in rows], dtype=int)
         for g in np.unique(groups):
-            own = counts[groups == g] + settings.smoothing
-            counts[groups == g] = np.log(own / own.sum(axis=0))
+            own = counts[groups == g] / np.maximum(counts[groups == g].sum(axis=0), 1)
+            counts[groups == g] = np.log((1 - settings.shared) * own + settings.shared * own.mean(axis=1, keepdims=True))
         return counts.astype(np.float32)
 
     totals = np.zeros(len(languages))
