@@ -40,8 +40,8 @@ class ChromaSettings:
     low_hz: float = 250.0
     high_hz: float = 4_000.0
     window: int = 4
-    max_error: float = 0.2
-    min_overlap: int = 8
+    max_error: float = 0.15
+    min_overlap: int = 16
 
 
 # Weights of five neighbouring frames.

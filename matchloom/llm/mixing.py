@@ -73,7 +73,7 @@ def mix_plan(docs: DataFrame, settings: MixSettings = MixSettings()) -> tuple[Da
         .join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
         .withColumn("words", F.round("target").cast("long"))
-        .withColumn("epochs", F.coalesce(F.expr("words div source_size"), F.lit(0)))
+        .withColumn("epochs", F.expr("if(source_size = 0, 0, words div source_size)"))
         .withColumn("left", F.col("words") - F.col("epochs") * F.col("source_size"))
         # as many key ranges, a power of two, as a range has documents
         .withColumn("bits", F.ceil(F.log2(F.col("n").cast("double")) / 2).cast("int"))

@@ -10,8 +10,8 @@ from matchloom.sources.staging import stage
 KEY_BITS = 62
 
 
-def numbered(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """Add `place`, 0, 1, 2 ... within each group, in order of the key (0 to 2**62) and then all other columns.
+def numbered(rows: DataFrame, group: str, key: str, number: str = "place") -> DataFrame:
+    """Add the column `number`, 0, 1, 2 ... within each group, in order of the key (0 to 2**62) and then all other columns.
 
     No group is sorted as a whole: a group's key ranges (about as many as rows stand in one) are counted, the counts
     summed up, and rows numbered within their range. Equal rows are counted once and take up that many numbers, so
@@ -36,5 +36,5 @@ def numbered(rows: DataFrame, group: str, key: str) -> DataFrame:
     first = F.col("__start") + F.col("__upto") - F.col("__copies")
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1))
     return placed.withColumn("__first", first).withColumn("__copy", copies).select(
-        *names, (F.col("__first") + F.col("__copy")).alias("place")
+        *names, (F.col("__first") + F.col("__copy")).alias(number)
     )

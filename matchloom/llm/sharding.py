@@ -87,7 +87,7 @@ def ring_plan(counts: dict[int, int], settings: RingSettings) -> list[tuple[int,
 
 
 def _arcs(spark: SparkSession, settings: RingSettings) -> DataFrame:
-    """(bucket, first, places): arc numbers by the top bits of a place; one row per value of those bits."""
+    """(__bucket, __first, __places): arc numbers by the top bits of a place; one row per value of those bits."""
     places = [p for p, _ in ring_points(settings)]
     width = 62 - _BUCKET_BITS
     rows = []
@@ -96,33 +96,33 @@ def _arcs(spark: SparkSession, settings: RingSettings) -> DataFrame:
         rows.append((bucket, first, places[first : bisect_left(places, (bucket + 1) << width)]))
     schema = T.StructType(
         [
-            T.StructField("bucket", T.LongType()),
-            T.StructField("first", T.IntegerType()),
-            T.StructField("places", T.ArrayType(T.LongType())),
+            T.StructField("__bucket", T.LongType()),
+            T.StructField("__first", T.IntegerType()),
+            T.StructField("__places", T.ArrayType(T.LongType())),
         ]
     )
     return spark.createDataFrame(rows, schema)
 
 
 def on_arcs(df: DataFrame, place: str, settings: RingSettings) -> DataFrame:
-    """Add `arc`, the number of the first ring point at or after a row's place; the last arc wraps around to 0."""
+    """Add `__arc`, the number of the first ring point at or after a row's place; the last arc wraps around to 0."""
     # bounded: 2**12 rows with the ring's points
     arcs = F.broadcast(_arcs(df.sparkSession, settings))
-    joined = df.withColumn("bucket", F.shiftrightunsigned(place, 62 - _BUCKET_BITS)).join(arcs, "bucket")
-    passed = F.size(F.filter("places", lambda p: p < F.col(place)))
+    joined = df.withColumn("__bucket", F.shiftrightunsigned(place, 62 - _BUCKET_BITS)).join(arcs, "__bucket")
+    passed = F.size(F.filter("__places", lambda p: p < F.col(place)))
     points = settings.shards * settings.virtual_nodes
-    return joined.withColumn("arc", (F.col("first") + passed) % points).drop("bucket", "first", "places")
+    return joined.withColumn("__arc", (F.col("__first") + passed) % points).drop("__bucket", "__first", "__places")
 
 
 def shard_rows(df: DataFrame, key: str, settings: RingSettings = RingSettings()) -> DataFrame:
     """Add `shard` and `slot` (0, 1, 2 ... in each shard). Columns other than these stay; keep them few."""
     names = [c for c in df.columns if c not in ("shard", "slot")]
     rows = stage(on_arcs(df.select(*names, ring_place(F.col(key)).alias("__place")), "__place", settings), "ring-rows")
-    counts = {r["arc"]: r["count"] for r in rows.groupBy("arc").count().collect()}  # one row per ring point
+    counts = {r["__arc"]: r["count"] for r in rows.groupBy("__arc").count().collect()}  # one row per ring point
     plan = rows.sparkSession.createDataFrame(
-        ring_plan(counts, settings), "__arc int, __start bigint, __end bigint, shard int, __slot bigint"
+        ring_plan(counts, settings), "__in int, __start bigint, __end bigint, shard int, __slot bigint"
     )
-    placed = numbered(rows, "arc", "__place")
+    placed = numbered(rows, "__arc", "__place", "__number")
     # bounded: an arc's rows go to few shards, the ring's points bound the arcs
-    met = placed.join(F.broadcast(plan), (F.col("arc") == F.col("__arc")) & F.expr("place >= __start AND place < __end"))
-    return met.select(*names, "shard", (F.col("__slot") + F.col("place") - F.col("__start")).alias("slot"))
+    met = placed.join(F.broadcast(plan), (F.col("__arc") == F.col("__in")) & F.expr("__number >= __start AND __number < __end"))
+    return met.select(*names, "shard", (F.col("__slot") + F.col("__number") - F.col("__start")).alias("slot"))

@@ -63,7 +63,7 @@ def test_arcs_follow_the_ring(spark):
     asked = [0, (1 << 62) - 1, *places, *[p + 1 for p in places], *[p - 1 for p in places]]
     df = spark.createDataFrame([(p,) for p in asked], "p long")
     for row in sd.on_arcs(df, "p", settings).collect():
-        assert row["arc"] == next((i for i, p in enumerate(places) if p >= row["p"]), 0)
+        assert row["__arc"] == next((i for i, p in enumerate(places) if p >= row["p"]), 0)
 
 
 def test_awkward_rows(spark):
