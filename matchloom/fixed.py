@@ -6,7 +6,9 @@ DEGREE_LEVELS = [("博士", 4), ("硕士", 3), ("研究生", 3), ("本科", 2),
 # --- fixed values: text patterns (Java syntax) ---
 TOKEN_PATTERN = r"[A-Za-z0-9_+#./-]+|[\x{4e00}-\x{9fff}]"
 CJK_PATTERN = r"[\x{4e00}-\x{9fff}]"
-REQUIREMENT_YEARS_PATTERN = r"([0-9]+)\s*年"
+REQUIREMENT_YEARS_PATTERN = r"(?U)([0-9]+)\s*年"
+# Full-width digits stand for plain ones.
+WIDE_DIGITS, PLAIN_DIGITS = "０１２３４５６７８９", "0123456789"
 REQUIREMENT_SKILL_PATTERN = r"[A-Za-z][A-Za-z0-9+#./]{1,30}"
 YEAR_PATTERN = r"(20[0-9]{2}|19[0-9]{2})"
 ID_NUMBER_PATTERN = r"([0-9]{6})[0-9]{8}([0-9]{3}[0-9Xx])"

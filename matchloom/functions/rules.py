@@ -37,10 +37,12 @@ def candidate_degree(education: Column) -> Column:
 
 
 def required_years(requirements: Column) -> Column:
-    """Number in the first requirement that states years, 0 without one."""
+    """Number in the first requirement that states years, 0 without one. Full-width digits and blanks count."""
     numbers = F.transform(
         strings(requirements),
-        lambda r: F.regexp_extract(F.coalesce(r, F.lit("")), fixed.REQUIREMENT_YEARS_PATTERN, 1),
+        lambda r: F.regexp_extract(
+            F.translate(F.coalesce(r, F.lit("")), fixed.WIDE_DIGITS, fixed.PLAIN_DIGITS), fixed.REQUIREMENT_YEARS_PATTERN, 1
+        ),
     )
     first = F.get(F.filter(numbers, lambda n: n != ""), F.lit(0))
     return F.coalesce(first.try_cast("int"), F.lit(0))

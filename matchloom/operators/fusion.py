@@ -40,23 +40,31 @@ def evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return located.groupBy(*_PAIR).agg(F.transform(ordered, lambda h: h["chunk"]).alias("evidence"))
 
 
-def with_fallback(fused: DataFrame, pool: DataFrame, jobs: DataFrame, limit: int) -> DataFrame:
-    """Add the first `limit` pool members, score 0, for jobs that recalled nothing.
+def with_fallback(fused: DataFrame, pool: DataFrame, jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Add the pool members, score 0, for jobs that recalled nothing.
+
+    A caller that cuts the list by (score, candidate) afterwards may pass its cut as `limit`: the first `limit`
+    members are all that the cut can keep, so the result is that of the whole pool.
 
     `pool`: tenant_id, rule_id, candidate_id. `jobs`: tenant_id, job_id, rule_id.
     """
     unserved = jobs.join(fused, ["tenant_id", "job_id"], "left_anti")
-    first = top_k(
-        pool.join(unserved.select("tenant_id", "rule_id").distinct(), ["tenant_id", "rule_id"], "left_semi"),
-        ["tenant_id", "rule_id"],
-        [F.asc("candidate_id")],
-        limit,
-        "_pos",
-    )
+    first = pool.join(unserved.select("tenant_id", "rule_id").distinct(), ["tenant_id", "rule_id"], "left_semi")
+    if limit is not None:
+        first = top_k(first, ["tenant_id", "rule_id"], [F.asc("candidate_id")], limit, "_pos")
     filled = unserved.select("tenant_id", "job_id", "rule_id").join(first, ["tenant_id", "rule_id"])
     return fused.unionByName(filled.select(*_PAIR, F.lit(0.0).alias("rrf_score")))
 
 
 def merge_batches(results: DataFrame, score: str = "score") -> DataFrame:
-    """Best score per (job, candidate) over batches of one screening."""
-    return results.groupBy(*_PAIR).agg(F.max(score).alias(score))
+    """Best score per (job, candidate) over batches of one screening.
+
+    With evidence (arrays of texts) and a `batch` number, the evidence of all batches is appended in batch order.
+    """
+    best = F.max(score).alias(score)
+    if "evidence" not in results.columns:
+        return results.groupBy(*_PAIR).agg(best)
+    # one entry per batch of the pair
+    parts = F.array_sort(F.collect_list(F.struct("batch", "evidence")))
+    texts = F.flatten(F.transform(parts, lambda p: F.coalesce(p["evidence"], F.array().cast("array<string>"))))
+    return results.groupBy(*_PAIR).agg(best, texts.alias("evidence"))

@@ -188,6 +188,55 @@ def export_histograms(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(lines).alias("line"))
 
 
+# --- totals of tasks, calls and screenings ---
+
+
+def results_of_tasks(results: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+    """(tenant, task, n, best) of stored results; only of the given (tenant, task) rows if there are any given."""
+    keys = ["tenant_id", "task_id"]
+    rows = results if tasks is None else results.join(tasks.select(*keys).distinct(), keys, "left_semi")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("overall_score").alias("best"))
+
+
+def rows_by_tenant(df: DataFrame, tenant: str = "tenant_id") -> DataFrame:
+    return df.groupBy(F.col(tenant).alias("tenant_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def model_calls(calls: DataFrame) -> DataFrame:
+    """Per (model, kind, status): calls, tokens, cost and seconds of model calls.
+
+    calls: model, kind, status, tokens, cost, seconds.
+    """
+    return calls.groupBy("model", "kind", "status").agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.sum("tokens").alias("tokens"),
+        F.sum("cost").alias("cost"),
+        F.sum("seconds").alias("seconds"),
+    )
+
+
+def screening_totals(tasks: DataFrame) -> DataFrame:
+    """Per (completed, cached): screenings and their candidates. tasks: status, cached, candidates."""
+    return tasks.groupBy((F.col("status") == "succeeded").alias("completed"), "cached").agg(
+        F.count(F.lit(1)).alias("tasks"), F.sum("candidates").alias("candidates")
+    )
+
+
+def task_metrics(tasks: DataFrame) -> DataFrame:
+    """Per status: tasks, seconds, fine candidates, cache hits, misses and retries.
+
+    tasks: status, seconds, fine_candidates, cache_hits, retries; misses are the candidates without a hit.
+    """
+    return tasks.groupBy("status").agg(
+        F.count(F.lit(1)).alias("tasks"),
+        F.sum("seconds").alias("seconds"),
+        F.sum("fine_candidates").alias("fine_candidates"),
+        F.sum("cache_hits").alias("cache_hits"),
+        F.sum(F.col("fine_candidates") - F.col("cache_hits")).alias("cache_misses"),
+        F.sum("retries").alias("retries"),
+    )
+
+
 # --- rates ---
 
 

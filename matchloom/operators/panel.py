@@ -143,14 +143,21 @@ def divergence(panel: DataFrame, settings: ScreenSettings = DEFAULTS) -> DataFra
 # --- arbitration and reports ---
 
 
+def _weighted(panel: DataFrame, weights: DataFrame) -> DataFrame:
+    """Panel rows with their job's weights; those of the general category where the job has none."""
+    general = category_weights(F.lit(fixed.DEFAULT_CATEGORY))
+    return panel.join(weights.select("tenant_id", "job_id", "weights"), ["tenant_id", "job_id"], "left").withColumn(
+        "weights", F.coalesce("weights", general)
+    )
+
+
 def arbitrate(panel: DataFrame, weights: DataFrame, digits: int = 1) -> DataFrame:
     """Overall score per pair: sum(w*c*s) / sum(w*c), c clamped to 0.1..1, experts without weight ignored.
 
-    `weights`: tenant_id, job_id, weights (map). Pairs whose weights sum to 0 score 0.
+    `weights`: tenant_id, job_id, weights (map). Pairs whose weights sum to 0 score 0; a job without a row has
+    the general weights.
     """
-    joined = panel.join(weights, ["tenant_id", "job_id"]).withColumn(
-        "w", F.try_element_at("weights", F.col("agent"))
-    )
+    joined = _weighted(panel, weights).withColumn("w", F.try_element_at("weights", F.col("agent")))
     wc = F.col("w") * clamp(F.col("confidence"), 0.1, 1.0)
     sums = joined.groupBy(*PAIR).agg(F.sum(wc * F.col("score")).alias("num"), F.sum(wc).alias("den"))
     score = F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(F.lit(0.0))
@@ -159,9 +166,7 @@ def arbitrate(panel: DataFrame, weights: DataFrame, digits: int = 1) -> DataFram
 
 def dimension_means(panel: DataFrame, weights: DataFrame, digits: int = 1) -> DataFrame:
     """Mean per (pair, dimension) over the experts registered in the job's weights, in long form."""
-    registered = panel.join(weights, ["tenant_id", "job_id"]).where(
-        F.try_element_at("weights", F.col("agent")).isNotNull()
-    )
+    registered = _weighted(panel, weights).where(F.try_element_at("weights", F.col("agent")).isNotNull())
     return (
         registered.select(*PAIR, F.explode("dimension_scores").alias("dimension", "value"))
         .groupBy(*PAIR, "dimension")

@@ -81,3 +81,8 @@ def page(df: DataFrame, created_at: str, tie: str, offset: int = 0, limit: int =
 def load_for_screening(df: DataFrame, created_at: str, tie: str, limit: int, page_size: int = 200) -> DataFrame:
     """Up to `limit` rows, newest first; `limit` <= 0 gives one page."""
     return df.orderBy(F.desc(created_at), F.asc(tie)).limit(limit if limit > 0 else page_size)
+
+
+def ranked_candidates(ranking: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates of a ranking with the ranking's columns; entries without a candidate drop out."""
+    return ranking.join(candidates, keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchloom import fixed
 from matchloom.functions.rules import skill_hit, skill_set, strings
 from matchloom.functions.vectors import cosine_score
+from matchloom.operators.quality import candidate_limit
 from matchloom.operators.ranking import ranked
 from matchloom.settings import DEFAULTS, ScreenSettings
 
@@ -37,6 +38,9 @@ def setting(overrides: Column, name: str, default) -> Column:
 def job_settings(jobs: DataFrame, settings: ScreenSettings = DEFAULTS) -> DataFrame:
     """(tenant, job) with every retrieval and rerank setting resolved."""
     allowed = allowed_overrides(F.col("screen_overrides"))
+    most = F.lit(settings.max_candidates)
+    if "max_candidates" in jobs.columns:  # asked for by the request
+        most = candidate_limit(F.coalesce(F.col("max_candidates"), most))
     return jobs.select(
         "tenant_id",
         "job_id",
@@ -46,6 +50,7 @@ def job_settings(jobs: DataFrame, settings: ScreenSettings = DEFAULTS) -> DataFr
         setting(allowed, "rerank_doc_chars", settings.rerank_doc_chars).alias("doc_chars"),
         setting(allowed, "rerank_threshold", settings.rerank_threshold).alias("threshold_cross"),
         setting(allowed, "rerank_threshold_cosine", settings.rerank_threshold_cosine).alias("threshold_cosine"),
+        most.alias("max_candidates"),
     )
 
 
@@ -69,7 +74,7 @@ def rerank_cut(fused: DataFrame, job_conf: DataFrame, settings: ScreenSettings =
     return (
         ranked(fused, ["tenant_id", "job_id"], order, "fused_rank")
         .join(job_conf, ["tenant_id", "job_id"])
-        .where(F.col("fused_rank") <= F.greatest(F.lit(1), F.lit(settings.max_candidates) * factor))
+        .where(F.col("fused_rank") <= F.greatest(F.lit(1), F.col("max_candidates") * factor))
     )
 
 
@@ -98,10 +103,11 @@ def score_pairs(cut: DataFrame) -> DataFrame:
 
 
 def final_list(scored: DataFrame, settings: ScreenSettings = DEFAULTS) -> DataFrame:
-    """Best N per job by score; ties keep the fused order."""
+    """Best N per job by score; ties keep the fused order. N is the job's `max_candidates` where that column is."""
     rounded = scored.withColumn("score", F.round("score", 4))
     order = [F.desc("score"), F.asc("fused_rank")]
-    return ranked(rounded, ["tenant_id", "job_id"], order).where(F.col("rank") <= settings.max_candidates)
+    most = F.col("max_candidates") if "max_candidates" in scored.columns else F.lit(settings.max_candidates)
+    return ranked(rounded, ["tenant_id", "job_id"], order).where(F.col("rank") <= most)
 
 
 def evidence_excerpts(evidence: Column) -> Column:

@@ -28,7 +28,8 @@ _PAIR = ["tenant_id", "job_id", "candidate_id"]
 class ScreenInputs:
     """Tables of one screening. Vectors and cross-encoder scores are model outputs given as columns.
 
-    jobs: tenant_id, job_id, title, query (may be NULL), hard_requirements, skill_graph, screen_overrides.
+    jobs: tenant_id, job_id, title, query (may be NULL), hard_requirements, skill_graph, screen_overrides;
+        optional max_candidates (N of the job's request).
     candidates: tenant_id, candidate_id, resume_text, structured.
     chunks: tenant_id, candidate_id, chunk_index, chunk, embedding.
     job_vectors: tenant_id, job_id, vector (of the expanded query text, else of the query).
@@ -94,7 +95,10 @@ def coarse_screen(
     )
 
     fused = fusion.reciprocal_rank_fusion([dense, sparse], settings.rrf_k)
-    fused = fusion.with_fallback(fused, pool, open_jobs, settings.max_candidates * 2)
+    # The whole pool of a job without recall: the cut below keeps no more than its first members.
+    factor = F.greatest(F.col("pairs_factor"), F.lit(settings.rerank_cosine_min_factor))
+    most = conf.agg(F.max(F.col("max_candidates") * factor)).first()[0] or 1
+    fused = fusion.with_fallback(fused, pool, open_jobs, max(1, int(most)))
     evidence = fusion.evidence(dense, inputs.chunks)
     # The cut counts every fused candidate; those outside the job's pool drop out after it.
     cut = rerank.rerank_cut(fused, conf, settings)

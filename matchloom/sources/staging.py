@@ -12,11 +12,14 @@ _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's checkpoint folder. Only where driver and tasks share one machine may it be unset."""
     global _local_dir
     configured = spark.conf.get(_SETTING, None)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local[") and master != "local":
+        raise ValueError(f"set {_SETTING} to a folder that driver and executors share (master {master})")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="matchloom-")
     return _local_dir

@@ -426,15 +426,16 @@ def _(t):
     )
 
 
-def cached_reports(t):
-    """Earlier verdicts for orders of even status date: some with missing fields and bad details."""
+def cached_reports(t, every=False):
+    """Earlier verdicts, some with missing fields and bad details: of all orders, or of the share of them (one in
+    four) that the fine screen finds in its cache."""
     key = F.col("o_orderkey")
     detail = F.struct(
         F.when(key % 8 != 0, F.lit("interviewer")).alias("agent"),
         (key % 120).cast("double").alias("score"),
         F.lit(0.9).alias("confidence"),
     )
-    return t.orders.where(key % 4 == 0).select(
+    return (t.orders if every else t.orders.where(key % 4 == 0)).select(
         F.col("o_orderstatus").alias("tenant_id"),
         F.col("o_orderpriority").alias("job_id"),
         key.alias("candidate_id"),
@@ -452,11 +453,11 @@ def cached_reports(t):
 SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 101 ELSE 0 END::DOUBLE AS overall_score,
        (o_orderkey % 5 <> 0)::INT AS n_dims, '' AS recommendation_text, (o_orderkey % 7 <> 0)::INT AS n_evidence,
        (o_orderkey % 8 <> 0 AND o_orderkey % 120 <= 100)::INT AS n_details
-FROM orders WHERE o_orderkey % 4 = 0
+FROM orders
 """,
 )
 def _(t):
-    report = P.report_from_cache(cached_reports(t))
+    report = P.report_from_cache(cached_reports(t, every=True))
     return report.select(
         "candidate_id", "overall_score", F.size(F.map_keys("dimension_scores")).alias("n_dims"),
         "recommendation_text", F.size("evidence").alias("n_evidence"), F.size("agent_details").alias("n_details"),

@@ -442,7 +442,6 @@ hits AS (SELECT tenant_id, job_id, candidate_id, round(1.0::DOUBLE / (60 + rank)
 filled AS (
   SELECT tenant_id, job_id, candidate_id, 0.0::DOUBLE AS rrf_score FROM pool
   WHERE job_id NOT IN (SELECT job_id FROM hits)
-  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY candidate_id) <= 20
 )
 SELECT * FROM hits UNION ALL SELECT * FROM filled
 """,
@@ -454,7 +453,7 @@ def _(t):
     pool = hard_filter_pool(distinct_rules(jobs), candidate_facts(v.candidates(), AS_OF_YEAR))
     strong = sparse_hits(v).where(F.col("score") > 25)
     fused = fusion.reciprocal_rank_fusion([strong])
-    return fusion.with_fallback(fused, pool, jobs.select("tenant_id", "job_id", "rule_id"), 20)
+    return fusion.with_fallback(fused, pool, jobs.select("tenant_id", "job_id", "rule_id"))
 
 
 @query(
@@ -682,7 +681,6 @@ bm AS (
 filled AS (
   SELECT * FROM fused UNION ALL
   SELECT tenant_id, job_id, candidate_id, 0.0::DOUBLE FROM pool WHERE job_id NOT IN (SELECT job_id FROM fused)
-  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY candidate_id) <= 20
 ),
 cut AS (
   SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY rrf_score DESC, candidate_id) AS fused_rank
