@@ -2,11 +2,13 @@
 
 Everything else about the event log is an aggregate (see `folds`). Times are event times in milliseconds.
 Rows of one key and batch are ordered by time first, so give the source a trigger limit (files, bytes or
-offsets per trigger): it bounds a batch, and the rules below bound the state.
+offsets per trigger): it bounds a batch, and the rules below bound the state. State that a rule no longer needs goes:
+timers on the watermark clear keys without recent calls, and ended and idle tasks. Keys and ids have any type.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,33 +33,58 @@ class _Keyed(StatefulProcessor):
 
     state_schema = "v bigint"
     order = ["ms"]
+    keep_ms = 0  # after a key's last event, when its state says nothing any more
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
+        self.timer = handle.getValueState("timer", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = self.state.get() if self.state.exists() else None
-        out = []
+        out, newest = [], 0
         for row in _in_order(rows, self.order).to_dict("records"):
+            newest = row["ms"]
             state, produced = self.step(state, row)
             if produced is not None:
                 out.append((*key, *produced))
+        planned = self.timer.get()[0] if self.timer.exists() else None
+        if planned is not None:
+            self.handle.deleteTimer(planned)
         if state is None:
             self.state.clear()
+            self.timer.clear()
         else:
+            end = max(int(newest) + self.keep_ms, planned or 0)
             self.state.update(state)
-        yield pd.DataFrame(out, columns=self.columns)
+            self.timer.update((end,))
+            self.handle.registerTimer(end)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        self.timer.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def _run(events: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+def _typed(events: DataFrame, *names: str) -> str:
+    """Columns of the events in the form of a schema text."""
+    return ", ".join(f"{n} {events.schema[n].dataType.simpleString()}" for n in names)
+
+
+def _run(events: DataFrame, keys: list[str], processor: _Keyed, schema: str, keep_ms: int, delay: str) -> DataFrame:
+    """State goes when the watermark passes `keep_ms` after a key's last event; events that come later than `delay`
+    behind the newest one are left out."""
     use_rocksdb(events.sparkSession)
     processor.columns = [part.split()[0] for part in schema.split(",")]
-    return events.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+    processor.keep_ms = keep_ms
+    timed = events.withColumn("_time", F.timestamp_millis("ms")).withWatermark("_time", delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -70,17 +97,19 @@ class _RateLimit(_Keyed):
         self.limit, self.span, self.order = limit, span_ms, order
 
     def step(self, state, row):
-        log = [t for t in (state[0] if state else []) if t > row["ms"] - self.span]
+        log = state[0] if state else []  # at most `limit` times, in order
+        gone = bisect_right(log, row["ms"] - self.span)
+        log = log[gone:] if gone else log
         accepted = len(log) < self.limit
         if accepted:
             log.append(row["ms"])
         return (log,), (row["id"], row["ms"], accepted)
 
 
-def rate_limit(calls: DataFrame, limit: int, span_ms: int = 60_000, key_type: str = "bigint") -> DataFrame:
-    """(caller, id, ms, accepted) for every call; `calls`: caller, id, ms."""
-    schema = f"caller {key_type}, id bigint, ms bigint, accepted boolean"
-    return _run(calls, ["caller"], _RateLimit(limit, span_ms, ["ms", "id"]), schema)
+def rate_limit(calls: DataFrame, limit: int, span_ms: int = 60_000, delay: str = "1 hour") -> DataFrame:
+    """(caller, id, ms, accepted) for every call; `calls`: caller, id, ms. A log is kept for the span."""
+    schema = f"{_typed(calls, 'caller', 'id')}, ms bigint, accepted boolean"
+    return _run(calls, ["caller"], _RateLimit(limit, span_ms, ["ms", "id"]), schema, span_ms, delay)
 
 
 class _SendOnce(_Keyed):
@@ -98,37 +127,42 @@ class _SendOnce(_Keyed):
         return None, (row["id"], "failed")
 
 
-def send_once(attempts: DataFrame, hold_ms: int = 24 * _HOUR) -> DataFrame:
-    """(candidate, job, id, outcome) per attempt; `attempts`: candidate, job, id, ms, ok."""
-    schema = "candidate bigint, job bigint, id bigint, outcome string"
-    return _run(attempts, ["candidate", "job"], _SendOnce(hold_ms, ["ms", "id"]), schema)
+def send_once(attempts: DataFrame, hold_ms: int = 24 * _HOUR, delay: str = "1 hour") -> DataFrame:
+    """(candidate, job, id, outcome) per attempt; `attempts`: candidate, job, id, ms, ok. A key is kept for the hold."""
+    schema = f"{_typed(attempts, 'candidate', 'job', 'id')}, outcome string"
+    rule = _SendOnce(hold_ms, ["ms", "id"])
+    return _run(attempts, ["candidate", "job"], rule, schema, hold_ms, delay)
 
 
 class _Idle(StatefulProcessor):
-    """A timer per open task; it fires when the watermark passes the idle time after the last event."""
+    """A timer per task; it fires when the watermark passes the idle time after the last event.
+
+    It reports an open task and forgets an ended one; until then later events do not reopen it.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint, timer bigint")
+        self.last = handle.getValueState("last", "ms bigint, timer bigint, ended boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        state = self.last.get() if self.last.exists() else None
-        newest = int(max(batch["ms"].max(), state[0] if state else 0))
-        if state:
-            self.handle.deleteTimer(state[1])
-        if batch["type"].isin(["done", "error"]).any() or (state and state[0] < 0):
-            self.last.update((-1, -1))  # ended: later events do not reopen the task
-        else:
-            self.handle.registerTimer(newest + self.idle)
-            self.last.update((newest, newest + self.idle))
-        yield pd.DataFrame({"task_id": [], "last_event": []})
+        newest, timer, ended = self.last.get() if self.last.exists() else (0, None, False)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        for batch in rows:
+            newest = int(max(newest, batch["ms"].max()))
+            ended = bool(ended or batch["type"].isin(["done", "error"]).any())
+        self.handle.registerTimer(newest + self.idle)
+        self.last.update((newest, newest + self.idle, ended))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"task_id": [key[0]], "last_event": [self.last.get()[0]]})
+        last, _, ended = self.last.get()
+        self.last.clear()
+        if not ended:
+            yield pd.DataFrame({"task_id": [key[0]], "last_event": [last]})
 
     def close(self) -> None:
         pass
@@ -140,7 +174,7 @@ def idle_alerts(events: DataFrame, idle_ms: int = 15_000, delay: str = "10 secon
     timed = events.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
     return timed.groupBy("task_id").transformWithStateInPandas(
         statefulProcessor=_Idle(idle_ms),
-        outputStructType="task_id bigint, last_event bigint",
+        outputStructType=f"{_typed(events, 'task_id')}, last_event bigint",
         outputMode="Append",
         timeMode="EventTime",
     )

@@ -162,16 +162,16 @@ def test_live_view_and_outcome_stream(spark, tmp_path):
 
 
 def test_idle_alerts(spark, tmp_path):
-    rows = [(1, 0, "stage"), (1, 5, "stage"), (2, 0, "stage"), (2, 8, "done"), (3, 300, "stage"), (3, 400, "stage"), (3, 500, "stage")]
-    df = spark.createDataFrame(rows, "task_id long, s long, type string").select("task_id", F.timestamp_seconds("s").alias("ts"), "type")
+    rows = [(f"task-{t}", s, kind) for t, s, kind in [(1, 0, "stage"), (1, 5, "stage"), (2, 0, "stage"), (2, 8, "done"), (3, 300, "stage"), (3, 400, "stage"), (3, 500, "stage")]]
+    df = spark.createDataFrame(rows, "task_id string, s long, type string").select("task_id", F.timestamp_seconds("s").alias("ts"), "type")
     stream = as_stream(spark, df, str(tmp_path / "in"), "ts")
     alerts = drain(state.idle_alerts(stream, 15_000, "1 second"), "idle")
     got = {(r["task_id"], r["last_event"]) for r in alerts.collect()}
-    assert (1, 5000) in got and not any(t == 2 for t, _ in got)
+    assert ("task-1", 5000) in got and not any(t == "task-2" for t, _ in got)
     idle = folds.idle_tasks(
         df.select("task_id", F.unix_millis("ts").alias("occurred_at"), "type"), F.lit(510_000)
     )
-    assert {r["task_id"] for r in idle.collect()} == {1}
+    assert {r["task_id"] for r in idle.collect()} == {"task-1"}
 
 
 def test_windowed_histograms_stream(spark, tmp_path):

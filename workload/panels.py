@@ -492,7 +492,7 @@ r0 AS (SELECT candidate_id, count(*) > 1 AND stddev_pop(score) > 12 AS debated F
 r1 AS (SELECT candidate_id, stddev_pop(30 + l_quantity) <= 12 AS settled FROM fresh
        WHERE agent NOT IN ('stability_analyzer', 'devils_advocate') GROUP BY ALL),
 final AS (
-  SELECT f.*, CASE WHEN agent = 'stability_analyzer' OR NOT coalesce(debated, false) THEN score
+  SELECT f.*, debated, settled, CASE WHEN agent = 'stability_analyzer' OR NOT coalesce(debated, false) THEN score
                    WHEN coalesce(settled, false) THEN 30 + l_quantity ELSE 50 + l_quantity / 10 END AS last_score
   FROM fresh f LEFT JOIN r0 USING (candidate_id) LEFT JOIN r1 USING (candidate_id)
 ),
@@ -506,16 +506,30 @@ arb AS (
     "e15_fine_screen",
     f"""
 {_FINE}
-SELECT candidate_id, round(overall_score, 9) AS overall_score, false AS cached FROM arb
+SELECT a.candidate_id, round(overall_score, 9) AS overall_score, false AS cached, f.n_details, f.n_turns,
+       'score ' || f.n_details AS recommendation_text
+FROM arb a JOIN (
+  SELECT candidate_id, count(*) AS n_details,
+         sum(CASE WHEN coalesce(debated, false) AND agent <> 'stability_analyzer'
+                  THEN CASE WHEN coalesce(settled, false) THEN 1 ELSE 2 END ELSE 0 END)::BIGINT AS n_turns
+  FROM final GROUP BY ALL) f USING (candidate_id)
 UNION ALL
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 101 ELSE 0 END::DOUBLE, true
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 101 ELSE 0 END::DOUBLE, true,
+       (o_orderkey % 8 <> 0 AND o_orderkey % 120 <= 100)::BIGINT, 0, ''
 FROM orders WHERE o_orderkey % 4 = 0
 """,
 )
 def _(t):
     panel, turns, cached = _fine_inputs(t)
-    done = fine_screen(panel, turns, t.views.panel_weights(), cached, digits=9)
-    return done.select("candidate_id", "overall_score", "cached")
+    details = F.concat(F.lit("score "), F.size("agent_details").cast("string"))
+    done = fine_screen(
+        panel, turns, t.views.panel_weights(), cached, digits=9,
+        recommend=lambda reports: reports.withColumn("recommendation_text", details),  # stands in for a model
+    )
+    return done.select(
+        "candidate_id", "overall_score", "cached", F.size("agent_details").cast("bigint").alias("n_details"),
+        F.coalesce(F.size("discussion.turns"), F.lit(0)).cast("bigint").alias("n_turns"), "recommendation_text",
+    )
 
 
 @query(
