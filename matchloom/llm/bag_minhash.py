@@ -117,7 +117,7 @@ def bands_of(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(total).view(np.int64)
 
 
-SLICE_BYTES, SLICE_TEXTS = 2_000_000, 500
+SLICE_BYTES, SLICE_TEXTS = 500_000, 256
 
 
 def slices(cells: pa.Array) -> Iterator[list[bytes]]:
