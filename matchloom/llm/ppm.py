@@ -7,7 +7,7 @@ the escape estimate of method C; an escape passes to the next shorter context wi
 knows (symbol exclusion), at last to an even share of the unknown bytes. As training is over when scoring starts,
 the code length of each byte in each context is worked out once, into a table.
 
-Texts are scored in UTF-8 with A to Z in lower case, between four start marks and an end mark that is predicted, too.
+Texts are scored in UTF-8 with A to Z in lower case, between start marks and an end mark that is predicted, too.
 A null text is an empty one: its score is that of the end mark. Without training texts every byte has an even share.
 
 `base_rows` adds add-one unigram sums over words, with counts from a join; only the most frequent words, of bounded
@@ -35,8 +35,8 @@ BITS = 9  # of a symbol in a packed run
 
 @dataclass(frozen=True)
 class PpmSettings:
-    order: int = 4
-    max_contexts: int = 65_536
+    order: int = 5
+    max_contexts: int = 131_072
     max_words: int = 150_000  # words looked up in the task; the others are joined
 
 
@@ -88,7 +88,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def count_runs(texts: DataFrame, order: int) -> DataFrame:
     """(run, n) over one text column."""
-    room = 4_000_000  # counted runs a task holds before it merges them
+    room = 3_000_000  # counted runs a task holds before it merges them
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -114,7 +114,7 @@ def count_runs(texts: DataFrame, order: int) -> DataFrame:
 @dataclass
 class PpmModel:
     order: int
-    child: np.ndarray  # node and the next earlier symbol to a longer context's node, or -1
+    child: np.ndarray  # node and the column of the next earlier symbol to a longer context's node, or -1
     column: np.ndarray  # symbol to its column of `logs`
     logs: np.ndarray  # log10 probability, one row per node, one column per known symbol and one for any other
 
@@ -175,22 +175,30 @@ def model_of(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarr
             tail = np.where(new > 0, new / size[:, None], passed[:, None] * above_tail)
             # the earliest symbol of a context leads from its shorter one to it
             links = child_rows[level - 1]
-            links[up, names >> (BITS * (level - 1))] = base + np.arange(len(names))
+            links[up, _context_column(column, names >> (BITS * (level - 1)))] = base + np.arange(len(names))
         share = np.where(counts > 0, counts / np.maximum(total + distinct, 1)[:, None], escape[:, None] * tail)
         with np.errstate(divide="ignore"):
             logs.append(np.log10(share).astype(np.float32))
-        child_rows.append(np.full((len(names), START + 1), -1, np.int32))
+        child_rows.append(np.full((len(names), width + 1), -1, np.int32))
         previous, base = (counts, tail), base + len(names)
-    return PpmModel(order, np.concatenate(child_rows[:-1] or [np.zeros((0, START + 1), np.int32)]), column, np.concatenate(logs))
+    links = np.concatenate(child_rows[:-1] or [np.zeros((0, width + 1), np.int32)])
+    return PpmModel(order, links, column, np.concatenate(logs))
+
+
+def _context_column(column: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Columns of `child`: those of the known symbols, one of all others (never linked), the start mark's last."""
+    last = int(column.max()) + 1
+    return np.where(symbol == START, last, column[symbol])
 
 
 def score_texts(model: PpmModel, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each lower-case text and its end."""
     data, at = symbols(texts, model.order)
+    earlier = _context_column(model.column, data)
     node = np.zeros(len(at), np.int32)
     alive = np.arange(len(at))
     for back in range(1, model.order + 1):
-        found = model.child[node[alive], data[at[alive] - back]]
+        found = model.child[node[alive], earlier[at[alive] - back]]
         there = found >= 0
         alive, found = alive[there], found[there]
         node[alive] = found

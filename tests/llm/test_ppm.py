@@ -46,7 +46,7 @@ def test_scores_of_brute_force(spark):
     counts, ends = sum(words.values()) + len(plain), len(plain)
     for i, text in enumerate(asked):
         body = (text or "").encode().lower()
-        assert abs(got[i]["score"] - brute_score(plain, body, 4)) < 1e-4
+        assert abs(got[i]["score"] - brute_score(plain, body, ppm.PpmSettings().order)) < 1e-4
         c = [words[w] for w in body.split()] + [ends]
         assert got[i]["n_tokens"] == len(c) and got[i]["n_known"] == sum(x > 0 for x in c)
         assert got[i]["train_tokens"] == counts
