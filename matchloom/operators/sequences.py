@@ -54,6 +54,9 @@ def ordered_scan(
     current key is held.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(name, dtype)])
+    arrow = {
+        T.BooleanType: pa.bool_(), T.StringType: pa.string(), T.LongType: pa.int64(), T.DoubleType: pa.float64()
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
@@ -66,7 +69,7 @@ def ordered_scan(
                     key, state = row_key, new_state()
                 values.append(step(state, row))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(values)], names=[*batch.schema.names, name]
+                [*batch.columns, pa.array(values, arrow[type(dtype)])], names=[*batch.schema.names, name]
             )
 
     ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)

@@ -180,3 +180,10 @@ def test_hard_filter_has_no_cross_join(spark):
     )
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_years_in_full_width_typography(spark):
+    rows = [("3　年以上",), ("５年经验",), ("１０ 年",), ("无",)]
+    df = spark.createDataFrame(rows, "r string")
+    got = [r[0] for r in df.select(rules.required_years(F.array("r"))).collect()]
+    assert got == [3, 5, 10, 0]
