@@ -270,7 +270,7 @@ def _(t):
 
 
 def jobs_with_overrides(v):
-    """Jobs whose overrides depend on the id: good, badly typed and unknown ones."""
+    """Jobs whose overrides depend on the id: good, badly typed and unknown ones; every third asks for its own N."""
     item = F.col("job_id")
     overrides = F.create_map(
         F.lit("rag_top_k"), F.when(item % 5 == 0, F.lit("abc")).otherwise((item % 9 + 1).cast("string")),
@@ -278,7 +278,10 @@ def jobs_with_overrides(v):
         F.lit("rerank_threshold"), F.when(item % 3 == 0, F.lit("0.7")).otherwise(F.lit("x")),
         F.lit("evil_param"), F.lit("1"),
     )
-    return v.jobs().withColumn("screen_overrides", F.when(item % 7 != 6, overrides))
+    wanted = F.when(item % 3 == 1, (1 + item % 60).cast("int"))
+    return v.jobs().withColumns(
+        {"screen_overrides": F.when(item % 7 != 6, overrides), "max_candidates": wanted}
+    )
 
 
 @query(
@@ -289,7 +292,8 @@ SELECT item_id AS job_id,
        CASE WHEN item_id % 7 <> 6 AND item_id % 2 = 0 THEN 'cross_encoder' ELSE 'cosine' END AS rerank_mode,
        2 AS pairs_factor, 400 AS doc_chars,
        CASE WHEN item_id % 7 <> 6 AND item_id % 3 = 0 THEN 0.7 ELSE 0.4 END::DOUBLE AS threshold_cross,
-       0.55::DOUBLE AS threshold_cosine
+       0.55::DOUBLE AS threshold_cosine,
+       (CASE WHEN item_id % 3 = 1 THEN least(1 + item_id % 60, 50) ELSE 10 END)::INT AS max_candidates
 FROM benchmark
 """,
 )
@@ -485,7 +489,7 @@ def _(t):
 {WITH_FUSED}
 SELECT job_id, candidate_id, rrf_score,
        row_number() OVER (PARTITION BY job_id ORDER BY rrf_score DESC, candidate_id) AS fused_rank
-FROM fused QUALIFY fused_rank <= CASE WHEN job_id % 7 <> 6 AND job_id % 2 = 0 THEN 20 ELSE 40 END
+FROM fused QUALIFY fused_rank <= CASE WHEN job_id % 7 <> 6 AND job_id % 2 = 0 THEN 2 ELSE 4 END * CASE WHEN job_id % 3 = 1 THEN least(1 + job_id % 60, 50) ELSE 10 END
 """,
 )
 def _(t):
@@ -542,7 +546,7 @@ conf AS (
 cut AS (
   SELECT tenant_id, job_id, candidate_id, rrf_score, mode, t_cross,
          row_number() OVER (PARTITION BY job_id ORDER BY rrf_score DESC, candidate_id) AS fused_rank
-  FROM fused JOIN conf USING (job_id) QUALIFY fused_rank <= CASE mode WHEN 'cosine' THEN 40 ELSE 20 END
+  FROM fused JOIN conf USING (job_id) QUALIFY fused_rank <= CASE mode WHEN 'cosine' THEN 4 ELSE 2 END * CASE WHEN job_id % 3 = 1 THEN least(1 + job_id % 60, 50) ELSE 10 END
 ),
 paired AS (
   SELECT c.*, CASE WHEN (job_id + candidate_id) % 3 <> 0 THEN (candidate_id % 100) / 100.0::DOUBLE END AS cross_score,
@@ -602,7 +606,7 @@ def _(t):
 {_SCORED}
 SELECT job_id, candidate_id, round(score, 4) AS score, rrf_score,
        row_number() OVER (PARTITION BY job_id ORDER BY round(score, 4) DESC, fused_rank) AS rank
-FROM kept QUALIFY rank <= 10
+FROM kept QUALIFY rank <= CASE WHEN job_id % 3 = 1 THEN least(1 + job_id % 60, 50) ELSE 10 END
 """,
 )
 def _(t):
