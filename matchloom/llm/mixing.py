@@ -30,9 +30,13 @@ class MixSettings:
     most: float = 2.0
 
 
+KEY_BITS = 60
+
+
 def random_key(doc_id: Column) -> Column:
-    """62 hash bits of the id; the top ones name the key's range."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id.cast("string"), F.lit("mix")), 2)
+    """60 hash bits of the id; the top ones name the key's range."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/mix")))
+    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sources: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
@@ -82,7 +86,7 @@ def mix_plan(docs: DataFrame, settings: MixSettings = MixSettings()) -> tuple[Da
     budget = stage(budget, "mix-budget")
     same = F.col("source").eqNullSafe(F.col("s"))
     renamed = budget.select(F.col("source").alias("s"), "bits", "left")
-    ranged = rows.join(renamed, same).drop("s").where("left > 0").withColumn("range", F.expr("shiftright(key, 62 - bits)"))
+    ranged = rows.join(renamed, same).drop("s").where("left > 0").withColumn("range", F.expr(f"shiftright(key, {KEY_BITS} - bits)"))
     sums = ranged.groupBy("source", "left", "range").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("range"))
     cut_range = (

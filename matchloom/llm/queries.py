@@ -70,7 +70,39 @@ def op5_bag_minhash(spark, sf_dir):
     return bag_minhash.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_key")
 
 
-@query("op6_mixing")
+@query(
+    "op6_mixing",
+    """
+    WITH d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+               ('0x' || md5(coalesce(doc_id::VARCHAR, '') || '/mix')[1:15])::BIGINT AS k
+        FROM documents),
+    s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+    s1 AS (
+        SELECT *, 2.0::DOUBLE * source_size AS most,
+               [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+        FROM s0),
+    s2 AS (
+        SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (
+                       ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+                  AS level
+        FROM s1),
+    s3 AS (
+        SELECT source, source_size, least(most, w * max(CASE WHEN most / w >= level THEN level END) OVER ()) AS target
+        FROM s2),
+    s4 AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE round(target)::BIGINT // source_size END AS epochs FROM s3),
+    p AS (
+        SELECT d.doc_id, d.size, s4.source_size, s4.target, s4.epochs,
+               round(s4.target)::BIGINT - s4.epochs * s4.source_size AS rest,
+               sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)
+                   - d.size AS ahead
+        FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source)
+    SELECT doc_id, size, source_size, target,
+           (epochs * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken
+    FROM p
+    """,
+)
 def op6_mixing(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source", quality_rules.count_words(F.col("text")).alias("size"))
     chosen = mixing.taken(*mixing.mix_plan(docs))
