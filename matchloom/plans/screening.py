@@ -59,11 +59,13 @@ def coarse_screen(
     settings: ScreenSettings = DEFAULTS,
     as_of_year: int | None = None,
     staged: bool = True,
-    prune: bool = False,
+    prune: bool = True,
+    include_nonmatching: bool = False,
 ) -> DataFrame:
     """(tenant, job, candidate, rank, score, score_mode, rrf_score, evidence, reasons), top N per job.
 
-    `prune` spares the sparse recall the pairs of frequent tokens; worth it for large corpora.
+    `prune` spares the sparse recall the pairs of frequent tokens; the list is the same without it.
+    `include_nonmatching` lists pool members without any query token behind the matching ones.
     """
     jobs = inputs.jobs
     if "screen_overrides" not in jobs.columns:
@@ -80,7 +82,9 @@ def coarse_screen(
     k = conf.agg(F.max("rag_top_k")).first()[0] or settings.rag_top_k
     docs = inputs.candidates.select("tenant_id", "candidate_id", F.col("resume_text").alias("text"))
     queries = jobs.select("tenant_id", "job_id", "rule_id", "query")
-    sparse = bm25_search(docs, queries, k, pool=pool, settings=settings, prune=prune)
+    sparse = bm25_search(
+        docs, queries, k, pool=pool, settings=settings, prune=prune, include_nonmatching=include_nonmatching
+    )
     # A job whose pool is empty stops before recall.
     open_rules = pool.select("tenant_id", "rule_id").distinct()
     open_jobs = job_rule.join(open_rules, ["tenant_id", "rule_id"], "left_semi")

@@ -364,6 +364,16 @@ def _(t):
     return bm25_search(v.documents(), v.jobs().select("tenant_id", "job_id", "query"), prune=True)
 
 
+@query(
+    "r11_bm25_blocks",
+    f"WITH {S.CANDIDATES}, {S.JOBS}, {S.BM25}, {S.SPARSE} SELECT * FROM sparse",
+)
+def _(t):
+    # Limits so small that the jobs are scored in blocks, as with very many of them.
+    v = t.views
+    return bm25_search(v.documents(), v.jobs().select("tenant_id", "job_id", "query"), max_broadcast_terms=400)
+
+
 @query(
     "r11_bm25_with_nonmatching",
     f"""
@@ -401,6 +411,16 @@ def _(t):
     return dense_hits(t.views)
 
 
+@query(
+    "r12_dense_blocks",
+    f"{WITH_DENSE} SELECT tenant_id, job_id, candidate_id, chunk_index, score, rank FROM dense",
+)
+def _(t):
+    # Limits so small that query vectors are dealt in blocks to groups of chunks.
+    v = t.views
+    return dense_search(v.job_vectors(), v.chunks(), 30, max_broadcast_bytes=0, block_bytes=16_384, group_rows=2_000)
+
+
 @query(
     "r13_evidence",
     f"""
