@@ -148,43 +148,60 @@ def model_of(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarr
     column = np.full(START + 1, len(known))
     column[known] = np.arange(len(known))
     # Level by level: nodes of an order follow those of shorter ones. The tail of a node is the share of each symbol
-    # after an escape from it.
-    nodes = [np.zeros(1, np.int64)]
-    child_rows, logs = [], []
-    base, previous = 0, None
+    # after an escape from it. Nodes are worked on in chunks, so that little more than the tables is held.
+    nodes, child, logs = [np.zeros(1, np.int64)], [], []
+    base, above, above_tail = 0, np.zeros((0, width), np.float32), np.zeros((0, width), np.float32)
     for level in range(order + 1):
         own = k == level
         if level:
             nodes.append(np.unique(context[own]))
         names = nodes[level]
-        counts = np.zeros((len(names), width))
+        counts = np.zeros((len(names), width), np.float32)
         counts[np.searchsorted(names, context[own]), column[symbol[own]]] = n[own]
-        total, distinct = counts.sum(axis=1), (counts > 0).sum(axis=1)
-        escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
-        if level == 0:
-            rest = SYMBOLS - distinct[:, None]
-            tail = np.where(rest > 0, 1.0 / np.maximum(rest, 1), 0.0) * np.ones((1, width))
-        else:
-            shorter = names & ((1 << (BITS * (level - 1))) - 1)
-            up = np.searchsorted(nodes[level - 1], shorter)
-            above, above_tail = previous[0][up], previous[1][up]
-            new = np.where(counts > 0, 0.0, above)
-            new_total, new_distinct = new.sum(axis=1), (new > 0).sum(axis=1)
-            size = np.maximum(new_total + new_distinct, 1)
-            passed = np.where(new_distinct > 0, new_distinct / size, 1.0)
-            tail = np.where(new > 0, new / size[:, None], passed[:, None] * above_tail)
+        up = np.zeros(len(names), np.int64)
+        if level:
+            up = np.searchsorted(nodes[level - 1], names & ((1 << (BITS * (level - 1))) - 1))
             # the earliest symbol of a context leads from its shorter one to it
-            links = child_rows[level - 1]
-            links[up, _context_column(column, names >> (BITS * (level - 1)))] = base + np.arange(len(names))
-        share = np.where(counts > 0, counts / np.maximum(total + distinct, 1)[:, None], escape[:, None] * tail)
+            child[-1][up, _context_column(column, names >> (BITS * (level - 1)))] = base + np.arange(len(names))
+        tail, share = np.zeros_like(counts), np.zeros_like(counts)
+        for at in range(0, len(names), _CHUNK):
+            part = slice(at, at + _CHUNK)
+            if level:
+                tail[part] = _tail(counts[part], above[up[part]], above_tail[up[part]])
+            else:
+                unknown = SYMBOLS - (counts > 0).sum()
+                tail[:] = 1.0 / unknown if unknown else 0.0
+            share[part] = _share(counts[part], tail[part])
         with np.errstate(divide="ignore"):
-            logs.append(np.log10(share).astype(np.float32))
-        child_rows.append(np.full((len(names), width + 1), -1, np.int32))
-        previous, base = (counts, tail), base + len(names)
-    links = np.concatenate(child_rows[:-1] or [np.zeros((0, width + 1), np.int32)])
+            logs.append(np.log10(share, out=share))
+        child.append(np.full((len(names), width + 1), -1, np.int32) if level < order else None)
+        base, above, above_tail = base + len(names), counts, tail
+    links = np.concatenate(child[:-1] or [np.zeros((0, width + 1), np.int32)])
     return PpmModel(order, links, column, np.concatenate(logs))
 
 
+_CHUNK = 4_096
+
+
+def _tail(counts: np.ndarray, above: np.ndarray, above_tail: np.ndarray) -> np.ndarray:
+    """Shares after an escape: those of the shorter context without the symbols that the longer one knows, and of its
+    own tail."""
+    new = np.where(counts > 0, 0.0, above.astype(np.float64))
+    total, distinct = new.sum(axis=1, keepdims=True), (new > 0).sum(axis=1, keepdims=True)
+    size = np.maximum(total + distinct, 1)
+    passed = np.where(distinct > 0, distinct / size, 1.0)
+    return np.where(new > 0, new / size, passed * above_tail)
+
+
+def _share(counts: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The probability of each symbol by method C."""
+    exact = counts.astype(np.float64)
+    total, distinct = exact.sum(axis=1, keepdims=True), (exact > 0).sum(axis=1, keepdims=True)
+    size = np.maximum(total + distinct, 1)
+    escape = np.where(total > 0, distinct / size, 1.0)
+    return np.where(exact > 0, exact / size, escape * tail)
+
+
 def _context_column(column: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """Columns of `child`: those of the known symbols, one of all others (never linked), the start mark's last."""
     last = int(column.max()) + 1
