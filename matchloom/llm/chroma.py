@@ -306,7 +306,10 @@ def best_matches(prints: DataFrame, settings: ChromaSettings = ChromaSettings())
     best = F.min(F.struct("error", (-F.col("overlap")).alias("o"), "match_id", "offset")).alias("m")
     per_node = named.groupBy("node").agg(F.count("*").alias("n_matches"), best)
     facts = heads.join(per_node, "node", "left")
-    return members.join(facts, "node", "left").select(
+    # Rows without a fingerprint meet nothing; as a key, null would bring them all to one task.
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema if f.name != "node"]
+    alone = members.where("node IS NULL").select("*", *none)
+    return members.join(facts, "node").unionByName(alone).select(
         "doc_id",
         "frames",
         F.coalesce("class_id", "doc_id").alias("class_id"),
