@@ -172,41 +172,37 @@ def _model(words: list, grams: list, settings: LanguageSettings) -> LanguageMode
     )
 
 
-class _WordScores(dict):
-    """Row number per word; unseen words are backed off once and remembered in a table of fixed length."""
-
-    ROOM = 150_000
-
-    def __init__(self, model: LanguageModel):
-        super().__init__(model.words)
-        self.model, self.start = model, len(model.table)
-        self.table = np.zeros((self.start + self.ROOM, len(model.languages)), np.float32)
-        self.table[: self.start] = model.table
-        self.end = self.start
-
-    def fresh(self) -> None:
-        """Forget the words met so far if there is no room for another text's."""
-        if self.end - self.start > self.ROOM // 2:
-            self.clear()
-            self.update(self.model.words)
-            self.end = self.start
-
-    def __missing__(self, word: str) -> int:
-        if self.end == len(self.table):  # one text with very many unseen words
-            self.table = np.concatenate([self.table, np.zeros_like(self.table[self.start :])])
-        self.table[self.end] = backed_off(self.model, word)
-        self[word] = self.end
-        self.end += 1
-        return self.end - 1
-
-
-def backed_off(model: LanguageModel, word: str) -> np.ndarray:
-    """Mean log frequencies of the longest n-grams of a word that the model knows; zeros if it knows none."""
-    for n in range(model.settings.max_gram, 0, -1):
-        rows = [model.grams[g] for g in grams_of(word, n) if g in model.grams]
+def backed_off(model: LanguageModel, word: str) -> list[int]:
+    """Rows of the longest n-grams of a word that the model knows, none if it knows none of its letters."""
+    marked, grams = f"^{word}$", model.grams
+    for n in range(model.settings.max_gram, 1, -1):
+        rows = [grams[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in grams]
         if rows:
-            return model.table[rows].mean(axis=0)
-    return np.zeros(len(model.languages), np.float32)
+            return rows
+    return [grams[g] for g in word if g in grams]
+
+
+def sums_of(model: LanguageModel, found: list[str], unseen: dict[str, list[int]]) -> np.ndarray:
+    """The languages' sums over a text's words. `unseen` keeps the rows of unseen words between texts."""
+    known = model.words
+    rows = [known[w] for w in found if w in known]
+    sums = model.table[rows].sum(axis=0, dtype=np.float64)
+    if len(rows) < len(found):
+        grams, shares = [], []
+        for word in found:
+            if word not in known:
+                own = unseen.get(word)
+                if own is None:
+                    if len(unseen) >= _ROOM:
+                        unseen.clear()
+                    own = unseen[word] = backed_off(model, word)
+                grams += own
+                shares += [1.0 / len(own)] * len(own) if own else ()
+        sums += np.asarray(shares) @ model.table[grams] if grams else 0.0
+    return sums
+
+
+_ROOM = 50_000  # unseen words that a task remembers
 
 
 def _answer(model: LanguageModel, sums: np.ndarray, n: int) -> tuple[str, float]:
@@ -223,7 +219,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value
-        scores = _WordScores(learned)
+        unseen: dict[str, list[int]] = {}
         for batch in batches:
             names, values = [], []
             for cell in batch.column(batch.num_columns - 1):
@@ -232,9 +228,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
                     names.append(UNKNOWN)
                     values.append(0.0)
                     continue
-                scores.fresh()
-                rows = np.fromiter(map(scores.__getitem__, found), np.int64, len(found))
-                name, value = _answer(learned, scores.table[rows].sum(axis=0, dtype=np.float64), len(found))
+                name, value = _answer(learned, sums_of(learned, found, unseen), len(found))
                 names.append(name)
                 values.append(value)
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(values, pa.float64())]

@@ -25,15 +25,20 @@ def tiny_model():
     return li._model(named([(w, b) for _, w, b in rows]), named(grams), li.LanguageSettings())
 
 
+def mean_row(model, word):
+    rows = li.backed_off(model, word)
+    return model.table[rows].astype(float).mean(axis=0) if rows else np.zeros(len(model.languages))
+
+
 def test_backoff_takes_the_longest_known_grams():
     model = tiny_model()
-    place = {g: model.table[i] for g, i in model.grams.items()}
-    assert np.allclose(li.backed_off(model, "thick"), place["^th"])  # no 4-gram, one 3-gram
-    assert np.allclose(li.backed_off(model, "hz"), (place["h"] + place["z"]) / 2)  # single letters
-    assert not li.backed_off(model, "漢").any()
+    assert li.backed_off(model, "thick") == [model.grams["^th"]]  # no 4-gram, one 3-gram
+    assert li.backed_off(model, "hz") == [model.grams["h"], model.grams["z"]]  # single letters
+    assert li.backed_off(model, "漢") == []
     # a known word is not backed off
-    scores = li._WordScores(model)
-    assert scores["the"] == model.words["the"] and scores["thick"] >= scores.start
+    assert np.allclose(li.sums_of(model, ["the"], {}), model.table[model.words["the"]])
+    both = model.table[model.words["the"]] + mean_row(model, "thick")
+    assert np.allclose(li.sums_of(model, ["the", "thick", "漢"], {}), both)
 
 
 def test_scores_of_brute_force(spark):
@@ -47,7 +52,7 @@ def test_scores_of_brute_force(spark):
             assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0)
             continue
         total = sum(
-            (model.table[model.words[w]] if w in model.words else li.backed_off(model, w)).astype(float) for w in words
+            (model.table[model.words[w]] if w in model.words else mean_row(model, w)).astype(float) for w in words
         )
         share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
         if total.any():
@@ -57,15 +62,12 @@ def test_scores_of_brute_force(spark):
             assert rows[i]["score"] == 0.5
 
 
-def test_many_unseen_words_in_one_text(spark):
-    model = tiny_model()
-    scores = li._WordScores(model)
-    scores.ROOM = 10
-    for i in range(200_100):
-        scores[f"q{i}"]
-    assert scores.end == scores.start + 200_100
-    scores.fresh()
-    assert scores.end == scores.start and set(scores) == set(model.words)
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(li, "_ROOM", 10)
+    model, unseen = tiny_model(), {}
+    words = [f"thz{i}" for i in range(100)] * 2
+    plain = sum(mean_row(model, w) for w in words)
+    assert np.allclose(li.sums_of(model, words, unseen), plain) and len(unseen) <= 10
 
 
 def test_awkward_rows(spark):
