@@ -1,11 +1,15 @@
 """Scoring by prediction by partial matching over bytes, trained on a corpus.
 
 Training counts every run of `order` bytes and the byte after it, over all training texts; shorter contexts are sums
-of longer ones. The contexts form a trie that every scoring task holds, so its nodes are bounded: those of the
-greatest counts stay, each with its shorter contexts. A byte is predicted in the longest context of the trie, with
-the escape estimate of method C; an escape passes to the next shorter context without the bytes that the longer one
-knows (symbol exclusion), at last to an even share of the unknown bytes. As training is over when scoring starts,
-the code length of each byte in each context is worked out once, into a table.
+of longer ones. A byte is predicted in the longest context of the training texts, with the escape estimate of method
+C; an escape passes to the next shorter context without the bytes that the longer one knows (symbol exclusion), at
+last to an even share of the unknown bytes. As training is over when scoring starts, the code length of each byte in
+each frequent context is worked out once, into a table.
+
+The frequent contexts, of bounded number, form a trie that every scoring task holds: those of the greatest counts,
+each with its shorter contexts. All other contexts stay a stored table that grows with the training texts. Where a
+text leaves the trie at a context that is not in it, the task passes on the run; the distinct ones are joined with
+the stored contexts, and what that changes in their code length is joined with the rows.
 
 Texts are scored in UTF-8 with A to Z in lower case, between start marks and an end mark that is predicted, too.
 A null text is an empty one: its score is that of the end mark. Without training texts every byte has an even share.
@@ -17,7 +21,7 @@ number, are looked up in the task. Rows are scored one by one; repeated rows and
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,10 +121,20 @@ class PpmModel:
     child: np.ndarray  # node and the column of the next earlier symbol to a longer context's node, or -1
     column: np.ndarray  # symbol to its column of `logs`
     logs: np.ndarray  # log10 probability, one row per node, one column per known symbol and one for any other
+    total: np.ndarray  # per node: how often its context was seen
+    kinds: np.ndarray  # per node: symbols that follow it
+    follows: np.ndarray  # per node: whether each column's symbol follows it, as packed bits
 
 
 def fit(texts: DataFrame, settings: PpmSettings = PpmSettings()) -> PpmModel:
-    """Learn from all rows of a one-column table of texts."""
+    """The trie of the frequent contexts of a one-column table of texts."""
+    return learn(texts, settings)[0]
+
+
+def learn(texts: DataFrame, settings: PpmSettings = PpmSettings()) -> tuple[PpmModel, DataFrame | None]:
+    """Learn from all rows of a one-column table of texts: the trie, and the contexts that are not in it (None if all
+    are): (k, context, total, kinds, above, follow). follow: symbols to their counts; above: the sum of the counts
+    that these symbols have in the next shorter context."""
     longest = stage(count_runs(texts, settings.order), "ppm-runs")
     by_order = [longest.withColumn("k", F.lit(settings.order))]
     for k in range(settings.order - 1, -1, -1):
@@ -133,11 +147,24 @@ def fit(texts: DataFrame, settings: PpmSettings = PpmSettings()) -> PpmModel:
     context = F.shiftright("run", BITS).alias("context")
     totals = stage(grams.groupBy("k", context).agg(F.sum("n").alias("total")), "ppm-contexts")
     least = least_count(totals, "total", settings.max_contexts)
-    kept = totals.where((F.col("total") >= least) | (F.col("k") == 0)).select("k", "context")
+    held = (F.col("total") >= least) | (F.col("k") == 0)
+    kept = totals.where(held).select("k", "context")
+    symbol = F.col("run").bitwiseAND(F.lit((1 << BITS) - 1)).alias("symbol")
     rows = grams.withColumn("context", context).join(kept, ["k", "context"])
     # bounded by max_contexts times the symbols
-    found = rows.select("k", "context", F.col("run").bitwiseAND(F.lit((1 << BITS) - 1)).alias("symbol"), "n").toArrow()
-    return model_of(*(found.column(c).to_numpy() for c in ("k", "context", "symbol", "n")), settings.order)
+    found = rows.select("k", "context", symbol, "n").toArrow()
+    model = model_of(*(found.column(c).to_numpy() for c in ("k", "context", "symbol", "n")), settings.order)
+    if least <= 1:
+        return model, None
+    # The runs of a level meet those of the next shorter one by the run without its first symbol.
+    rare = grams.withColumn("context", context).join(totals.where(~held), ["k", "context"])
+    shorter = grams.select((F.col("k") + 1).alias("k"), F.col("run").alias("__run"), F.col("n").alias("__n"))
+    rare = rare.withColumn("__run", F.expr(f"run & (shiftleft(1L, {BITS} * k) - 1)")).join(shorter, ["k", "__run"])
+    follow = F.map_from_entries(F.collect_list(F.struct(symbol, "n"))).alias("follow")  # as many as symbols at most
+    return model, stage(
+        rare.groupBy("k", "context", "total").agg(F.count("*").alias("kinds"), F.sum("__n").alias("above"), follow),
+        "ppm-rare",
+    )
 
 
 def model_of(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, order: int) -> PpmModel:
@@ -150,6 +177,7 @@ def model_of(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarr
     # Level by level: nodes of an order follow those of shorter ones. The tail of a node is the share of each symbol
     # after an escape from it. Nodes are worked on in chunks, so that little more than the tables is held.
     nodes, child, logs = [np.zeros(1, np.int64)], [], []
+    total, kinds, follows = [], [], []
     base, above, above_tail = 0, np.zeros((0, width), np.float32), np.zeros((0, width), np.float32)
     for level in range(order + 1):
         own = k == level
@@ -172,12 +200,15 @@ def model_of(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarr
                 unknown = SYMBOLS - (counts > 0).sum()
                 tail[:] = 1.0 / unknown if unknown else 0.0
             share[part] = _share(counts[part], tail[part])
+        total.append(np.bincount(np.searchsorted(names, context[own]), weights=n[own], minlength=len(names)))
+        kinds.append((counts > 0).sum(axis=1))
+        follows.append(np.packbits(counts > 0, axis=1))
         with np.errstate(divide="ignore"):
             logs.append(np.log10(share, out=share))
         child.append(np.full((len(names), width + 1), -1, np.int32) if level < order else None)
         base, above, above_tail = base + len(names), counts, tail
     links = np.concatenate(child[:-1] or [np.zeros((0, width + 1), np.int32)])
-    return PpmModel(order, links, column, np.concatenate(logs))
+    return PpmModel(order, links, column, *(np.concatenate(x) for x in (logs, total, kinds, follows)))
 
 
 _CHUNK = 4_096
@@ -208,20 +239,121 @@ def _context_column(column: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return np.where(symbol == START, last, column[symbol])
 
 
-def score_texts(model: PpmModel, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each lower-case text and its end."""
-    data, at = symbols(texts, model.order)
-    earlier = _context_column(model.column, data)
+def _walk(model: PpmModel, at: np.ndarray, earlier: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, its order, whether a longer context may be among the ones that are not in the trie) of each place.
+    earlier(places, b) gives the column of the symbol b before them."""
     node = np.zeros(len(at), np.int32)
+    depth = np.full(len(at), model.order, np.int8)
+    open_ = np.zeros(len(at), bool)
     alive = np.arange(len(at))
+    other = int(model.column.max())  # symbols that the training texts do not have
     for back in range(1, model.order + 1):
-        found = model.child[node[alive], earlier[at[alive] - back]]
+        columns = earlier(at[alive], back)
+        found = model.child[node[alive], columns]
         there = found >= 0
-        alive, found = alive[there], found[there]
-        node[alive] = found
-    logs = model.logs[node, model.column[data[at]]].astype(np.float64)
+        ended = alive[~there]
+        depth[ended] = back - 1
+        open_[ended] = columns[~there] != other
+        alive = alive[there]
+        node[alive] = found[there]
+    return node, depth, open_
+
+
+def score_texts(model: PpmModel, texts: list[bytes]) -> np.ndarray:
+    """log10 probability of each lower-case text and its end, by the contexts of the trie."""
+    return _scored_texts(model, texts)[0]
+
+
+def _scored_texts(model: PpmModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, text, run, times): the scores by the trie, and per text the runs that leave it at a context that is
+    not in it."""
+    data, at = symbols(texts, model.order)
     sizes = np.array([len(t) for t in texts], np.int64) + 1
-    return np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+    ends = np.cumsum(sizes)
+    logs, found = np.empty(len(at), np.float32), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for begin in range(0, len(at), _PLACES):
+        places = at[begin : begin + _PLACES]
+        first = places[0] - model.order
+        own = data[first : places[-1] + 1]
+        columns = _context_column(model.column, own)
+        node, _, open_ = _walk(model, places - first, lambda places, back: columns[places - back])
+        logs[begin : begin + len(places)] = model.logs[node, model.column[own[places - first]]]
+        left = np.flatnonzero(open_)
+        packed = np.zeros(len(left), np.int64)
+        for back in range(model.order, -1, -1):
+            packed = (packed << BITS) | data[places[left] - back]
+        found.append((np.searchsorted(ends, begin + left, "right"), packed))
+    which, packed = (np.concatenate(x) for x in zip(*found))
+    sort = np.lexsort((packed, which))
+    which, packed = which[sort], packed[sort]
+    new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (packed[1:] != packed[:-1])])[: len(which)])
+    times = np.diff(np.append(new, len(which)))
+    return np.add.reduceat(logs, ends - sizes, dtype=np.float64), which[new], packed[new], times
+
+
+_PLACES = 65_536  # looked up at once
+
+
+def corrections(runs: DataFrame, shared, rare: DataFrame, order: int) -> DataFrame:
+    """(run, change) of distinct runs that leave the trie: what the contexts that are not in it change in their code
+    length. shared: a broadcast whose first part is the trie."""
+    mask = (1 << BITS) - 1
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value[0]
+        for batch in batches:
+            run = batch.column(0).to_numpy()
+            symbol = run & mask
+            columns = [_context_column(model.column, (run >> (BITS * back)) & mask) for back in range(order + 1)]
+            node, depth, _ = _walk(model, np.arange(len(run)), lambda places, back: columns[back][places])
+            place = model.column[symbol]
+            follows = (model.follows[node, place // 8] >> (7 - place % 8)) & 1 > 0
+            total, kinds, log = model.total[node], model.kinds[node], model.logs[node, place].astype(np.float64)
+            # known symbols: their count; others: their share after an escape from the node
+            value = 10.0**log * (total + kinds) / np.where(follows, 1, kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (run, depth.astype(np.int32), total, kinds.astype(np.int64), follows, value, log)],
+                ["run", "depth", "total", "kinds", "follows", "value", "log"],
+            )
+
+    left = runs.mapInArrow(
+        leave, "run bigint, depth int, total double, kinds bigint, follows boolean, value double, log double"
+    )
+    # One row per longer context. The shorter ones of a context that was seen were seen, too.
+    longer = left.withColumn("k", F.explode(F.sequence(F.col("depth") + 1, F.lit(order)))).withColumn(
+        "context", F.expr(f"shiftright(run, {BITS}) & (shiftleft(1L, {BITS} * k) - 1)")
+    )
+    stats = rare.select("k", "context", F.col("total").alias("t"), F.col("kinds").alias("d"), "above", "follow")
+    symbol = F.col("run").bitwiseAND(F.lit(mask))
+    level = F.struct(
+        (-F.col("k")).alias("k"),
+        F.col("t").cast("double").alias("total"),
+        F.col("d").alias("kinds"),
+        F.col("above").cast("double").alias("above"),
+        F.coalesce(F.try_element_at("follow", symbol), F.lit(0)).cast("double").alias("n"),
+    )
+    own = ["run", "total", "kinds", "follows", "value", "log"]
+    met = longer.join(stats, ["k", "context"]).groupBy(*own).agg(F.sort_array(F.collect_list(level)).alias("levels"))
+    # The longest context first; `above` and `kinds` are what the next shorter one leaves out.
+    start = F.struct(
+        F.lit(1.0).alias("p"), F.lit(0.0).alias("above"), F.lit(0).cast("long").alias("kinds"), F.lit(False).alias("done")
+    )
+
+    def pass_on(state, x):
+        rest, new = x["total"] - state["above"], x["kinds"] - state["kinds"]
+        part = F.when(x["n"] > 0, x["n"] / (rest + new)).when(new > 0, new / (rest + new)).otherwise(F.lit(1.0))
+        after = F.struct(
+            (state["p"] * part).alias("p"), x["above"].alias("above"), x["kinds"].alias("kinds"), (x["n"] > 0).alias("done")
+        )
+        return F.when(state["done"], state).otherwise(after)
+
+    state = met.withColumn("s", F.aggregate("levels", start, pass_on))
+    rest, new = F.col("total") - F.col("s.above"), F.col("kinds") - F.col("s.kinds")
+    escaped = F.when(new > 0, new / (rest + new)).otherwise(F.lit(1.0))
+    base = F.when(F.col("s.done"), F.lit(1.0)).otherwise(
+        F.when(F.col("follows"), F.col("value") / (rest + new)).otherwise(escaped * F.col("value"))
+    )
+    return state.select("run", (F.log10(F.col("s.p") * base) - F.col("log")).alias("change"))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -254,10 +386,12 @@ def scored(
     settings: PpmSettings = PpmSettings(),
 ) -> DataFrame:
     """The kept columns with n_tokens, n_known, train_tokens, base_score and score. training: one text column.
+    All contexts of the training texts count, whatever the trie holds.
 
     Tokens are the words and one end of each text; base_score sums log10((c + 1) / (N + V + 1)) over them.
     """
-    model = fit(training, settings)
+    model, rare_contexts = learn(training, settings)
+    cut = rare_contexts is not None
     words = stage(count_words(training), "ppm-words")
     ends = training.count()  # the end is a token, too
     count, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -270,11 +404,17 @@ def scored(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
         for batch in batches:
-            scores, tokens, hits, sums, others = [], [], [], [], []
+            scores, tokens, hits, sums, others, others_times, others_ends = [], [], [], [], [], [], [0]
+            ends, left, times = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for slice_ in _texts(batch.column(batch.num_columns - 1)):
-                scores.append(score_texts(model, slice_))
+                found, which, run, n = _scored_texts(model, slice_)
+                scores.append(found)
+                if not cut:
+                    which, run, n = which[:0], run[:0], n[:0]
+                ends.append(ends[-1][-1] + np.cumsum(np.bincount(which, minlength=len(slice_))))
+                left.append(run)
+                times.append(n)
                 for one in slice_:
                     found = one.split()
                     held = [known[w] for w in found if w in known]
@@ -282,20 +422,32 @@ def scored(
                     tokens.append(len(found) + 1)
                     hits.append(len(held) + end_known)
                     sums.append(sum(held) + end_log)
-                    others.append([{"word": w, "times": n} for w, n in rest.items()])
+                    others += rest.keys()
+                    others_times += rest.values()
+                    others_ends.append(len(others))
             own = [
                 pa.array(np.concatenate(scores or [np.zeros(0)]), pa.float64()),
                 pa.array(tokens, pa.int64()),
                 pa.array(hits, pa.int64()),
                 pa.array(sums, pa.float64()),
-                pa.array(others, kind),
+                pa.ListArray.from_arrays(
+                    pa.array(others_ends, pa.int32()),
+                    pa.StructArray.from_arrays(
+                        [pa.array(others, pa.binary()), pa.array(others_times, pa.int64())], ["word", "times"]
+                    ),
+                ),
+                pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(ends), pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (left, times)], ["run", "times"]),
+                ),
             ]
-            names = ["score", "n_tokens", "hits", "sums", "others"]
+            names = ["score", "n_tokens", "hits", "sums", "others", "left"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], [*batch.schema.names[:-1], *names])
 
     held = docs.select(*keep, F.col(text).alias("__text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1]]
     more = "score double, n_tokens bigint, hits bigint, sums double, others array<struct<word:binary,times:bigint>>"
+    more += ", left array<struct<run:bigint,times:bigint>>"
     rows = stage(
         held.mapInArrow(score, ", ".join([*kinds, more])).withColumn("__row", F.monotonically_increasing_id()),
         "ppm-rows",
@@ -305,6 +457,13 @@ def scored(
     rare = rare.groupBy("__r").agg(
         F.sum("times").alias("rare_hits"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_sums")
     )
+    if cut:
+        # A run that leaves the trie holds a context of small count, so none of them is a hot key.
+        left = rows.select(F.col("__row").alias("__c"), F.inline("left"))
+        changes = corrections(left.select("run").distinct(), shared, rare_contexts, settings.order)
+        changes = left.join(changes, "run").groupBy("__c").agg(F.sum(F.col("times") * F.col("change")).alias("change"))
+        rows = rows.join(changes, F.col("__row") == F.col("__c"), "left").drop("__c")
+        rows = rows.withColumn("score", F.col("score") + F.coalesce("change", F.lit(0.0)))
     per_token = F.log10(F.lit(float(train_tokens + types + 1)))
     known_tokens = F.col("hits") + F.coalesce("rare_hits", F.lit(0))
     return rows.join(rare, F.col("__row") == F.col("__r"), "left").select(

@@ -68,6 +68,20 @@ def test_bounded_trie_is_a_distribution(spark):
     assert ppm.score_texts(full, text) > ppm.score_texts(small, text) > -len(text[0]) * math.log10(257)
 
 
+def test_contexts_outside_the_trie_count(spark):
+    train = [f"some text {i * i} of {i} with {i % 7} parts" for i in range(60)] + ["ñandú 漢字", "", "zq\x01"] + ["ab" * 9]
+    asked = ["some text 81 of 9 with 2 parts", "", None, "ñandú 漢", "of 3 wyth x parts ~~ parts", "parts " * 7, "zq", "漢字漢"]
+    training = spark.createDataFrame([(t,) for t in train], "text string")
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    plain = [t.encode().lower() for t in train]
+    want = [brute_score(plain, (t or "").encode().lower(), ppm.PpmSettings().order) for t in asked]
+    for max_contexts in (1, 20, 300):
+        got = ppm.scored(docs, training, settings=ppm.PpmSettings(max_contexts=max_contexts)).collect()
+        assert len(got) == len(asked)
+        for r in got:
+            assert abs(r["score"] - want[r["doc_id"]]) < 1e-3, (max_contexts, asked[r["doc_id"]])
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     rows = ppm.scored(docs, docs.select("text")).collect()
