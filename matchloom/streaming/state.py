@@ -43,11 +43,13 @@ class _Keyed(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = self.state.get() if self.state.exists() else None
         out, newest = [], 0
+        # newest time of earlier batches
+        before = self.timer.get()[0] - self.keep_ms if self.timer.exists() else None
         for row in _in_order(rows, self.order).to_dict("records"):
             newest = row["ms"]
             state, produced = self.step(state, row)
             if produced is not None:
-                out.append((*key, *produced))
+                out.append((*key, *produced, before is not None and row["ms"] <= before))
         planned = self.timer.get()[0] if self.timer.exists() else None
         if planned is not None:
             self.handle.deleteTimer(planned)
@@ -107,8 +109,12 @@ class _RateLimit(_Keyed):
 
 
 def rate_limit(calls: DataFrame, limit: int, span_ms: int = 60_000, delay: str = "1 hour") -> DataFrame:
-    """(caller, id, ms, accepted) for every call; `calls`: caller, id, ms. A log is kept for the span."""
-    schema = f"{_typed(calls, 'caller', 'id')}, ms bigint, accepted boolean"
+    """(caller, id, ms, accepted, late) per call; `calls`: caller, id, ms. A log is kept for the span.
+
+    Calls that come later than `delay` behind the newest one get no row. `late`: an earlier batch had a call of the
+    caller that is not older, so answers are in order of arrival, not of time.
+    """
+    schema = f"{_typed(calls, 'caller', 'id')}, ms bigint, accepted boolean, late boolean"
     return _run(calls, ["caller"], _RateLimit(limit, span_ms, ["ms", "id"]), schema, span_ms, delay)
 
 
@@ -128,8 +134,9 @@ class _SendOnce(_Keyed):
 
 
 def send_once(attempts: DataFrame, hold_ms: int = 24 * _HOUR, delay: str = "1 hour") -> DataFrame:
-    """(candidate, job, id, outcome) per attempt; `attempts`: candidate, job, id, ms, ok. A key is kept for the hold."""
-    schema = f"{_typed(attempts, 'candidate', 'job', 'id')}, outcome string"
+    """(candidate, job, id, outcome, late) per attempt; `attempts`: candidate, job, id, ms, ok. A key is kept for the
+    hold. `delay` and `late` are those of `rate_limit`."""
+    schema = f"{_typed(attempts, 'candidate', 'job', 'id')}, outcome string, late boolean"
     rule = _SendOnce(hold_ms, ["ms", "id"])
     return _run(attempts, ["candidate", "job"], rule, schema, hold_ms, delay)
 

@@ -1,6 +1,7 @@
 """Streams over several batches give what the batch form gives."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from matchloom.operators.sequences import rate_limit_log, send_once_log
 from matchloom.sources.events import event_lines, parse_event_lines, read_task, write_by_task
 from matchloom.streaming import folds, state, windows
 from matchloom.streaming.runner import drain, drain_updates
+from workload import streams
+from workload.registry import QUERIES
 
 
 def as_stream(spark, df, path, order, parts=4):
@@ -69,6 +72,22 @@ def brute_sends(rows, hold):
     return out
 
 
+@pytest.mark.parametrize("name", ["t6_rate_limit", "t7_send_once"])
+def test_files_out_of_time_order(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(streams, "BATCH_BYTES", 1)  # one file per batch
+    rows = spark.range(300).selectExpr(
+        "id AS event_id", "id % 4 AS user_id", "timestamp_seconds(1704067200 + id * 3600) AS ts",
+        "if(id % 5 = 0, 'error', 'view') AS event_type",
+    )
+    for part in (2, 0, 1):  # a day and more apart, the newest first
+        piece = rows.where(f"event_id div 100 = {part}").coalesce(1)
+        piece.write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(1.1)
+    got = QUERIES[name](spark, str(tmp_path))
+    want = QUERIES[f"{name}_log"](spark, str(tmp_path)).select(*got.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 300
+
+
 def test_send_once(spark, tmp_path):
     rng = random.Random(9)
     rows = [(rng.randrange(2), rng.randrange(2), i, rng.randrange(3000), rng.random() < 0.5) for i in range(120)]
