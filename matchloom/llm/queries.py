@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchloom.llm import bag_minhash, chat, chroma, lang_id, mixing, packing, ppm, quality_rules, sharding, warc
+from matchloom.llm import (
+    bag_minhash,
+    chat,
+    chroma,
+    lang_id,
+    mixing,
+    packing,
+    ppm,
+    quality_rules,
+    scaled_sketch,
+    sharding,
+    warc,
+)
 from matchloom.llm.registry import ORACLE, QUERIES, documents, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -227,3 +239,54 @@ def op10_chroma_prints(spark, sf_dir):
     asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False)).alias("is_query")
     audio = documents(spark, sf_dir).select("doc_id", asked, F.col("text").cast("binary").alias("audio"))
     return chroma.best_matches(chroma.fingerprints(audio, "audio", ("doc_id", "is_query")))
+
+
+@query(
+    "op11_scaled_sketch",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, len(coalesce(text, '')) AS n_chars FROM documents),
+    n AS (
+        SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS after
+        FROM d),
+    e AS (SELECT doc_id, n_chars, text, left(text, n_chars - n_chars // 2) || left(after, n_chars // 2) AS edited FROM n),
+    k AS (SELECT doc_id, 'a' AS kind, text AS t FROM e UNION ALL SELECT doc_id, 'b', edited FROM e),
+    l AS (SELECT doc_id, kind, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words FROM k),
+    w AS (SELECT doc_id, kind, len(words) AS n, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM l),
+    s AS (
+        SELECT doc_id, kind, n, i,
+               md5(concat_ws(' ', w, lead(w, 1) OVER p, lead(w, 2) OVER p, lead(w, 3) OVER p, lead(w, 4) OVER p))[1:15] AS h
+        FROM w WINDOW p AS (PARTITION BY doc_id, kind ORDER BY i)),
+    m AS (SELECT *, min(h) OVER (PARTITION BY doc_id, kind) AS least FROM s WHERE i <= greatest(n - 4, 1)),
+    g AS (
+        SELECT doc_id, kind, list_sort(list(DISTINCT ('0x' || h)::BIGINT)) AS hashes
+        FROM m WHERE h < '1' OR h = least GROUP BY doc_id, kind),
+    j AS (
+        SELECT e.doc_id, n_chars, edited, coalesce(x.hashes, []) AS a, coalesce(y.hashes, []) AS b
+        FROM e LEFT JOIN g x ON x.doc_id = e.doc_id AND x.kind = 'a' LEFT JOIN g y ON y.doc_id = e.doc_id AND y.kind = 'b'),
+    c AS (
+        SELECT *, coalesce(lead(a) OVER (ORDER BY doc_id DESC), first_value(a) OVER (ORDER BY doc_id DESC)) AS c FROM j),
+    r AS (
+        SELECT *, least(len(a), len(b)) AS ab, len(list_intersect(a, b)) AS n_ab,
+               least(len(a), len(c)) AS ac, len(list_intersect(a, c)) AS n_ac
+        FROM c)
+    SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(a, ',') AS fingerprint,
+           array_to_string(b, ',') AS edited_fingerprint,
+           CASE WHEN ab > 0 THEN n_ab / ab WHEN len(a) = len(b) THEN 1 ELSE 0 END::DOUBLE AS near_edited,
+           CASE WHEN ac > 0 THEN n_ac / ac WHEN len(a) = len(c) THEN 1 ELSE 0 END::DOUBLE AS near_next,
+           CASE WHEN len(a) > 0 THEN n_ac / len(a) ELSE 1 END::DOUBLE AS contained_in_next
+    FROM r
+    """,
+)
+def op11_scaled_sketch(spark, sf_dir):
+    rows = scaled_sketch.edited(documents(spark, sf_dir))
+    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        scaled_sketch.printed(a).alias("fingerprint"),
+        scaled_sketch.printed(b).alias("edited_fingerprint"),
+        scaled_sketch.likeness(a, b).alias("near_edited"),
+        scaled_sketch.likeness(a, c).alias("near_next"),
+        scaled_sketch.containment(a, c).alias("contained_in_next"),
+    )
