@@ -27,8 +27,12 @@ PARTS = 64  # of an id that very many rows have
 
 def _hashes(words: Column) -> Column:
     """Hexadecimal hashes of the shingles in order; none without words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE, F.lit(0)) + 1)
-    hashed = F.transform(starts, lambda i: F.md5(F.concat_ws(" ", F.slice(words, i, SHINGLE)).cast("binary")))
+
+    def shingle(i: Column) -> Column:
+        return F.concat_ws(" ", *[F.get(words, i + k) for k in range(SHINGLE)])  # words beyond the end are null
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)))
+    hashed = F.transform(starts, lambda i: F.md5(shingle(i).cast("binary")))
     return F.when(F.size(words) > 0, hashed).otherwise(F.array().cast("array<string>"))
 
 
@@ -132,13 +136,15 @@ def edited(docs: DataFrame, id: str = "doc_id", text: str = "text", fraction: fl
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     hot = [r["id"] for r in counts.where(F.col("count") > max(1_000, total // 1_000)).select("id").collect()]
     salt = F.when(_is_hot(hot), F.monotonically_increasing_id() % PARTS).otherwise(F.lit(0)).cast("int")
-    join = ["k", "no_id", "salt"]
+    join = ["k", "no_id", *(["salt"] if hot else [])]
     links = _links(rows, hot).select(*_key(F.col("id")), "*")
-    # Both uses of `met` need the same columns of the texts, so that they are hashed and sent once.
-    sent = rows.select(*_key(F.col("id")), salt.alias("salt"), "text", sketch(F.col("text"), fraction).alias("sketch"))
+    links = links if hot else links.drop("salt")
+    # Both uses of `met` need the same columns of the texts and no further key, so that these are hashed and sent once.
+    parts = [salt.alias("salt")] if hot else []
+    sent = rows.select(*_key(F.col("id")), *parts, "text", sketch(F.col("text"), fraction).alias("sketch"))
     met = sent.join(links.hint("merge"), join)
     tails = (
-        met.where(_digest() == F.col("stands"))
+        met.where(_digest().bitwiseXOR(F.col("stands")) == 0)
         .select(
             *_key(F.col("other.id")),
             F.explode(F.sequence(F.lit(0), F.col("other.parts") - 1)).alias("salt"),
