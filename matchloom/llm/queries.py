@@ -13,6 +13,7 @@ from matchloom.llm import (
     packing,
     ppm,
     quality_rules,
+    runs,
     scaled_sketch,
     sharding,
     warc,
@@ -290,3 +291,41 @@ def op11_scaled_sketch(spark, sf_dir):
         scaled_sketch.likeness(a, c).alias("near_next"),
         scaled_sketch.containment(a, c).alias("contained_in_next"),
     )
+
+
+def _with_made_runs(doc_id, text):
+    """The text; where crc32(doc_id) ends in 0, its words from a = g % n on repeat the first p = 1 + floor((n - a) /
+    (3 + g % 8)) of them, with g the other digits."""
+    h = F.coalesce(F.crc32(doc_id.cast("string")), F.lit(1))
+    g = F.floor(h / 10)
+
+    def over(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        periodic = F.transform(words, lambda w, i: F.when(i >= a, F.get(words, a + (i - a) % p)).otherwise(w))
+        return F.when(n > 0, F.array_join(periodic, " ")).otherwise(F.lit(""))
+
+    words = F.transform(F.array(quality_rules.words_of(text)), over)[0]  # split once
+    return F.when(h % 10 == 0, words).otherwise(text)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", _with_made_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.with_runs(docs)
+    longest = F.array_sort("runs", lambda x, y: F.coalesce(*[
+        F.when(a < b, -1).when(a > b, 1) for a, b in ((y["length"], x["length"]), (x["start"], y["start"]), (x["period"], y["period"]))
+    ], F.lit(0)))
+    best = F.get(longest, F.lit(0))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

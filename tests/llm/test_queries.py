@@ -1,5 +1,6 @@
 """The registered queries over the smallest given tables, against SQL or brute force."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -14,6 +15,7 @@ from matchloom.llm.registry import table
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_near import brute_classes
 from tests.llm.test_quality import brute
+from tests.llm.test_runs import brute_collapsed, brute_runs
 from tools.check_oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -115,6 +117,25 @@ def test_fingerprints(spark, docs):
             assert rows[d["doc_id"]]["class_id"] == rows[first]["class_id"]
 
 
+def test_periodic_runs(spark, docs):
+    rows = {r["doc_id"]: r for r in QUERIES["op12_periodic_runs"](spark, SF).collect()}
+    assert len(rows) == len(docs)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for d in docs:
+        words, h = WORD.findall(d["text"]), zlib.crc32(str(d["doc_id"]).encode())
+        n, g = len(words), h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+        found, r = brute_runs(words), rows[d["doc_id"]]
+        best = max(found, key=lambda x: (x[1], -x[0], -x[2]), default=(None, None, None))
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(found), *best)
+        assert r["exponent_milli"] == (1000 * best[1] // best[2] if found else None)
+        assert r["runs_sha256"] == sha("".join(f"{s},{n},{q}\n" for s, n, q in found))
+        assert r["collapsed_sha256"] == sha(brute_collapsed(words, found))
+
+
 def test_pipeline_stage_by_stage(spark, docs):
     ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
     functions = dict(corpus_pipeline.STAGES)
