@@ -9,6 +9,7 @@ from matchloom.llm import (
     chat,
     chroma,
     lang_id,
+    lexical,
     mixing,
     packing,
     ppm,
@@ -19,6 +20,7 @@ from matchloom.llm import (
     warc,
 )
 from matchloom.llm.registry import ORACLE, QUERIES, documents, query, table
+from matchloom.sources.staging import stage
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -329,3 +331,39 @@ def op12_periodic_runs(spark, sf_dir):
         F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    "op13_lexical_search",
+    """
+    WITH t AS (
+        SELECT doc_id, unnest(regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+        FROM documents),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+    d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+    a AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+    m AS (SELECT doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM d, a),
+    f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+          FROM (SELECT term, count(*) AS df FROM p GROUP BY term), a),
+    q AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+        FROM benchmark),
+    s AS (
+        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM q JOIN f USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+    r AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op13_lexical_search(spark, sf_dir):
+    asked = stage(lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), "lexical-queries")
+    # An index for these queries alone needs no other terms; their lengths and numbers count all.
+    index = lexical.build(documents(spark, sf_dir), only=lexical.vocabulary(asked))
+    found = lexical.search(index, asked, k=10)
+    return found.select(F.col("asked").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
