@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from matchloom.operators.sizes import MAX_BROADCAST_ROWS, broadcast_if_small, is_small
 from matchloom.sources.staging import stage
 
-BLOCK_DOCS = 2_048
+BLOCK_DOCS = 512
 BLOCK_POSTINGS = 500_000
 PASS_TERMS = 100_000  # terms of the queries of one pass
 PASS_QUERIES = 1_000
