@@ -5,12 +5,15 @@ time and brought to length one. Sixteen filters compare areas of the resulting p
 from a few values of its integral image; a filter's value falls into one of four ranges, written as a two-bit Gray
 code, and the sixteen codes make one 32-bit integer per frame.
 
-Two recordings are aligned by the offset histogram of integers that both have, and judged by the share of equal bits
-over their overlap there. Equal fingerprints are one recording. Queries are the rows the caller marks; they are
-looked up in an index of all recordings: of every window of `window` frames the frame of least hash is a seed, so a
-run of that length that both have gives a common seed. Seeds are joined, counted per offset, and the best offsets
-verified bit by bit. Nothing is capped: a seed that many recordings share costs as many votes as it has pairs of a
-query with a recording.
+Two recordings are aligned by the offset histogram of integers that differ in one bit at most, and judged by the share
+of equal bits over their overlap. Every offset that has a vote is verified bit by bit over its whole overlap, and the
+one of least error is the pair's. So an alignment is found if any of its frames has one wrong bit or none; among frames
+of which a seventh of the bits may be wrong on average, few alignments have no such frame (recall is tested).
+
+Equal fingerprints are one recording. Queries are the rows the caller marks. They are looked up in blocks of bounded
+size, each sent to all tasks, while recordings stay where they are stored: nothing of them is shuffled, and a task
+passes on one row per recording and block. A stretch of equal integers, as in silence, votes by its first and its last
+frame, so long stretches cost no more than short ones.
 
 Null and short audio has no frames and an empty fingerprint: it aligns with nothing. Silence has the fingerprint of
 equal pitch classes. Repeated rows are equal fingerprints and each get their row.
@@ -23,11 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.shingles import mix
-from matchloom.sources.staging import stage
+from matchloom.sources.staging import new_path, stage
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,6 @@ class ChromaSettings:
     hop: int = 64
     low_hz: float = 250.0
     high_hz: float = 4_000.0
-    window: int = 4
     max_error: float = 0.15
     min_overlap: int = 16
 
@@ -195,117 +196,189 @@ def fingerprints(df: DataFrame, audio: str, keep: tuple[str, ...], settings: Chr
     return held.mapInArrow(mark, ", ".join([*kinds, "fingerprint array<int>"]))
 
 
-def seeds_of(prints: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, integers): of every `window` neighbours the one of least hash, the first of equal ones; each integer
-    once, at its first place."""
-    if not len(prints):
-        return np.zeros(0, np.int64), prints
-    order = mix(prints.astype(np.uint64))
-    wide = np.lib.stride_tricks.sliding_window_view(order, min(window, len(order)))
-    places = np.unique(np.arange(len(wide)) + wide.argmin(axis=1))
-    _, first = np.unique(prints[places], return_index=True)
-    places = places[np.sort(first)]
-    return places, prints[places]
-
-
-def seeds(recordings: DataFrame, settings: ChromaSettings) -> DataFrame:
-    """(node, is_query, place, seed) of (node, is_query, fingerprint)."""
+BLOCK_FRAMES = 50_000  # of the queries that are sent to the tasks at once
+_HITS = 1_000_000  # pairs of frames worked on at once
+_FRAMES = 4_000_000  # compared at once
+_FILTER_BITS = 24
+
+
+def landmarks(prints: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of the first and the last integer of every stretch of equal ones; recordings begin at `starts`."""
+    edge = np.ones(len(prints) + 1, bool)
+    edge[1:-1] = prints[1:] != prints[:-1]
+    edge[starts] = True
+    return np.flatnonzero(edge[:-1] | edge[1:])
+
+
+class _Recordings:
+    """Fingerprints one behind the other."""
+
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, prints: np.ndarray):
+        self.nodes, self.sizes, self.prints = nodes, sizes.astype(np.int64), prints
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.at = landmarks(prints, self.starts[self.sizes > 0]) if len(prints) else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(nodes), dtype=np.int32), self.sizes)
+
+
+def _recordings(nodes: pa.Array, cells: pa.ListArray) -> _Recordings:
+    sizes = cells.value_lengths().to_numpy(zero_copy_only=False)
+    return _Recordings(nodes.to_numpy(), sizes, cells.flatten().to_numpy().view(np.uint32))
+
+
+class _Block:
+    """Queries, and the integers that are at most one bit from theirs, in order."""
+
+    def __init__(self, queries: _Recordings):
+        self.queries = queries
+        flips = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint32)
+        near = (queries.prints[queries.at][:, None] ^ flips).reshape(-1)
+        order = np.argsort(near)
+        self.near, self.places = near[order], queries.at[order // len(flips)]
+        self.filter = np.zeros(1 << _FILTER_BITS, bool)
+        self.filter[self._slot(self.near)] = True
+
+    @staticmethod
+    def _slot(prints: np.ndarray) -> np.ndarray:
+        return (prints * np.uint32(0x9E3779B1)) >> np.uint32(32 - _FILTER_BITS)
+
+    def matches(self, found: _Recordings, settings: ChromaSettings) -> dict[str, np.ndarray]:
+        """Of each pair of a recording and another query that match: recording, query, offset, votes, overlap, error;
+        ordered by recording."""
+        at = found.at[self.filter[self._slot(found.prints[found.at])]]
+        low, high = (np.searchsorted(self.near, found.prints[at], side) for side in ("left", "right"))
+        hits = high - low
+        at, low, hits = at[hits > 0], low[hits > 0], hits[hits > 0]
+        group = np.cumsum(hits) // _HITS
+        parts = [self._judged(found, at[own], low[own], hits[own], settings) for own in (group == g for g in np.unique(group))]
+        row = np.concatenate(parts or [np.zeros((0, 6))])
+        # An offset that was met in two portions has the votes of both.
+        row = row[np.lexsort([row[:, 2], row[:, 1], row[:, 0]])]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:, :3] != row[:-1, :3]).any(axis=1)
+        votes = np.add.reduceat(row[:, 3], np.flatnonzero(new)) if len(row) else row[:, 3]
+        row = row[new]
+        row[:, 3] = votes
+        # the best offset of a pair: least error, longest overlap, nearest
+        row = row[np.lexsort([row[:, 2], np.abs(row[:, 2]), -row[:, 4], row[:, 5], row[:, 1], row[:, 0]])]
+        best = np.ones(len(row), bool)
+        best[1:] = (row[1:, :2] != row[:-1, :2]).any(axis=1)
+        row = row[best]
+        names = ("recording", "query", "offset", "votes", "overlap")
+        return {n: row[:, i].astype(np.int64) for i, n in enumerate(names)} | {"error": row[:, 5]}
+
+    def _judged(self, found: _Recordings, at, low, hits, settings: ChromaSettings) -> np.ndarray:
+        """The offset histogram of some frames' hits, and the error at each of its offsets."""
+        own = self.queries
+        ends = np.cumsum(hits)
+        there = self.places[np.repeat(low - (ends - hits), hits) + np.arange(hits.sum())]
+        here = np.repeat(at, hits)
+        query, recording = own.owner[there].astype(np.int64), found.owner[here].astype(np.int64)
+        offset = (there - own.starts[query]) - (here - found.starts[recording])
+        overlap = np.minimum(own.sizes[query], found.sizes[recording] + offset) - np.maximum(offset, 0)
+        other = (own.nodes[query] != found.nodes[recording]) & (overlap >= settings.min_overlap)
+        least, span = found.sizes.max(), found.sizes.max() + own.sizes.max() + 1
+        key = (recording[other] * len(own.nodes) + query[other]) * span + offset[other] + least
+        key, votes = np.unique(key, return_counts=True)
+        pair, offset = key // span, key % span - least
+        recording, query = pair // len(own.nodes), pair % len(own.nodes)
+        overlap = np.minimum(own.sizes[query], found.sizes[recording] + offset) - np.maximum(offset, 0)
+        first = own.starts[query] + np.maximum(offset, 0)
+        second = found.starts[recording] + np.maximum(-offset, 0)
+        error = np.zeros(len(key))
+        group = np.cumsum(overlap) // _FRAMES
+        for g in np.unique(group):
+            part = np.flatnonzero(group == g)
+            n = overlap[part]
+            ends = np.cumsum(n)
+            step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            wrong = own.prints[np.repeat(first[part], n) + step] ^ found.prints[np.repeat(second[part], n) + step]
+            error[part] = np.add.reduceat(np.bitwise_count(wrong), ends - n, dtype=np.int64) / (32 * n)
+        good = error <= settings.max_error
+        return np.stack([recording, query, offset, votes, overlap, error], axis=1)[good]
+
+
+def _looked_up(nodes: DataFrame, block: pa.Table, settings: ChromaSettings) -> DataFrame:
+    """(node, found) of the recordings that match queries of a block (node, fingerprint): one row per recording."""
+    shared = nodes.sparkSession.sparkContext.broadcast(
+        _recordings(block["node"].combine_chunks(), block["fingerprint"].combine_chunks())
+    )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None
         for batch in batches:
-            rows, places, names = [], [], []
-            for i, cell in enumerate(batch.column(2)):
-                at, found = seeds_of(np.array(cell.as_py() or [], np.int32).view(np.uint32), settings.window)
-                rows.append(np.full(len(at), i))
-                places.append(at)
-                names.append(found.view(np.int32))
-            at = pa.array(np.concatenate(rows or [np.zeros(0, np.int64)]), pa.int64())
+            asked = asked or _Block(shared.value)
+            rows = asked.matches(_recordings(batch.column(0), batch.column(1)), settings)
+            met, counts = np.unique(rows["recording"], return_counts=True)
+            kinds = {"offset": pa.int32(), "votes": pa.int32(), "overlap": pa.int32(), "error": pa.float64()}
+            cells = [pa.array(asked.queries.nodes[rows["query"]])] + [pa.array(rows[n], k) for n, k in kinds.items()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(at),
-                    batch.column(1).take(at),
-                    pa.array(np.concatenate(places or [np.zeros(0)]), pa.int32()),
-                    pa.array(np.concatenate(names or [np.zeros(0)]), pa.int32()),
+                    batch.column(0).take(pa.array(met)),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
+                        pa.StructArray.from_arrays(cells, ["query", *kinds]),
+                    ),
                 ],
-                ["node", "is_query", "place", "seed"],
+                ["node", "found"],
             )
 
-    return recordings.select("node", "is_query", "fingerprint").mapInArrow(
-        cut, "node bigint, is_query boolean, place int, seed int"
-    )
+    return nodes.select("node", "fingerprint").mapInArrow(look_up, f"node bigint, {_FOUND}")
 
 
-def _error(a: Column, b: Column, offset: Column) -> Column:
-    """Share of wrong bits where b, moved by the offset, lies over a."""
-    n = overlap_of(a, b, offset)
-    left = F.slice(a, F.greatest(offset, F.lit(0)) + 1, n)
-    right = F.slice(b, F.greatest(-offset, F.lit(0)) + 1, n)
-    wrong = F.aggregate(
-        F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFFFFFF)))),
-        F.lit(0).cast("long"),
-        lambda total, bits: total + bits,
-    )
-    return wrong / (n * 32)
+_FOUND = "found array<struct<query:bigint,offset:int,votes:int,overlap:int,error:double>>"
 
 
-def overlap_of(a: Column, b: Column, offset: Column) -> Column:
-    return F.least(F.size(a), F.size(b) + offset) - F.greatest(offset, F.lit(0))
-
-
-def align(prints: DataFrame, settings: ChromaSettings = ChromaSettings()) -> tuple[DataFrame, DataFrame]:
-    """(members, matches) of (doc_id, is_query, fingerprint).
-
-    members: (doc_id, node, frames). matches: (query, node, offset, overlap, votes, error): the query's recording and
-    another one that lies `offset` frames later on the query's time; nodes are recordings of different fingerprints.
-    """
+def _aligned(prints: DataFrame, settings: ChromaSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, nodes, found): the rows' recordings, the recordings, and the queries that each one matches."""
     prints = stage(prints.withColumn("key", F.md5(F.array_join("fingerprint", ",").cast("binary"))), "chroma-prints")
     nodes = stage(
         prints.where(F.size("fingerprint") > 0)
         .groupBy("key")
-        .agg(F.max("is_query").alias("is_query"), F.first("fingerprint").alias("fingerprint"))
+        .agg(F.max("is_query").alias("is_query"), F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("class_id"))
         .withColumn("node", F.monotonically_increasing_id()),
         "chroma-nodes",
     )
     members = prints.join(nodes.select("key", "node"), "key", "left").select(
         "doc_id", "node", F.size("fingerprint").alias("frames")
     )
-    index = stage(seeds(nodes, settings), "chroma-seeds")
-    asked = index.where("is_query").select(F.col("node").alias("query"), F.col("place").alias("at"), "seed")
-    offset = F.col("at") - F.col("place")
-    votes = (
-        asked.join(index, "seed")
-        .where("query <> node")
-        .groupBy("query", "node", offset.alias("offset"))
-        .agg(F.count("*").alias("votes"))
-    )
-    best = votes.groupBy("query", "node").agg(
-        F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("v")
-    )
-    found = stage(best.select("query", "node", "v.offset", "v.votes"), "chroma-votes")
-    arrays = nodes.select("node", "fingerprint")
-    met = found.join(arrays.select(F.col("node").alias("query"), F.col("fingerprint").alias("a")), "query").join(
-        arrays.withColumnRenamed("fingerprint", "b"), "node"
-    )
-    fits = met.withColumn("overlap", overlap_of(F.col("a"), F.col("b"), F.col("offset")))
-    fits = fits.where(F.col("overlap") >= settings.min_overlap)
-    judged = fits.withColumn("error", _error(F.col("a"), F.col("b"), F.col("offset")))
-    return members, judged.where(F.col("error") <= settings.max_error).drop("a", "b")
+    asked = nodes.where(F.col("is_query") & (F.size("fingerprint") >= settings.min_overlap)).select("node", "fingerprint")
+    frames = asked.agg(F.coalesce(F.sum(F.size("fingerprint")), F.lit(0))).first()[0]
+    blocks = -(-frames // BLOCK_FRAMES)
+    dealt = stage(asked.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(max(blocks, 1)))), "chroma-queries")
+    session, path = nodes.sparkSession, new_path(nodes.sparkSession, "chroma-found")
+    session.createDataFrame([], f"node bigint, {_FOUND}").write.parquet(path)
+    for number in range(blocks):
+        block = dealt.where(F.col("block") == number).select("node", "fingerprint").toArrow()
+        if block.num_rows:
+            _looked_up(nodes, block, settings).write.mode("append").parquet(path)
+    return members, nodes, session.read.schema(f"node bigint, {_FOUND}").parquet(path)
+
+
+def align(prints: DataFrame, settings: ChromaSettings = ChromaSettings()) -> tuple[DataFrame, DataFrame]:
+    """(members, matches) of (doc_id, is_query, fingerprint).
+
+    members: (doc_id, node, frames). matches: (query, node, offset, votes, overlap, error), one row per pair of a query
+    and another recording that lies `offset` frames later on the query's time; nodes are recordings of different
+    fingerprints.
+    """
+    members, _, found = _aligned(prints, settings)
+    return members, found.select("node", F.inline("found"))
 
 
 def best_matches(prints: DataFrame, settings: ChromaSettings = ChromaSettings()) -> DataFrame:
     """(doc_id, frames, class_id, n_matches, match_id, offset, overlap, error), one row per row.
 
     class_id: the least id of the equal fingerprints. n_matches: other recordings among the queries that align with
-    the row's; match_id: the class_id of the best of them (least error, then the longest overlap, then the least id),
+    the row's; match_id: the class_id of the best of them (least error, then the longest overlap, then the first node),
     with its offset on that one's time.
     """
-    members, matches = align(prints, settings)
+    members, nodes, found = _aligned(prints, settings)
     members = stage(members, "chroma-members")
-    heads = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    named = matches.join(heads.withColumnsRenamed({"node": "query", "class_id": "match_id"}), "query")
-    best = F.min(F.struct("error", (-F.col("overlap")).alias("o"), "match_id", "offset")).alias("m")
-    per_node = named.groupBy("node").agg(F.count("*").alias("n_matches"), best)
-    facts = heads.join(per_node, "node", "left")
+    order = F.transform("found", lambda m: F.struct(m["error"].alias("error"), (-m["overlap"]).alias("o"), m["query"], m["offset"]))
+    per_node = found.groupBy("node").agg(F.sum(F.size("found")).alias("n_matches"), F.min(F.array_min(order)).alias("m"))
+    names = nodes.where("is_query").select(F.col("node").alias("query"), F.col("class_id").alias("match_id"))
+    named = per_node.withColumn("query", F.col("m.query")).join(names, "query").drop("query")
+    facts = nodes.select("node", "class_id").join(named, "node", "left")
     # Rows without a fingerprint meet nothing; as a key, null would bring them all to one task.
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema if f.name != "node"]
     alone = members.where("node IS NULL").select("*", *none)
@@ -314,7 +387,7 @@ def best_matches(prints: DataFrame, settings: ChromaSettings = ChromaSettings())
         "frames",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
-        F.col("m.match_id").alias("match_id"),
+        "match_id",
         F.col("m.offset").alias("offset"),
         (-F.col("m.o")).alias("overlap"),
         F.round("m.error", 6).alias("error"),

@@ -107,12 +107,64 @@ def test_recordings_align(spark):
     assert {frozenset((one.get(a, a), one.get(b, b))) for a, b in found} <= told
 
 
-def test_seeds_cover_every_run():
-    prints = np.arange(50, dtype=np.uint32) * np.uint32(77)
-    places, _ = ch.seeds_of(prints, 4)
-    assert max(np.diff(places)) <= 4 and places[0] < 4
-    assert ch.seeds_of(np.full(30, 9, np.uint32), 4)[0].tolist() == [0]
-    assert ch.seeds_of(np.array([5], np.uint32), 4)[0].tolist() == [0]
+def test_stretches_vote_by_their_ends():
+    prints = np.array([5, 5, 5, 5, 7, 7, 9, 9, 9], np.uint32)
+    assert ch.landmarks(prints, np.array([0])).tolist() == [0, 3, 4, 5, 6, 8]
+    assert ch.landmarks(prints, np.array([0, 2])).tolist() == [0, 1, 2, 3, 4, 5, 6, 8]
+    assert ch.landmarks(np.array([5], np.uint32), np.array([0])).tolist() == [0]
+
+
+def table_of(spark, prints, queries):
+    rows = [(i, i in queries, p.view(np.int32).tolist()) for i, p in prints.items()]
+    return spark.createDataFrame(rows, "doc_id long, is_query boolean, fingerprint array<int>")
+
+
+def test_a_later_repeat_aligns(spark):
+    rng = np.random.default_rng(3)
+    a, c, d = (rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (200, 120, 50))
+    prints = {1: np.concatenate([a, c]), 2: np.concatenate([d, a, a, c]), 3: np.full(4_000, 9, np.uint32), 4: np.full(90, 9, np.uint32)}
+    members, matches = ch.align(table_of(spark, prints, {1, 3}))
+    ids = {r["node"]: r["doc_id"] for r in members.collect()}
+    found = {(ids[r["query"]], ids[r["node"]]): (r["offset"], r["overlap"], r["error"], r["votes"]) for r in matches.collect()}
+    assert found == {(1, 2): (-250, 320, 0.0, 320), (3, 4): (0, 90, 0.0, 1)}
+
+
+def brute_pairs(prints, queries, settings):
+    """{(query, recording): least error} over all offsets; equal fingerprints are one recording, named by the least id."""
+    one = {}
+    for i in sorted(prints):
+        one.setdefault(prints[i].tobytes(), i)
+    asked = {one[prints[i].tobytes()] for i in queries if len(prints[i]) >= settings.min_overlap}
+    out = {}
+    for i in asked:
+        a = prints[i]
+        for j in one.values():
+            b = prints[j]
+            if i == j or len(b) < settings.min_overlap:
+                continue
+            bits = np.bitwise_count(a[:, None] ^ b[None, :]).astype(np.int64)
+            for o in range(settings.min_overlap - len(b), len(a) - settings.min_overlap + 1):
+                cells = np.diagonal(bits, -o)
+                if cells.mean() <= 32 * settings.max_error:
+                    out[i, j] = min(out.get((i, j), 1.0), cells.mean() / 32)
+    return out
+
+
+def test_recall_at_the_settings_of_the_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(300).collect()
+    texts = {r["doc_id"]: (r["text"] or "")[:3_000] for r in [*docs, *more]}
+    prints = dict(zip(texts, ch.fingerprints_of([t.encode() for t in texts.values()])))
+    queries = {i for i in prints if i % 5 == 0}
+    want = brute_pairs(prints, queries, ch.ChromaSettings())
+    members, matches = ch.align(table_of(spark, prints, queries))
+    least = {}
+    for r in members.where("node IS NOT NULL").collect():
+        least[r["node"]] = min(r["doc_id"], least.get(r["node"], r["doc_id"]))
+    found = {(least[r["query"]], least[r["node"]]): r["error"] for r in matches.collect()}
+    assert set(found) <= set(want) and len(want) >= 3
+    assert len(set(found) & set(want)) >= 0.9 * len(want)
+    assert all(abs(found[p] - want[p]) < 1e-9 for p in found)
 
 
 @pytest.mark.parametrize("make", [awkward, empty])
