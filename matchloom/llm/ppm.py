@@ -40,11 +40,11 @@ BITS = 9  # of a symbol in a packed run
 @dataclass(frozen=True)
 class PpmSettings:
     order: int = 5
-    max_contexts: int = 131_072
+    max_contexts: int = 32_768
     max_words: int = 150_000  # words looked up in the task; the others are joined
 
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 
 
 def _texts(cells: pa.Array) -> Iterator[list[bytes]]:
@@ -92,7 +92,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def count_runs(texts: DataFrame, order: int) -> DataFrame:
     """(run, n) over one text column."""
-    room = 3_000_000  # counted runs a task holds before it merges them
+    room = 1_000_000  # counted runs a task holds before it merges them
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -296,11 +296,11 @@ _PLACES = 65_536  # looked up at once
 
 def corrections(runs: DataFrame, shared, rare: DataFrame, order: int) -> DataFrame:
     """(run, change) of distinct runs that leave the trie: what the contexts that are not in it change in their code
-    length. shared: a broadcast whose first part is the trie."""
+    length. shared: a broadcast of the trie."""
     mask = (1 << BITS) - 1
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value[0]
+        model = shared.value
         for batch in batches:
             run = batch.column(0).to_numpy()
             symbol = run & mask
@@ -399,11 +399,12 @@ def scored(
     common = frequent(words, "n", settings.max_words).toArrow()  # max_words rows at most
     logs = np.log10(common.column("n").to_numpy() + 1.0)
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((model, dict(zip(common.column("word").to_pylist(), logs.tolist()))))
+    shared = context.broadcast(model)
+    shared_words = context.broadcast(dict(zip(common.column("word").to_pylist(), logs.tolist())))
     end_known, end_log = int(ends > 0), float(np.log10(ends + 1.0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
+        model, known = shared.value, shared_words.value
         for batch in batches:
             scores, tokens, hits, sums, others, others_times, others_ends = [], [], [], [], [], [], [0]
             ends, left, times = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
