@@ -40,8 +40,8 @@ BITS = 9  # of a symbol in a packed run
 @dataclass(frozen=True)
 class PpmSettings:
     order: int = 5
-    max_contexts: int = 32_768
-    max_words: int = 150_000  # words looked up in the task; the others are joined
+    max_contexts: int = 131_072
+    max_words: int = 50_000  # words looked up in the task; the others are joined
 
 
 SLICE_BYTES = 500_000
@@ -115,10 +115,44 @@ def count_runs(texts: DataFrame, order: int) -> DataFrame:
     return texts.mapInArrow(count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
 
 
+class _Links:
+    """From a node and the column of the next earlier symbol to the longer context's node, as an open hash table."""
+
+    def __init__(self, node: np.ndarray, column: np.ndarray, child: np.ndarray, width: int):
+        self.width, self.bits = width, max(4, int(4 * len(child)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.children = np.full(1 << self.bits, -1, np.int32)
+        key, child = node.astype(np.int64) * width + column, child.astype(np.int32)
+        slot = self._slot(key)
+        while len(key):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.keys[slot[first]] < 0]  # one key for each free slot
+            self.keys[slot[first]], self.children[slot[first]] = key[first], child[first]
+            rest = np.ones(len(key), bool)
+            rest[first] = False
+            key, child, slot = key[rest], child[rest], (slot[rest] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, node: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """The longer context's node, or -1."""
+        key = node.astype(np.int64) * self.width + column
+        out, at, slot = np.full(len(key), -1, np.int32), np.arange(len(key)), self._slot(key)
+        while len(at):
+            held = self.keys[slot]
+            hit = held == key
+            out[at[hit]] = self.children[slot[hit]]
+            on = ~hit & (held >= 0)
+            at, key, slot = at[on], key[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
+
 @dataclass
 class PpmModel:
     order: int
-    child: np.ndarray  # node and the column of the next earlier symbol to a longer context's node, or -1
+    child: _Links
     column: np.ndarray  # symbol to its column of `logs`
     logs: np.ndarray  # log10 probability, one row per node, one column per known symbol and one for any other
     total: np.ndarray  # per node: how often its context was seen
@@ -176,7 +210,8 @@ def model_of(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarr
     column[known] = np.arange(len(known))
     # Level by level: nodes of an order follow those of shorter ones. The tail of a node is the share of each symbol
     # after an escape from it. Nodes are worked on in chunks, so that little more than the tables is held.
-    nodes, child, logs = [np.zeros(1, np.int64)], [], []
+    nodes, logs = [np.zeros(1, np.int64)], []
+    links = [np.zeros((3, 0), np.int64)]  # node, column, longer context's node
     total, kinds, follows = [], [], []
     base, above, above_tail = 0, np.zeros((0, width), np.float32), np.zeros((0, width), np.float32)
     for level in range(order + 1):
@@ -190,7 +225,8 @@ def model_of(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarr
         if level:
             up = np.searchsorted(nodes[level - 1], names & ((1 << (BITS * (level - 1))) - 1))
             # the earliest symbol of a context leads from its shorter one to it
-            child[-1][up, _context_column(column, names >> (BITS * (level - 1)))] = base + np.arange(len(names))
+            own_column = _context_column(column, names >> (BITS * (level - 1)))
+            links.append(np.stack([base - len(nodes[level - 1]) + up, own_column, base + np.arange(len(names))]))
         tail, share = np.zeros_like(counts), np.zeros_like(counts)
         for at in range(0, len(names), _CHUNK):
             part = slice(at, at + _CHUNK)
@@ -205,10 +241,8 @@ def model_of(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarr
         follows.append(np.packbits(counts > 0, axis=1))
         with np.errstate(divide="ignore"):
             logs.append(np.log10(share, out=share))
-        child.append(np.full((len(names), width + 1), -1, np.int32) if level < order else None)
         base, above, above_tail = base + len(names), counts, tail
-    links = np.concatenate(child[:-1] or [np.zeros((0, width + 1), np.int32)])
-    return PpmModel(order, links, column, *(np.concatenate(x) for x in (logs, total, kinds, follows)))
+    return PpmModel(order, _Links(*np.concatenate(links, axis=1), width + 1), column, *(np.concatenate(x) for x in (logs, total, kinds, follows)))
 
 
 _CHUNK = 4_096
@@ -249,7 +283,7 @@ def _walk(model: PpmModel, at: np.ndarray, earlier: Callable) -> tuple[np.ndarra
     other = int(model.column.max())  # symbols that the training texts do not have
     for back in range(1, model.order + 1):
         columns = earlier(at[alive], back)
-        found = model.child[node[alive], columns]
+        found = model.child(node[alive], columns)
         there = found >= 0
         ended = alive[~there]
         depth[ended] = back - 1
@@ -406,44 +440,42 @@ def scored(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value, shared_words.value
         for batch in batches:
-            scores, tokens, hits, sums, others, others_times, others_ends = [], [], [], [], [], [], [0]
-            ends, left, times = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            done = 0
             for slice_ in _texts(batch.column(batch.num_columns - 1)):
-                found, which, run, n = _scored_texts(model, slice_)
-                scores.append(found)
-                if not cut:
-                    which, run, n = which[:0], run[:0], n[:0]
-                ends.append(ends[-1][-1] + np.cumsum(np.bincount(which, minlength=len(slice_))))
-                left.append(run)
-                times.append(n)
-                for one in slice_:
-                    found = one.split()
-                    held = [known[w] for w in found if w in known]
-                    rest = Counter(w for w in found if w not in known) if len(held) < len(found) else {}
-                    tokens.append(len(found) + 1)
-                    hits.append(len(held) + end_known)
-                    sums.append(sum(held) + end_log)
-                    others += rest.keys()
-                    others_times += rest.values()
-                    others_ends.append(len(others))
-            own = [
-                pa.array(np.concatenate(scores or [np.zeros(0)]), pa.float64()),
-                pa.array(tokens, pa.int64()),
-                pa.array(hits, pa.int64()),
-                pa.array(sums, pa.float64()),
-                pa.ListArray.from_arrays(
-                    pa.array(others_ends, pa.int32()),
-                    pa.StructArray.from_arrays(
-                        [pa.array(others, pa.binary()), pa.array(others_times, pa.int64())], ["word", "times"]
-                    ),
-                ),
-                pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(ends), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (left, times)], ["run", "times"]),
-                ),
-            ]
-            names = ["score", "n_tokens", "hits", "sums", "others", "left"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], [*batch.schema.names[:-1], *names])
+                # a slice is passed on as soon as it is scored: its runs and words are all that is held
+                own = score_slice(model, known, slice_)
+                part = batch.slice(done, len(slice_))
+                done += len(slice_)
+                names = ["score", "n_tokens", "hits", "sums", "others", "left"]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], [*batch.schema.names[:-1], *names])
+
+    def score_slice(model: PpmModel, known: dict[bytes, float], texts: list[bytes]) -> list[pa.Array]:
+        scores, which, run, times = _scored_texts(model, texts)
+        if not cut:
+            which, run, times = which[:0], run[:0], times[:0]
+        tokens, hits, sums, others, others_times, others_ends = [], [], [], [], [], [0]
+        for one in texts:
+            found = one.split()
+            held = [known[w] for w in found if w in known]
+            rest = Counter(w for w in found if w not in known) if len(held) < len(found) else {}
+            tokens.append(len(found) + 1)
+            hits.append(len(held) + end_known)
+            sums.append(sum(held) + end_log)
+            others += rest.keys()
+            others_times += rest.values()
+            others_ends.append(len(others))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(texts)))])
+        words = [pa.array(others, pa.binary()), pa.array(others_times, pa.int64())]
+        return [
+            pa.array(scores, pa.float64()),
+            pa.array(tokens, pa.int64()),
+            pa.array(hits, pa.int64()),
+            pa.array(sums, pa.float64()),
+            pa.ListArray.from_arrays(pa.array(others_ends, pa.int32()), pa.StructArray.from_arrays(words, ["word", "times"])),
+            pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(run), pa.array(times)], ["run", "times"])
+            ),
+        ]
 
     held = docs.select(*keep, F.col(text).alias("__text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1]]
