@@ -41,7 +41,7 @@ BITS = 9  # of a symbol in a packed run
 class PpmSettings:
     order: int = 5
     max_contexts: int = 131_072
-    max_words: int = 50_000  # words looked up in the task; the others are joined
+    max_words: int = 150_000  # words looked up in the task; the others are joined
 
 
 SLICE_BYTES = 500_000
@@ -92,7 +92,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def count_runs(texts: DataFrame, order: int) -> DataFrame:
     """(run, n) over one text column."""
-    room = 1_000_000  # counted runs a task holds before it merges them
+    room = 2_000_000  # counted runs a task holds before it merges them
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
