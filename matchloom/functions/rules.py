@@ -81,7 +81,8 @@ def skill_hit(tag: Column, skills: Column, text: Column) -> Column:
         F.lit(r"(?<![a-z0-9+#.])\Q"), F.replace(low, F.lit(r"\E"), F.lit("")), F.lit(r"\E(?![a-z0-9+#])")
     )
     by_substring = F.exists(skills, lambda s: s.contains(low)) | body.contains(low)
-    by_boundary = F.exists(skills, lambda s: F.rlike(s, quoted)) | F.rlike(body, quoted)
+    # No pattern is compiled for what does not even contain the tag.
+    by_boundary = F.exists(skills, lambda s: s.contains(low) & F.rlike(s, quoted)) | (body.contains(low) & F.rlike(body, quoted))
     hit = F.array_contains(skills, low) | F.when(low.rlike(fixed.CJK_PATTERN), by_substring).otherwise(
         by_boundary
     )

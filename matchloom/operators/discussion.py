@@ -85,6 +85,61 @@ def apply_turns(state: DataFrame, turns: DataFrame, round_no: int) -> DataFrame:
     )
 
 
+def _after(state: Column, said: Column) -> dict[str, Column]:
+    """What an answer of one round (round, turn) leaves of an expert's state, by the rules of `apply_turns`."""
+    turn = said["turn"]
+    number = turn["score"].try_cast("double")
+    stance = one_of(F.coalesce(turn["stance"], F.lit("maintain")), fixed.STANCES, "maintain")
+    revises = F.coalesce((stance == "revise") & number.isNotNull(), F.lit(False))
+    score = F.when(revises, clamp(number, 0, 100)).otherwise(clamp(state["score"], 0, 100))
+    delta = F.round(score - state["score"], 2)
+    told = F.when(revises, "revise").otherwise("maintain")
+    step = F.struct(said["round"].cast("int").alias("round"), score.alias("score"), delta.alias("score_delta"), told.alias("stance"))
+    return {
+        "score": score,
+        "dimension_scores": merge_dimensions(state["dimension_scores"], turn["dimension_scores"]),
+        "evidence": add_evidence(state["evidence"], turn["evidence"]),
+        "reasoning": F.substring(F.coalesce(turn["reasoning"], F.lit("")), 1, 150),
+        "history": F.array_append(state["history"], step),
+    }
+
+
+_HISTORY = "array<struct<round:int,score:double,score_delta:double,stance:string>>"
+
+
+def fold_turns(state: DataFrame, turns: DataFrame) -> DataFrame:
+    """State of every expert after all rounds, each on the result of the one before.
+
+    `state` and `turns` as in `apply_turns`. An expert's turns are one group, sorted by round and folded in one pass,
+    instead of a join per round. Adds reasoning (of the last answer) and history: (round, score, score_delta, stance) of
+    every round with an answer; an expert without answers keeps everything and has no history.
+    """
+    said = turns.where(F.col("turn").isNotNull()).groupBy(*_SEAT).agg(F.collect_list(F.struct("round", "turn")).alias("_said"))
+    kinds = {
+        "score": "double",
+        "dimension_scores": "map<string,double>",
+        "evidence": "array<string>",
+        "reasoning": "string",
+        "history": _HISTORY,
+    }
+    first = {
+        "score": F.col("score"),
+        "dimension_scores": F.col("dimension_scores"),
+        "evidence": F.col("evidence"),
+        "reasoning": F.lit(""),
+        "history": F.array(),
+    }
+
+    def typed(fields: dict[str, Column]) -> Column:
+        return F.struct(*[fields[n].cast(kind).alias(n) for n, kind in kinds.items()])
+
+    by_round = F.array_sort("_said", lambda a, b: (a["round"] - b["round"]).cast("int"))
+    folded = F.aggregate(by_round, typed(first), lambda s, x: typed(_after(s, x)))
+    joined = state.join(said, _SEAT, "left")
+    done = joined.withColumn("_end", F.coalesce(folded, typed(first)))
+    return done.select(*_SEAT, "confidence", *[F.col(f"_end.{n}").alias(n) for n in kinds])
+
+
 def score_changes(turns: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Change of each expert's score against its previous round (against `initial` in the first)."""
     before = Window.partitionBy(*_SEAT).orderBy("round")

@@ -118,7 +118,11 @@ def reasons(skill_graph: Column, skills: Column, excerpts: Column) -> Column:
     """Up to five matched skills and the head of the first evidence, as texts."""
     first = F.get(excerpts, F.lit(0))
     text = F.lower(F.coalesce(first, F.lit("")))
-    matched = F.filter(strings(skill_graph), lambda tag: skill_hit(tag, skill_set(skills), text))
+    # one set of skills and one text for all tags
+    known = F.array(F.struct(skill_set(skills).alias("skills"), text.alias("text")))
+    matched = F.transform(
+        known, lambda k: F.filter(strings(skill_graph), lambda tag: skill_hit(tag, k["skills"], k["text"]))
+    )[0]
     by_skill = F.when(
         F.size(matched) > 0,
         F.concat(F.lit(fixed.REASON_SKILLS), F.array_join(F.slice(matched, 1, 5), ", ")),

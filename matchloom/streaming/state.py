@@ -55,12 +55,12 @@ class _Keyed(StatefulProcessor):
             self.handle.deleteTimer(planned)
         if state is None:
             self.state.clear()
-            self.timer.clear()
         else:
-            end = max(int(newest) + self.keep_ms, planned or 0)
             self.state.update(state)
-            self.timer.update((end,))
-            self.handle.registerTimer(end)
+        # The newest time outlives the state: it tells which later rows come out of order.
+        end = max(int(newest) + self.keep_ms, planned or 0)
+        self.timer.update((end,))
+        self.handle.registerTimer(end)
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
@@ -108,10 +108,10 @@ class _RateLimit(_Keyed):
         return (log,), (row["id"], row["ms"], accepted)
 
 
-def rate_limit(calls: DataFrame, limit: int, span_ms: int = 60_000, delay: str = "1 hour") -> DataFrame:
+def rate_limit(calls: DataFrame, limit: int, span_ms: int = 60_000, *, delay: str) -> DataFrame:
     """(caller, id, ms, accepted, late) per call; `calls`: caller, id, ms. A log is kept for the span.
 
-    Calls that come later than `delay` behind the newest one get no row. `late`: an earlier batch had a call of the
+    Calls that come later than `delay` behind the newest one get no row, so it has no default. `late`: an earlier batch had a call of the
     caller that is not older, so answers are in order of arrival, not of time.
     """
     schema = f"{_typed(calls, 'caller', 'id')}, ms bigint, accepted boolean, late boolean"
@@ -133,7 +133,7 @@ class _SendOnce(_Keyed):
         return None, (row["id"], "failed")
 
 
-def send_once(attempts: DataFrame, hold_ms: int = 24 * _HOUR, delay: str = "1 hour") -> DataFrame:
+def send_once(attempts: DataFrame, hold_ms: int = 24 * _HOUR, *, delay: str) -> DataFrame:
     """(candidate, job, id, outcome, late) per attempt; `attempts`: candidate, job, id, ms, ok. A key is kept for the
     hold. `delay` and `late` are those of `rate_limit`."""
     schema = f"{_typed(attempts, 'candidate', 'job', 'id')}, outcome string, late boolean"

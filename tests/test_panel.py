@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +142,34 @@ def test_fine_screen_reuses_and_survives_failures(spark):
     assert rows["known"]["overall_score"] == 61.0 and rows["known"]["cached"]
     assert rows["broken"]["failed"] and rows["broken"]["overall_score"] is None
     assert 78 < rows["fresh"]["overall_score"] < 80 and not rows["fresh"]["failed"]
+
+
+def test_folded_rounds_equal_one_round_after_the_other(spark):
+    rng = random.Random(2)
+    seats = [("t", 1, c, a) for c in range(6) for a in ("x", "y")]
+    own = [(*s, float(rng.randrange(101)), 0.8, {"a": 5.0, "b": 7.0}, ["own"]) for s in seats]
+    pair = "tenant_id string, job_id int, candidate_id int, agent string"
+    state = spark.createDataFrame(own, f"{pair}, score double, confidence double, dimension_scores map<string,double>, evidence array<string>")
+    rows = []
+    for s in seats[1:]:
+        for r in rng.sample([2, 3, 4, 5], rng.randrange(5)):
+            said = {"stance": rng.choice(["revise", "maintain", None]), "score": rng.choice(["12", "140", "-3", "none", None])}
+            said |= {"dimension_scores": {rng.choice("abc"): rng.choice(["50", "bad"])}, "evidence": [f"e{r}", "", "own"], "reasoning": f"why {r}"}
+            rows.append((*s, r, json.dumps(said)))
+    turns = spark.createDataFrame(rows, f"{pair}, round int, raw string").withColumn("turn", D.parse_turn(F.col("raw"))).drop("raw")
+    want, history = state, {s: [] for s in seats}
+    answered = {(*r[:4], r[4]) for r in rows}
+    for r in (2, 3, 4, 5):
+        done = D.apply_turns(want, turns, r).persist()
+        for x in done.collect():
+            seat = (x["tenant_id"], x["job_id"], x["candidate_id"], x["agent"])
+            if (*seat, r) in answered:
+                history[seat].append((r, x["score"], x["score_delta"], x["stance"]))
+        want = done.select(*state.columns)
+    end = {tuple(x)[:4]: x for x in want.select("tenant_id", "job_id", "candidate_id", "agent", "score", "dimension_scores", "evidence").collect()}
+    for x in D.fold_turns(state, turns).collect():
+        seat = (x["tenant_id"], x["job_id"], x["candidate_id"], x["agent"])
+        w = end[seat]
+        assert (x["score"], x["dimension_scores"], x["evidence"]) == (w["score"], w["dimension_scores"], w["evidence"])
+        assert [tuple(h) for h in x["history"]] == history[seat]
+        assert x["reasoning"] == (f"why {history[seat][-1][0]}" if history[seat] else "")

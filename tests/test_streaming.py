@@ -11,7 +11,7 @@ from matchloom.operators.incremental import checkpoint_reports
 from matchloom.operators.sequences import rate_limit_log, send_once_log
 from matchloom.sources.events import event_lines, parse_event_lines, read_task, write_by_task
 from matchloom.streaming import folds, state, windows
-from matchloom.streaming.runner import drain, drain_updates
+from matchloom.streaming.runner import append_to, drain, drain_updates
 from workload import streams
 from workload.registry import QUERIES
 
@@ -54,7 +54,7 @@ def test_rate_limit_log_equals_brute_force(spark, span):
 def test_rate_limit_stream(spark, tmp_path):
     df = calls(spark)
     stream = as_stream(spark, df, str(tmp_path / "in"), "ms", 3)
-    got = {r["id"]: r["accepted"] for r in drain(state.rate_limit(stream, 3, 200), "limit").collect()}
+    got = {r["id"]: r["accepted"] for r in drain(state.rate_limit(stream, 3, 200, delay="1 hour"), "limit").collect()}
     assert got == brute_limit(df.collect(), 3, 200)
 
 
@@ -72,6 +72,38 @@ def brute_sends(rows, hold):
     return out
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_rows_out_of_time_order_are_told_and_settled(spark, tmp_path, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice([1, 2]), 7, i, rng.randrange(900), rng.random() < 0.6) for i in range(60)]
+    rows += [(3, 7, 101, 10, False), (3, 7, 100, 5, True)]  # a failed attempt, and one before it that comes later
+    df = spark.createDataFrame(rows, "candidate long, job long, id long, ms long, ok boolean")
+    stream = as_stream(spark, df.withColumn("_at", F.hash("id")), str(tmp_path / "sends"), F.desc("id") if parts == 5 else "_at", parts)
+    answers = drain(state.send_once(stream.drop("_at"), 150, delay="2 seconds"), "late-sends")
+    settled = streams.in_time_order(answers, df, ["candidate", "job"], lambda x: send_once_log(x, ["candidate", "job"], 150))
+    assert {r["id"]: r["outcome"] for r in settled.collect()} == brute_sends(df.collect(), 150)
+
+    one = spark.createDataFrame([(3, 7, 2, 10, False)], df.schema), spark.createDataFrame([(3, 7, 1, 5, True)], df.schema)
+    for i, part in enumerate(one):
+        part.coalesce(1).write.parquet(str(tmp_path / "two" / f"{i:03d}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "two" / "*"))
+    late = {r["id"]: r["late"] for r in drain(state.send_once(stream, 150, delay="1 hour"), "two-sends").collect()}
+    assert late == {2: False, 1: True}
+
+
+def test_state_ends_behind_the_watermark(spark, tmp_path):
+    rows = [(1 if i < 3 else 2, i, ms) for i, ms in enumerate([1_000_000, 1_000_010, 1_000_020, 1_100_000, 1_200_000, 1_200_001])]
+    df = spark.createDataFrame(rows, "caller long, id long, ms long")
+    stream = as_stream(spark, df, str(tmp_path / "calls"), "ms", 6)
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    query = append_to(state.rate_limit(stream, 2, 50, delay="1 second"), path, checkpoint)
+    query.awaitTermination()
+    # A batch of one row replaces one timer; a second one that goes is that of a key whose time is over.
+    gone = max(op["customMetrics"]["numDeletedTimers"] for p in query.recentProgress for op in p["stateOperators"])
+    got = {r["id"]: r["accepted"] for r in spark.read.parquet(path).collect()}
+    assert got == brute_limit(df.collect(), 2, 50) and gone == 2
+
+
 @pytest.mark.parametrize("name", ["t6_rate_limit", "t7_send_once"])
 def test_files_out_of_time_order(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(streams, "BATCH_BYTES", 1)  # one file per batch
@@ -96,7 +128,7 @@ def test_send_once(spark, tmp_path):
     log = send_once_log(df, ["candidate", "job"], 150)
     assert {r["id"]: r["outcome"] for r in log.collect()} == want
     stream = as_stream(spark, df, str(tmp_path / "in"), "ms", 3)
-    assert {r["id"]: r["outcome"] for r in drain(state.send_once(stream, 150), "sends").collect()} == want
+    assert {r["id"]: r["outcome"] for r in drain(state.send_once(stream, 150, delay="1 hour"), "sends").collect()} == want
 
 
 def test_status_does_not_depend_on_arrival(spark, tmp_path):

@@ -57,8 +57,8 @@ class Entities:
         )
 
     def candidates(self) -> DataFrame:
-        """Documents with a structured profile: degree by id, jobs from orders, first 8 distinct tokens."""
-        skills = F.slice(F.array_distinct(tokenize(F.col("text"))), 1, 8)
+        """Documents with a structured profile: degree by id, jobs from orders, the distinct tokens as skills."""
+        skills = F.array_distinct(tokenize(F.col("text")))
         degree = pick(DEGREES, F.col("candidate_id") % 4)
         return (
             self.documents()
@@ -76,7 +76,7 @@ class Entities:
         )
 
     def jobs(self) -> DataFrame:
-        """Benchmark items as jobs: requirements from id and first tokens, skill graph of ten tokens."""
+        """Benchmark items as jobs: requirements from id and tokens, the distinct tokens as skill graph."""
         distinct = F.array_distinct(tokenize(F.col("text")))
         item = F.col("item_id")
         return self.t.benchmark.select(
@@ -86,9 +86,9 @@ class Entities:
             F.concat(F.lit("job "), item.cast("string")).alias("title"),
             F.concat(
                 F.array(pick(JOB_DEGREES, item % 3), F.concat((item % 6).cast("string"), F.lit(" 年"))),
-                F.when(item % 4 == 0, F.array().cast("array<string>")).otherwise(F.slice(distinct, 1, 3)),
+                F.when(item % 4 == 0, F.array().cast("array<string>")).otherwise(distinct),
             ).alias("hard_requirements"),
-            F.slice(distinct, 1, 10).alias("skill_graph"),
+            distinct.alias("skill_graph"),
         )
 
     def job_vectors(self) -> DataFrame:
@@ -115,10 +115,10 @@ class Entities:
         )
 
     def raw_skills(self) -> DataFrame:
-        """candidate_id, skills: the first six distinct tokens and one alias, chosen by id."""
+        """candidate_id, skills: the distinct tokens and one alias, chosen by id."""
         aliases = [alias for alias, _ in fixed.SKILL_ALIASES]
         alias = F.upper(pick(aliases, F.col("candidate_id") % len(aliases)))
-        tokens = F.slice(F.array_distinct(tokenize(F.col("text"))), 1, 6)
+        tokens = F.array_distinct(tokenize(F.col("text")))
         return self.documents().select("candidate_id", F.array_append(tokens, alias).alias("skills"))
 
     # --- panel rows ---

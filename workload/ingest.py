@@ -180,13 +180,13 @@ def _(t):
 def jd_answers(t):
     """A raw extraction answer per document; some fields are missing or of the wrong type."""
     d = F.col("doc_id")
-    first = F.slice(F.array_distinct(X.tokenize(F.col("text"))), 1, 3)
+    graph = F.array_distinct(X.tokenize(F.col("text")))
     body = F.concat(
         F.lit("{"),
         F.when(d % 4 != 0, F.concat(F.lit('"title": "'), "source", F.lit('", '))).otherwise(F.lit("")),
         F.lit('"hard_requirements": '),
         F.when(d % 5 == 0, F.lit('"none"')).otherwise(F.lit('[" a ", "", "b"]')),
-        F.lit(', "skill_graph": '), F.to_json(first),
+        F.lit(', "skill_graph": '), F.to_json(graph),
         F.lit(', "job_category": "'),
         F.when(d % 3 == 0, F.lit(" Tech ")).when(d % 3 == 1, F.lit("design")).otherwise(F.lit("chef")),
         F.lit('"}'),
@@ -198,7 +198,7 @@ _JD = f"""
 jd AS (
   SELECT d.*, doc_id AS job_id, CASE WHEN doc_id % 4 <> 0 THEN source ELSE '未命名岗位' END AS title,
          CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'a,b' END AS hard,
-         array_to_string(list_filter(c.toks, lambda x, i: list_position(c.toks, x) = i)[1:3], ',') AS graph,
+         array_to_string(list_filter(c.toks, lambda x, i: list_position(c.toks, x) = i), ',') AS graph,
          CASE doc_id % 3 WHEN 0 THEN 'tech' WHEN 1 THEN 'design' ELSE 'general' END AS job_category
   FROM documents d JOIN docs c ON c.candidate_id = d.doc_id
 )"""
@@ -443,7 +443,7 @@ def _(t):
     "u5_u6_u7_array_sets",
     f"""
 WITH {S.CANDIDATES}, {S.JOBS},
-sets AS (SELECT job_id, toks, skill_graph, dist[5:15] AS other FROM jobs JOIN jobs1 USING (job_id, toks))
+sets AS (SELECT job_id, toks, skill_graph, list_filter(dist, lambda x: len(x) > 3) AS other FROM jobs JOIN jobs1 USING (job_id, toks))
 SELECT job_id, array_to_string(list_sort(list_intersect(skill_graph, other)), ',') AS both,
        array_to_string(list_filter(toks, lambda x, i: list_position(toks, x) = i), ',') AS distinct_tokens,
        array_to_string(list_filter(skill_graph, lambda x: NOT list_contains(other, x)), ',') AS only_graph FROM sets
@@ -451,7 +451,7 @@ SELECT job_id, array_to_string(list_sort(list_intersect(skill_graph, other)), ',
 )
 def _(t):
     rows = t.views.jobs().withColumn("toks", X.tokenize(F.col("query")))
-    other = F.slice(F.array_distinct("toks"), 5, 11)
+    other = F.filter(F.array_distinct("toks"), lambda x: F.length(x) > 3)
     return rows.select(
         "job_id",
         F.array_join(F.array_sort(F.array_intersect("skill_graph", other)), ",").alias("both"),

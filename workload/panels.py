@@ -246,22 +246,35 @@ def _(t):
     "e7_apply_turns",
     f"""
 {WITH_TURNS},
-own AS (SELECT job_id, candidate_id, agent, score, text FROM turns WHERE round = 1),
-said AS (SELECT candidate_id, agent, length(text) AS n, text FROM turns WHERE round = 2),
-joined AS (SELECT o.job_id, o.candidate_id, o.agent, o.score AS old, o.text AS own_text, n, s.text AS new_text
-           FROM own o LEFT JOIN said s USING (candidate_id, agent)),
+own AS (SELECT job_id, candidate_id, agent, score AS first, text AS own_text FROM turns WHERE round = 1),
+said AS (
+  SELECT *, length(text) AS n, length(text) % 3 = 0 AND length(text) % 11 <> 0 AS revises FROM turns WHERE round > 1
+),
 moved AS (
-  SELECT *, n IS NOT NULL AND n % 3 = 0 AND n % 11 <> 0 AS revises FROM joined
+  SELECT candidate_id, agent, round, revises, n, text, first,
+         coalesce(last_value(CASE WHEN revises THEN greatest(0, least(100, n % 140 - 20)) END IGNORE NULLS)
+                    OVER (PARTITION BY candidate_id, agent ORDER BY round), first)::DOUBLE AS score
+  FROM said JOIN own USING (candidate_id, agent)
 ),
-scored AS (
-  SELECT *, CASE WHEN revises THEN greatest(0, least(100, n % 140 - 20)) ELSE old END::DOUBLE AS score FROM moved
-)
-SELECT candidate_id, agent, score, round(score - old, 2) AS score_delta,
-       CASE WHEN revises THEN 'revise' ELSE 'maintain' END AS stance,
-       CASE WHEN n IS NULL THEN 5 ELSE least(n % 150, 100) END::DOUBLE AS dim_a, 7.0::DOUBLE AS dim_b,
-       CASE WHEN n IS NULL OR substr(new_text, 1, 200) = substr(own_text, 1, 200) THEN 1 ELSE 2 END
-         + CASE WHEN n IS NULL THEN 0 ELSE 1 END AS n_evidence
-FROM scored
+steps AS (
+  SELECT *, round(score - coalesce(lag(score) OVER (PARTITION BY candidate_id, agent ORDER BY round), first), 2) AS delta
+  FROM moved
+),
+ended AS (
+  SELECT candidate_id, agent, arg_max(score, round) AS score, arg_max(least(n % 150, 100), round) AS dim_a,
+         string_agg(round || ':' || score::INT || ':' || delta::INT || ':' ||
+                    CASE WHEN revises THEN 'revise' ELSE 'maintain' END, ',' ORDER BY round) AS history
+  FROM steps GROUP BY ALL
+),
+texts AS (
+  SELECT candidate_id, agent, substr(own_text, 1, 200) AS e FROM own
+  UNION SELECT candidate_id, agent, substr(text, 1, 200) FROM said WHERE trim(text) <> ''
+  UNION SELECT candidate_id, agent, 'extra' FROM said
+),
+kept AS (SELECT candidate_id, agent, least(3, count(*)) AS n_evidence FROM texts GROUP BY ALL)
+SELECT candidate_id, agent, coalesce(score, first)::DOUBLE AS score, coalesce(history, '') AS history,
+       coalesce(dim_a, 5)::DOUBLE AS dim_a, 7.0::DOUBLE AS dim_b, n_evidence
+FROM own LEFT JOIN ended USING (candidate_id, agent) JOIN kept USING (candidate_id, agent)
 """,
 )
 def _(t):
@@ -281,15 +294,19 @@ def _(t):
             F.array(F.col("text"), F.lit(" "), F.lit("extra"), F.lit("extra")).alias("evidence"),
         )
     )
-    said = turns.where("round = 2").select(
+    said = turns.where("round > 1").select(
         "tenant_id", "job_id", "candidate_id", "agent", "round", D.parse_turn(answer).alias("turn")
     )
-    after = D.apply_turns(own, said, 2)
+    after = D.fold_turns(own, said)
+    step = F.transform(
+        "history",
+        lambda h: F.concat_ws(":", h["round"], h["score"].cast("int"), h["score_delta"].cast("int"), h["stance"]),
+    )
     return after.select(
-        "candidate_id", "agent", "score", "score_delta", "stance",
+        "candidate_id", "agent", "score", F.array_join(step, ",").alias("history"),
         F.try_element_at("dimension_scores", F.lit("a")).alias("dim_a"),
         F.try_element_at("dimension_scores", F.lit("b")).alias("dim_b"),
-        F.size("evidence").alias("n_evidence"),
+        F.size("evidence").cast("bigint").alias("n_evidence"),
     )
 
 

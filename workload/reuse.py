@@ -46,7 +46,7 @@ cached AS (SELECT * FROM verdicts WHERE profile_hash <> '')"""
     f"""
 WITH {S.CANDIDATES},
 skilled AS (
-  SELECT d.*, lang, list_filter(toks, lambda x, i: list_position(toks, x) = i)[1:8] AS skills
+  SELECT d.*, lang, list_filter(toks, lambda x, i: list_position(toks, x) = i) AS skills
   FROM docs d JOIN documents ON doc_id = candidate_id
 )
 SELECT candidate_id, substr(sha256(text || chr(31) || '{{"lang":"' || lang || '","skills":' ||
@@ -57,7 +57,7 @@ def _(t):
     docs = t.documents.select(
         "doc_id", "text",
         F.struct(
-            F.slice(F.array_distinct(tokenize(F.col("text"))), 1, 8).alias("skills"), F.col("lang")
+            F.array_distinct(tokenize(F.col("text"))).alias("skills"), F.col("lang")
         ).alias("structured"),
     )
     return docs.select(

@@ -25,10 +25,10 @@ jobs1 AS (
   SELECT *, list_filter(toks, lambda x, i: list_position(toks, x) = i) AS dist FROM jobs0
 ),
 jobs AS (
-  SELECT tenant_id, job_id, query, title, toks, dist[1:10] AS skill_graph,
+  SELECT tenant_id, job_id, query, title, toks, dist AS skill_graph,
          ['', '本科及以上学历', '硕士及以上学历'][(job_id % 3) + 1] AS degree_req,
          [0, 2, 3][(job_id % 3) + 1] AS need_degree, (job_id % 6)::INT AS need_years,
-         CASE WHEN job_id % 4 = 0 THEN []::VARCHAR[] ELSE dist[1:3] END AS skill_reqs
+         CASE WHEN job_id % 4 = 0 THEN []::VARCHAR[] ELSE dist END AS skill_reqs
   FROM jobs1
 )"""
 
@@ -124,7 +124,7 @@ FACTS = """
 facts AS (
   SELECT tenant_id, candidate_id, [1, 2, 3, 4][(candidate_id % 4) + 1] AS degree,
          coalesce(years, 0) AS years, lower(text) AS low,
-         list_filter(toks, lambda x, i: list_position(toks, x) = i)[1:8] AS skills
+         list_filter(toks, lambda x, i: list_position(toks, x) = i) AS skills
   FROM docs LEFT JOIN years USING (candidate_id)
 )"""
 
@@ -140,18 +140,26 @@ needs AS (
 def hit(tag: str, skills: str, text: str) -> str:
     pattern = f"'(^|[^a-z0-9+#.])' || regexp_escape({tag}) || '($|[^a-z0-9+#])'"
     return (
-        f"(list_contains({skills}, {tag}) OR regexp_matches(array_to_string({skills}, ' '), {pattern}) "
-        f"OR regexp_matches({text}, {pattern}))"
+        f"(list_contains({skills}, {tag}) OR regexp_matches({text}, {pattern}) "
+        f"OR regexp_matches(array_to_string({skills}, ' '), {pattern}))"
     )
 
 
+# The skills are tokens of the text: what a text does not contain, they do not either.
 POOL = f"""
+pool_tags AS (SELECT DISTINCT tenant_id, unnest(need_skills) AS tag FROM needs),
+pool_hits AS MATERIALIZED (
+  SELECT tenant_id, tag, candidate_id FROM pool_tags JOIN facts f USING (tenant_id)
+  WHERE contains(f.low, tag) AND {hit('tag', 'f.skills', 'f.low')}
+),
+pool_skilled AS (
+  SELECT DISTINCT job_id, candidate_id
+  FROM (SELECT tenant_id, job_id, unnest(need_skills) AS tag FROM needs) JOIN pool_hits USING (tenant_id, tag)
+),
 pool AS (
   SELECT n.tenant_id, n.job_id, f.candidate_id
-  FROM needs n JOIN facts f USING (tenant_id)
-  WHERE f.degree >= n.need_degree AND f.years >= n.need_years
-    AND (len(n.need_skills) = 0
-         OR len(list_filter(n.need_skills, lambda tag: {hit('tag', 'f.skills', 'f.low')})) > 0)
+  FROM needs n JOIN facts f USING (tenant_id) LEFT JOIN pool_skilled s ON s.job_id = n.job_id AND s.candidate_id = f.candidate_id
+  WHERE f.degree >= n.need_degree AND f.years >= n.need_years AND (len(n.need_skills) = 0 OR s.job_id IS NOT NULL)
 )"""
 
 
