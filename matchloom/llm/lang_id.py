@@ -33,13 +33,17 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class LanguageSettings:
     """`rows_per_language` bounds the labelled rows that are learned from (those of lowest hash, about so many);
-    `max_words` and `max_grams` bound the model, which every task holds: the most frequent ones stay. `shared` is the
-    part of a frequency that comes from all languages alike, so that no word is impossible in any."""
+    `max_words` and `max_grams` bound the model, which every task holds: those stay that are the largest part of some
+    language's words or n-grams, so that a language with few rows keeps its own. What is seen less than `min_count` times
+    and is less than a `rare_part` of each language is left out. `shared` is the part of a frequency that comes from all
+    languages alike, so that no word is impossible in any. A longer text than `evidence_words` counts as much as one of
+    that length: its words are not independent of each other, and the score would always be 0 or 1."""
 
     rows_per_language: int = 5_000
     max_words: int = 100_000
     max_grams: int = 60_000
     min_count: int = 2
+    rare_part: float = 1e-4
     max_gram: int = 4
     evidence_words: int = 32
     shared: float = 0.01
@@ -133,16 +137,25 @@ def fit(
         "language-counts",
     )
 
+    labels = {r["lang"]: r["count"] for r in sample.groupBy(F.col(lang).alias("lang")).count().collect()}  # a row per language
+
     def most(kind: str, top: int) -> list:
-        rows = frequent(counted.where(F.col("kind") == kind), "total", top, settings.min_count)
-        return sorted(rows.select("item", "by").collect(), key=lambda r: r["item"])  # `top` rows at most
+        rows = counted.where(F.col("kind") == kind)
+        sums = rows.select(F.explode("by").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("sum"))
+        of = F.create_map(*[F.lit(x) for r in sums.collect() for x in (r["lang"], float(r["sum"]))] or [F.lit(""), F.lit(1.0)])
+        parts = F.transform(F.map_entries("by"), lambda e: e["value"] / F.try_element_at(of, e["key"]))
+        ranked = rows.withColumn("part", (F.array_max(parts) * 10**9).cast("long"))
+        known = (F.col("total") >= settings.min_count) | (F.col("part") >= int(settings.rare_part * 10**9))
+        found = frequent(ranked.where(known), "part", top)
+        return sorted(found.select("item", "by").collect(), key=lambda r: r["item"])  # `top` rows at most
 
     words, grams = most("w", settings.max_words), most("g", settings.max_grams)
-    return _model(words, grams, settings)
+    return _model(words, grams, labels, settings)
 
 
-def _model(words: list, grams: list, settings: LanguageSettings) -> LanguageModel:
-    languages = sorted({name for row in words for name in row["by"]})
+def _model(words: list, grams: list, labels: dict[str, int], settings: LanguageSettings) -> LanguageModel:
+    """labels: the languages that were learned from, with their rows."""
+    languages = sorted(labels)
     place = {name: i for i, name in enumerate(languages)}
 
     def table(rows: list, group) -> np.ndarray:
@@ -158,10 +171,7 @@ def _model(words: list, grams: list, settings: LanguageSettings) -> LanguageMode
             counts[groups == g] = np.log((1 - settings.shared) * own + settings.shared * own.mean(axis=1, keepdims=True))
         return counts.astype(np.float32)
 
-    totals = np.zeros(len(languages))
-    for row in words:
-        for name, n in row["by"].items():
-            totals[place[name]] += n
+    totals = np.array([labels[name] for name in languages], dtype=float)
     return LanguageModel(
         languages,
         {row["item"]: i for i, row in enumerate(words)},
@@ -242,7 +252,10 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
 def reject_unclear(
     df: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.5
 ) -> DataFrame:
-    """The rows whose language is clear: not `und`, and a score of `min_score` at least. Own columns stay."""
+    """The rows whose language is clear: not `und`, and a score of `min_score` at least. Own columns stay. Where no
+    language was learned nothing can be told, and all rows stay."""
+    if not model.languages:
+        return df
     own = {f"__own_{i}": c for i, c in enumerate(df.columns)}
     held = df.select(*[F.col(f"`{c}`").alias(k) for k, c in own.items()])
     where = next(k for k, c in own.items() if c == text)

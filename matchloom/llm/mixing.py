@@ -153,25 +153,22 @@ def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return sure.drop(*dropped).unionByName(edge.drop(*dropped))
 
 
-def mixed(docs: DataFrame, sizes: Column, words: Column, settings: MixSettings = MixSettings()) -> DataFrame:
-    """The mixture itself, with the documents' columns: a row per copy taken; the cut copy holds its first words.
+def mixed(docs: DataFrame, sizes: Column, settings: MixSettings = MixSettings()) -> DataFrame:
+    """The mixture itself, with the documents' columns: a row per copy taken. Texts stay whole: the copy at a source's
+    budget is taken if half of its words or more fit, so a source comes within half a document of its target.
 
-    sizes: the word count of a row; words: its words as an array. The texts are not shuffled: rows meet the plan of
-    their source, which has one row per source.
+    sizes: the word count of a row. The texts are not shuffled, but for copies of the one at a cut: rows meet the plan
+    of their source, which has one row per source.
     """
     own = {f"__own_{i}": c for i, c in enumerate(docs.columns)}
-    at = {c: k for k, c in own.items()}
     held = docs.select(
         F.col("doc_id"),
         F.col("source"),
         sizes.alias("size"),
-        words.alias("__words"),
         *[F.col(f"`{c}`").alias(k) for k, c in own.items()],
     )
     _, plan = mix_plan(held.select("doc_id", "source", "size"), settings)
     chosen = taken(held.withColumn("key", random_key(F.col("doc_id"))), plan)
-    copies = F.expr("concat(array_repeat(false, cast(whole AS int)), if(part > 0, array(true), array()))")
-    rows = chosen.withColumn("__cut", F.explode(copies))
-    cut_text = F.array_join(F.slice("__words", 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
-    text = F.when(F.col("__cut"), cut_text).otherwise(F.col(at["text"]))
-    return rows.withColumn(at["text"], text).select(*[F.col(k).alias(c) for k, c in own.items()])
+    copies = F.col("whole") + ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("long")
+    rows = chosen.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    return rows.select(*[F.col(k).alias(c) for k, c in own.items()])

@@ -74,6 +74,14 @@ def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     return sorted({lengths[j - 1] for j in ends if j > 0})
 
 
+def pack_texts(docs: DataFrame, length: Column, settings: PackSettings = PackSettings()) -> DataFrame:
+    """(doc_id, row, text, length, bucket, padded, batch, slot): the packed rows themselves. `row` tells copies of one
+    document apart; the places are found without the texts, which are joined once."""
+    rows = stage(docs.select("doc_id", "text", length.alias("length")).withColumn("row", F.monotonically_increasing_id()), "pack-texts")
+    places = pack(rows.select(F.col("row").alias("doc_id"), "length"), F.col("length"), settings)
+    return rows.drop("length").join(places.withColumnRenamed("doc_id", "row"), "row").select("doc_id", "row", "text", *places.columns[1:])
+
+
 def pack(docs: DataFrame, length: Column, settings: PackSettings = PackSettings()) -> DataFrame:
     """(doc_id, length, bucket, padded, batch, slot): the documents of a batch share (bucket, batch)."""
     key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("pack")), 64 - KEY_BITS)

@@ -22,7 +22,7 @@ def tiny_model():
     rows = [("w", "the", {"en": 8}), ("w", "der", {"de": 8}), ("w", "in", {"de": 2, "en": 2})]
     grams = [("^th", {"en": 8}), ("sch", {"de": 5}), ("h", {"en": 8, "de": 4}), ("z", {"de": 3, "en": 1})]
     named = lambda pairs: [{"item": i, "by": b} for i, b in pairs]
-    return li._model(named([(w, b) for _, w, b in rows]), named(grams), li.LanguageSettings())
+    return li._model(named([(w, b) for _, w, b in rows]), named(grams), {"de": 1, "en": 1}, li.LanguageSettings())
 
 
 def mean_row(model, word):
@@ -89,4 +89,15 @@ def test_nothing_to_learn_from(spark):
     model = li.fit(empty(spark))
     assert {r["lang_pred"] for r in li.predict(awkward(spark), model).collect()} == {"und"}
     assert li.predict(empty(spark), model).count() == 0
-    assert li.reject_unclear(awkward(spark), model).count() == 0
+    assert li.reject_unclear(awkward(spark), model).count() == awkward(spark).count()
+
+
+def test_a_small_language_stays_in_the_model(spark):
+    large = [(i, f"the house number {i % 50} of the street and the sea", "en") for i in range(400)]
+    small = [(1_000, "kala ja vesi", "fi"), (1_001, "metsä järvi", "fi")]
+    docs = spark.createDataFrame(large + small, "doc_id long, text string, lang string")
+    model = li.fit(docs, settings=li.LanguageSettings(max_words=12, max_grams=200))
+    asked = spark.createDataFrame([(1, "vesi ja metsä"), (2, "the sea")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in li.predict(asked, model).collect()} == {1: "fi", 2: "en"}
+    names = spark.createDataFrame([(3, "the sea", "en"), (4, "12 34", "xx")], docs.schema)
+    assert li.fit(names).languages == ["en", "xx"]
