@@ -18,7 +18,7 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a clear language, by a model learned from the labelled ones among them."""
+    """Documents in a clear language, by a model learned from the labelled ones among them; all, if none is labelled."""
     return lang_id.reject_unclear(docs, lang_id.fit(docs))
 
 
@@ -28,14 +28,13 @@ def by_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them; the one at a source's budget is cut there."""
-    words = quality_rules.words_of(F.col("text"))
-    return mixing.mixed(docs, F.size(words).cast("long"), words)
+    """Documents as often as the mixture takes them, whole; the one at a source's budget is taken if half of it fits."""
+    return mixing.mixed(docs, quality_rules.count_words(F.col("text")))
 
 
 def by_length(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Batches of documents of like length."""
-    return packing.pack(docs, quality_rules.count_words(F.col("text")))
+    """Batches of documents of like length, with their texts."""
+    return packing.pack_texts(docs, quality_rules.count_words(F.col("text")))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
