@@ -557,18 +557,18 @@ def _(t):
 
 _SCORED = f"""
 {WITH_FUSED},
-first AS (SELECT job_id, candidate_id, chunk_index FROM dense
+first AS MATERIALIZED (SELECT job_id, candidate_id, chunk_index FROM dense
           QUALIFY row_number() OVER (PARTITION BY job_id, candidate_id ORDER BY rank) = 1),
 conf AS (
   SELECT job_id, CASE WHEN job_id % 7 <> 6 AND job_id % 2 = 0 THEN 'cross_encoder' ELSE 'cosine' END AS mode,
          CASE WHEN job_id % 7 <> 6 AND job_id % 3 = 0 THEN 0.7 ELSE 0.4 END AS t_cross FROM jobs
 ),
-cut AS (
+cut AS MATERIALIZED (
   SELECT tenant_id, job_id, candidate_id, rrf_score, mode, t_cross,
          row_number() OVER (PARTITION BY job_id ORDER BY rrf_score DESC, candidate_id) AS fused_rank
   FROM fused JOIN conf USING (job_id) QUALIFY fused_rank <= CASE mode WHEN 'cosine' THEN 4 ELSE 2 END * CASE WHEN job_id % 3 = 1 THEN least(1 + job_id % 60, 50) ELSE 10 END
 ),
-paired AS (
+paired AS MATERIALIZED (
   SELECT c.*, CASE WHEN (job_id + candidate_id) % 3 <> 0 THEN (candidate_id % 100) / 100.0::DOUBLE END AS cross_score,
          round((list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) + 1) / 2, 6) AS cos_score
   FROM cut c LEFT JOIN first USING (job_id, candidate_id)

@@ -12,7 +12,7 @@ def ordered_distinct(values: str) -> str:
 
 
 CANDIDATES = f"""
-docs AS (
+docs AS MATERIALIZED (
   SELECT lang AS tenant_id, doc_id AS candidate_id, text, {tokens('text')} AS toks FROM documents
 )"""
 
@@ -24,7 +24,7 @@ jobs0 AS (
 jobs1 AS (
   SELECT *, list_filter(toks, lambda x, i: list_position(toks, x) = i) AS dist FROM jobs0
 ),
-jobs AS (
+jobs AS MATERIALIZED (
   SELECT tenant_id, job_id, query, title, toks, dist AS skill_graph,
          ['', '本科及以上学历', '硕士及以上学历'][(job_id % 3) + 1] AS degree_req,
          [0, 2, 3][(job_id % 3) + 1] AS need_degree, (job_id % 6)::INT AS need_years,
@@ -76,25 +76,25 @@ chunks AS (
   JOIN embeddings e ON e.vec_id = (candidate_id + 97 * chunk_index) % (SELECT count(*) FROM embeddings)
 ),
 jv AS (SELECT tenant_id, job_id, embedding::DOUBLE[] AS qv FROM jobs JOIN embeddings ON vec_id = job_id),
-sim AS (
+sim AS MATERIALIZED (
   SELECT tenant_id, job_id, candidate_id, chunk_index, chunk,
          round(list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))), 6) AS score
   FROM jv JOIN chunks USING (tenant_id)
 ),
-dense AS (
+dense AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY score DESC, candidate_id, chunk_index) AS rank
   FROM sim QUALIFY rank <= 30
 )"""
 
 SPARSE = """
-sparse AS (
+sparse AS MATERIALIZED (
   SELECT tenant_id, job_id, candidate_id, round(score, 6) AS score,
          row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY round(score, 6) DESC, candidate_id) AS rank
   FROM bm WHERE round(score, 6) > 0 QUALIFY rank <= 30
 )"""
 
 FUSED = """
-fused AS (
+fused AS MATERIALIZED (
   SELECT tenant_id, job_id, candidate_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf_score
   FROM (SELECT tenant_id, job_id, candidate_id, rank FROM dense
         UNION ALL SELECT tenant_id, job_id, candidate_id, rank FROM sparse)
