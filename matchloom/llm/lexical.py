@@ -21,7 +21,6 @@ null among them, are one query; a query without terms that occur has no rows.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
