@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,26 @@ def rerank_document(evidence: Column, text: Column, chars: Column) -> Column:
     return F.substring(F.coalesce(F.get(evidence, F.lit(0)), text, F.lit("")), F.lit(1), chars)
 
 
+def cross_scores(
+    cut: DataFrame, evidence: DataFrame, texts: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """(tenant, job, candidate, cross_score) of the cut's pairs whose job asks for a cross-encoder.
+
+    The other pairs never reach the scorer. `cut`: pairs with rerank_mode and doc_chars. `evidence`: pairs with an
+    array `evidence`. `texts`: tenant_id, candidate_id, text. `queries`: tenant_id, job_id, query.
+    """
+    document = rerank_document(F.col("evidence"), F.col("text"), F.col("doc_chars"))
+    asked = (
+        cut.where("rerank_mode = 'cross_encoder'")
+        .select(*_PAIR, "doc_chars")
+        .join(evidence.select(*_PAIR, "evidence"), _PAIR, "left")
+        .join(texts, ["tenant_id", "candidate_id"], "left")
+        .join(queries, ["tenant_id", "job_id"], "left")
+        .select(*_PAIR, F.coalesce("query", F.lit("")).alias("_query"), document.alias("_document"))
+    )
+    return asked.select(*_PAIR, scorer(F.col("_query"), F.col("_document")).alias("cross_score"))
+
+
 def score_pairs(cut: DataFrame) -> DataFrame:
     """Score by the job's mode: cross-encoder score if wanted and present, else cosine, else RRF.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators import fusion, rerank
@@ -61,13 +62,20 @@ def coarse_screen(
     staged: bool = True,
     prune: bool = True,
     include_nonmatching: bool = False,
+    scorer: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(tenant, job, candidate, rank, score, score_mode, rrf_score, evidence, reasons), top N per job.
 
+    `scorer` maps (query, rerank document) to a score from 0 to 1, as `model_points.pair_scorer` does. It is asked
+    after the rerank cut, for pairs of cross-encoder jobs only, and takes the place of `inputs.cross_scores`; a pair
+    that it answers with NULL falls back to cosine.
+
     `prune` spares the sparse recall the pairs of frequent tokens; the list is the same without it.
     `include_nonmatching` lists pool members without any query token behind the matching ones.
     """
     jobs = inputs.jobs
+    if scorer is not None and inputs.cross_scores is not None:
+        raise ValueError("give either a scorer or cross_scores")
     if "screen_overrides" not in jobs.columns:
         jobs = jobs.withColumn("screen_overrides", F.lit(None).cast("map<string,string>"))
     jobs = job_rules(search_queries(jobs))
@@ -128,10 +136,16 @@ def coarse_screen(
         .join(vectors, [*owner, "chunk_index"], "left")
         .join(inputs.job_vectors.select(*_JOB, F.col("vector").alias("query_vector")), _JOB, "left")
     )
-    if inputs.cross_scores is None:
+    cross_scores = inputs.cross_scores
+    if scorer is not None:
+        texts = only_keys_of(docs, cut.where("rerank_mode = 'cross_encoder'"), owner)
+        cross_scores = rerank.cross_scores(cut, evidence, texts, queries.select(*_JOB, "query"), scorer)
+        if staged:
+            cross_scores = stage(cross_scores, "cross-scores")
+    if cross_scores is None:
         pairs = pairs.withColumn("cross_score", F.lit(None).cast("double"))
     else:
-        pairs = pairs.join(inputs.cross_scores, _PAIR, "left")
+        pairs = pairs.join(cross_scores, _PAIR, "left")
     listed = rerank.final_list(rerank.score_pairs(pairs), settings)
 
     excerpts = rerank.evidence_excerpts(F.col("evidence"))
@@ -149,9 +163,19 @@ def coarse_screen(
     )
 
 
-def screen_summary(jobs: DataFrame, candidates: DataFrame, listed: DataFrame, cached: DataFrame) -> DataFrame:
-    """Per job: pool size, accepted candidates and how many of them have a cached verdict."""
-    sizes = candidates.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("pool_size"))
+def screen_summary(
+    jobs: DataFrame, candidates: DataFrame, listed: DataFrame, cached: DataFrame, batch_size: int = DEFAULTS.batch_size
+) -> DataFrame:
+    """Per job: pool size, batches, accepted candidates and how many of them have a cached verdict.
+
+    The candidates come in the batches named by a column `batch`, else in pages of `batch_size`.
+    """
+    pool_size = F.count(F.lit(1))
+    if "batch" in candidates.columns:
+        batches = F.count_distinct("batch")
+    else:
+        batches = F.ceil(pool_size / batch_size).cast("bigint")
+    sizes = candidates.groupBy("tenant_id").agg(pool_size.alias("pool_size"), batches.alias("batches"))
     hits = listed.join(cached.select(*_PAIR).distinct().withColumn("_hit", F.lit(1)), _PAIR, "left")
     counts = hits.groupBy(*_JOB).agg(
         F.count(F.lit(1)).alias("accepted"), F.count("_hit").alias("cache_hits")
@@ -164,6 +188,7 @@ def screen_summary(jobs: DataFrame, candidates: DataFrame, listed: DataFrame, ca
         .select(
             *_JOB,
             F.coalesce("pool_size", zero).alias("pool_size"),
+            F.coalesce("batches", zero).alias("batches"),
             F.coalesce("accepted", zero).alias("accepted"),
             F.coalesce("cache_hits", zero).alias("cache_hits"),
         )

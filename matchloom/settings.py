@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class ScreenSettings:
+    batch_size: int = 200
     # retrieval
     rag_top_k: int = 30
     rrf_k: int = 60

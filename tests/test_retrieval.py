@@ -1,15 +1,17 @@
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.functions.model_points import pair_scorer
 from matchloom.operators import fusion, rerank
 from matchloom.operators.dense import dense_search
 from matchloom.operators.hard_filter import distinct_rules, job_rules
 from matchloom.operators.sparse import bm25_search
-from matchloom.plans.screening import ScreenInputs, coarse_screen
+from matchloom.plans.screening import ScreenInputs, coarse_screen, screen_summary
 from tests.test_rules import candidates
 
 WORDS = "python java go spark sql rust data 机 器 cloud".split()
@@ -203,6 +205,40 @@ def test_coarse_screen(spark, staged):
     assert rows[0]["reasons"][0] == "技能匹配：Python" and rows[1]["reasons"] == ["原文证据：Java Spring"]
 
 
+def test_scorer_is_asked_after_the_cut(spark):
+    def only_python():
+        def rate(queries, documents):
+            if any("cooking" in d for d in documents):  # outside the pool, so never a pair
+                raise AssertionError("asked for a pair outside the cut")
+            return [None if "Java" in d else 0.9 for d in documents]
+
+        return rate
+
+    given = screening(spark)
+    mode = F.create_map(F.lit("rerank_mode"), F.lit("cross_encoder"))
+    asked = replace(given, jobs=given.jobs.withColumn("screen_overrides", mode))
+    rows = coarse_screen(asked, as_of_year=2026, scorer=pair_scorer(only_python)).orderBy("rank").collect()
+    assert [(r["candidate_id"], r["score"], r["score_mode"]) for r in rows] == [("c1", 0.9, "cross_encoder"), ("c2", 0.8, "cosine")]
+    # A cosine job does not ask it.
+    plain = coarse_screen(given, as_of_year=2026, scorer=pair_scorer(only_python)).collect()
+    assert {r["score_mode"] for r in plain} == {"cosine"}
+    scores = spark.createDataFrame([("t", "j1", "c1", 0.5)], "tenant_id string, job_id string, candidate_id string, cross_score double")
+    with pytest.raises(ValueError):
+        coarse_screen(replace(asked, cross_scores=scores), scorer=pair_scorer(only_python))
+
+
+def test_summary_counts_batches(spark):
+    given = screening(spark)
+    listed = spark.createDataFrame([("t", "j1", "c1")], "tenant_id string, job_id string, candidate_id string")
+    counts = {r["job_id"]: r for r in screen_summary(given.jobs, given.candidates, listed, listed, batch_size=2).collect()}
+    assert [counts["j1"][c] for c in ("pool_size", "batches", "accepted", "cache_hits")] == [3, 2, 1, 1]
+    assert [counts["j2"][c] for c in ("pool_size", "batches", "accepted", "cache_hits")] == [3, 2, 0, 0]
+    named = given.candidates.withColumn("batch", F.when(F.col("candidate_id") == "c1", "a").otherwise("b"))
+    assert {r["batches"] for r in screen_summary(given.jobs, named, listed, listed).collect()} == {2}
+    none = given.candidates.where("false")
+    assert {(r["pool_size"], r["batches"]) for r in screen_summary(given.jobs, none, listed, listed).collect()} == {(0, 0)}
+
+
 def test_jobs_with_equal_needs_share_a_rule(spark):
     jobs = spark.createDataFrame(
         [("t", 1, ["本科", "Go Rust"], ["Go", "Rust"]), ("t", 2, ["本科 Rust Go"], ["rust", "go"])],

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed
 from matchloom.functions import text, vectors
+from matchloom.functions.model_points import pair_scorer
 from matchloom.operators import fusion, rerank, skills, sparse
 from matchloom.operators.dense import dense_search
 from matchloom.operators.hard_filter import (
@@ -19,6 +20,7 @@ from matchloom.operators.hard_filter import (
 from matchloom.operators.sparse import bm25_search
 from matchloom.plans.screening import ScreenInputs, coarse_screen, search_queries
 from matchloom.sources.staging import stage
+from workload import models
 from workload import sql as S
 from workload.entities import AS_OF_YEAR
 from workload.registry import query
@@ -681,7 +683,7 @@ def _(t):
 
 # --- the whole coarse screen ---
 
-_SCREEN = f"""
+_FILLED = f"""
 {WITH_POOL}, {S.CHUNK_TEXTS}, {S.DENSE.replace('FROM jv JOIN chunks USING (tenant_id)', 'FROM jv JOIN chunks USING (tenant_id) WHERE job_id IN (SELECT job_id FROM pool)')},
 qt AS (
   SELECT tenant_id, job_id, token, count(*) AS qtf
@@ -705,20 +707,30 @@ bm AS (
 filled AS (
   SELECT * FROM fused UNION ALL
   SELECT tenant_id, job_id, candidate_id, 0.0::DOUBLE FROM pool WHERE job_id NOT IN (SELECT job_id FROM fused)
-),
+)"""
+
+
+def _paired(depth: str) -> str:
+    """The rerank pairs: the first `depth` of each job, with the first chunk hit and the cosine score."""
+    return f"""
 cut AS (
   SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY rrf_score DESC, candidate_id) AS fused_rank
-  FROM filled QUALIFY fused_rank <= 40
+  FROM filled QUALIFY fused_rank <= {depth}
 ),
 inpool AS (SELECT c.* FROM cut c JOIN pool USING (job_id, candidate_id)),
-first AS (SELECT job_id, candidate_id, chunk_index FROM dense
+first AS (SELECT job_id, candidate_id, chunk_index, chunk FROM dense
           QUALIFY row_number() OVER (PARTITION BY job_id, candidate_id ORDER BY rank) = 1),
 paired AS (
-  SELECT c.*, round((list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) + 1) / 2, 6) AS cos_score
+  SELECT c.*, first.chunk AS first_hit,
+         round((list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) + 1) / 2, 6) AS cos_score
   FROM inpool c LEFT JOIN first USING (job_id, candidate_id)
   LEFT JOIN chunks k ON k.candidate_id = c.candidate_id AND k.chunk_index = coalesce(first.chunk_index, 0)
   LEFT JOIN jv ON jv.job_id = c.job_id
-),
+)"""
+
+
+_SCREEN = f"""
+{_FILLED}, {_paired('40')},
 scored AS (SELECT *, round(coalesce(cos_score, rrf_score), 4) AS s4 FROM paired WHERE cos_score IS NULL OR cos_score >= 0.55),
 listed AS (
   SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY s4 DESC, fused_rank) AS rank FROM scored QUALIFY rank <= 10
@@ -754,10 +766,10 @@ def _(t):
     "r28_screen_summary",
     f"""
 {_SCREEN},
-sizes AS (SELECT tenant_id, count(*) AS pool_size FROM docs GROUP BY ALL),
+sizes AS (SELECT tenant_id, count(*) AS pool_size, ceil(count(*) / 200.0)::BIGINT AS batches FROM docs GROUP BY ALL),
 counts AS (SELECT job_id, count(*) AS accepted, count(CASE WHEN candidate_id % 3 = 0 THEN 1 END) AS cache_hits
            FROM listed GROUP BY ALL)
-SELECT tenant_id, job_id, coalesce(pool_size, 0) AS pool_size, coalesce(accepted, 0) AS accepted,
+SELECT tenant_id, job_id, coalesce(pool_size, 0) AS pool_size, coalesce(batches, 0) AS batches, coalesce(accepted, 0) AS accepted,
        coalesce(cache_hits, 0) AS cache_hits
 FROM jobs LEFT JOIN sizes USING (tenant_id) LEFT JOIN counts USING (job_id)
 """,
@@ -768,3 +780,33 @@ def _(t):
     listed = stage(screened(t), "listed")
     cached = listed.where(F.col("candidate_id") % 3 == 0)
     return screen_summary(t.views.jobs(), t.views.candidates(), listed, cached)
+
+
+@query(
+    "r27_scored_screen",
+    f"""
+{_FILLED}, {_paired('CASE WHEN job_id % 2 = 0 THEN 20 ELSE 40 END')},
+asked AS (
+  SELECT p.*, md5(j.query || '|' || substr(coalesce(first_hit, d.text, ''), 1, 400)) AS answer
+  FROM paired p JOIN jobs j USING (job_id) JOIN docs d ON d.candidate_id = p.candidate_id
+),
+crossed AS (
+  SELECT *, CASE WHEN job_id % 2 = 0 AND answer[1] <> 'f' THEN ('0x' || answer[2:5])::INT / 65535.0::DOUBLE END AS cross_score FROM asked
+),
+moded AS (
+  SELECT *, CASE WHEN cross_score IS NOT NULL THEN 'cross_encoder' WHEN cos_score IS NOT NULL THEN 'cosine' ELSE 'rrf' END AS score_mode,
+         coalesce(cross_score, cos_score, rrf_score) AS raw FROM crossed
+),
+listed AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(raw, 4) DESC, fused_rank) AS rank FROM moded
+  WHERE raw >= CASE score_mode WHEN 'cross_encoder' THEN 0.4 WHEN 'cosine' THEN 0.55 ELSE 0 END QUALIFY rank <= 10
+)
+SELECT tenant_id, job_id, candidate_id, rank, round(raw, 4) AS score, rrf_score, score_mode FROM listed
+""",
+)
+def _(t):
+    v = t.views
+    mode = F.when(F.col("job_id") % 2 == 0, F.create_map(F.lit("rerank_mode"), F.lit("cross_encoder")))
+    inputs = ScreenInputs(v.jobs().withColumn("screen_overrides", mode), v.candidates(), v.chunks(), v.job_vectors())
+    listed = coarse_screen(inputs, as_of_year=AS_OF_YEAR, scorer=pair_scorer(models.digest_scorer))
+    return listed.drop("evidence", "reasons")
