@@ -5,6 +5,8 @@ Two rounds at most, so rounds are unrolled into joins; a pair stops taking turns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,23 +221,59 @@ def transcript_meta(panel: DataFrame, turns: DataFrame, initial: DataFrame) -> D
     )
 
 
+def turn_requests(state: DataFrame, round_no: int, arguments: DataFrame | None = None) -> DataFrame:
+    """(pair, agent, round, request): what a model needs for one expert's turn, as JSON text.
+
+    request: agent, round, score, peers (agent, score, confidence and first evidence of the pair's other experts, by
+    name) and argument (the advocate's, empty without one). `arguments`: pair, argument. A pair has a handful of seats.
+    """
+    card = F.struct("agent", "score", "confidence", F.get("evidence", F.lit(0)).alias("evidence"))
+    seats = state.groupBy(*PAIR).agg(F.array_sort(F.collect_list(card)).alias("_seats"))
+    rows = state.select(*_SEAT, "score").join(seats, PAIR)
+    if arguments is None:
+        rows = rows.withColumn("argument", F.lit(""))
+    else:
+        rows = rows.join(arguments.select(*PAIR, "argument"), PAIR, "left")
+    peers = F.filter("_seats", lambda s: s["agent"] != F.col("agent"))
+    number = F.lit(round_no).alias("round")
+    request = F.to_json(
+        F.struct("agent", number, "score", peers.alias("peers"), F.coalesce("argument", F.lit("")).alias("argument"))
+    )
+    return rows.select(*_SEAT, number, request.alias("request"))
+
+
 def run_discussion(
-    panel: DataFrame, turns: DataFrame, settings: ScreenSettings = DEFAULTS, staged: bool = False
+    panel: DataFrame,
+    turns: DataFrame | None = None,
+    settings: ScreenSettings = DEFAULTS,
+    staged: bool = False,
+    ask: Callable[[DataFrame], DataFrame] | None = None,
+    arguments: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(final panel state, transcript) of pairs that discuss; the rule-based expert stays as it is.
 
     `panel` holds only pairs that need a discussion; `turns`: pair, agent, round, turn (raw JSON text).
     `staged` writes the state between rounds, which several later steps read.
+
+    Without `turns`, `ask` adds the answers as `raw` to `turn_requests` of each round's state, as
+    `model_points.ask_panel` does; NULL leaves an expert as it is. Pairs that converged are not asked again, and each
+    round is written, so that every seat is asked once a round.
     """
-    parsed = turns.withColumn("turn", parse_turn(F.col("turn")))
+    if (turns is None) == (ask is None):
+        raise ValueError("give either turns or ask")
+    if turns is not None:
+        parsed = turns.withColumn("turn", parse_turn(F.col("turn")))
     carried = ["score", "confidence", "dimension_scores", "evidence"]
     seats = panel.select(*_SEAT, "pos")
     quiet = panel.where(F.col("agent") == fixed.RULE_BASED_EXPERT).select(*_SEAT, "pos", *carried)
     open_state = panel.where(F.col("agent") != fixed.RULE_BASED_EXPERT).select(*_SEAT, *carried)
     closed, transcript = None, None
     for round_no in range(1, settings.debate_max_rounds + 1):
+        if ask is not None:
+            answers = ask(turn_requests(open_state, round_no, arguments))
+            parsed = answers.select(*_SEAT, "round", parse_turn(F.col("raw")).alias("turn"))
         after = apply_turns(open_state, parsed, round_no)
-        if staged:
+        if staged or ask is not None:
             after = stage(after, f"round-{round_no}")
         said = after.select(*_SEAT, "round", "stance", F.col("reasoning").alias("content"), "score", "score_delta")
         transcript = said if transcript is None else transcript.unionByName(said)

@@ -140,8 +140,18 @@ def checkpoint_reports(events: DataFrame, now_ms: Column, ttl_ms: int = 7_200_00
     )
 
 
-def merge_checkpoint(cached: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """Cached verdicts plus the finished reports of a failed run for pairs without one."""
+def merge_checkpoint(
+    cached: DataFrame, checkpoint: DataFrame, candidates: DataFrame | None = None, jobs: DataFrame | None = None
+) -> DataFrame:
+    """Cached verdicts plus the finished reports of a failed run for pairs without one.
+
+    With `candidates` (profile_hash) and `jobs` (config_hash), which go together, a report is taken only if it carries
+    the fingerprints that both have now; one stored without fingerprints is then computed anew.
+    """
+    if (candidates is None) != (jobs is None):
+        raise ValueError("give both candidates and jobs, or neither")
+    if candidates is not None:
+        checkpoint = reusable(candidates, checkpoint, jobs)
     added = checkpoint.join(cached.select(*PAIR), PAIR, "left_anti")
     return cached.withColumn("from_checkpoint", F.lit(False)).unionByName(
         added.withColumn("from_checkpoint", F.lit(True))

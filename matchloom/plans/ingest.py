@@ -18,10 +18,11 @@ from matchloom.functions.text import (
     one_of,
     truncate,
 )
-from matchloom.operators.incremental import profile_fingerprint
+from matchloom.operators.incremental import profile_fingerprint, replace_groups
 from matchloom.operators.panel import is_json_object
 from matchloom.operators.skills import match_skills
 from matchloom.schemas import EDUCATION, WORK_EXPERIENCE
+from matchloom.sources.staging import stage
 from matchloom.sources.tables import with_ids
 
 
@@ -148,6 +149,22 @@ def vectorise(texts: DataFrame, embed: Callable[[Column], Column], size: int = 5
     return chunk_rows(texts, size, overlap).withColumn("embedding", embed(F.col("chunk")))
 
 
+def refresh_vectors(
+    stored: DataFrame, texts: DataFrame, embed: Callable[[Column], Column], size: int = 500, overlap: int = 50
+) -> tuple[DataFrame, DataFrame]:
+    """(stored vectors brought up to date, candidates that failed) for new texts of some candidates.
+
+    A candidate is replaced as a whole: one chunk without a vector is a failure, which keeps its old rows, and a text
+    without chunks keeps them too. The new rows are written once, so the model sees every chunk once.
+    `stored`: the columns of `chunk_rows` and embedding.
+    """
+    keys = ["tenant_id", "candidate_id"]
+    made = stage(vectorise(texts, embed, size, overlap), "new-vectors")
+    failed = made.where(F.col("embedding").isNull()).select(*keys).distinct()
+    fresh = made.join(failed, keys, "left_anti").select(*stored.columns)
+    return replace_groups(stored, fresh, keys), failed
+
+
 def ingest_resumes(
     answers: DataFrame, nearest: DataFrame | None = None, substring_aliases: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

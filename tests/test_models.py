@@ -1,13 +1,16 @@
 """The model points, with deterministic stand-ins for models."""
 
 import hashlib
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions.model_points import ask_panel, embedder, pair_scorer
 from matchloom.operators import feedback as B
 from matchloom.operators import incremental as C
-from matchloom.plans.ingest import vectorise
+from matchloom.operators.discussion import run_discussion
+from matchloom.plans.ingest import refresh_vectors, vectorise
 from matchloom.sources import resumes
 from matchloom.streaming.runner import results_then_status, updates_to
 
@@ -30,6 +33,59 @@ def test_vectorise(spark):
     assert vectorise(down, embedder(hashing)).first()["embedding"] is None
 
 
+def test_refreshed_vectors(spark):
+    schema = "tenant_id string, candidate_id string, text string"
+    before = [("t", "c1", "x" * 1200), ("t", "c2", "old"), ("t", "c3", "old"), ("u", "c1", "other tenant"), ("t", "c5", "kept")]
+    stored = vectorise(spark.createDataFrame(before, schema), embedder(hashing))
+    texts = [("t", "c1", "short now"), ("t", "c2", "a" * 600 + "boom"), ("t", "c3", "  "), ("t", "c4", "first")]
+    rows, failed = refresh_vectors(stored, spark.createDataFrame(texts, schema).repartition(4, "candidate_id"), embedder(hashing))
+    got = {(r["tenant_id"], r["candidate_id"], r["chunk_index"]): r["chunk"] for r in rows.collect()}
+    # c2 failed in one chunk and c3 has none: both keep what is stored.
+    assert got == {
+        ("t", "c1", 0): "short now", ("t", "c2", 0): "old", ("t", "c3", 0): "old", ("t", "c4", 0): "first",
+        ("u", "c1", 0): "other tenant", ("t", "c5", 0): "kept",
+    }
+    assert [r["candidate_id"] for r in failed.collect()] == ["c2"]
+
+
+def test_model_discussion(spark):
+    def follow():
+        def ask(row):
+            request = json.loads(row["request"])
+            if request["agent"] == "mute":
+                raise RuntimeError("no answer")
+            if request["agent"] == "garbled":
+                return "no JSON"
+            peers = [p["score"] for p in request["peers"]]
+            return json.dumps({"stance": "revise", "score": sum(peers) / len(peers), "reasoning": request["argument"]})
+
+        return ask
+
+    seats = [  # c1 settles in round 1, c2 talks on; the rule-based expert is not asked
+        ("t", "j", "c1", "a", 0, 20.0), ("t", "j", "c1", "b", 1, 60.0), ("t", "j", "c1", "mute", 2, 40.0),
+        ("t", "j", "c2", "a", 0, 0.0), ("t", "j", "c2", "garbled", 1, 100.0),
+        ("t", "j", "c2", "mute", 2, 100.0), ("t", "j", "c2", "stability_analyzer", 3, 5.0),
+    ]
+    panel = spark.createDataFrame(
+        seats, "tenant_id string, job_id string, candidate_id string, agent string, pos int, score double"
+    ).withColumns({
+        "confidence": F.lit(0.5), "dimension_scores": F.lit(None).cast("map<string,double>"),
+        "evidence": F.array().cast("array<string>"),
+    })
+    arguments = spark.createDataFrame([("t", "j", "c2", "doubt")], "tenant_id string, job_id string, candidate_id string, argument string")
+    final, transcript = run_discussion(panel, ask=lambda rows: ask_panel(rows, follow, attempts=1), arguments=arguments)
+    turns = {(r["candidate_id"], r["round"], r["agent"]): (r["stance"], r["score"], r["content"]) for r in transcript.collect()}
+    assert turns == {
+        ("c1", 1, "a"): ("revise", 50.0, ""), ("c1", 1, "b"): ("revise", 30.0, ""), ("c1", 1, "mute"): ("maintain", 40.0, ""),
+        ("c2", 1, "a"): ("revise", 100.0, "doubt"), ("c2", 1, "garbled"): ("maintain", 100.0, ""),
+        ("c2", 1, "mute"): ("maintain", 100.0, ""),
+    }
+    scores = {(r["candidate_id"], r["agent"]): r["score"] for r in final.collect()}
+    assert scores[("c2", "stability_analyzer")] == 5.0 and scores[("c1", "b")] == 30.0 and len(scores) == len(seats)
+    with pytest.raises(ValueError):
+        run_discussion(panel)
+
+
 def test_pair_scorer(spark):
     def overlap():
         return lambda qs, ds: [len(set(q.split()) & set(d.split())) / len(q.split()) for q, d in zip(qs, ds)]

@@ -51,6 +51,23 @@ def test_checkpoint_merge(spark):
     assert C.merge_checkpoint(empty, empty).count() == 0
 
 
+def test_checkpoint_hashes(spark):
+    verdict = f"{PAIR}, profile_hash string, config_hash string"
+    people = spark.createDataFrame(
+        [("t", "c1", "p1"), ("t", "c2", "p2"), ("t", "c3", "p3"), ("t", "c4", "")], "tenant_id string, candidate_id string, profile_hash string"
+    )
+    jobs = spark.createDataFrame([("t", "j", "conf")], "tenant_id string, job_id string, config_hash string")
+    cached = spark.createDataFrame([], verdict)
+    reports = spark.createDataFrame(
+        [("t", "j", "c1", "p1", "conf"), ("t", "j", "c2", "old", "conf"), ("t", "j", "c3", "p3", None), ("t", "j", "c4", "", "conf")], verdict
+    )
+    kept = C.merge_checkpoint(cached, reports, people, jobs).collect()
+    assert [(r["candidate_id"], r["from_checkpoint"]) for r in kept] == [("c1", True)]
+    assert C.merge_checkpoint(cached, reports).count() == 4
+    with pytest.raises(ValueError):
+        C.merge_checkpoint(cached, reports, people)
+
+
 def test_upsert_keeps_id_and_overwrites_nulls(spark):
     schema = "k string, id string, name string"
     old = spark.createDataFrame([("a", "1", "x"), ("b", "2", "y")], schema)

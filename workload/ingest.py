@@ -7,11 +7,13 @@ from pyspark.sql import types as T
 
 from matchloom import fixed
 from matchloom.functions import text as X
+from matchloom.functions.model_points import embedder
 from matchloom.operators import quality as Q
 from matchloom.plans import ingest as I
 from matchloom.sources import events as E
 from matchloom.sources import resumes, tables
 from matchloom.sources.staging import new_path
+from workload import models
 from workload import sql as S
 from workload.entities import micros
 from workload.registry import query
@@ -299,6 +301,29 @@ def _(t):
     return every.groupBy("what").agg(F.count(F.lit(1)).alias("n"), F.sum("candidate_id").alias("id_sum"))
 
 
+@query(
+    "r3_r4_refreshed_vectors",
+    f"""
+WITH {S.CANDIDATES}, {S.CHUNK_TEXTS},
+answers AS (SELECT candidate_id, chunk_index, md5(chunk) AS h FROM chunk_texts),
+failed AS (SELECT DISTINCT candidate_id FROM answers WHERE h[1] = 'f' AND candidate_id % 2 = 0),
+fresh AS (SELECT * FROM answers WHERE candidate_id % 2 = 0 AND candidate_id NOT IN (SELECT candidate_id FROM failed))
+SELECT candidate_id, chunk_index::INT AS chunk_index, ('0x' || h[2:3])::BIGINT AS first FROM fresh
+UNION ALL SELECT candidate_id, chunk_index::INT, -255 FROM answers
+WHERE candidate_id % 3 <> 0 AND candidate_id NOT IN (SELECT candidate_id FROM fresh)
+UNION ALL SELECT candidate_id, -1, 0 FROM failed
+""",
+)
+def _(t):
+    texts = t.views.documents()
+    old = I.chunk_rows(texts.where("candidate_id % 3 <> 0")).withColumn("embedding", F.array(F.lit(-1.0).cast("float")))
+    vectors, failed = I.refresh_vectors(old, texts.where("candidate_id % 2 = 0"), embedder(models.digest_encoder))
+    first = F.round(F.get("embedding", F.lit(0)) * 255).cast("bigint")
+    return vectors.select("candidate_id", "chunk_index", first.alias("first")).unionByName(
+        failed.select("candidate_id", F.lit(-1).alias("chunk_index"), F.lit(0).cast("bigint").alias("first"))
+    )
+
+
 @query(
     "x3_reply_intents",
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from matchloom.session import send_by_value
 
@@ -31,3 +32,18 @@ def digest_encoder():
         return None if answer[0] == "f" else [int(answer[i : i + 2], 16) / 255 for i in (1, 3, 5, 7)]
 
     return lambda texts: [vector(t) for t in texts]
+
+
+def peer_follower():
+    """Moves an expert half way to its peers' mean, by rules on the whole scores; fails for every 13th score."""
+
+    def ask(row: dict) -> str:
+        request = json.loads(row["request"])
+        own = int(request["score"])
+        if own % 13 == 0:
+            raise RuntimeError("no answer")
+        peers = sum(int(p["score"]) for p in request["peers"]) // len(request["peers"])
+        stance = "maintain" if (own + 2 * peers) % 3 == 0 else "revise"
+        return json.dumps({"stance": stance, "score": (own + peers) // 2, "reasoning": f"peers at {peers}"})
+
+    return ask

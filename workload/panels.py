@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matchloom.functions.model_points import ask_panel
 from matchloom.operators import discussion as D
 from matchloom.operators import panel as P
 from matchloom.sources.staging import stage
 from matchloom.plans.fine import fine_screen, result_rows, split_cached
+from workload import models
 from workload import sql as S
 from workload.entities import AS_OF_YEAR, CATEGORY_BY_PRIORITY
 from workload.registry import query
@@ -310,6 +312,52 @@ def _(t):
     )
 
 
+@query(
+    "e7_model_discussion",
+    f"""
+{WITH_TURNS},
+seats AS (
+  SELECT candidate_id, max(CASE WHEN agent = 'seat0' THEN score::INT END) AS a, max(CASE WHEN agent = 'seat1' THEN score::INT END) AS b
+  FROM turns WHERE round = 1 GROUP BY ALL
+),
+one AS (
+  SELECT candidate_id, 1 AS round, agent, own, peer FROM (
+    SELECT candidate_id, 'seat0' AS agent, a AS own, b AS peer FROM seats WHERE abs(a - b) > 24
+    UNION ALL SELECT candidate_id, 'seat1', b, a FROM seats WHERE abs(a - b) > 24)
+),
+one_said AS (
+  SELECT *, own % 13 <> 0 AND (own + 2 * peer) % 3 <> 0 AS revises,
+         CASE WHEN own % 13 <> 0 AND (own + 2 * peer) % 3 <> 0 THEN (own + peer) // 2 ELSE own END AS said FROM one
+),
+two AS (
+  SELECT x.candidate_id, 2 AS round, x.agent, x.said AS own, y.said AS peer
+  FROM one_said x JOIN one_said y ON x.candidate_id = y.candidate_id AND x.agent <> y.agent WHERE abs(x.said - y.said) > 24
+),
+every AS (
+  SELECT * FROM one_said UNION ALL
+  SELECT *, own % 13 <> 0 AND (own + 2 * peer) % 3 <> 0,
+         CASE WHEN own % 13 <> 0 AND (own + 2 * peer) % 3 <> 0 THEN (own + peer) // 2 ELSE own END FROM two
+)
+SELECT candidate_id, round, agent, CASE WHEN revises THEN 'revise' ELSE 'maintain' END AS stance,
+       CASE WHEN own % 13 = 0 THEN '' ELSE 'peers at ' || peer END AS content, said::DOUBLE AS score,
+       (said - own)::DOUBLE AS score_delta
+FROM every
+""",
+)
+def _(t):
+    first = t.views.turns().where("round = 1").select(
+        *P.PAIR, "agent", "score", F.lit(0.8).alias("confidence"),
+        F.lit(None).cast("map<string,double>").alias("dimension_scores"),
+        F.array(F.substring("text", 1, 200)).alias("evidence"),
+        F.substring("agent", 5, 1).cast("bigint").alias("pos"),
+    )
+    differ = P.divergence(first).where("needs_discussion").select(*P.PAIR)
+    _, transcript = D.run_discussion(
+        first.join(differ, P.PAIR, "left_semi"), ask=lambda rows: ask_panel(rows, models.peer_follower, attempts=1)
+    )
+    return transcript.drop("tenant_id", "job_id")
+
+
 @query(
     "w4_score_changes",
     f"{WITH_TURNS} SELECT candidate_id, agent, round, score, score_delta FROM deltas",

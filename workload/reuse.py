@@ -153,6 +153,31 @@ def _(t):
     return C.merge_checkpoint(cached, checkpoint_rows(t)).select("id", "from_checkpoint")
 
 
+@query(
+    "c6_checked_checkpoint",
+    f"""
+WITH {PEOPLE},
+kept AS (
+  SELECT v.* FROM cached v JOIN people p USING (tenant_id, candidate_id) JOIN config c USING (tenant_id, job_id)
+  WHERE p.profile_hash <> '' AND v.profile_hash = p.profile_hash AND v.config_hash = c.config_hash
+),
+failed AS (
+  SELECT v.* FROM verdict_log v JOIN orders ON o_orderkey = id WHERE o_orderstatus = 'F'
+  QUALIFY row_number() OVER (PARTITION BY v.tenant_id, v.job_id, v.candidate_id ORDER BY created_at DESC, id DESC) = 1
+)
+SELECT id, false AS from_checkpoint FROM kept
+UNION ALL SELECT f.id, true FROM failed f JOIN people p USING (tenant_id, candidate_id) JOIN config c USING (tenant_id, job_id)
+WHERE p.profile_hash <> '' AND f.profile_hash = p.profile_hash AND f.config_hash = c.config_hash
+  AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.tenant_id = f.tenant_id AND k.job_id = f.job_id AND k.candidate_id = f.candidate_id)
+""",
+)
+def _(t):
+    v = t.views
+    people, config = v.stored_candidates(), v.config_jobs()
+    kept = C.reusable(people, C.cached_verdicts(v.verdicts()), config)
+    return C.merge_checkpoint(kept, checkpoint_rows(t), people, config).select("id", "from_checkpoint")
+
+
 @query(
     "c7_live_checkpoints",
     "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 2 HOUR",
