@@ -6,6 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_RANGES = 1024
+# Rows that one task may keep sorted for a page.
+PAGE_SORT_ROWS = 100_000
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -72,10 +77,78 @@ def page_numbers(
     )
 
 
-def page(df: DataFrame, created_at: str, tie: str, offset: int = 0, limit: int = 200) -> DataFrame:
-    """One page of rows, newest first. `limit` <= 0 means the default page."""
+def _as_number(df: DataFrame, name: str) -> Column | None:
+    """The column as a whole number in the same order, or None where its type has no such number."""
+    kind, col = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.IntegralType):
+        return col.cast("bigint")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("bigint")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col)
+    return None
+
+
+def _narrow(rows: DataFrame, number: Column, rank: int, newest_first: bool, max_rows: int) -> tuple[DataFrame, int, int]:
+    """(rows around the one at `rank`, their number, rows before them): at most `max_rows`, or all of one value.
+
+    Each step counts the rows in about `_RANGES` ranges of equal width and goes on in the one that holds the rank, so the
+    driver gets no more than that many counts. NULL sorts below every number.
+    """
+    low, high, n = rows.agg(F.min(number), F.max(number), F.count(F.lit(1))).first()
+    if rank >= n:
+        return rows.limit(0), 0, 0
+    if n <= max_rows or low is None:
+        return rows, n, 0
+    key, low, before = F.coalesce(number, F.lit(low - 1)), low - 1, 0
+    while n > max_rows and low < high:
+        width = -(-(high - low + 1) // _RANGES)
+        by_range = (key - F.pmod(key, F.lit(width))).alias("start")
+        counts = rows.where(key.between(low, high)).groupBy(by_range).agg(F.count(F.lit(1)).alias("n")).collect()
+        for start, n in sorted(counts, reverse=newest_first):
+            if before + n > rank:
+                break
+            before += n
+        low, high = max(low, start), min(high, start + width - 1)
+    return rows.where(key.between(low, high)), n, before
+
+
+def _beside(col: Column, value, above: bool) -> Column:
+    """Whether the column is above or below a value, with NULL as the least value of all."""
+    if value is None:
+        return col.isNotNull() if above else F.lit(False)
+    return F.coalesce(col > F.lit(value), F.lit(False)) if above else F.coalesce(col < F.lit(value), F.lit(True))
+
+
+def page(
+    df: DataFrame, created_at: str, tie: str, offset: int = 0, limit: int = 200, max_rows: int = PAGE_SORT_ROWS
+) -> DataFrame:
+    """One page of rows, newest first. `limit` <= 0 means the default page.
+
+    Up to `max_rows` rows each task keeps its first offset + limit. A deeper page first looks for the row at the offset by
+    counts of key ranges, then keeps `limit` rows from there on: nothing sorts or gathers the rows before it. Rows equal
+    in both columns may change places. A `tie` that is neither whole number nor time is sorted within one instant.
+    """
     size = limit if limit > 0 else 200
-    return df.orderBy(F.desc(created_at), F.asc(tie)).offset(offset).limit(size)
+    order = [F.desc(created_at), F.asc(tie)]
+    time = _as_number(df, created_at)
+    if offset + size <= max_rows or time is None:
+        return df.orderBy(*order).offset(offset).limit(size)
+    near, n, before = _narrow(df, time, offset, True, max_rows)
+    by_id = _as_number(df, tie)
+    if n > max_rows and by_id is not None:
+        near, n, skipped = _narrow(near, by_id, offset - before, False, max_rows)
+        before += skipped
+    ident = F.col(tie) if by_id is None else by_id
+    first = near.orderBy(*order).offset(offset - before).limit(1).select(time, ident).first()
+    if first is None:
+        return df.limit(0)
+    newer, same_time = _beside(time, first[0], above=True), time.eqNullSafe(F.lit(first[0]))
+    before += near.where(newer | (same_time & _beside(ident, first[1], above=False))).count()
+    rest = df.where(~newer & ~(same_time & _beside(ident, first[1], above=False)))
+    return rest.orderBy(*order).offset(offset - before).limit(size)
 
 
 def load_for_screening(df: DataFrame, created_at: str, tie: str, limit: int, page_size: int = 200) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,29 @@ def observed(spark, values):
     return spark.createDataFrame(rows, "name string, labels map<string,string>, value double, ts timestamp")
 
 
+@pytest.mark.parametrize("time", ["timestamp", "timestamp_ntz"])
+def test_deep_pages_equal_the_sorted_list(spark, time):
+    rng = random.Random(4)
+    # One day holds half of the rows, one pair is repeated, some values are NULL.
+    rows = [(rng.choice([3, 3, 3, rng.randrange(40), None]), rng.choice([rng.randrange(-200, 200), None]) if i % 9 == 0 else i) for i in range(300)]
+    rows += [(3, 50)] * 4
+    df = spark.createDataFrame(rows, "day int, id bigint").repartition(3)
+    stamp = F.date_add(F.lit("2024-02-27").cast("date"), F.col("day")).cast(time)
+    df = df.withColumn("at", stamp)
+    low = -10**9
+    ordered = sorted(rows, key=lambda r: (-(low if r[0] is None else r[0]), low if r[1] is None else r[1]))
+    for offset in (0, 151, 299, 400):
+        got = [(r["day"], r["id"]) for r in R.page(df, "at", "id", offset, 7, max_rows=20).collect()]
+        assert got == ordered[offset : offset + 7]
+    assert R.page(df.where("false"), "at", "id", 50, 7, max_rows=20).count() == 0
+
+
+def test_deep_page_with_text_ids(spark):
+    df = spark.range(100).selectExpr("id % 2 AS at", "lpad(cast(id AS string), 3, '0') AS key")
+    got = [r["key"] for r in R.page(df, "at", "key", 60, 3, max_rows=10).collect()]
+    assert got == ["020", "022", "024"]
+
+
 def test_histogram(spark):
     rows = M.histograms(observed(spark, [0.3, 5.0, 0.02, 70.0]), STAGE_EDGES)
     assert Q.histogram_violations(rows, ["name", "labels"]).count() == 0

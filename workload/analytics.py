@@ -187,6 +187,15 @@ def _(t):
     return R.page(t.orders, "o_orderdate", "o_orderkey", offset=400).select("o_orderkey")
 
 
+@query(
+    "l1_deep_page",
+    "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200 OFFSET (SELECT count(*) // 2 FROM orders)",
+)
+def _(t):
+    # So that the ranges are searched at small scale too.
+    return R.page(t.orders, "o_orderdate", "o_orderkey", offset=t.orders.count() // 2, max_rows=500).select("o_orderkey")
+
+
 @query(
     "l2_load_for_screening",
     "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 300",
