@@ -69,6 +69,32 @@ def _(t):
     return B.with_boost(results, boosts, ["user_id"], digits=6).select("id", "overall_score", "adjusted_score")
 
 
+_SHOWN = "SELECT *, row_number() OVER (ORDER BY {0} DESC, candidate_id, id) AS rank FROM adjusted QUALIFY rank <= 100"
+
+
+@query(
+    "l5_display_order",
+    f"""
+WITH {PEOPLE}, {BOOSTS},
+adjusted AS (
+  SELECT v.id, v.candidate_id, v.overall_score,
+         round(greatest(0, least(100, v.overall_score * (1 + coalesce(b.boost, 0)))), 6) AS adjusted_score
+  FROM verdicts v LEFT JOIN boosts b ON b.user_id = v.candidate_id % 200 WHERE v.job_id = '1-URGENT' AND v.tenant_id = 'BUILDING'
+)
+SELECT 'adjusted' AS shown, id, adjusted_score AS score FROM ({_SHOWN.format('adjusted_score')})
+UNION ALL SELECT 'raw', id, overall_score FROM ({_SHOWN.format('overall_score')})
+""",
+)
+def _(t):
+    results = t.views.verdicts().where("job_id = '1-URGENT' AND tenant_id = 'BUILDING'")
+    boosts = B.preference_boosts(t.views.feedback(), ["user_id"])
+    listed = B.with_boost(results.withColumn("user_id", F.col("candidate_id") % 200), boosts, ["user_id"], digits=6)
+    # The first page of one job's list, by either score.
+    adjusted = B.display_order(listed).limit(100).select(F.lit("adjusted").alias("shown"), "id", F.col("adjusted_score").alias("score"))
+    raw = B.display_order(listed, raw=True).limit(100).select(F.lit("raw").alias("shown"), "id", F.col("overall_score").alias("score"))
+    return adjusted.unionByName(raw)
+
+
 @query(
     "j5_u4_high_potential",
     f"""
@@ -373,6 +399,43 @@ def _(t):
     return Q.histogram_violations(rows, ["name", "labels"])
 
 
+@query(
+    "v6_broken_histograms",
+    f"""
+WITH {_histogram_sql(fixed.STAGE_EDGES)},
+broken AS (
+  SELECT name, labels, le, count,
+         cumulative + CASE WHEN le = {fixed.STAGE_EDGES[0]} AND contains(labels, 'group="1"') THEN count + 1
+                           WHEN le IS NULL AND contains(labels, 'group="2"') THEN 1 ELSE 0 END AS cumulative FROM hist
+),
+stepped AS (
+  SELECT *, lag(cumulative) OVER (PARTITION BY name, labels ORDER BY coalesce(le, 'inf'::DOUBLE)) > cumulative AS falls FROM broken
+)
+SELECT DISTINCT name, labels, 'not_monotone' AS violation FROM stepped WHERE falls
+UNION ALL SELECT name, labels, 'inf_not_count' FROM stepped WHERE le IS NULL AND cumulative <> count
+""",
+)
+def _(t):
+    rows = M.histograms(t.views.observations(), fixed.STAGE_EDGES)
+    first = (F.col("le") == fixed.STAGE_EDGES[0]) & F.col("labels").contains('group="1"')
+    last = F.col("le").isNull() & F.col("labels").contains('group="2"')
+    wrong = F.when(first, F.col("count") + 1).when(last, F.lit(1)).otherwise(F.lit(0))
+    return Q.histogram_violations(rows.withColumn("cumulative", F.col("cumulative") + wrong), ["name", "labels"])
+
+
+@query(
+    "s15_gauge_export",
+    f"""
+SELECT 'call_seconds' || labels || ' ' ||
+       CASE WHEN value = floor(value) THEN printf('%.0f', value) ELSE regexp_replace(printf('%.6f', value), '0+$', '') END AS line
+FROM (SELECT {_LABELS} AS labels, value FROM events
+      QUALIFY row_number() OVER (PARTITION BY user_id % 3, event_type ORDER BY ts DESC, value DESC) = 1)
+""",
+)
+def _(t):
+    return M.export_gauges(M.gauges(t.views.observations()))
+
+
 @query(
     "a10_gauges",
     f"""

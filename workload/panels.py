@@ -548,10 +548,12 @@ def _fine_inputs(t):
     return panel, turns, cached
 
 
-_FINE = f"""
+def _fine_sql(good: str) -> str:
+    """The fine screen over the seats that are not cached and pass the condition `good`."""
+    return f"""
 {WITH_PANEL},
 seats AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY candidate_id, agent ORDER BY pos) = 1),
-fresh AS (SELECT * FROM seats WHERE candidate_id % 4 <> 0),
+fresh AS (SELECT * FROM seats WHERE candidate_id % 4 <> 0 AND {good}),
 r0 AS (SELECT candidate_id, count(*) > 1 AND stddev_pop(score) > 12 AS debated FROM fresh
        WHERE agent <> 'stability_analyzer' GROUP BY ALL),
 r1 AS (SELECT candidate_id, stddev_pop(30 + l_quantity) <= 12 AS settled FROM fresh
@@ -567,6 +569,9 @@ arb AS (
 )"""
 
 
+_FINE = _fine_sql("true")
+
+
 @query(
     "e15_fine_screen",
     f"""
@@ -597,6 +602,68 @@ def _(t):
     )
 
 
+@query(
+    "e15_failed_experts",
+    f"""
+{_fine_sql("candidate_id % 9 <> 5 AND NOT (candidate_id % 9 = 7 AND agent = 'leadership')")}
+SELECT a.candidate_id, round(overall_score, 9) AS overall_score, false AS failed, f.n_details, f.n_turns
+FROM arb a JOIN (
+  SELECT candidate_id, count(*) AS n_details,
+         sum(CASE WHEN coalesce(debated, false) AND agent <> 'stability_analyzer'
+                  THEN CASE WHEN coalesce(settled, false) THEN 1 ELSE 2 END ELSE 0 END)::BIGINT AS n_turns
+  FROM final GROUP BY ALL) f USING (candidate_id)
+UNION ALL
+SELECT DISTINCT candidate_id, NULL, true, NULL, 0 FROM seats
+WHERE candidate_id % 4 <> 0 AND candidate_id NOT IN (SELECT candidate_id FROM fresh)
+""",
+)
+def _(t):
+    panel, turns, _ = _fine_inputs(t)
+    rest = F.col("candidate_id") % 9
+    lost = (rest == 5) | ((rest == 7) & (F.col("agent") == "leadership"))
+    done = fine_screen(panel.withColumn("error", F.when(lost, "no answer")), turns, t.views.panel_weights(), digits=9)
+    return done.select(
+        "candidate_id", "overall_score", "failed", F.size("agent_details").cast("bigint").alias("n_details"),
+        F.coalesce(F.size("discussion.turns"), F.lit(0)).cast("bigint").alias("n_turns"),
+    )
+
+
+@query(
+    "e16_fine_result_rows",
+    f"""
+{_FINE},
+sums AS (
+  SELECT tenant_id, job_id, candidate_id, count(*) AS n_details, bool_or(coalesce(debated, false)) AS debated, bool_or(coalesce(settled, false)) AS settled,
+         count(CASE WHEN agent <> 'stability_analyzer' THEN 1 END) AS n_asked FROM final GROUP BY ALL
+)
+SELECT a.candidate_id, 'task-' || a.job_id AS task_id, 'p' || a.candidate_id AS profile_hash, 'c' || a.job_id AS config_hash,
+       round(overall_score, 9) AS overall_score, 'score ' || n_details AS recommendation_text, n_details,
+       CASE WHEN debated THEN CASE WHEN settled THEN n_asked ELSE 2 * n_asked END END AS n_turns,
+       CASE WHEN debated THEN CASE WHEN settled THEN '1' ELSE '2' END END AS rounds,
+       CASE WHEN debated THEN 'converged' END AS convergence
+FROM arb a JOIN sums USING (candidate_id)
+""",
+)
+def _(t):
+    panel, turns, _ = _fine_inputs(t)
+    details = F.concat(F.lit("score "), F.size("agent_details").cast("string"))
+    reports = fine_screen(
+        panel, turns, t.views.panel_weights(), digits=9,
+        recommend=lambda rows: rows.withColumn("recommendation_text", details),  # stands in for a model
+    )
+    people = panel.select("tenant_id", "candidate_id").distinct()
+    people = people.withColumn("profile_hash", F.concat(F.lit("p"), F.col("candidate_id").cast("string")))
+    jobs = t.views.panel_jobs().withColumn("config_hash", F.concat(F.lit("c"), F.col("job_id")))
+    rows = result_rows(reports, people, jobs, F.concat(F.lit("task-"), F.col("job_id")), F.current_timestamp())
+    said = lambda path: F.get_json_object("discussion_json", path)
+    return rows.select(
+        "candidate_id", "task_id", "profile_hash", "config_hash", "overall_score", "recommendation_text",
+        F.json_array_length(said("$.agent_details")).cast("bigint").alias("n_details"),
+        F.json_array_length(said("$.turns")).cast("bigint").alias("n_turns"),
+        said("$.meta.rounds").alias("rounds"), said("$.meta.convergence").alias("convergence"),
+    )
+
+
 @query(
     "e16_result_rows",
     f"""

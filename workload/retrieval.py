@@ -502,6 +502,30 @@ def _(t):
     return fusion.merge_batches(scored[0].unionByName(scored[1])).drop("tenant_id")
 
 
+@query(
+    "r16_batches_with_evidence",
+    f"""
+{WITH_FUSED}
+SELECT job_id, candidate_id, max(score) AS score, string_agg(evidence, '|' ORDER BY batch) AS evidence FROM (
+  SELECT job_id, candidate_id, 0 AS batch, max(score) AS score, string_agg(chunk, '|' ORDER BY rank) AS evidence FROM dense GROUP BY ALL
+  UNION ALL SELECT job_id, candidate_id, 1, round(1.0::DOUBLE / (60 + rank), 6), 'rank ' || rank FROM sparse) GROUP BY ALL
+""",
+)
+def _(t):
+    v = t.views
+    keys = ["tenant_id", "job_id", "candidate_id"]
+    dense = stage(dense_hits(v), "dense-hits")
+    chunked = dense.groupBy(*keys).agg(F.max("score").alias("score"))
+    chunked = chunked.join(fusion.evidence(dense, v.chunk_texts()), keys).withColumn("batch", F.lit(0))
+    rank = F.col("rank")
+    worded = sparse_hits(v).select(
+        *keys, F.round(1.0 / (60 + rank), 6).alias("score"), F.lit(1).alias("batch"),
+        F.array(F.concat(F.lit("rank "), rank.cast("string"))).alias("evidence"),
+    )
+    merged = fusion.merge_batches(chunked.unionByName(worded))
+    return merged.select("job_id", "candidate_id", "score", F.array_join("evidence", "|").alias("evidence"))
+
+
 # --- rerank ---
 
 
