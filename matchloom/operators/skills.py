@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from matchloom import fixed
 from matchloom.functions.text import clean_strings
 from matchloom.operators.dense import unit_rows
+from matchloom.operators.sizes import broadcast_if_small
+from matchloom.sources.staging import stage
 
 
 def _lookup(pairs: list[tuple[str, str]], key: Column) -> Column:
@@ -25,18 +27,19 @@ def rule_tag(skill: Column, substring: bool = False) -> Column:
     """
     key = F.replace(F.lower(F.trim(skill)), F.lit(" "), F.lit(""))
     itself = F.when(skill.isin(*fixed.STANDARD_TAGS), skill)
-    tag = F.coalesce(itself, _lookup(fixed.SKILL_ALIASES, key))
     if not substring:
-        return tag
-    aliases = F.array(
-        *[
-            F.struct(F.lit(alias).alias("alias"), F.lit(name).alias("tag"))
-            for alias, name in fixed.SKILL_ALIASES
-            if len(alias) >= 3
-        ]
-    )
-    near = F.filter(aliases, lambda a: key.contains(a["alias"]) | a["alias"].contains(key))
-    return F.coalesce(tag, F.get(near, F.lit(0))["tag"])
+        return F.coalesce(itself, _lookup(fixed.SKILL_ALIASES, key))
+
+    def by_key(k: Column) -> Column:
+        # A chain of tests ends at the first alias that fits.
+        near = F
+        for alias, name in fixed.SKILL_ALIASES:
+            if len(alias) >= 3:
+                near = near.when(k.contains(alias) | F.lit(alias).contains(k), name)
+        return F.coalesce(_lookup(fixed.SKILL_ALIASES, k), near)
+
+    # As a lambda variable the key is computed once, not per alias.
+    return F.coalesce(itself, F.get(F.transform(F.array(key), by_key), F.lit(0)))
 
 
 def standardise(skills: Column, substring: bool = False) -> Column:
@@ -81,8 +84,11 @@ def match_skills(
     if nearest is None:
         return profiles.select(*keys, standardise(F.col("skills"), substring).alias("skills"))
     exploded = profiles.select(*keys, F.posexplode_outer(clean_strings(F.col("skills"))).alias("_pos", "skill"))
+    # Skills without a near tag stay as they are. The others are few: stored and counted, they meet the profiles' skills
+    # without a shuffle by skill, where common ones would gather in one task.
+    tagged = stage(nearest.where(F.col("tag").isNotNull()).select("skill", "tag"), "skill-tags")
     mapped = exploded.withColumn("_rule", rule_tag(F.col("skill"), substring)).join(
-        nearest.select("skill", "tag"), "skill", "left"
+        broadcast_if_small(tagged), "skill", "left"
     )
     tag = F.coalesce("_rule", "tag", "skill")
     # One profile's skills: a bounded list per key.

@@ -1,5 +1,8 @@
 """What tasks hold and shuffles carry as tables grow; results beside the plain way."""
 
+from pyspark.sql import functions as F
+
+from matchloom.operators import skills
 from matchloom.operators.dense import dense_search
 
 
@@ -16,3 +19,18 @@ def test_blocks_carry_no_chunk_text(spark):
     found = dense_search(queries, chunks, 1, max_broadcast_bytes=0, block_bytes=8)
     assert "CoGroup" in plan(found) and "long_text" not in plan(found).partition("Repartition")[0]
     assert [r["candidate_id"] for r in found.collect()] == [1]
+
+
+def test_key_of_a_skill_is_computed_once(spark):
+    df = spark.createDataFrame([(" My SQL",), ("javascript",), ("",)], "s string")
+    tagged = df.select(skills.rule_tag(F.col("s"), substring=True).alias("tag"))
+    assert plan(tagged).count("lower(") == 1
+    assert [r["tag"] for r in tagged.collect()] == ["SQL", "Java", "Python"]
+
+
+def test_tags_meet_skills_without_a_shuffle_by_skill(spark):
+    profiles = spark.createDataFrame([(1, ["x", "y", "py"])], "id int, skills array<string>")
+    nearest = spark.createDataFrame([("x", "Go", 0.9), ("y", None, 0.1)], "skill string, tag string, similarity double")
+    mapped = skills.match_skills(profiles, ["id"], nearest)
+    assert "strategy=broadcast" in plan(mapped)
+    assert mapped.first()["skills"] == ["Go", "y", "Python"]
