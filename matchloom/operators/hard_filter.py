@@ -55,8 +55,9 @@ def candidate_terms(facts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     deduplicated or shuffled; the vocabulary is broadcast if it is small enough.
     """
     keys = ["tenant_id", "candidate_id", "degree", "years"]
-    skill_runs = F.flatten(F.transform("skills", term_runs))
-    runs = facts.select(*keys, F.explode(F.concat(skill_runs, term_runs(F.col("text")))).alias("run"))
+    # No run holds a blank, so skills and text are searched as one; each run of a candidate is looked up once.
+    whole = F.concat_ws(" ", F.array_join("skills", " "), "text")
+    runs = facts.select(*keys, F.explode(F.array_distinct(term_runs(whole))).alias("run"))
     run = F.col("run")
     hint = F.broadcast if is_small(vocabulary) else (lambda df: df)
 

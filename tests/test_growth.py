@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import skills
 from matchloom.operators.dense import dense_search
+from matchloom.operators.hard_filter import candidate_terms
 
 
 def plan(df):
@@ -34,3 +35,14 @@ def test_tags_meet_skills_without_a_shuffle_by_skill(spark):
     mapped = skills.match_skills(profiles, ["id"], nearest)
     assert "strategy=broadcast" in plan(mapped)
     assert mapped.first()["skills"] == ["Go", "y", "Python"]
+
+
+def test_each_run_of_a_candidate_is_looked_up_once(spark):
+    facts = spark.createDataFrame(
+        [("t", 1, 2, 3, ["go", "c++", None], "go go rust/go"), ("t", 2, 2, 3, None, None)],
+        "tenant_id string, candidate_id long, degree int, years int, skills array<string>, text string",
+    )
+    vocabulary = spark.createDataFrame([("t", w) for w in ("go", "c++", "rust", "sql")], "tenant_id string, term string")
+    terms = candidate_terms(facts, vocabulary)
+    assert plan(terms).count("regexp_extract_all") == 1 and "explode(array_distinct(regexp_extract_all" in plan(terms)
+    assert sorted((r["candidate_id"], r["term"]) for r in terms.collect()) == [(1, "c++"), (1, "go"), (1, "rust")]
