@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from matchloom.operators import skills
+from matchloom.operators import skills, sparse
 from matchloom.operators.dense import dense_search
 from matchloom.operators.hard_filter import candidate_terms
 
@@ -46,3 +46,31 @@ def test_each_run_of_a_candidate_is_looked_up_once(spark):
     terms = candidate_terms(facts, vocabulary)
     assert plan(terms).count("regexp_extract_all") == 1 and "explode(array_distinct(regexp_extract_all" in plan(terms)
     assert sorted((r["candidate_id"], r["term"]) for r in terms.collect()) == [(1, "c++"), (1, "go"), (1, "rust")]
+
+
+def test_scoring_tasks_follow_the_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([("t" if i % 3 else "u", i) for i in range(300)], "tenant_id string, candidate_id long")
+    queries = spark.createDataFrame([("t", j) for j in range(5)] + [("v", 9)], "tenant_id string, job_id long")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sparse.scoring_tasks(docs, queries) == least
+    monkeypatch.setattr(sparse, "_TASK_PAIRS", 10)
+    assert sparse.scoring_tasks(docs, queries) == 100  # 200 documents of t and its 5 jobs
+    assert sparse.scoring_tasks(docs, queries.where("false")) == least
+
+
+def test_pool_words_keep_every_row_of_the_pool(spark):
+    rules = [f"r{i:03}" for i in range(130)]  # more than two words of bits
+    terms = spark.createDataFrame(
+        [("t", i, r, "go" if i % 2 else "sql", 1) for i, r in enumerate(rules)],
+        "tenant_id string, job_id long, rule_id string, token string, qtf long",
+    )
+    members = [("t", r, c) for i, r in enumerate(rules) for c in range(4) if (i + c) % 3] + [("t", "r001", 1), ("t", "r128", 0)] * 2
+    pool = spark.createDataFrame(members, "tenant_id string, rule_id string, candidate_id long")
+    index = spark.createDataFrame(
+        [("t", c, w, 5, 1) for c in range(5) for w in ("", "go", "sql")],
+        "tenant_id string, candidate_id long, token string, dl int, tf long",
+    )
+    got = sparse._scoped_index(terms, index, sparse.pool_words(terms, pool))
+    asked = {(r, "go" if i % 2 else "sql") for i, r in enumerate(rules)}
+    wanted = [(r, c, w) for _, r, c in members for w in ("", "go", "sql") if w == "" or (r, w) in asked]
+    assert sorted((r["rule_id"], r["candidate_id"], r["token"]) for r in got.collect()) == sorted(wanted)
