@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.frequent import frequent, least_count
@@ -37,6 +37,14 @@ SYMBOLS = 257  # what can be predicted
 BITS = 9  # of a symbol in a packed run
 
 
+def _context() -> Column:
+    return F.shiftright("run", BITS).alias("context")
+
+
+def _symbol() -> Column:
+    return F.col("run").bitwiseAND(F.lit((1 << BITS) - 1)).alias("symbol")
+
+
 @dataclass(frozen=True)
 class PpmSettings:
     order: int = 5
@@ -167,8 +175,48 @@ def fit(texts: DataFrame, settings: PpmSettings = PpmSettings()) -> PpmModel:
 
 def learn(texts: DataFrame, settings: PpmSettings = PpmSettings()) -> tuple[PpmModel, DataFrame | None]:
     """Learn from all rows of a one-column table of texts: the trie, and the contexts that are not in it (None if all
-    are): (k, context, total, kinds, above, follow). follow: symbols to their counts; above: the sum of the counts
-    that these symbols have in the next shorter context."""
+    are), as `Counted.rare` gives them."""
+    counted = count_contexts(texts, settings)
+    return counted.trie(), counted.rare()
+
+
+@dataclass(frozen=True)
+class Counted:
+    """The runs and contexts of the training texts, stored. Contexts seen `least` times are in the trie."""
+
+    grams: DataFrame
+    totals: DataFrame
+    least: int
+    order: int
+
+    def _held(self) -> Column:
+        return (F.col("total") >= self.least) | (F.col("k") == 0)
+
+    def trie(self) -> PpmModel:
+        kept = self.totals.where(self._held()).select("k", "context")
+        rows = self.grams.withColumn("context", _context()).join(kept, ["k", "context"])
+        # bounded by max_contexts times the symbols
+        found = rows.select("k", "context", _symbol(), "n").toArrow()
+        return model_of(*(found.column(c).to_numpy() for c in ("k", "context", "symbol", "n")), self.order)
+
+    def rare(self) -> DataFrame | None:
+        """The contexts that are not in the trie: (k, context, total, kinds, above, follow). follow: symbols to their
+        counts; above: the sum of the counts that these symbols have in the next shorter context."""
+        if self.least <= 1:
+            return None
+        # The runs of a level meet those of the next shorter one by the run without its first symbol.
+        rare = self.grams.withColumn("context", _context()).join(self.totals.where(~self._held()), ["k", "context"])
+        shorter = self.grams.select((F.col("k") + 1).alias("k"), F.col("run").alias("__run"), F.col("n").alias("__n"))
+        rare = rare.withColumn("__run", F.expr(f"run & (shiftleft(1L, {BITS} * k) - 1)")).join(shorter, ["k", "__run"])
+        follow = F.map_from_entries(F.collect_list(F.struct(_symbol(), "n"))).alias("follow")  # as many as symbols at most
+        return stage(
+            rare.groupBy("k", "context", "total").agg(F.count("*").alias("kinds"), F.sum("__n").alias("above"), follow),
+            "ppm-rare",
+        )
+
+
+def count_contexts(texts: DataFrame, settings: PpmSettings = PpmSettings()) -> Counted:
+    """Count all runs and contexts of a one-column table of texts."""
     longest = stage(count_runs(texts, settings.order), "ppm-runs")
     by_order = [longest.withColumn("k", F.lit(settings.order))]
     for k in range(settings.order - 1, -1, -1):
@@ -178,27 +226,10 @@ def learn(texts: DataFrame, settings: PpmSettings = PpmSettings()) -> tuple[PpmM
     grams = by_order[0]
     for more in by_order[1:]:
         grams = grams.unionByName(more)
-    context = F.shiftright("run", BITS).alias("context")
-    totals = stage(grams.groupBy("k", context).agg(F.sum("n").alias("total")), "ppm-contexts")
-    least = least_count(totals, "total", settings.max_contexts)
-    held = (F.col("total") >= least) | (F.col("k") == 0)
-    kept = totals.where(held).select("k", "context")
-    symbol = F.col("run").bitwiseAND(F.lit((1 << BITS) - 1)).alias("symbol")
-    rows = grams.withColumn("context", context).join(kept, ["k", "context"])
-    # bounded by max_contexts times the symbols
-    found = rows.select("k", "context", symbol, "n").toArrow()
-    model = model_of(*(found.column(c).to_numpy() for c in ("k", "context", "symbol", "n")), settings.order)
-    if least <= 1:
-        return model, None
-    # The runs of a level meet those of the next shorter one by the run without its first symbol.
-    rare = grams.withColumn("context", context).join(totals.where(~held), ["k", "context"])
-    shorter = grams.select((F.col("k") + 1).alias("k"), F.col("run").alias("__run"), F.col("n").alias("__n"))
-    rare = rare.withColumn("__run", F.expr(f"run & (shiftleft(1L, {BITS} * k) - 1)")).join(shorter, ["k", "__run"])
-    follow = F.map_from_entries(F.collect_list(F.struct(symbol, "n"))).alias("follow")  # as many as symbols at most
-    return model, stage(
-        rare.groupBy("k", "context", "total").agg(F.count("*").alias("kinds"), F.sum("__n").alias("above"), follow),
-        "ppm-rare",
+    totals = stage(
+        grams.groupBy("k", _context()).agg(F.sum("n").alias("total")), "ppm-contexts"
     )
+    return Counted(grams, totals, least_count(totals, "total", settings.max_contexts), settings.order)
 
 
 def model_of(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, order: int) -> PpmModel:
@@ -209,43 +240,50 @@ def model_of(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarr
     column = np.full(START + 1, len(known))
     column[known] = np.arange(len(known))
     # Level by level: nodes of an order follow those of shorter ones. The tail of a node is the share of each symbol
-    # after an escape from it. Nodes are worked on in chunks, so that little more than the tables is held.
-    nodes, logs = [np.zeros(1, np.int64)], []
+    # after an escape from it. Nodes are worked on in chunks and written to their place in the tables; of counts and
+    # tails only those that the next level reads are held.
+    nodes = [np.zeros(1, np.int64), *(np.unique(context[k == level]) for level in range(1, order + 1))]
+    size = sum(map(len, nodes))
+    logs = np.empty((size, width), np.float32)
+    total, kinds = np.empty(size), np.empty(size, np.int64)
+    follows = np.empty((size, -(-width // 8)), np.uint8)
     links = [np.zeros((3, 0), np.int64)]  # node, column, longer context's node
-    total, kinds, follows = [], [], []
     base, above, above_tail = 0, np.zeros((0, width), np.float32), np.zeros((0, width), np.float32)
-    for level in range(order + 1):
-        own = k == level
-        if level:
-            nodes.append(np.unique(context[own]))
-        names = nodes[level]
-        counts = np.zeros((len(names), width), np.float32)
-        counts[np.searchsorted(names, context[own]), column[symbol[own]]] = n[own]
-        up = np.zeros(len(names), np.int64)
+    for level, names in enumerate(nodes):
+        own = np.flatnonzero(k == level)
+        at_node = np.searchsorted(names, context[own])
+        total[base : base + len(names)] = np.bincount(at_node, weights=n[own], minlength=len(names))
+        own = own[np.argsort(at_node, kind="stable")]
+        at_node = np.sort(at_node)
         if level:
             up = np.searchsorted(nodes[level - 1], names & ((1 << (BITS * (level - 1))) - 1))
             # the earliest symbol of a context leads from its shorter one to it
             own_column = _context_column(column, names >> (BITS * (level - 1)))
             links.append(np.stack([base - len(nodes[level - 1]) + up, own_column, base + np.arange(len(names))]))
-        tail, share = np.zeros_like(counts), np.zeros_like(counts)
+        last = level == order
+        counts, tails = (np.zeros((0 if last else len(names), width), np.float32) for _ in range(2))
         for at in range(0, len(names), _CHUNK):
-            part = slice(at, at + _CHUNK)
+            part = slice(at, min(at + _CHUNK, len(names)))
+            held = slice(*np.searchsorted(at_node, [part.start, part.stop]))
+            count = np.zeros((part.stop - part.start, width), np.float32)
+            count[at_node[held] - at, column[symbol[own[held]]]] = n[own[held]]
             if level:
-                tail[part] = _tail(counts[part], above[up[part]], above_tail[up[part]])
+                tail = _tail(count, above[up[part]], above_tail[up[part]]).astype(np.float32)
             else:
-                unknown = SYMBOLS - (counts > 0).sum()
-                tail[:] = 1.0 / unknown if unknown else 0.0
-            share[part] = _share(counts[part], tail[part])
-        total.append(np.bincount(np.searchsorted(names, context[own]), weights=n[own], minlength=len(names)))
-        kinds.append((counts > 0).sum(axis=1))
-        follows.append(np.packbits(counts > 0, axis=1))
-        with np.errstate(divide="ignore"):
-            logs.append(np.log10(share, out=share))
-        base, above, above_tail = base + len(names), counts, tail
-    return PpmModel(order, _Links(*np.concatenate(links, axis=1), width + 1), column, *(np.concatenate(x) for x in (logs, total, kinds, follows)))
+                unknown = SYMBOLS - (count > 0).sum()
+                tail = np.full_like(count, 1.0 / unknown if unknown else 0.0)
+            place = slice(base + part.start, base + part.stop)
+            with np.errstate(divide="ignore"):
+                np.log10(_share(count, tail).astype(np.float32), out=logs[place])
+            kinds[place] = (count > 0).sum(axis=1)
+            follows[place] = np.packbits(count > 0, axis=1)
+            if not last:
+                counts[part], tails[part] = count, tail
+        base, above, above_tail = base + len(names), counts, tails
+    return PpmModel(order, _Links(*np.concatenate(links, axis=1), width + 1), column, logs, total, kinds, follows)
 
 
-_CHUNK = 4_096
+_CHUNK = 1_024
 
 
 def _tail(counts: np.ndarray, above: np.ndarray, above_tail: np.ndarray) -> np.ndarray:
@@ -424,21 +462,23 @@ def scored(
 
     Tokens are the words and one end of each text; base_score sums log10((c + 1) / (N + V + 1)) over them.
     """
-    model, rare_contexts = learn(training, settings)
+    context = docs.sparkSession.sparkContext
+    counted = count_contexts(training, settings)
+    # The driver holds the trie, and below the words, only until they are written to the broadcast.
+    shared = context.broadcast(counted.trie())
+    rare_contexts = counted.rare()
     cut = rare_contexts is not None
     words = stage(count_words(training), "ppm-words")
     ends = training.count()  # the end is a token, too
     count, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_tokens, types = count + ends, distinct + (ends > 0)
-    common = frequent(words, "n", settings.max_words).toArrow()  # max_words rows at most
-    logs = np.log10(common.column("n").to_numpy() + 1.0)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
-    shared_words = context.broadcast(dict(zip(common.column("word").to_pylist(), logs.tolist())))
+    shared_words = context.broadcast(frequent(words, "n", settings.max_words).toArrow())  # max_words rows at most
     end_known, end_log = int(ends > 0), float(np.log10(ends + 1.0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, shared_words.value
+        model, common = shared.value, shared_words.value
+        known_logs = np.log10(common.column("n").to_numpy() + 1.0)
+        known = dict(zip(common.column("word").to_pylist(), known_logs.tolist()))
         for batch in batches:
             done = 0
             for slice_ in _texts(batch.column(batch.num_columns - 1)):

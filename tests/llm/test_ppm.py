@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -93,3 +94,19 @@ def test_awkward_rows(spark):
     null = next(r for r in untrained if r["doc_id"] == 5)
     assert abs(null["score"] + math.log10(257)) < 1e-6 and null["base_score"] == 0
     assert ppm.scored(empty(spark), docs.select("text")).count() == 0
+
+
+def test_the_trie_is_built_in_little_more_than_its_tables(monkeypatch):
+    """The driver builds it: counts, tails and shares of all contexts at once took several times its size."""
+    monkeypatch.setattr(ppm, "_CHUNK", 256)
+    letters = np.arange(160)
+    pairs = (letters[:, None] << ppm.BITS | letters).reshape(-1)
+    k = np.repeat([0, 1, 2], [len(letters), len(letters), len(pairs)])
+    context = np.concatenate([np.zeros(len(letters), np.int64), letters, pairs])
+    symbol = np.concatenate([letters, letters, np.resize(letters, len(pairs))])
+    tracemalloc.start()
+    model = ppm.model_of(k, context, symbol, np.ones(len(k), np.int64), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.logs.shape == (1 + len(letters) + len(pairs), len(letters) + 1)
+    assert peak < 2 * model.logs.nbytes
