@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from matchloom.operators import skills, sparse
 from matchloom.operators.dense import dense_search
 from matchloom.operators.hard_filter import candidate_terms
+from matchloom.operators.panel import merged_evidence
+from workload import entities
+from workload.registry import Tables
 
 
 def plan(df):
@@ -74,3 +77,24 @@ def test_pool_words_keep_every_row_of_the_pool(spark):
     asked = {(r, "go" if i % 2 else "sql") for i, r in enumerate(rules)}
     wanted = [(r, c, w) for _, r, c in members for w in ("", "go", "sql") if w == "" or (r, w) in asked]
     assert sorted((r["rule_id"], r["candidate_id"], r["token"]) for r in got.collect()) == sorted(wanted)
+
+
+def test_panel_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, tmp_path):
+    lines = [(o, o % 30, 1, n, float(n), 0.1 * (n % 3), 0.01, "R", "F") for o in range(200) for n in range(1, 4)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double"
+    lineitem = spark.createDataFrame(lines, names + ", l_tax double, l_returnflag string, l_linestatus string")
+    orders = spark.createDataFrame(
+        [(o, "O", f"{o % 5 + 1}-X") for o in range(200)], "o_orderkey long, o_orderstatus string, o_orderpriority string"
+    )
+    for name, table in (("lineitem", lineitem), ("orders", orders)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def found():
+        return merged_evidence(entities.Entities(Tables(spark, str(tmp_path))).panel())
+
+    few = found()
+    monkeypatch.setattr(entities, "LINES_PER_TASK", 20)
+    many = found()
+    assert "l_orderkey" not in plan(few).partition("RepartitionByExpression")[2].partition("\n")[0]
+    assert "RepartitionByExpression [l_orderkey" in plan(many) and ", 30" in plan(many)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 200 * 2
