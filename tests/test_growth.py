@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from matchloom.operators import skills, sparse
+from matchloom.operators import panel, skills, sparse
 from matchloom.operators.dense import dense_search
-from matchloom.operators.hard_filter import candidate_terms
+from matchloom.operators.hard_filter import candidate_terms, hard_filter_pool
 from matchloom.operators.panel import merged_evidence
+from matchloom.operators.sizes import only_owners_of
 from workload import entities
 from workload.registry import Tables
 
@@ -98,3 +99,74 @@ def test_panel_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, tmp_p
     assert "l_orderkey" not in plan(few).partition("RepartitionByExpression")[2].partition("\n")[0]
     assert "RepartitionByExpression [l_orderkey" in plan(many) and ", 30" in plan(many)
     assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 200 * 2
+
+
+def test_index_counts_tokens_text_by_text(spark):
+    terms = spark.createDataFrame(
+        [("t", 1, w, 1) for w in ("go", "c++", "\u5e74")] + [("u", 2, "sql", 1)],
+        "tenant_id string, job_id long, token string, qtf long",
+    )
+    rows = [("t", 1, "Go go C++ \u5e74\u5e74 sql"), ("t", 2, None), ("u", 1, "go SQL"), (None, 3, "go"), ("t", None, "go")]
+    schema = "tenant_id string, candidate_id long, text string"
+    wanted = [
+        ("t", 1, "", 6, 1), ("t", 1, "c++", 6, 1), ("t", 1, "go", 6, 2), ("t", 1, "\u5e74", 6, 2), ("t", 2, "", 0, 1),
+        ("t", None, "", 1, 1), ("t", None, "go", 1, 1), ("u", 1, "", 2, 1), ("u", 1, "sql", 2, 1),
+    ]
+
+    def found(index):
+        return sorted(map(str, (tuple(r[c] for c in ("tenant_id", "candidate_id", "token", "dl", "tf")) for r in index.collect())))
+
+    index = sparse.build_index(spark.createDataFrame(rows, schema), terms, parts=2)
+    # No table of all the tokens of a split: nothing is aggregated before the documents are dealt out.
+    assert "sum(tf" not in plan(index) and "count(1)" not in plan(index)
+    assert found(index) == sorted(map(str, wanted))
+    twice = sparse.build_index(spark.createDataFrame(rows + [("t", 1, "go x x x x x"), ("t", 1, "go")], schema), terms, parts=2)
+    assert "sum(tf" in plan(twice).partition("Repartition")[0]
+    more = [r for r in wanted if r[:3] not in (("t", 1, ""), ("t", 1, "go"))]
+    more += [("t", 1, "", 6, 2), ("t", 1, "go", 6, 3), ("t", 1, "", 1, 1), ("t", 1, "go", 1, 1)]
+    assert found(twice) == sorted(map(str, more))
+
+
+def test_terms_meet_rules_without_a_shuffle_of_their_own(spark):
+    facts = spark.createDataFrame(
+        [("t", 1, 2, 3, ["go", "c++"], "go rust/go"), ("t", 2, 2, 3, ["sql"], None), ("t", 1, 2, 3, ["go"], "go")],
+        "tenant_id string, candidate_id long, degree int, years int, skills array<string>, text string",
+    )
+    rules = spark.createDataFrame(
+        [("t", "a", 0, 0, ["go", "rust"]), ("t", "b", 0, 4, ["go"]), ("t", "c", 2, 3, ["sql", "go"])],
+        "tenant_id string, rule_id string, need_degree int, need_years int, need_skills array<string>",
+    )
+    pool = hard_filter_pool(rules, facts)
+    assert "first(degree" not in plan(pool)
+    assert sorted((r["rule_id"], r["candidate_id"]) for r in pool.collect()) == [("a", 1), ("c", 1), ("c", 2)]
+
+
+def test_only_texts_of_wanted_owners_are_cut(spark):
+    texts = spark.createDataFrame([("t", i, f"a{i} b{i}") for i in range(5)] + [("u", 1, "x")], "tenant_id string, id long, text string")
+    pieces = texts.select("tenant_id", "id", F.posexplode(F.split("text", " ")).alias("pos", "piece"))
+    small = spark.createDataFrame([("t", 1), ("t", 3), ("t", 3), (None, 1), ("u", None)], "tenant_id string, id long")
+    kept = only_owners_of(pieces, small, ["tenant_id", "id"])
+    assert plan(kept).index("Generate") < plan(kept).index("LeftSemi")
+    assert sorted(r["piece"] for r in kept.collect()) == ["a1", "a3", "b1", "b3"]
+    assert only_owners_of(pieces, small, ["id"]).count() == 5
+    assert only_owners_of(pieces, pieces.where("piece = 'a2'"), ["tenant_id", "id"]).count() == 2
+
+
+def test_parts_of_reports_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    rows = [
+        ("t", "j", c, a, float(c), 0.5, {"d": 1.0}, [f"e{c}"], p)
+        for c in range(40) for p, a in enumerate(("leadership", "interviewer"))
+    ]
+    table = spark.createDataFrame(
+        rows,
+        "tenant_id string, job_id string, candidate_id long, agent string, score double, confidence double, "
+        "dimension_scores map<string,double>, evidence array<string>, pos long",
+    )
+    weights = spark.createDataFrame([("t", "j", {"leadership": 1.0})], "tenant_id string, job_id string, weights map<string,double>")
+    few = panel.reports(table, weights)
+    monkeypatch.setattr(panel, "ROWS_PER_TASK", 8)
+    many = panel.reports(table, weights)
+    assert "strategy=broadcast" in plan(panel.arbitrate(table, weights))
+    assert "Repartition" not in plan(few) and plan(many).count("RepartitionByExpression") == 4
+    key = lambda r: r["candidate_id"]
+    assert sorted(few.collect(), key=key) == sorted(many.collect(), key=key)
