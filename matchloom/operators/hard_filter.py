@@ -48,8 +48,8 @@ def candidate_facts(candidates: DataFrame, as_of_year: int | None = None) -> Dat
     )
 
 
-def candidate_terms(facts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(tenant, candidate, term, degree, years) for the terms of the vocabulary, each once.
+def _terms_found(facts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(tenant, candidate, term, degree, years) for the terms of the vocabulary; some of them come twice.
 
     Terms come from the skills and the text. Those outside the vocabulary are dropped before anything is
     deduplicated or shuffled; the vocabulary is broadcast if it is small enough.
@@ -67,10 +67,14 @@ def candidate_terms(facts: DataFrame, vocabulary: DataFrame) -> DataFrame:
         F.col("_known").isNotNull() | ~is_plain_run(run)
     )
     terms = F.when(F.col("_known").isNotNull() & is_plain_run(run), F.array(run)).otherwise(run_terms(run))
-    known = kept.select(*keys, F.explode(terms).alias("term")).join(
+    return kept.select(*keys, F.explode(terms).alias("term")).join(
         hint(vocabulary), ["tenant_id", "term"], "left_semi"
     )
-    return known.dropDuplicates(["tenant_id", "candidate_id", "term"])
+
+
+def candidate_terms(facts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(tenant, candidate, term, degree, years) for the terms of the vocabulary, each once."""
+    return _terms_found(facts, vocabulary).dropDuplicates(["tenant_id", "candidate_id", "term"])
 
 
 def hard_filter_pool(rule_table: DataFrame, facts: DataFrame) -> DataFrame:
@@ -81,8 +85,9 @@ def hard_filter_pool(rule_table: DataFrame, facts: DataFrame) -> DataFrame:
         "tenant_id", "rule_id", "need_degree", "need_years", F.explode("need_skills").alias("term")
     )
     vocabulary = with_skills.select("tenant_id", "term").distinct()
+    # The pairs are made distinct, so the terms need not be: they meet the rules without a shuffle of their own.
     by_term = (
-        candidate_terms(facts, vocabulary)
+        _terms_found(facts, vocabulary)
         .join(broadcast_if_small(with_skills), ["tenant_id", "term"])
         .where(enough)
         .select("tenant_id", "rule_id", "candidate_id")

@@ -16,7 +16,7 @@ from matchloom.operators.hard_filter import (
     hard_filter_pool,
     job_rules,
 )
-from matchloom.operators.sizes import only_keys_of
+from matchloom.operators.sizes import only_owners_of
 from matchloom.operators.sparse import bm25_search
 from matchloom.settings import DEFAULTS, ScreenSettings
 from matchloom.sources.staging import stage
@@ -122,7 +122,7 @@ def coarse_screen(
     # large tables are reduced to the candidates of the cut before anything else happens to them.
     owner = ["tenant_id", "candidate_id"]
     best_chunk = dense.groupBy(*_PAIR).agg(F.min_by("chunk_index", "rank").alias("hit_chunk"))
-    vectors = only_keys_of(
+    vectors = only_owners_of(
         inputs.chunks.select(*owner, "chunk_index", F.col("embedding").alias("doc_vector")), cut, owner
     )
     if staged:
@@ -138,7 +138,7 @@ def coarse_screen(
     )
     cross_scores = inputs.cross_scores
     if scorer is not None:
-        texts = only_keys_of(docs, cut.where("rerank_mode = 'cross_encoder'"), owner)
+        texts = only_owners_of(docs, cut.where("rerank_mode = 'cross_encoder'"), owner)
         cross_scores = rerank.cross_scores(cut, evidence, texts, queries.select(*_JOB, "query"), scorer)
         if staged:
             cross_scores = stage(cross_scores, "cross-scores")
@@ -149,7 +149,7 @@ def coarse_screen(
     listed = rerank.final_list(rerank.score_pairs(pairs), settings)
 
     excerpts = rerank.evidence_excerpts(F.col("evidence"))
-    profile = only_keys_of(
+    profile = only_owners_of(
         inputs.candidates.select(*owner, F.col("structured.skills").alias("_skills")), cut, owner
     )
     return (
