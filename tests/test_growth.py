@@ -7,7 +7,7 @@ from matchloom.operators.dense import dense_search
 from matchloom.operators.hard_filter import candidate_terms, hard_filter_pool
 from matchloom.operators.panel import merged_evidence
 from matchloom.operators.sizes import only_owners_of
-from workload import entities
+from workload import entities, load
 from workload.registry import Tables
 
 
@@ -170,3 +170,20 @@ def test_parts_of_reports_are_dealt_to_bounded_tasks(spark, monkeypatch):
     assert "Repartition" not in plan(few) and plan(many).count("RepartitionByExpression") == 4
     key = lambda r: r["candidate_id"]
     assert sorted(few.collect(), key=key) == sorted(many.collect(), key=key)
+
+
+def test_rerank_documents_move_only_texts_of_listed_candidates(spark, tmp_path):
+    docs = [(i, "en", f"word{i} common {'long ' * 200}") for i in range(60)] + [(3, "en", "word3 again"), (None, "en", "word5"), (70, None, "word7")]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id long, lang string, text string"),
+        "benchmark": spark.createDataFrame([(0, "word3 word5"), (1, "word9 word7")], "item_id long, text string"),
+        "embeddings": spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, embedding array<float>"),
+    }
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = load()[0]["r18_rerank_document"](spark, str(tmp_path))
+    # The texts meet the few listed candidates first, without a shuffle, and then the pairs.
+    texts = plan(found).rpartition(" AS candidate_id")[2]
+    assert "Join LeftSemi" in texts and "strategy=broadcast" in texts
+    got = sorted((r["job_id"], r["candidate_id"]) for r in found.collect())
+    assert {c for j, c in got if j == 0} >= {3, 5} and got.count((0, 3)) == 2
